@@ -87,7 +87,7 @@ def row_number_by_value(df: DataFrame, groups: Sequence[str], order: Sequence[Co
         cells = cells.withColumn("__t", F.conv(F.substring(tie_digest, 1, 2), 16, 10).cast("int"))
     else:
         cells = with_quantile_bucket(cells, tie, "__t")
-    cells = cells.withColumn("__b2", F.when(F.col("__e"), F.col("__t")).otherwise(F.lit(-2 if descending else BUCKETS))).drop("__e", "__t")
+    cells = cells.withColumn("__b2", F.when(F.col("__e"), F.col("__t")).otherwise(F.lit(BUCKETS))).drop("__e", "__t")
     return _numbered(cells, groups, ["__b", "__b2"], order, out, total, descending)
 
 

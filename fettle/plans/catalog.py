@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from fettle.plans import store  # noqa: F401
+    from fettle.plans import splitting  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

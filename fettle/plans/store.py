@@ -98,10 +98,10 @@ def _(v):
 CLASS_DIM = "(SELECT DISTINCT class_code, upper(substr(class_code,1,1))||substr(class_code,2) AS display_name FROM defect_region)"
 
 
-@query("region_inner", f"SELECT r.inspection_id, region_index, r.class_code, display_name, area_px, length_px FROM defect_region r JOIN {CLASS_DIM} c ON c.class_code=r.class_code WHERE inspection_id BETWEEN 100 AND 400 ORDER BY 1,2")
+@query("region_inner", f"SELECT r.inspection_id, region_index, r.class_code, display_name, area_px, length_px FROM defect_region r JOIN {CLASS_DIM} c ON c.class_code=r.class_code ORDER BY 1,2")
 def _(v):
     dim = v.defect_region.select("class_code").distinct().withColumn("display_name", F.initcap("class_code"))
-    r = v.defect_region.where("inspection_id BETWEEN 100 AND 400").join(dim, "class_code")
+    r = v.defect_region.join(dim, "class_code")
     return r.select("inspection_id", "region_index", "class_code", "display_name", "area_px", "length_px").orderBy("inspection_id", "region_index")
 
 
