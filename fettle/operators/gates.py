@@ -129,6 +129,16 @@ def missing_tables(spark, folder_tables: list[str], expected: list[str]) -> Data
     return want.exceptAll(have)
 
 
+def missing_columns(tables: dict[str, DataFrame], expected: dict[str, str]) -> DataFrame:
+    """Row count of each table with the declared columns it lacks."""
+    parts = []
+    for name, df in tables.items():
+        declared = [c.strip().split(" ")[0] for c in expected[name].split(",")]
+        lacking = ",".join(sorted(set(declared) - set(df.columns)))
+        parts.append(df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows", F.lit(lacking).alias("missing")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def binary_mask_check(sample: DataFrame, pixels: DataFrame, allowed: tuple[int, ...] = (0, 255)) -> DataFrame:
     """Sampled items without a mask, and sampled masks with a value outside ``allowed``."""
     per = pixels.groupBy("item_id").agg(F.max((~F.col("value").isin(*allowed)).cast("int")).alias("odd"))

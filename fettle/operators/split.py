@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from fettle.functions.columns import draw_hash, hex32, unit_draw
 from fettle.operators.ranking import row_number_by_hash, row_number_by_value
+from fettle.session import settle
 
 
 @dataclass(frozen=True)
@@ -110,7 +111,9 @@ def assign(manifest: DataFrame, rules: SplitRules) -> DataFrame:
     """The full first-match routing; adds ``split``.
 
     Joins bring one row per group to the manifest, so a hot group is only ever on the big
-    side, where adaptive execution splits it.
+    side, where adaptive execution splits it. The routed rows and the group table are written
+    to the shared folder between stages, so later passes never return to the raw corpus; pass
+    only the columns you need.
     """
     board = substrate_groups(manifest, rules)
     own = source_split_groups(manifest, rules)
@@ -122,9 +125,10 @@ def assign(manifest: DataFrame, rules: SplitRules) -> DataFrame:
         F.when(on_unseen, F.coalesce("substrate_split", F.lit("test_negatives"))),
         route_eval_only(rules),
     )
-    staged = routed.withColumn("__early", early).drop("source_split", "substrate_split")
+    staged = settle(routed.withColumn("__early", early).drop("source_split", "substrate_split"), "routed")
     rest_pos = staged.where(F.col("__early").isNull() & (F.col("role") == "positive"))
-    groups = stratified_assign(with_fg_quartile(group_stats(rest_pos)), rules).select("grp", "group_split")
+    stats = settle(with_fg_quartile(settle(group_stats(rest_pos), "groups")), "quartiles")
+    groups = stratified_assign(stats, rules).select("grp", "group_split")
     held = (
         F.when(F.col("group_split") == "val", "val")
         .when(F.col("group_split") == "test",

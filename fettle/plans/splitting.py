@@ -18,8 +18,11 @@ EV = "('" + "','".join(EVAL_SPLITS) + "')"
 TR = "('train','wood_bg')"
 
 
+ROUTED = ("name", "grp", "phash", "source", "material", "role", "crack_px", "crack_px_frac")
+
+
 def manifest(v):
-    return v.manifest.withColumn("subsource", F.col("source"))
+    return v.manifest.select(*ROUTED, F.col("source").alias("subsource"))
 
 
 HOLD_SQL = "CASE WHEN source='src4' THEN 'test_scratch_blob' WHEN role='positive' AND material='fr' THEN 'val_unseen_material' WHEN role='positive' AND material='es' THEN 'test_unseen_material' END"
@@ -29,7 +32,7 @@ ROUTE_CTE = f"""board AS (SELECT grp, CASE WHEN row_number() OVER (ORDER BY {D.f
  own0 AS (SELECT role, grp, row_number() OVER (PARTITION BY role ORDER BY {D.format('grp')}, grp) AS rn, count(*) OVER (PARTITION BY role) AS n FROM (SELECT DISTINCT role, grp FROM manifest WHERE source='src0' AND role IN ('positive','scratch'))),
  own AS (SELECT role, grp, CASE WHEN rn <= round_even(n*0.80::DOUBLE,0) THEN 'train' WHEN rn <= round_even(n*0.80::DOUBLE,0)+round_even(n*0.15::DOUBLE,0) THEN 'val' WHEN role='positive' THEN 'test_factory' ELSE 'test_factory_scratch' END AS osplit FROM own0),
  staged AS (SELECT m.*, coalesce(CASE WHEN source='src0' THEN osplit END, {HOLD_SQL}, CASE WHEN material='es' THEN coalesce(bsplit,'test_negatives') END, {EVAL_SQL}) AS early
-  FROM manifest m LEFT JOIN own ON own.role=m.role AND own.grp=m.grp LEFT JOIN board ON board.grp=m.grp),
+  FROM manifest m LEFT JOIN (SELECT role AS orole, grp AS ogrp, osplit FROM own) o ON orole=m.role AND ogrp=m.grp LEFT JOIN board ON board.grp=m.grp),
  gstat AS (SELECT grp, arg_min(material, name) AS material, round(avg(crack_px_frac),9) AS fg, count(*) AS n FROM staged WHERE early IS NULL AND role='positive' GROUP BY grp),
  gq AS (SELECT grp, material, fg, n, CAST(coalesce(least(greatest(ceil((rn-1)*4/nullif((tot-1)::DOUBLE,0))-1,0),3),0) AS INT) AS fgb FROM (SELECT *, row_number() OVER (ORDER BY fg, grp) AS rn, count(*) OVER () AS tot FROM gstat)),
  gs0 AS (SELECT grp, material, fgb, row_number() OVER (PARTITION BY material, fgb ORDER BY {D.format('grp')}, grp) AS rn, count(*) OVER (PARTITION BY material, fgb) AS n FROM gq),
@@ -209,10 +212,9 @@ def _(v):
     return gates.gate_report(split.assign(manifest(v), RULES), RULES)
 
 
-@query("missing_tables", "SELECT t AS table_name FROM (VALUES " + ",".join(f"('{t}')" for t in sorted(STORE)) + ") x(t) WHERE t NOT IN ('inspection','defect_region','batch_run','profile','station')")
-def _(v):
-    have = ["inspection", "defect_region", "batch_run", "profile", "station"]
-    have = [name for name in have if v[name].columns]
-    return gates.missing_tables(v.spark, have, sorted(STORE))
+ABSENT = {"inspection": "material_id,overlay_image_path,source_image_path,station_id", "defect_region": "class_id,region_id", "station": "camera_status,created_at"}
 
 
+@query("missing_columns", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows, '{c}' AS missing FROM {t}" for t, c in ABSENT.items()))
+def _(v):
+    return gates.missing_columns({t: v[t] for t in ABSENT}, STORE)
