@@ -9,11 +9,11 @@ DASH = "—"
 
 
 def human_size(n: Column) -> Column:
-    """Bytes with a binary unit and one decimal; ``?`` when unknown or zero."""
+    """Bytes with a binary unit and one decimal, halves to even; ``?`` when unknown or zero."""
     text = F.when(F.coalesce(n, F.lit(0)) == 0, "?")
     for power, unit in enumerate(("B", "KB", "MB", "GB")):
-        text = text.when(n < 1024 ** (power + 1), F.format_string(f"%.1f{unit}", n / float(1024**power)))
-    return text.otherwise(F.format_string("%.1fTB", n / float(1024**4)))
+        text = text.when(n < 1024 ** (power + 1), F.format_string(f"%.1f{unit}", F.bround(n / float(1024**power), 1)))
+    return text.otherwise(F.format_string("%.1fTB", F.bround(n / float(1024**4), 1)))
 
 
 def pixels(n: Column, digits: int = 0) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fettle.functions.columns import percent, ratio
@@ -13,19 +13,23 @@ from fettle.operators.ranking import percentiles, row_number_by_value
 MIN_RATE_SECONDS = 3
 
 
+def _latency_basics() -> dict[str, Column]:
+    return {"latency_avg": F.round(F.avg("latency_ms"), 1), "latency_max": F.round(F.max("latency_ms"), 1),
+            "latency_count": F.count("latency_ms")}
+
+
+def _latency_tails(inspections: DataFrame) -> DataFrame:
+    rows = inspections.where(F.col("batch_run_id").isNotNull() & F.col("latency_ms").isNotNull())
+    tails = percentiles(rows, ["batch_run_id"], "latency_ms", {"latency_median": 0.5, "latency_p95": 0.95})
+    return tails.select("batch_run_id", *[F.round(c, 1).alias(c) for c in ("latency_median", "latency_p95")])
+
+
 def latency_stats(inspections: DataFrame) -> DataFrame:
     """Average, median, p95, maximum and count of the known latencies per run."""
-    rows = inspections.where(F.col("batch_run_id").isNotNull() & F.col("latency_ms").isNotNull()).select("batch_run_id", "latency_ms")
-    basic = rows.groupBy("batch_run_id").agg(
-        F.round(F.avg("latency_ms"), 1).alias("latency_avg"),
-        F.round(F.max("latency_ms"), 1).alias("latency_max"),
-        F.count("*").alias("latency_count"),
-    )
-    tails = percentiles(rows, ["batch_run_id"], "latency_ms", {"latency_median": 0.5, "latency_p95": 0.95})
-    return basic.join(tails, "batch_run_id").select(
-        "batch_run_id", "latency_avg", F.round("latency_median", 1).alias("latency_median"),
-        F.round("latency_p95", 1).alias("latency_p95"), "latency_max", "latency_count",
-    )
+    rows = inspections.where(F.col("batch_run_id").isNotNull() & F.col("latency_ms").isNotNull())
+    basic = rows.groupBy("batch_run_id").agg(*[c.alias(k) for k, c in _latency_basics().items()])
+    return basic.join(_latency_tails(inspections), "batch_run_id").select(
+        "batch_run_id", "latency_avg", "latency_median", "latency_p95", "latency_max", "latency_count")
 
 
 def session_durations(runs: DataFrame) -> DataFrame:
@@ -38,23 +42,22 @@ def session_durations(runs: DataFrame) -> DataFrame:
     )
 
 
-def throughput(durations: DataFrame, totals: DataFrame) -> DataFrame:
+def _rate() -> Column:
     """Items per minute, only where the run lasted long enough to measure a rate."""
     fit = (F.col("seconds") >= MIN_RATE_SECONDS) & (F.col("processed") > 0)
-    rate = F.when(fit, F.round(ratio("processed", F.col("seconds") / 60), 1))
+    return F.when(fit, F.round(ratio("processed", F.col("seconds") / 60), 1))
+
+
+def throughput(durations: DataFrame, totals: DataFrame) -> DataFrame:
     joined = durations.join(totals.select("batch_run_id", "processed"), "batch_run_id", "left")
-    return joined.select("batch_run_id", rate.alias("throughput"))
+    return joined.select("batch_run_id", _rate().alias("throughput"))
 
 
 def session_dashboard(inspections: DataFrame, regions: DataFrame, runs: DataFrame) -> DataFrame:
     """Totals, duration, rate and latency of every run in one row."""
-    totals = run_totals(inspections, regions)
-    durations = session_durations(runs)
-    return (
-        totals.join(durations.select("batch_run_id", "duration_min", "duration_seconds"), "batch_run_id", "left")
-        .join(throughput(durations, totals), "batch_run_id", "left")
-        .join(latency_stats(inspections), "batch_run_id", "left")
-    )
+    totals = run_totals(inspections, regions, extra=_latency_basics())
+    timed = totals.join(session_durations(runs), "batch_run_id", "left").withColumn("throughput", _rate()).drop("seconds")
+    return timed.join(_latency_tails(inspections), "batch_run_id", "left")
 
 
 def overview_totals(inspections: DataFrame) -> DataFrame:

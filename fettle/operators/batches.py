@@ -14,9 +14,12 @@ IMAGE_SUFFIXES = (".png", ".jpg", ".jpeg", ".bmp", ".webp", ".tif", ".tiff")
 MAX_FILE_BYTES = 64 * 1024 * 1024
 
 
-def run_totals(inspections: DataFrame, regions: DataFrame, status: str | None = None) -> DataFrame:
+def run_totals(inspections: DataFrame, regions: DataFrame, status: str | None = None,
+               extra: dict[str, Column] | None = None) -> DataFrame:
     """Eleven figures per run, counted from the same rows the export writes.
 
+    ``extra`` adds aggregates over the same rows, so that a dashboard needs no second pass.
+
     Regions are first folded to one row per inspection, so the join with the fact is one to
     one and a large run is combined on the map side.
     """
@@ -24,13 +27,13 @@ def run_totals(inspections: DataFrame, regions: DataFrame, status: str | None =
     if status:
         rows = rows.where(F.col("status") == status)
     per_item = region_totals(regions, ["inspection_id"])
-    joined = rows.select("inspection_id", "batch_run_id", "status").join(per_item, "inspection_id", "left")
+    joined = rows.join(per_item, "inspection_id", "left")
     sums = [F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(f"{c}_regions") for c in CLASSES]
     totals = joined.groupBy("batch_run_id").agg(
         F.count("*").alias("processed"),
         *[n_where(F.col("status") == s).alias(s)
           for s in ("regions_found", "clean", "acquisition_failure", "processing_failure")],
-        *sums,
+        *sums, *[c.alias(name) for name, c in (extra or {}).items()],
     )
     return finish_totals(totals)
 

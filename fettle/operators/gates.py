@@ -123,10 +123,11 @@ def missing_values(manifest: DataFrame, column: str, wanted: tuple[str, ...]) ->
     return want.exceptAll(manifest.select(column).distinct())
 
 
-def missing_tables(spark, folder_tables: list[str], expected: list[str]) -> DataFrame:
-    have = spark.createDataFrame([(t,) for t in folder_tables], "table_name STRING")
-    want = spark.createDataFrame([(t,) for t in expected], "table_name STRING")
-    return want.exceptAll(have)
+def missing_tables(spark, tables: dict[str, DataFrame], expected: list[str]) -> DataFrame:
+    """Expected tables that are absent or hold no row."""
+    counted = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n") for name, df in tables.items()]
+    filled = reduce(DataFrame.unionByName, counted).where(F.col("n") > 0).select("table_name")
+    return spark.createDataFrame([(t,) for t in expected], "table_name STRING").exceptAll(filled)
 
 
 def missing_columns(tables: dict[str, DataFrame], expected: dict[str, str]) -> DataFrame:

@@ -17,7 +17,13 @@ from pyspark.sql import Window as W
 
 from fettle.functions.columns import ColumnLike, all_of, col
 
-BUCKETS = 1024
+MIN_BUCKETS, MAX_BUCKETS = 256, 4096
+
+
+def bucket_count(df: DataFrame) -> int:
+    """Cells per group follow the cluster: as many as its shuffle partitions, within bounds."""
+    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(MAX_BUCKETS, max(MIN_BUCKETS, wanted))
 
 
 def _join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
@@ -28,17 +34,17 @@ def _join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str)
 
 
 def _edges(df: DataFrame, value: Column) -> list[float]:
-    """At most BUCKETS - 1 quantile edges of ``value``; duplicates mark values that are frequent.
+    """Quantile edges of ``value``, one fewer than buckets; duplicates mark values that are frequent.
 
     One pass with a mergeable sketch; only this list of fixed length reaches the driver.
     """
-    probs = [i / BUCKETS for i in range(1, BUCKETS)]
+    n = bucket_count(df)
     named = df.select(value.cast("double").alias("__x")).where(F.col("__x").isNotNull() & ~F.isnan("__x"))
-    return named.approxQuantile("__x", probs, 1 / (4 * BUCKETS))
+    return named.approxQuantile("__x", [i / n for i in range(1, n)], 1 / (2 * n))
 
 
 def with_quantile_bucket(df: DataFrame, value: ColumnLike, out: str = "__b", frequent: str | None = None) -> DataFrame:
-    """Add a bucket number that rises with ``value`` and holds about 1/1024 of all rows.
+    """Add a bucket number that rises with ``value`` and holds about an even share of all rows.
 
     The edges only steer the balance, never the result. Equal values share a bucket, nulls
     fall below all. ``frequent`` flags rows whose value alone fills a bucket; within their
@@ -87,7 +93,7 @@ def row_number_by_value(df: DataFrame, groups: Sequence[str], order: Sequence[Co
         cells = cells.withColumn("__t", F.conv(F.substring(tie_digest, 1, 2), 16, 10).cast("int"))
     else:
         cells = with_quantile_bucket(cells, tie, "__t")
-    cells = cells.withColumn("__b2", F.when(F.col("__e"), F.col("__t")).otherwise(F.lit(BUCKETS))).drop("__e", "__t")
+    cells = cells.withColumn("__b2", F.when(F.col("__e"), F.col("__t")).otherwise(F.lit(MAX_BUCKETS))).drop("__e", "__t")
     return _numbered(cells, groups, ["__b", "__b2"], order, out, total, descending)
 
 
@@ -114,40 +120,27 @@ def percentiles(df: DataFrame, groups: Sequence[str], value: ColumnLike, wanted:
     Only the cells that hold a wanted rank are sorted, after equal values were counted.
     """
     groups = list(groups)
-    base = df.select(*groups, col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
+    keys = groups + ["__b"]
+    base = df.select(*groups, col(value).cast("double").alias("__v")).where("__v IS NOT NULL")
     cells = with_quantile_bucket(base, "__v")
-    hist = cells.groupBy(*groups, "__b").agg(F.count("*").alias("__cnt"))
+    hist = cells.groupBy(*keys).agg(F.count("*").alias("__cnt"))
     before = W.partitionBy(*groups).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
-    hist = hist.withColumn("__lo", F.coalesce(F.sum("__cnt").over(before), F.lit(0))).withColumn(
-        "__n", F.sum("__cnt").over(W.partitionBy(*groups))
-    )
-
-    def lower(p: float) -> Column:
-        return F.floor((F.col("__n") - 1) * F.lit(p))
-
-    def upper(p: float) -> Column:
-        return F.least(lower(p) + 1, F.col("__n") - 1)
-
-    def inside(rank: Column, lo: Column, cnt: Column) -> Column:
-        return (rank >= lo) & (rank < lo + cnt)
-
-    needed = F.lit(False)
-    for p in wanted.values():
-        for rank in (lower(p), upper(p)):
-            needed = needed | inside(rank, F.col("__lo"), F.col("__cnt"))
-    need = hist.where(needed).drop("__cnt")
-    keys = groups + ["__b"]
+    hist = hist.withColumns({
+        "__lo": F.coalesce(F.sum("__cnt").over(before), F.lit(0)), "__n": F.sum("__cnt").over(W.partitionBy(*groups))})
+    ranks = {}
+    for name, p in wanted.items():
+        low = f"floor((__n - 1) * {float(p)!r}D)"
+        ranks[name] = {"lo": low, "hi": f"least({low} + 1, __n - 1)"}
+    every = [r for pair in ranks.values() for r in pair.values()]
+    need = hist.where(" OR ".join(f"({r} >= __lo AND {r} < __lo + __cnt)" for r in every)).drop("__cnt")
     hot = _join_keys(cells, need, keys, "inner")
     ties = hot.groupBy(*keys, "__lo", "__n", "__v").agg(F.count("*").alias("__cnt"))
     run = W.partitionBy(*keys).orderBy("__v").rowsBetween(W.unboundedPreceding, -1)
     ties = ties.withColumn("__at", F.col("__lo") + F.coalesce(F.sum("__cnt").over(run), F.lit(0)))
-    parts = []
-    for name, p in wanted.items():
-        for tag, rank in (("lo", lower(p)), ("hi", upper(p))):
-            parts.append(F.max(F.when(inside(rank, F.col("__at"), F.col("__cnt")), F.col("__v"))).alias(f"__{tag}_{name}"))
+    parts = [
+        F.expr(f"max(CASE WHEN {r} >= __at AND {r} < __at + __cnt THEN __v END)").alias(f"__{tag}_{name}")
+        for name, pair in ranks.items() for tag, r in pair.items()]
     found = ties.groupBy(*groups, "__n").agg(*parts)
-    out = [F.col(g) for g in groups]
-    for name, p in wanted.items():
-        frac = (F.col("__n") - 1) * F.lit(p) - lower(p)
-        out.append((F.col(f"__lo_{name}") + (F.col(f"__hi_{name}") - F.col(f"__lo_{name}")) * frac).alias(name))
-    return found.select(*out)
+    return found.selectExpr(*[f"`{g}`" for g in groups], *[
+        f"__lo_{name} + (__hi_{name} - __lo_{name}) * ((__n - 1) * {float(p)!r}D - {ranks[name]['lo']}) AS `{name}`"
+        for name, p in wanted.items()])

@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from fettle.plans import runs, maintenance, streams  # noqa: F401
+    from fettle.plans import corpus, decisions, evaluation, maintenance, runs, splitting, store, streams  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

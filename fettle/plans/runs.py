@@ -70,9 +70,9 @@ def _(v):
     return runs.overfit_gap(v.run_metric, "high", "low")
 
 
-@query("ema_series", "WITH h AS (SELECT *, row_number() OVER (PARTITION BY tag, seed, split ORDER BY epoch)-1 AS i FROM run_metric) SELECT a.tag, a.seed, a.split, a.epoch, round(sum(CASE WHEN b.i=0 THEN pow(0.9::DOUBLE,a.i)*b.metric ELSE 0.1::DOUBLE*pow(0.9::DOUBLE,a.i-b.i)*b.metric END),6) AS ema FROM h a JOIN h b ON b.tag=a.tag AND b.seed=a.seed AND b.split=a.split AND b.i<=a.i GROUP BY 1,2,3,4")
+@query("ema_series", "SELECT tag, seed, split, epoch, round(list_reduce(h, lambda e, x: e*0.7310585786::DOUBLE + x*(1-0.7310585786::DOUBLE)),6) AS ema FROM (SELECT tag, seed, split, epoch, list(metric) OVER (PARTITION BY tag, seed, split ORDER BY epoch ROWS UNBOUNDED PRECEDING) AS h FROM run_metric)")
 def _(v):
-    return runs.ema_series(v.run_metric, 0.9)
+    return runs.ema_series(v.run_metric, 0.7310585786)
 
 
 # --- ranking and selection ------------------------------------------------------------------
@@ -126,8 +126,8 @@ def _(v):
     return runs.sweep_top(results, "R2/view")
 
 
-GRIDV = "(VALUES (-1,-1.0),(0,0.34),(1,0.35),(2,0.36),(3,0.37),(4,0.38),(5,0.40))"
-GRID = (0.34, 0.35, 0.36, 0.37, 0.38, 0.40)
+GRIDV = "(VALUES (-1,-1.0),(0,0.325),(1,0.33),(2,0.335),(3,0.34),(4,0.345),(5,0.35))"
+GRID = (0.325, 0.33, 0.335, 0.34, 0.345, 0.35)
 
 
 @query("grid_select", f"""WITH g AS (SELECT a.i AS a, b.i AS b, a.t AS ta, b.t AS tb FROM {GRIDV} a(i,t), {GRIDV} b(i,t) WHERE (a.i<0)=(b.i<0)),
@@ -136,7 +136,7 @@ GRID = (0.34, 0.35, 0.36, 0.37, 0.38, 0.40)
  cl AS (SELECT a, b, avg(CASE WHEN np=0 THEN 0.0 ELSE 2*pr*se/(pr+se+1e-7::DOUBLE) END) FILTER (WHERE ng>0) AS cldice FROM it GROUP BY 1,2),
  rc AS (SELECT a, b, (count(*) FILTER (WHERE gt=1 AND pred=1)/count(*) FILTER (WHERE gt=1)::DOUBLE + count(*) FILTER (WHERE gt=2 AND pred=2)/count(*) FILTER (WHERE gt=2)::DOUBLE)/2 AS balanced FROM px GROUP BY 1,2),
  sc AS (SELECT cl.a, cl.b, cldice, balanced FROM cl JOIN rc ON rc.a=cl.a AND rc.b=cl.b), base AS (SELECT cldice AS bc, balanced AS bb FROM sc WHERE a<0)
- SELECT [0.34::DOUBLE,0.35,0.36,0.37,0.38,0.40][a+1] AS t_crack, [0.34::DOUBLE,0.35,0.36,0.37,0.38,0.40][b+1] AS t_scratch, round(balanced,6) AS balanced, round(cldice,6) AS cldice, round(bb,6) AS base_balanced, round(bc,6) AS base_cldice FROM sc, base WHERE a>=0 AND cldice>=bc-0.01 ORDER BY round(balanced,9) DESC, a, b LIMIT 1""")
+ SELECT [0.325::DOUBLE,0.33,0.335,0.34,0.345,0.35][a+1] AS t_crack, [0.325::DOUBLE,0.33,0.335,0.34,0.345,0.35][b+1] AS t_scratch, round(balanced,6) AS balanced, round(cldice,6) AS cldice, round(bb,6) AS base_balanced, round(bc,6) AS base_cldice FROM sc, base WHERE a>=0 AND cldice>=bc-0.01 ORDER BY round(balanced,9) DESC, a, b LIMIT 1""")
 def _(v):
     p = scored(v).select("item_id", (F.col("gt") * F.col("class_id")).alias("gt"), "skel_gt", "skel_pred", *[F.get("prob", F.lit(i)).alias(f"p{i}") for i in range(3)])
     return runs.grid_select(runs.grid_scores(p, GRID), GRID)
@@ -159,9 +159,9 @@ def _(v):
     return shards(v)
 
 
-@query("budgeted_take", f"SELECT shard, rank, hits, gb_total FROM (SELECT *, min(CASE WHEN gb_total/0.02::DOUBLE<=900 AND 40-gb_total>=15 THEN 1 ELSE 0 END) OVER (ORDER BY rank) AS ok FROM {RANKED}) WHERE ok=1")
+@query("budgeted_take", f"SELECT shard, rank, hits, gb_total FROM (SELECT *, min(CASE WHEN gb_total/0.02::DOUBLE<=300 AND 40-gb_total>=15 THEN 1 ELSE 0 END) OVER (ORDER BY rank) AS ok FROM {RANKED}) WHERE ok=1")
 def _(v):
-    return runs.budgeted_take(shards(v), 900.0, 0.02, 40.0, 15.0)
+    return runs.budgeted_take(shards(v), 300.0, 0.02, 40.0, 15.0)
 
 
 # --- run records ---------------------------------------------------------------------------------

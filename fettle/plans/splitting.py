@@ -218,3 +218,11 @@ ABSENT = {"inspection": "material_id,overlay_image_path,source_image_path,statio
 @query("missing_columns", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows, '{c}' AS missing FROM {t}" for t, c in ABSENT.items()))
 def _(v):
     return gates.missing_columns({t: v[t] for t in ABSENT}, STORE)
+
+
+PRESENT = ("inspection", "defect_region", "batch_run", "profile", "station", "model_version", "material")
+
+
+@query("missing_tables", "SELECT t AS table_name FROM (VALUES " + ",".join(f"('{t}')" for t in sorted(STORE)) + ") x(t) WHERE t NOT IN (" + " UNION ALL ".join(f"SELECT '{t}' FROM {t} GROUP BY 1" for t in PRESENT) + ")")
+def _(v):
+    return gates.missing_tables(v.spark, {t: v[t] for t in PRESENT}, sorted(STORE))
