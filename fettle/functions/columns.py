@@ -26,7 +26,7 @@ def ratio(num: ColumnLike, den: ColumnLike) -> Column:
 
 def percent(num: ColumnLike, den: ColumnLike, digits: int = 1) -> Column:
     """Share in percent, 0.0 on an empty base."""
-    return F.coalesce(F.round(ratio(num, den) * 100, digits), F.lit(0.0))
+    return F.coalesce(F.round(ratio(col(num) * F.lit(100.0), den), digits), F.lit(0.0))
 
 
 def r6(c: ColumnLike) -> Column:

@@ -297,7 +297,7 @@ def synth_summary(provenance: DataFrame) -> DataFrame:
     return provenance.groupBy("material", "kind").agg(
         F.count("*").alias("n"), n_where(F.col("crack_px_frac") >= FAINT_LABEL).alias("kept"),
         percent(n_where(F.col("crack_px_frac") >= FAINT_LABEL), F.count("*"), 2).alias("kept_pct"),
-        F.round(F.avg("crack_px_frac"), 6).alias("mean_fg"))
+        F.round(F.avg("crack_px_frac"), 9).alias("mean_fg"))
 
 
 def load_pools(parts: list[tuple[str, DataFrame | None, tuple[str, ...] | None]]) -> DataFrame:

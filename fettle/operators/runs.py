@@ -25,7 +25,7 @@ def seed_summary(finals: DataFrame, by: list[str]) -> DataFrame:
     """Mean and population deviation over seeds, NaN skipped; few seeds are flagged."""
     x = nan_to_null("metric")
     return finals.groupBy(*by).agg(
-        F.round(F.avg(x), 6).alias("mean"), F.round(F.stddev_pop(x), 6).alias("std"), F.count(x).alias("n")
+        F.round(F.avg(x), 9).alias("mean"), F.round(F.stddev_pop(x), 9).alias("std"), F.count(x).alias("n")
     ).withColumn("few_seeds", F.col("n") < MIN_SEEDS)
 
 
@@ -33,12 +33,12 @@ def with_targets(finals: DataFrame, targets: DataFrame) -> DataFrame:
     """Seed summary per split with the value of every seed and the verdict against a target."""
     x = nan_to_null("metric")
     per = finals.where(x.isNotNull()).groupBy("split").agg(
-        F.avg("metric").alias("m"), F.round(F.stddev_pop("metric"), 6).alias("std"), F.count("*").alias("n"),
-        F.array_sort(F.collect_list(F.struct("tag", "seed", F.round("metric", 3).alias("v")))).alias("s"))
+        F.avg("metric").alias("m"), F.round(F.stddev_pop("metric"), 9).alias("std"), F.count("*").alias("n"),
+        F.array_sort(F.collect_list(F.struct("tag", "seed", F.round("metric", 6).alias("v")))).alias("s"))
     joined = per.join(targets, "split", "left")
     met = F.when(F.col("direction") == "ge", F.col("m") >= F.col("target")).otherwise(F.col("m") <= F.col("target"))
     return joined.select(
-        "split", F.round("m", 6).alias("mean"), "std", "n",
+        "split", F.round("m", 9).alias("mean"), "std", "n",
         F.array_join(F.transform("s", lambda e: e["v"].cast("string")), ",").alias("per_seed"),
         F.when(F.col("target").isNotNull(), F.when(met, "MEETS").otherwise("MISSES")).alias("verdict"))
 
@@ -46,7 +46,7 @@ def with_targets(finals: DataFrame, targets: DataFrame) -> DataFrame:
 def run_cost(cards: DataFrame) -> DataFrame:
     """Cost of the lowest seed per tag, and the seeds that ran."""
     return cards.groupBy("tag").agg(
-        F.round(F.min_by("params_m", "seed"), 6).alias("params_m"), F.round(F.min_by("cpu_ms", "seed"), 6).alias("cpu_ms"),
+        F.round(F.min_by("params_m", "seed"), 9).alias("params_m"), F.round(F.min_by("cpu_ms", "seed"), 9).alias("cpu_ms"),
         F.array_join(F.transform(F.sort_array(F.collect_set("seed")), lambda s: s.cast("string")), ",").alias("seeds"))
 
 
@@ -63,7 +63,7 @@ def last_slope(history: DataFrame) -> DataFrame:
     """Last minus previous metric of each series, 0 for a single epoch."""
     top = first_n(history, SERIES, [F.col("epoch").desc()], 2, "epoch")
     ends = top.groupBy(*SERIES).agg(F.max_by("metric", "epoch").alias("last"), F.min_by("metric", "epoch").alias("prev"), F.count("*").alias("n"))
-    return ends.select(*SERIES, F.when(F.col("n") < 2, 0.0).otherwise(F.round(F.col("last") - F.col("prev"), 6)).alias("slope"))
+    return ends.select(*SERIES, F.when(F.col("n") < 2, 0.0).otherwise(F.round(F.col("last") - F.col("prev"), 9)).alias("slope"))
 
 
 def still_climbing(history: DataFrame) -> DataFrame:
@@ -73,14 +73,14 @@ def still_climbing(history: DataFrame) -> DataFrame:
 def best_epoch(history: DataFrame) -> DataFrame:
     """Epoch of the best headline metric, the earliest on a tie."""
     rank = F.struct("metric", (-F.col("epoch")).alias("e"))
-    return history.groupBy(*SERIES).agg(F.max_by("epoch", rank).alias("best_epoch"), F.round(F.max("metric"), 6).alias("best"))
+    return history.groupBy(*SERIES).agg(F.max_by("epoch", rank).alias("best_epoch"), F.round(F.max("metric"), 9).alias("best"))
 
 
 def overfit_gap(history: DataFrame, val: str, train: str) -> DataFrame:
     """Validation minus training loss per epoch and its change; a window spans one run's epochs."""
     gap = history.withColumn("g", F.col(val) - F.col(train))
     w = W.partitionBy(*SERIES).orderBy("epoch")
-    return gap.select(*SERIES, "epoch", F.round("g", 6).alias("gap"), F.round(F.col("g") - F.lag("g").over(w), 6).alias("trend"))
+    return gap.select(*SERIES, "epoch", F.round("g", 9).alias("gap"), F.round(F.col("g") - F.lag("g").over(w), 9).alias("trend"))
 
 
 def ema_series(history: DataFrame, decay: float) -> DataFrame:
@@ -93,7 +93,7 @@ def ema_series(history: DataFrame, decay: float) -> DataFrame:
         return F.concat(done, F.array(F.struct(p["epoch"].alias("epoch"), e.alias("ema"))))
 
     path = F.aggregate(F.slice("h", F.lit(2), F.greatest(F.size("h") - 1, F.lit(0))), first, step)
-    return ordered.select(*SERIES, F.explode(path).alias("p")).select(*SERIES, "p.epoch", F.round("p.ema", 6).alias("ema"))
+    return ordered.select(*SERIES, F.explode(path).alias("p")).select(*SERIES, "p.epoch", F.round("p.ema", 9).alias("ema"))
 
 
 def within_budget() -> Column:
@@ -132,8 +132,8 @@ def rank_disagreement(cards: DataFrame) -> DataFrame:
     two = cards.agg(best("val_score").alias("v"), best("unseen_score").alias("u"))
     return two.select(
         F.col("v.model").alias("best_val"), F.col("u.model").alias("best_unseen"), (F.col("v.model") == F.col("u.model")).alias("agree"),
-        F.round(ratio(F.col("u.unseen_score"), F.col("v.unseen_score")), 6).alias("unseen_ratio"),
-        F.round(F.col("v.val_score") - F.col("u.val_score"), 6).alias("given_up"))
+        F.round(ratio(F.col("u.unseen_score"), F.col("v.unseen_score")), 9).alias("unseen_ratio"),
+        F.round(F.col("v.val_score") - F.col("u.val_score"), 9).alias("given_up"))
 
 
 def family_max(cards: DataFrame) -> DataFrame:
@@ -141,7 +141,7 @@ def family_max(cards: DataFrame) -> DataFrame:
     def top(prefix: str, c: str) -> Column:
         return F.max(F.when(F.col("stride").startswith(prefix) & F.col("unseen_score").isNotNull(), F.col(c)))
     f = cards.agg(*[top(p, c).alias(f"{n}_{c}") for p, n in (("1", "full"), ("8", "coarse")) for c in ("unseen_score", "val_score")])
-    return f.select(*[F.round(c, 6).alias(c) for c in f.columns],
+    return f.select(*[F.round(c, 9).alias(c) for c in f.columns],
                     (F.col("full_unseen_score") > GENERALISATION_RATIO * F.col("coarse_unseen_score")).alias("full_wins"))
 
 
@@ -150,24 +150,24 @@ def ablation(finals: DataFrame, arm_a: str, arm_b: str) -> DataFrame:
     def mean(arm: str) -> Column:
         return F.avg(F.when(F.col("tag") == arm, nan_to_null("metric")))
     both = finals.where(F.col("tag").isin(arm_a, arm_b)).groupBy("split").agg(mean(arm_a).alias("a"), mean(arm_b).alias("b"))
-    return both.select("split", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), F.round(F.col("b") - F.col("a"), 6).alias("delta"))
+    return both.select("split", F.round("a", 9).alias("a"), F.round("b", 9).alias("b"), F.round(F.col("b") - F.col("a"), 9).alias("delta"))
 
 
 def sweep_top(results: DataFrame, baseline: str, n: int = 4) -> DataFrame:
     """The best settings that beat the baseline; only the top n are considered."""
     base = results.where(F.col("spec") == baseline).agg(F.max("score").alias("s")).scalar()
     top = results.where(F.col("spec") != baseline).orderBy(F.col("score").desc(), "spec").limit(n)
-    return top.withColumn("delta", F.round(F.col("score") - base, 6)).where(F.col("delta") > 0).select("spec", F.round("score", 6).alias("score"), "delta")
+    return top.withColumn("delta", F.round(F.col("score") - base, 9)).where(F.col("delta") > 0).select("spec", F.round("score", 9).alias("score"), "delta")
 
 
 def shard_rank(shards: DataFrame, n: int) -> DataFrame:
     """The shards with most hits per GB, with running totals over the chosen few."""
-    per = shards.withColumn("per_gb", F.coalesce(F.round(ratio("hits", "gb"), 6), F.lit(0.0)))
+    per = shards.withColumn("per_gb", F.coalesce(F.round(ratio("hits", "gb"), 9), F.lit(0.0)))
     top = per.orderBy(F.col("per_gb").desc(), "shard").limit(n)
     w = W.orderBy(F.col("per_gb").desc(), "shard")
     upto = w.rowsBetween(W.unboundedPreceding, 0)
     return top.select("shard", "hits", "gb", "per_gb", F.row_number().over(w).alias("rank"),
-                      F.round(F.sum("gb").over(upto), 6).alias("gb_total"), F.sum("hits").over(upto).alias("hits_total"))
+                      F.round(F.sum("gb").over(upto), 9).alias("gb_total"), F.sum("hits").over(upto).alias("hits_total"))
 
 
 def budgeted_take(ranked: DataFrame, seconds: float, gb_per_second: float, free_gb: float, reserve_gb: float) -> DataFrame:
@@ -224,6 +224,6 @@ def grid_select(scores: DataFrame, grid: tuple[float, ...] = GRID) -> DataFrame:
     best = ok.orderBy(F.round("balanced", 9).desc(), "a", "b").limit(1)
     values = F.array(*[F.lit(g) for g in grid])
     return best.select(
-        F.get(values, "a").alias("t_crack"), F.get(values, "b").alias("t_scratch"), F.round("balanced", 6).alias("balanced"),
-        F.round("cldice", 6).alias("cldice"), F.round(base["balanced"], 6).alias("base_balanced"), F.round(base["cldice"], 6).alias("base_cldice"))
+        F.get(values, "a").alias("t_crack"), F.get(values, "b").alias("t_scratch"), F.round("balanced", 9).alias("balanced"),
+        F.round("cldice", 9).alias("cldice"), F.round(base["balanced"], 9).alias("base_balanced"), F.round(base["cldice"], 9).alias("base_cldice"))
 

@@ -347,7 +347,7 @@ def _(v):
     return corpus.drop_synthetic_leaks(v.provenance, v.manifest_split).select("patch_id", "bg_id")
 
 
-@query("synth_summary", "SELECT material, kind, count(*) AS n, count(*) FILTER (WHERE crack_px_frac>=0.0006) AS kept, round(100.0::DOUBLE*count(*) FILTER (WHERE crack_px_frac>=0.0006)/count(*),2) AS kept_pct, round(avg(crack_px_frac),6) AS mean_fg FROM provenance GROUP BY 1,2")
+@query("synth_summary", "SELECT material, kind, count(*) AS n, count(*) FILTER (WHERE crack_px_frac>=0.0006) AS kept, round(100.0::DOUBLE*count(*) FILTER (WHERE crack_px_frac>=0.0006)/count(*),2) AS kept_pct, round(avg(crack_px_frac),9) AS mean_fg FROM provenance GROUP BY 1,2")
 def _(v):
     return corpus.synth_summary(v.provenance)
 

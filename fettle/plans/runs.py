@@ -18,17 +18,17 @@ def finals(v):
     return runs.final_metrics(v.run_metric).withColumn("metric", F.expr("CASE WHEN seed%17=3 THEN DOUBLE('NaN') ELSE metric END"))
 
 
-@query("seed_summary", f"WITH {FINAL} SELECT f.tag, f.split, round(avg(metric) FILTER (WHERE NOT isnan(metric)),6) AS mean, round(stddev_pop(metric) FILTER (WHERE NOT isnan(metric)),6) AS std, count(*) FILTER (WHERE NOT isnan(metric)) AS n, count(*) FILTER (WHERE NOT isnan(metric))<3 AS few_seeds FROM fin f WHERE f.tag LIKE 'R%' GROUP BY 1,2")
+@query("seed_summary", f"WITH {FINAL} SELECT f.tag, f.split, round(avg(metric) FILTER (WHERE NOT isnan(metric)),9) AS mean, round(stddev_pop(metric) FILTER (WHERE NOT isnan(metric)),9) AS std, count(*) FILTER (WHERE NOT isnan(metric)) AS n, count(*) FILTER (WHERE NOT isnan(metric))<3 AS few_seeds FROM fin f WHERE f.tag LIKE 'R%' GROUP BY 1,2")
 def _(v):
     return runs.seed_summary(finals(v).where(F.col("tag").startswith("R")), ["tag", "split"])
 
 
-@query("recall_by_split", f"WITH {FINAL} SELECT split, round(avg(metric),6) AS mean, round(stddev_pop(metric),6) AS std, count(*) AS n, count(*)<3 AS few_seeds FROM ok WHERE split IN ('click','view','error') GROUP BY 1")
+@query("recall_by_split", f"WITH {FINAL} SELECT split, round(avg(metric),9) AS mean, round(stddev_pop(metric),9) AS std, count(*) AS n, count(*)<3 AS few_seeds FROM ok WHERE split IN ('click','view','error') GROUP BY 1")
 def _(v):
     return runs.seed_summary(finals(v).where(F.col("split").isin("click", "view", "error")), ["split"])
 
 
-@query("seed_summary_targets", f"WITH {FINAL}, tg(split,target,direction) AS (VALUES ('click',10.0::DOUBLE,'ge'),('error',10.0::DOUBLE,'le')) SELECT k.split, round(m,6) AS mean, std, n, per_seed, CASE WHEN target IS NOT NULL THEN CASE WHEN (direction='ge' AND m>=target) OR (direction='le' AND m<=target) THEN 'MEETS' ELSE 'MISSES' END END AS verdict FROM (SELECT split, avg(metric) AS m, round(stddev_pop(metric),6) AS std, count(*) AS n, string_agg(CAST(round(metric,3) AS VARCHAR), ',' ORDER BY tag, seed) AS per_seed FROM ok GROUP BY split) k LEFT JOIN tg ON tg.split=k.split")
+@query("seed_summary_targets", f"WITH {FINAL}, tg(split,target,direction) AS (VALUES ('click',10.0::DOUBLE,'ge'),('error',10.0::DOUBLE,'le')) SELECT k.split, round(m,9) AS mean, std, n, per_seed, CASE WHEN target IS NOT NULL THEN CASE WHEN (direction='ge' AND m>=target) OR (direction='le' AND m<=target) THEN 'MEETS' ELSE 'MISSES' END END AS verdict FROM (SELECT split, avg(metric) AS m, round(stddev_pop(metric),9) AS std, count(*) AS n, string_agg(CAST(round(metric,6) AS VARCHAR), ',' ORDER BY tag, seed) AS per_seed FROM ok GROUP BY split) k LEFT JOIN tg ON tg.split=k.split")
 def _(v):
     targets = v.spark.createDataFrame([("click", 10.0, "ge"), ("error", 10.0, "le")], "split STRING, target DOUBLE, direction STRING")
     return runs.with_targets(finals(v), targets)
@@ -37,17 +37,17 @@ def _(v):
 CARD = "(SELECT tag, seed, max(high) AS params_m, avg(metric) AS cpu_ms FROM run_metric GROUP BY 1,2)"
 
 
-@query("run_cost", f"SELECT tag, round(arg_min(params_m,seed),6) AS params_m, round(arg_min(cpu_ms,seed),6) AS cpu_ms, string_agg(CAST(seed AS VARCHAR), ',' ORDER BY seed) AS seeds FROM {CARD} GROUP BY 1")
+@query("run_cost", f"SELECT tag, round(arg_min(params_m,seed),9) AS params_m, round(arg_min(cpu_ms,seed),9) AS cpu_ms, string_agg(CAST(seed AS VARCHAR), ',' ORDER BY seed) AS seeds FROM {CARD} GROUP BY 1")
 def _(v):
     return runs.run_cost(v.run_metric.groupBy("tag", "seed").agg(F.max("high").alias("params_m"), F.avg("metric").alias("cpu_ms")))
 
 
-@query("composite_score", "SELECT model, round(CASE WHEN val_score IS NULL THEN unseen_score WHEN unseen_score IS NULL THEN val_score ELSE (val_score+unseen_score)/2 END,6) AS composite FROM run_card")
+@query("composite_score", "SELECT model, round(CASE WHEN val_score IS NULL THEN unseen_score WHEN unseen_score IS NULL THEN val_score ELSE (val_score+unseen_score)/2 END,9) AS composite FROM run_card")
 def _(v):
-    return v.run_card.select("model", F.round(runs.composite(F.col("val_score"), F.col("unseen_score")), 6).alias("composite"))
+    return v.run_card.select("model", F.round(runs.composite(F.col("val_score"), F.col("unseen_score")), 9).alias("composite"))
 
 
-SLOPE = "(SELECT tag, seed, split, CASE WHEN max(n)<2 THEN 0.0 ELSE round(max(metric) FILTER (WHERE r=1)-max(metric) FILTER (WHERE r=2),6) END AS slope FROM (SELECT *, row_number() OVER (PARTITION BY tag, seed, split ORDER BY epoch DESC) AS r, count(*) OVER (PARTITION BY tag, seed, split) AS n FROM run_metric) GROUP BY 1,2,3)"
+SLOPE = "(SELECT tag, seed, split, CASE WHEN max(n)<2 THEN 0.0 ELSE round(max(metric) FILTER (WHERE r=1)-max(metric) FILTER (WHERE r=2),9) END AS slope FROM (SELECT *, row_number() OVER (PARTITION BY tag, seed, split ORDER BY epoch DESC) AS r, count(*) OVER (PARTITION BY tag, seed, split) AS n FROM run_metric) GROUP BY 1,2,3)"
 
 
 @query("last_slope", f"SELECT * FROM {SLOPE}")
@@ -60,17 +60,17 @@ def _(v):
     return runs.still_climbing(v.run_metric)
 
 
-@query("best_epoch", "SELECT tag, seed, split, epoch AS best_epoch, round(metric,6) AS best FROM run_metric QUALIFY row_number() OVER (PARTITION BY tag, seed, split ORDER BY metric DESC, epoch)=1")
+@query("best_epoch", "SELECT tag, seed, split, epoch AS best_epoch, round(metric,9) AS best FROM run_metric QUALIFY row_number() OVER (PARTITION BY tag, seed, split ORDER BY round(metric,9) DESC, epoch)=1")
 def _(v):
-    return runs.best_epoch(v.run_metric.withColumn("epoch", F.col("epoch").cast("bigint")))
+    return runs.best_epoch(v.run_metric.withColumn("metric", F.round("metric", 9)).withColumn("epoch", F.col("epoch").cast("bigint")))
 
 
-@query("overfit_gap", "SELECT tag, seed, split, epoch, round(g,6) AS gap, round(g-lag(g) OVER (PARTITION BY tag, seed, split ORDER BY epoch),6) AS trend FROM (SELECT *, high-low AS g FROM run_metric)")
+@query("overfit_gap", "SELECT tag, seed, split, epoch, round(g,9) AS gap, round(g-lag(g) OVER (PARTITION BY tag, seed, split ORDER BY epoch),9) AS trend FROM (SELECT *, high-low AS g FROM run_metric)")
 def _(v):
     return runs.overfit_gap(v.run_metric, "high", "low")
 
 
-@query("ema_series", "SELECT tag, seed, split, epoch, round(list_reduce(h, lambda e, x: e*0.7310585786::DOUBLE + x*(1-0.7310585786::DOUBLE)),6) AS ema FROM (SELECT tag, seed, split, epoch, list(metric) OVER (PARTITION BY tag, seed, split ORDER BY epoch ROWS UNBOUNDED PRECEDING) AS h FROM run_metric)")
+@query("ema_series", "SELECT tag, seed, split, epoch, round(list_reduce(h, lambda e, x: e*0.7310585786::DOUBLE + x*(1-0.7310585786::DOUBLE)),9) AS ema FROM (SELECT tag, seed, split, epoch, list(metric) OVER (PARTITION BY tag, seed, split ORDER BY epoch ROWS UNBOUNDED PRECEDING) AS h FROM run_metric)")
 def _(v):
     return runs.ema_series(v.run_metric, 0.7310585786)
 
@@ -102,17 +102,17 @@ def _(v):
     return runs.tie_break(v.run_card)
 
 
-@query("rank_disagreement", "SELECT a.model AS best_val, b.model AS best_unseen, a.model=b.model AS agree, round(b.unseen_score/a.unseen_score,6) AS unseen_ratio, round(a.val_score-b.val_score,6) AS given_up FROM (SELECT * FROM run_card WHERE val_score IS NOT NULL ORDER BY val_score DESC, model DESC LIMIT 1) a, (SELECT * FROM run_card WHERE unseen_score IS NOT NULL ORDER BY unseen_score DESC, model DESC LIMIT 1) b")
+@query("rank_disagreement", "SELECT a.model AS best_val, b.model AS best_unseen, a.model=b.model AS agree, round(b.unseen_score/a.unseen_score,9) AS unseen_ratio, round(a.val_score-b.val_score,9) AS given_up FROM (SELECT * FROM run_card WHERE val_score IS NOT NULL ORDER BY val_score DESC, model DESC LIMIT 1) a, (SELECT * FROM run_card WHERE unseen_score IS NOT NULL ORDER BY unseen_score DESC, model DESC LIMIT 1) b")
 def _(v):
     return runs.rank_disagreement(v.run_card)
 
 
-@query("family_max", "WITH f AS (SELECT max(unseen_score) FILTER (WHERE stride LIKE '1%') AS fu, max(val_score) FILTER (WHERE stride LIKE '1%') AS fv, max(unseen_score) FILTER (WHERE stride LIKE '8%') AS cu, max(val_score) FILTER (WHERE stride LIKE '8%') AS cv FROM run_card WHERE unseen_score IS NOT NULL) SELECT round(fu,6) AS full_unseen_score, round(fv,6) AS full_val_score, round(cu,6) AS coarse_unseen_score, round(cv,6) AS coarse_val_score, fu>1.5*cu AS full_wins FROM f")
+@query("family_max", "WITH f AS (SELECT max(unseen_score) FILTER (WHERE stride LIKE '1%') AS fu, max(val_score) FILTER (WHERE stride LIKE '1%') AS fv, max(unseen_score) FILTER (WHERE stride LIKE '8%') AS cu, max(val_score) FILTER (WHERE stride LIKE '8%') AS cv FROM run_card WHERE unseen_score IS NOT NULL) SELECT round(fu,9) AS full_unseen_score, round(fv,9) AS full_val_score, round(cu,9) AS coarse_unseen_score, round(cv,9) AS coarse_val_score, fu>1.5*cu AS full_wins FROM f")
 def _(v):
     return runs.family_max(v.run_card)
 
 
-@query("ablation_pair", f"WITH {FINAL} SELECT split, round(avg(metric) FILTER (WHERE tag='R0'),6) AS a, round(avg(metric) FILTER (WHERE tag='R1'),6) AS b, round(avg(metric) FILTER (WHERE tag='R1')-avg(metric) FILTER (WHERE tag='R0'),6) AS delta FROM ok WHERE tag IN ('R0','R1') GROUP BY split")
+@query("ablation_pair", f"WITH {FINAL} SELECT split, round(avg(metric) FILTER (WHERE tag='R0'),9) AS a, round(avg(metric) FILTER (WHERE tag='R1'),9) AS b, round(avg(metric) FILTER (WHERE tag='R1')-avg(metric) FILTER (WHERE tag='R0'),9) AS delta FROM ok WHERE tag IN ('R0','R1') GROUP BY split")
 def _(v):
     return runs.ablation(finals(v), "R0", "R1")
 
@@ -120,7 +120,7 @@ def _(v):
 SWEEP = "(SELECT tag||'/'||split AS spec, avg(metric) AS score FROM run_metric GROUP BY 1)"
 
 
-@query("sweep_top", f"SELECT spec, round(score,6) AS score, delta FROM (SELECT spec, score, round(score-(SELECT score FROM {SWEEP} WHERE spec='R2/view'),6) AS delta FROM {SWEEP} WHERE spec<>'R2/view' ORDER BY score DESC, spec LIMIT 4) WHERE delta>0")
+@query("sweep_top", f"SELECT spec, round(score,9) AS score, delta FROM (SELECT spec, score, round(score-(SELECT score FROM {SWEEP} WHERE spec='R2/view'),9) AS delta FROM {SWEEP} WHERE spec<>'R2/view' ORDER BY score DESC, spec LIMIT 4) WHERE delta>0")
 def _(v):
     results = v.run_metric.groupBy(F.concat_ws("/", "tag", "split").alias("spec")).agg(F.avg("metric").alias("score"))
     return runs.sweep_top(results, "R2/view")
@@ -136,7 +136,7 @@ GRID = (0.325, 0.33, 0.335, 0.34, 0.345, 0.35)
  cl AS (SELECT a, b, avg(CASE WHEN np=0 THEN 0.0 ELSE 2*pr*se/(pr+se+1e-7::DOUBLE) END) FILTER (WHERE ng>0) AS cldice FROM it GROUP BY 1,2),
  rc AS (SELECT a, b, (count(*) FILTER (WHERE gt=1 AND pred=1)/count(*) FILTER (WHERE gt=1)::DOUBLE + count(*) FILTER (WHERE gt=2 AND pred=2)/count(*) FILTER (WHERE gt=2)::DOUBLE)/2 AS balanced FROM px GROUP BY 1,2),
  sc AS (SELECT cl.a, cl.b, cldice, balanced FROM cl JOIN rc ON rc.a=cl.a AND rc.b=cl.b), base AS (SELECT cldice AS bc, balanced AS bb FROM sc WHERE a<0)
- SELECT [0.325::DOUBLE,0.33,0.335,0.34,0.345,0.35][a+1] AS t_crack, [0.325::DOUBLE,0.33,0.335,0.34,0.345,0.35][b+1] AS t_scratch, round(balanced,6) AS balanced, round(cldice,6) AS cldice, round(bb,6) AS base_balanced, round(bc,6) AS base_cldice FROM sc, base WHERE a>=0 AND cldice>=bc-0.01 ORDER BY round(balanced,9) DESC, a, b LIMIT 1""")
+ SELECT [0.325::DOUBLE,0.33,0.335,0.34,0.345,0.35][a+1] AS t_crack, [0.325::DOUBLE,0.33,0.335,0.34,0.345,0.35][b+1] AS t_scratch, round(balanced,9) AS balanced, round(cldice,9) AS cldice, round(bb,9) AS base_balanced, round(bc,9) AS base_cldice FROM sc, base WHERE a>=0 AND cldice>=bc-0.01 ORDER BY round(balanced,9) DESC, a, b LIMIT 1""")
 def _(v):
     p = scored(v).select("item_id", (F.col("gt") * F.col("class_id")).alias("gt"), "skel_gt", "skel_pred", *[F.get("prob", F.lit(i)).alias(f"p{i}") for i in range(3)])
     return runs.grid_select(runs.grid_scores(p, GRID), GRID)
@@ -144,7 +144,7 @@ def _(v):
 
 # --- shards ------------------------------------------------------------------------------------
 GB = f"(SELECT s.shard, hits, (sp.s_acctbal+2000)/1000 AS gb FROM ({SHARD_SQL}) s JOIN supplier sp ON sp.s_suppkey=s.shard)"
-RANKED = f"(SELECT shard, hits, gb, per_gb, CAST(row_number() OVER w AS INT) AS rank, round(sum(gb) OVER w,6) AS gb_total, CAST(sum(hits) OVER w AS BIGINT) AS hits_total FROM (SELECT *, round(hits/gb,6) AS per_gb FROM {GB} ORDER BY round(hits/gb,6) DESC, shard LIMIT 8) WINDOW w AS (ORDER BY per_gb DESC, shard))"
+RANKED = f"(SELECT shard, hits, gb, per_gb, CAST(row_number() OVER w AS INT) AS rank, round(sum(gb) OVER w,9) AS gb_total, CAST(sum(hits) OVER w AS BIGINT) AS hits_total FROM (SELECT *, round(hits/gb,9) AS per_gb FROM {GB} ORDER BY round(hits/gb,9) DESC, shard LIMIT 8) WINDOW w AS (ORDER BY per_gb DESC, shard))"
 
 
 def shards(v):
@@ -166,12 +166,12 @@ def _(v):
 
 # --- run records ---------------------------------------------------------------------------------
 RUN_SCHEMA = "run STRING, tag STRING, args STRUCT<seed: BIGINT>, score DOUBLE"
-DOCS = "(SELECT tag||'_'||seed AS run, tag, seed, round(avg(metric),6) AS score FROM run_metric GROUP BY 1,2,3)"
+DOCS = "(SELECT tag||'_'||seed AS run, tag, seed, round(avg(metric),9) AS score FROM run_metric GROUP BY 1,2,3)"
 
 
 def run_records(v):
     """Run records as JSON lines: every 9th seed is cut short, every 7th is a report without arguments."""
-    docs = v.run_metric.groupBy("tag", "seed").agg(F.round(F.avg("metric"), 6).alias("score")).withColumn("run", F.concat_ws("_", "tag", F.col("seed").cast("string")))
+    docs = v.run_metric.groupBy("tag", "seed").agg(F.round(F.avg("metric"), 9).alias("score")).withColumn("run", F.concat_ws("_", "tag", F.col("seed").cast("string")))
     args = F.when(F.expr("seed%7<>0"), F.struct("seed"))
     line = F.to_json(F.struct("run", "tag", args.alias("args"), "score"))
     path = work_path(v.spark, "runs")

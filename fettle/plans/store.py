@@ -122,14 +122,14 @@ def _(v):
     return v.inspection.select("inspection_id").join(history.longest_region(v.defect_region), "inspection_id", "left")
 
 
-MEASURED = """(SELECT o_orderpriority AS material_code, count(*) AS training_masks, round(avg(o_totalprice)/1000000,6) AS cl_dice, '' AS measured_notes FROM orders WHERE o_orderpriority < '4' GROUP BY 1)"""
+MEASURED = """(SELECT o_orderpriority AS material_code, count(*) AS training_masks, round(avg(o_totalprice)/1000000,9) AS cl_dice, '' AS measured_notes FROM orders WHERE o_orderpriority < '4' GROUP BY 1)"""
 
 
 @query("coverage_join", f"""SELECT m.material_code, support_status, support_status IN ('one_product_only','thin_coverage','typing_unsupported','not_supported') AS is_limited,
  training_masks, coalesce(CAST(training_masks AS VARCHAR),'—') AS training_masks_display, cl_dice, coalesce(nullif(measured_notes,''),notes,'') AS notes FROM material m LEFT JOIN {MEASURED} q ON q.material_code=m.material_code""")
 def _(v):
     measured = v.orders.where("o_orderpriority < '4'").groupBy(F.col("o_orderpriority").alias("material_code")).agg(
-        F.count("*").alias("training_masks"), F.round(F.avg("o_totalprice") / 1000000, 6).alias("cl_dice"), F.lit("").alias("measured_notes"))
+        F.count("*").alias("training_masks"), F.round(F.avg("o_totalprice") / 1000000, 9).alias("cl_dice"), F.lit("").alias("measured_notes"))
     return store.coverage(v.material, measured)
 
 
