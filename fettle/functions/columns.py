@@ -41,6 +41,13 @@ def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 
 
+def wall_micros(ts: ColumnLike) -> Column:
+    """Microseconds on the wall clock since 1970, whatever the session time zone."""
+    t = col(ts)
+    minutes = F.unix_date(F.to_date(t)).cast("bigint") * 1440 + F.hour(t) * 60 + F.minute(t)
+    return minutes * 60_000_000 + (F.date_part(F.lit("SECOND"), t) * 1_000_000).cast("bigint")
+
+
 def draw_hash(seed: ColumnLike | int, key: ColumnLike) -> Column:
     """Hex digest that fixes a draw order: same everywhere, whatever the partitioning."""
     s = F.lit(str(seed)) if isinstance(seed, int) else col(seed)

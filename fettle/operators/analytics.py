@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fettle.functions.columns import percent, ratio
+from fettle.functions.columns import percent, ratio, wall_micros
 from fettle.operators.batches import run_totals
 from fettle.operators.history import region_totals, status_totals
 from fettle.operators.ranking import percentiles, row_number_by_value
@@ -34,7 +34,7 @@ def latency_stats(inspections: DataFrame) -> DataFrame:
 
 def session_durations(runs: DataFrame) -> DataFrame:
     """Seconds and minutes of a run; null unless it ended at or after its start."""
-    span = F.unix_micros(F.col("finished_at").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))
+    span = wall_micros("finished_at") - wall_micros("started_at")
     seconds = F.when(span >= 0, span / 1e6)
     return runs.select(
         "batch_run_id", seconds.alias("seconds"),
@@ -88,11 +88,11 @@ def run_timeline(inspections: DataFrame, runs: DataFrame) -> DataFrame:
     Where a time is missing the point falls back to its position.
     """
     rows = inspections.where(F.col("batch_run_id").isNotNull()).select("batch_run_id", "inspection_id", "processed_at")
-    lead = F.unix_micros(F.col("processed_at").cast("timestamp"))
+    lead = wall_micros("processed_at")
     order = [F.col("processed_at").asc(), F.col("inspection_id").asc()]
     numbered = row_number_by_value(rows, ["batch_run_id"], order, lead, "processed", tie="inspection_id")
     joined = numbered.join(runs.select("batch_run_id", "started_at"), "batch_run_id", "left")
-    gap = F.unix_micros(F.col("processed_at").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))
+    gap = wall_micros("processed_at") - wall_micros("started_at")
     minutes = F.coalesce(F.greatest(F.lit(0.0), gap / 6e7), (F.col("processed") - 1).cast("double"))
     elapsed = F.when(gap.isNull(), (F.col("processed") - 1).cast("double")).otherwise(minutes)
     return joined.select("batch_run_id", "inspection_id", "processed", F.round(elapsed, 4).alias("elapsed_min"))

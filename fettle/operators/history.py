@@ -247,6 +247,15 @@ def active_profile(profiles: DataFrame, material: str | None) -> DataFrame:
     return live.orderBy(specific.desc(), general.desc(), F.col("version_no").desc()).limit(1)
 
 
+def active_profile_per_material(profiles: DataFrame, materials: DataFrame) -> DataFrame:
+    """The profile in force for every material: its own highest version, else the global one."""
+    live, chosen = profiles.where("is_active"), F.struct("profile_id", "version_no")
+    own = live.where("material_code IS NOT NULL").groupBy("material_code").agg(F.max_by(chosen, "version_no").alias("own"))
+    general = live.where("material_code IS NULL").agg(F.max_by(chosen, "version_no")).scalar()
+    joined = materials.select("material_code").join(own, "material_code", "left")
+    return joined.select("material_code", F.coalesce("own", general).alias("p")).select("material_code", "p.*")
+
+
 def active_model(models: DataFrame) -> DataFrame:
     return models.orderBy(F.col("is_active").desc(), F.col("model_version_id").desc()).limit(1)
 

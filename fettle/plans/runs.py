@@ -70,9 +70,9 @@ def _(v):
     return runs.overfit_gap(v.run_metric, "high", "low")
 
 
-@query("ema_series", "SELECT tag, seed, split, epoch, round(list_reduce(h, lambda e, x: e*0.7310585786::DOUBLE + x*(1-0.7310585786::DOUBLE)),9) AS ema FROM (SELECT tag, seed, split, epoch, list(metric) OVER (PARTITION BY tag, seed, split ORDER BY epoch ROWS UNBOUNDED PRECEDING) AS h FROM run_metric)")
+@query("ema_series", "SELECT tag, seed, split, epoch, round(list_reduce(h, lambda e, x: e*0.7310585786300049::DOUBLE + x*(1-0.7310585786300049::DOUBLE)),9) AS ema FROM (SELECT tag, seed, split, epoch, list(metric) OVER (PARTITION BY tag, seed, split ORDER BY epoch ROWS UNBOUNDED PRECEDING) AS h FROM run_metric)")
 def _(v):
-    return runs.ema_series(v.run_metric, 0.7310585786)
+    return runs.ema_series(v.run_metric, 0.7310585786300049)
 
 
 # --- ranking and selection ------------------------------------------------------------------

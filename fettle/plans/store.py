@@ -320,11 +320,7 @@ def _(v):
 
 @query("active_profile", "WITH m AS (SELECT DISTINCT o_orderpriority AS want FROM orders) SELECT want, profile_id, version_no FROM m JOIN profile ON is_active AND (material_code=want OR material_code IS NULL) QUALIFY row_number() OVER (PARTITION BY want ORDER BY material_code IS NULL, version_no DESC)=1")
 def _(v):
-    wants = v.material.select(F.col("material_code").alias("want"))
-    live = v.profile.where("is_active")
-    fit = live.join(wants, live["material_code"].isNull() | (live["material_code"] == wants["want"]))
-    rank = F.struct(F.col("material_code").isNotNull().alias("own"), "version_no")
-    return fit.groupBy("want").agg(F.max_by(F.struct("profile_id", "version_no"), rank).alias("p")).select("want", "p.*")
+    return history.active_profile_per_material(v.profile, v.material).withColumnRenamed("material_code", "want")
 
 
 @query("active_profile_for", "SELECT profile_id, version_no, crack_threshold FROM profile WHERE is_active AND (material_code='1-URGENT' OR material_code IS NULL) ORDER BY material_code IS NULL, version_no DESC LIMIT 1")
