@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from fettle.functions.columns import all_of, n_where, percent
+from fettle.operators.ranking import with_neighbours
 from fettle.schemas import CLASSES, STATUSES
 
 PAGE_SIZE, MIN_PAGE, MAX_PAGE = 25, 5, 200
@@ -224,11 +225,7 @@ def newest_with_regions(rows: DataFrame, station: str) -> DataFrame:
 
 def region_neighbours(regions: DataFrame) -> DataFrame:
     """Previous and next region index within each inspection."""
-    w = W.partitionBy("inspection_id").orderBy("region_index")
-    return regions.select(
-        "inspection_id", "region_index", F.lag("region_index").over(w).alias("prev_index"),
-        F.lead("region_index").over(w).alias("next_index"),
-    )
+    return with_neighbours(regions.select("inspection_id", "region_index"), ["inspection_id"], "region_index", "prev_index", "next_index")
 
 
 def pick_region(regions: DataFrame, wanted: int) -> DataFrame:

@@ -104,6 +104,22 @@ def row_number_by_hash(df: DataFrame, groups: Sequence[str], digest: str, tie: s
     return _numbered(cells, groups, ["__b"], [F.col(digest), F.col(tie)], out, total, False)
 
 
+def with_neighbours(df: DataFrame, groups: Sequence[str], value: str, prev: str, following: str) -> DataFrame:
+    """The next lower and next higher ``value`` of each row's group, without sorting a group in one task.
+
+    Inside a cell a window finds them; at a cell's ends they come from the adjacent cell's extremes.
+    """
+    keys = [*groups, "__b"]
+    cells = with_quantile_bucket(df, value)
+    ends = cells.groupBy(*keys).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
+    along = W.partitionBy(*groups).orderBy("__b")
+    ends = ends.select(*keys, F.lag("__hi").over(along).alias("__before"), F.lead("__lo").over(along).alias("__after"))
+    inside = W.partitionBy(*keys).orderBy(value)
+    local = cells.withColumns({"__p": F.lag(value).over(inside), "__q": F.lead(value).over(inside)})
+    joined = _join_keys(local, ends, keys, "left")
+    return joined.select(*df.columns, F.coalesce("__p", "__before").alias(prev), F.coalesce("__q", "__after").alias(following))
+
+
 def first_n(df: DataFrame, groups: Sequence[str], order: Sequence[Column], n: int, spread: str,
             out: str = "rn", salts: int = 64) -> DataFrame:
     """The first ``n`` rows of each group. Salted cells are cut to ``n`` before groups meet."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from fettle.functions.columns import draw_hash
-from fettle.operators.ranking import first_n, percentiles, row_number_by_hash, row_number_by_value
+from fettle.operators.ranking import first_n, percentiles, row_number_by_hash, row_number_by_value, with_neighbours
 
 
 @pytest.fixture(scope="module")
@@ -84,3 +84,10 @@ def test_percentiles(skewed, groups):
 def test_percentiles_of_one_value_and_of_none(spark):
     one = spark.createDataFrame([("a", 2.5), ("b", None)], "grp STRING, v DOUBLE")
     assert [tuple(r) for r in percentiles(one, ["grp"], "v", {"m": 0.5}).collect()] == [("a", 2.5)]
+
+
+def test_neighbours_cross_cells(skewed):
+    w = W.partitionBy("grp").orderBy("id")
+    want = skewed.withColumns({"p": F.lag("id").over(w), "q": F.lead("id").over(w)})
+    got = with_neighbours(skewed, ["grp"], "id", "p", "q")
+    assert pairs(got, "id", "p", "q") == pairs(want, "id", "p", "q")
