@@ -33,24 +33,27 @@ def _join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str)
     return left.join(renamed, on, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def _edges(df: DataFrame, value: Column) -> list[float]:
-    """Quantile edges of ``value``, one fewer than buckets; duplicates mark values that are frequent.
+def _edges(df: DataFrame, *values: Column) -> list[list[float]]:
+    """Quantile edges of each value, one fewer than buckets; duplicates mark values that are frequent.
 
-    One pass with a mergeable sketch; only this list of fixed length reaches the driver.
+    One pass with mergeable sketches for all values; only lists of fixed length reach the driver.
     """
     n = bucket_count(df)
-    named = df.select(value.cast("double").alias("__x")).where(F.col("__x").isNotNull() & ~F.isnan("__x"))
-    return named.approxQuantile("__x", [i / n for i in range(1, n)], 1 / (2 * n))
+    names = [f"__x{i}" for i in range(len(values))]
+    named = df.select(*[v.cast("double").alias(k) for k, v in zip(names, values)])
+    return named.approxQuantile(names, [i / n for i in range(1, n)], 1 / (2 * n))
 
 
-def with_quantile_bucket(df: DataFrame, value: ColumnLike, out: str = "__b", frequent: str | None = None) -> DataFrame:
+def with_quantile_bucket(df: DataFrame, value: ColumnLike, out: str = "__b", frequent: str | None = None,
+                         edges: list[float] | None = None) -> DataFrame:
     """Add a bucket number that rises with ``value`` and holds about an even share of all rows.
 
     The edges only steer the balance, never the result. Equal values share a bucket, nulls
     fall below all. ``frequent`` flags rows whose value alone fills a bucket; within their
     bucket they come first, since a bucket starts at its edge.
     """
-    edges = _edges(df, col(value))
+    if edges is None:
+        (edges,) = _edges(df, col(value))
     step = df.withColumn("__x", col(value).cast("double"))
     splits = [float("-inf"), *sorted(set(edges)), float("inf")]
     step = Bucketizer(splits=splits, inputCol="__x", outputCol=out, handleInvalid="keep").transform(step)
@@ -88,11 +91,13 @@ def row_number_by_value(df: DataFrame, groups: Sequence[str], order: Sequence[Co
     """
     if tie is None and tie_digest is None:
         return _numbered(with_quantile_bucket(df, lead), groups, ["__b"], order, out, total, descending)
-    cells = with_quantile_bucket(df, lead, frequent="__e")
     if tie_digest:
+        cells = with_quantile_bucket(df, lead, frequent="__e")
         cells = cells.withColumn("__t", F.conv(F.substring(tie_digest, 1, 2), 16, 10).cast("int"))
     else:
-        cells = with_quantile_bucket(cells, tie, "__t")
+        lead_edges, tie_edges = _edges(df, col(lead), col(tie))
+        cells = with_quantile_bucket(df, lead, frequent="__e", edges=lead_edges)
+        cells = with_quantile_bucket(cells, tie, "__t", edges=tie_edges)
     cells = cells.withColumn("__b2", F.when(F.col("__e"), F.col("__t")).otherwise(F.lit(MAX_BUCKETS))).drop("__e", "__t")
     return _numbered(cells, groups, ["__b", "__b2"], order, out, total, descending)
 
