@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fettle.llm import contamination, quality
+from fettle.llm import contamination, licenses, pieces, quality, urls
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -110,3 +110,34 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     docs, benchmark = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
     found = contamination.scan(docs, benchmark, keep_text=False)
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+# --- SentencePiece ---------------------------------------------------------------------------------------------------
+
+
+@query("op7_sentencepiece")
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.digests(pieces.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+# --- URL filters -----------------------------------------------------------------------------------------------------
+
+
+@query("op8_url_filters")
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
+# --- license scans ---------------------------------------------------------------------------------------------------
+
+
+@query("op9_license_scan")
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    labels = lambda *places: F.array_join(F.array_sort(F.array_distinct(F.concat(*[F.transform(p, lambda x: x["label"]) for p in places]))), ",")
+    first = F.transform("places", lambda x: x["first_word"])
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(first).alias("first_word"), F.array_max(first).alias("last_word"),
+        labels("places").alias("base_labels"), labels("places", "fuzzy").alias("labels"), "score",
+    )
