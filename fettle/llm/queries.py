@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fettle.llm import contamination, licenses, pieces, quality, urls
+from fettle.llm import contamination, langid, licenses, pieces, quality, urls
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -141,3 +141,13 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(first).alias("first_word"), F.array_max(first).alias("last_word"),
         labels("places").alias("base_labels"), labels("places", "fuzzy").alias("labels"), "score",
     )
+
+
+# --- language ID -----------------------------------------------------------------------------------------------------
+
+
+@query("op3_language_id")
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs)
+    return langid.predict(docs.select("doc_id", langid.held_out().alias("held_out"), "text"), model)
