@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fettle.llm import contamination, langid, licenses, pieces, quality, urls
+from fettle.llm import contamination, jaccard, langid, licenses, pieces, quality, urls
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -151,3 +151,29 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs)
     return langid.predict(docs.select("doc_id", langid.held_out().alias("held_out"), "text"), model)
+
+
+# --- n-gram Jaccard join ---------------------------------------------------------------------------------------------
+
+
+JACCARD_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                             ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM d),
+classes AS (SELECT min(doc_id) AS c, s FROM (SELECT doc_id, list_sort(s) AS s FROM sets WHERE len(s) > 0) GROUP BY s),
+items AS (SELECT c, len(s) AS n, unnest(s) AS g FROM classes),
+shared AS (SELECT a.c AS x, b.c AS y, any_value(a.n) + any_value(b.n) AS n, count(*) AS k FROM items a JOIN items b ON a.g = b.g AND a.c <> b.c GROUP BY a.c, b.c),
+links AS (SELECT x, y FROM shared WHERE 100 * k >= 85 * (n - k)),
+reach AS (SELECT c AS x, c AS y FROM classes UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+roots AS (SELECT x AS c, min(y) AS root FROM reach GROUP BY x),
+named AS (SELECT s, root FROM classes JOIN roots USING (c))
+SELECT doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(root, doc_id) AS component_id
+FROM sets LEFT JOIN named ON list_sort(sets.s) = named.s
+"""
+
+
+@query("op1_ngram_jaccard_join", JACCARD_SQL)
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
