@@ -16,7 +16,6 @@ result is replaced by it.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fettle.llm import blocks as B
+from fettle.llm.arrow import kept_fields, map_arrow
 from fettle.llm.fmindex import FMIndex
 from fettle.session import settle
 
@@ -161,12 +161,6 @@ def _scan(batches: Iterator[pa.RecordBatch], shared, kept: list[str], text: str,
             yield pa.RecordBatch.from_arrays([batch[c].slice(first, n) for c in kept] + own, schema=schema)
 
 
-def arrow_schema(fields: list[T.StructField]) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(T.StructType(fields))
-
-
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = SIZE,
          block_words: int = BLOCK_WORDS, keep_text: bool = True, prefix: str = "") -> DataFrame:
     """``docs`` with n_words, n_hit, n_items, items, spans (characters) and contaminated, each named with ``prefix``.
@@ -185,10 +179,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
         phrases = Phrases([(x.name, x.text) for x in items.where(part == block).distinct().collect()], size)
         last, again = block == n_blocks - 1, block > 0
         kept = [c for c in rows.columns if c not in own and (keep_text or not last or c != text)]
-        fields = [T.StructField(f.name, f.dataType) for f in rows.select(*kept).schema] + result
+        fields = kept_fields(rows, kept) + result
         shared = spark.sparkContext.broadcast(phrases)
-        work = partial(_scan, shared=shared, kept=kept, text=text, schema=arrow_schema(fields), earlier=[prefix + c for c in ("__hit_words", "items")] if again else [])
-        rows = rows.mapInArrow(work, T.StructType(fields))
+        earlier = [prefix + c for c in ("__hit_words", "items")] if again else []
+        rows = map_arrow(rows, _scan, fields, shared=shared, kept=kept, text=text, earlier=earlier)
         rows = rows if last else settle(rows, "contamination")
     n_hit, n_words = F.col(prefix + "n_hit"), F.col(prefix + "n_words")
     return rows.drop(prefix + "__hit_words").withColumn(prefix + "contaminated", (n_hit > 0) & (20 * n_hit >= n_words))

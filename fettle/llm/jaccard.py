@@ -25,7 +25,6 @@ row without id gets its set size and no component, and links nothing. Only the n
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fettle.llm import blocks as B
-from fettle.llm.contamination import arrow_schema
+from fettle.llm.arrow import kept_fields, map_arrow
 from fettle.session import settle
 
 PERCENT = 85
@@ -107,10 +106,9 @@ def _sets(batches: Iterator[pa.RecordBatch], text: str, kept: list[str], size: i
 def sets(docs: DataFrame, text: str, keep: list[str], whole: bool | None, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``keep`` of ``docs`` with __n, __k1, __k2 and, unless ``whole`` is None, __set."""
     rows = docs.select(*dict.fromkeys([*keep, text]))
-    fields = [T.StructField(f.name, f.dataType) for f in rows.select(*keep).schema] + [T.StructField(k, LONG) for k in ("__n", "__k1", "__k2")]
+    fields = kept_fields(rows, keep) + [T.StructField(k, LONG) for k in ("__n", "__k1", "__k2")]
     fields += [T.StructField("__set", LONGS)] if whole is not None else []
-    work = partial(_sets, text=text, kept=keep, size=size, percent=percent, whole=whole, schema=arrow_schema(fields))
-    return rows.mapInArrow(work, T.StructType(fields))
+    return map_arrow(rows, _sets, fields, text=text, kept=keep, size=size, percent=percent, whole=whole)
 
 
 # --- Bloom filter: a bounded reducer before a join by id ---------------------------------------------------------------
@@ -142,8 +140,7 @@ def sets_of(docs: DataFrame, id_col: str, text: str, members: DataFrame, label:
     shared = spark.sparkContext.broadcast(bloom(members, "rep"))
     rows = docs.select(F.col(id_col).alias("rep"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(BLOOM_BITS)).alias("__bit"))
     rows = rows.where("rep IS NOT NULL")
-    fields = [T.StructField(f.name, f.dataType) for f in rows.schema if f.name != "__bit"]
-    near = rows.mapInArrow(partial(_pass, shared=shared, schema=arrow_schema(fields)), T.StructType(fields))
+    near = map_arrow(rows, _pass, kept_fields(rows, ["rep", "text"]), shared=shared)
     found = sets(near, "text", ["rep"], True, size, percent).dropDuplicates(["rep", "__n", "__k1", "__k2"])
     return settle(found.join(members, ["rep", "__n", "__k1", "__k2"]).select("c", F.col("__set").alias("set")), label)
 
@@ -224,10 +221,13 @@ def _lengthen(batches: Iterator[pa.RecordBatch], percent: int, schema: pa.Schema
 
 
 def with_stars(rows: DataFrame, least: int = 2) -> DataFrame:
-    """``rows`` (tok, star, ...) of hashes held by ``least`` stars or more, with df (stars) and big (the largest star)."""
+    """``rows`` (tok, star, ...) of hashes held by ``least`` stars or more, with df (stars) and big (the largest star).
+
+    The counts are written first: a join of two plain shuffles lets Spark split the rows of a frequent hash.
+    """
     held = rows.groupBy("tok", "star").agg(F.count(F.lit(1)).alias("n")).groupBy("tok")
     of = held.agg(F.count(F.lit(1)).alias("df"), F.max_by("star", F.struct("n", "star")).alias("big")).where(F.col("df") >= least)
-    return rows.join(of, "tok")
+    return rows.join(settle(of, "stars"), "tok")
 
 
 def meetings(postings: DataFrame, percent: int, more: list[str]) -> DataFrame:
@@ -291,13 +291,13 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: in
 
     # hashes of kept prefixes that several classes hold
     tokens = classes.select("c", "__n", F.posexplode("set").alias("pos", "tok"))
-    several = tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    several = settle(tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "several")
     held = settle(tokens.join(several, "tok"), "held")
     # hubs
     keyed = held.where(F.col("pos") < KEYS)
     typical = held.groupBy("c").agg(F.sum(F.log("df")).alias("weight"))
     key = keyed.join(typical, "c").withColumn("weight", F.col("weight") / F.col("__n"))
-    hub = key.groupBy("tok").agg(F.max_by(F.struct("c", "__n"), F.struct("weight", -F.col("c"))).alias("hub"))
+    hub = settle(key.groupBy("tok").agg(F.max_by(F.struct("c", "__n"), F.struct("weight", -F.col("c"))).alias("hub")), "hubs")
     near = keyed.join(hub, "tok").where((F.col("hub.c") != F.col("c")) & sized(F.col("hub.__n"), F.col("__n"), percent))
     best = near.groupBy("c", F.col("hub.c").alias("h")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= KEYS // 2)
     tied = settle(best.groupBy(F.col("c").alias("c1")).agg(F.max_by("h", F.struct("n", -F.col("h"))).alias("c2")), "tied")
@@ -310,8 +310,8 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: in
     lists = starred.groupBy("c", "star", "__n").agg(F.sort_array(F.collect_list(F.struct("pos", "df", "tok"))).alias("held"))
     fields = [T.StructField("c", LONG), T.StructField("star", LONG), T.StructField("__n", LONG), T.StructField("length", LONG), T.StructField("asked", LONG),
               T.StructField("toks", LONGS), T.StructField("places", LONGS)]
-    prefixes = settle(lists.mapInArrow(partial(_lengthen, percent=percent, schema=arrow_schema(fields)), T.StructType(fields)), "prefixes")
-    bigs = starred.where(F.col("df") < HOT).groupBy("tok").agg(F.first("big").alias("big"))
+    prefixes = settle(map_arrow(lists, _lengthen, fields, percent=percent), "prefixes")
+    bigs = settle(starred.where(F.col("df") < HOT).groupBy("tok").agg(F.first("big").alias("big")), "bigs")
     cold = settle(prefix_candidates(prefixes, bigs, percent), "candidates")
     # classes that are mostly hot
     mostly = prefixes.where("length = 0").select("c", "star")

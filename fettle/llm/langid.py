@@ -19,7 +19,6 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fettle.llm.contamination import arrow_schema
+from fettle.llm.arrow import kept_fields, map_arrow
 
 SAMPLE = 400
 MAX_WORDS = 40_000
@@ -171,7 +170,5 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` without the text, with lang_pred and score; reads the text alone."""
     kept = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
     rows = docs.select(*kept, text)
-    fields = [f for f in rows.schema if f.name in kept]
-    fields = [T.StructField(f.name, f.dataType) for f in fields] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    work = partial(_predict, shared=docs.sparkSession.sparkContext.broadcast(model), text=text, kept=kept, schema=arrow_schema(fields))
-    return rows.mapInArrow(work, T.StructType(fields))
+    fields = kept_fields(rows, kept) + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    return map_arrow(rows, _predict, fields, shared=docs.sparkSession.sparkContext.broadcast(model), text=text, kept=kept)

@@ -13,14 +13,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from fettle.llm import blocks as B
-from fettle.llm.contamination import arrow_schema
+from fettle.llm.arrow import kept_fields, map_arrow
 
 #: Phrases and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -126,6 +125,4 @@ def scan(docs: DataFrame, text: str = "text", phrases=PHRASES, notices=NOTICES,
     own = {f.name for f in RESULT}
     rows = docs.select(*[c for c in docs.columns if c not in own or c == text])
     kept = [c for c in rows.columns if c not in own and (keep_text or c != text)]
-    fields = [T.StructField(f.name, f.dataType) for f in rows.select(*kept).schema] + RESULT
-    work = partial(_scan, text=text, kept=kept, schema=arrow_schema(fields), phrases=phrases, notices=notices)
-    return rows.mapInArrow(work, T.StructType(fields))
+    return map_arrow(rows, _scan, kept_fields(rows, kept) + RESULT, text=text, kept=kept, phrases=phrases, notices=notices)

@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import partial
 from itertools import chain
 
 import numpy as np
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fettle.llm.contamination import arrow_schema
+from fettle.llm.arrow import kept_fields, map_arrow
 
 MODEL = "piece_bpe_32k.model"
 TABLE = 100_000
@@ -99,10 +98,8 @@ def encode_decode(docs: DataFrame, text: str = "text", path: str | None = None)
     kept = [c for c in docs.columns if c not in ("ids", "decoded") or c == text]
     rows = docs.select(*kept)
     kept = [c for c in kept if c not in ("ids", "decoded")]
-    fields = [T.StructField(f.name, f.dataType) for f in rows.select(*kept).schema]
-    fields += [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
-    work = partial(_encode, path=path or model_path(), text=text, kept=kept, schema=arrow_schema(fields))
-    return rows.mapInArrow(work, T.StructType(fields))
+    fields = kept_fields(rows, kept) + [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
+    return map_arrow(rows, _encode, fields, path=path or model_path(), text=text, kept=kept)
 
 
 def digests(encoded: DataFrame) -> DataFrame:

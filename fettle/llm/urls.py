@@ -13,7 +13,6 @@ one by one.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fettle.llm import blocks as B
-from fettle.llm.contamination import arrow_schema
+from fettle.llm.arrow import kept_fields, map_arrow
 
 #: Host, path and verdict of each rule.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -122,9 +121,9 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url: str = "url", rul
     parts = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     urls = parts.withColumn("r", ruled(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", "r.rule", "r.verdict")
     weights = train(*labelled(urls, n_labelled))
-    fields = [*urls.schema.fields, T.StructField("block_score", T.DoubleType())]
-    work = partial(_judge, shared=spark.sparkContext.broadcast(weights), schema=arrow_schema(fields))
+    fields = kept_fields(urls, urls.columns) + [T.StructField("block_score", T.DoubleType())]
+    scored = map_arrow(urls, _judge, fields, shared=spark.sparkContext.broadcast(weights))
     own = F.when(F.col("block_score") >= 0.5, "block").otherwise("allow")
-    return urls.mapInArrow(work, T.StructType(fields)).withColumn("verdict", F.coalesce("verdict", own))
+    return scored.withColumn("verdict", F.coalesce("verdict", own))
 
 
