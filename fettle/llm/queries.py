@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fettle.llm import contamination, jaccard, langid, licenses, pieces, quality, urls
+from fettle.llm import contamination, jaccard, langid, licenses, linededup, pieces, quality, tokencount, urls
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -177,3 +177,20 @@ FROM sets LEFT JOIN named ON list_sort(sets.s) = named.s
 @query("op1_ngram_jaccard_join", JACCARD_SQL)
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+# --- line dedup --------------------------------------------------------------------------------------------------------
+
+
+@query("op4_line_dedup")
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_deleted").alias("n_deleted"), F.sha2("text", 256).alias("text_sha256"))
+
+
+# --- token counts ------------------------------------------------------------------------------------------------------
+
+
+@query("op5_token_counts")
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.section_counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
