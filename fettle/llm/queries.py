@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fettle.llm import contamination, jaccard, langid, licenses, linededup, pieces, quality, tokencount, urls
+from fettle.llm import contamination, jaccard, langid, licenses, linededup, lm, pieces, quality, tokencount, urls
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -194,3 +194,13 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_token_counts")
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.section_counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+# --- LM scoring --------------------------------------------------------------------------------------------------------
+
+
+@query("op6_lm_scoring")
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = lm.vocabulary(docs)
+    return lm.score(docs, words, lm.train(docs, words))
