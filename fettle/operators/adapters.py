@@ -105,16 +105,20 @@ RULES: dict[str, Rule] = {
         keep=lambda: ~(_painted("knot_px") & ~_painted()),
     ),
     "kolektor1": Rule(role=lambda: F.when(_painted(), "positive").otherwise("negative"), material=_fixed("plastic")),
-    "mvtec": Rule(role=lambda: F.when(_label() == "scratch", "scratch").otherwise("positive"), material=_fixed("metal"), keep=_painted),
+    "mvtec": Rule(role=lambda: F.when(_label() == "scratch", "scratch").otherwise("positive"), material=lambda: F.col("record_material"), keep=_painted),
     "sdx": Rule(role=_defect_role, material=_fixed("steel"), keep=_painted),
     "casting": Rule(role=_fixed("negative"), material=_fixed("steel"), keep=lambda: _label() == "ok_front", tier=lambda role: F.lit("A")),
 }
 
 
+#: Adapters whose mask unites cracks and knots.
+BOTH_COLOURS = ("wood",)
+
+
 def adapt(raw: DataFrame, listed_defects: DataFrame | None = None, rules: dict[str, Rule] | None = None) -> DataFrame:
     """Raw items of every known source as manifest rows.
 
-    ``raw`` has adapter, sid, label, has_mask, crack_px, knot_px, other_px; ``listed_defects``
+    ``raw`` has adapter, sid, label, record_material, has_mask, crack_px, knot_px, other_px; ``listed_defects``
     holds the sids that a source's own defect list names.
     """
     rules = rules or RULES
@@ -137,7 +141,7 @@ def adapt(raw: DataFrame, listed_defects: DataFrame | None = None, rules: dict[s
     )
     return shaped.select(
         F.concat_ws("__", "source", "sid").alias("name"), "source", "sid", "material", "tier", "role",
-        F.when(foreground, F.col("crack_px")).otherwise(0).alias("crack_px"),
+        F.when(foreground, F.col("crack_px") + F.when(F.col("adapter").isin(*BOTH_COLOURS), F.col("knot_px")).otherwise(0)).otherwise(0).alias("crack_px"),
     )
 
 
@@ -217,8 +221,8 @@ def class_of_category(category: Column) -> Column:
 
 def allow_deny(annotations: DataFrame, lists: DataFrame) -> DataFrame:
     """Reason per annotation from the use and reject lists of its dataset (dataset, category, verdict)."""
-    deny = lists.where(F.col("verdict") == "reject").select("dataset", F.col("category").alias("__c"), F.lit(True).alias("denied"))
-    allow = lists.where(F.col("verdict") == "use").select("dataset", F.col("category").alias("__c"), F.lit(True).alias("allowed"))
+    deny = lists.where(F.col("verdict") == "reject").select("dataset", F.col("category").alias("__c"), F.lit(True).alias("denied")).distinct()
+    allow = lists.where(F.col("verdict") == "use").select("dataset", F.col("category").alias("__c"), F.lit(True).alias("allowed")).distinct()
     listed = lists.where(F.col("verdict") == "use").select("dataset").distinct().withColumn("has_allow", F.lit(True))
     c, cls = F.lower(F.trim("category")), class_of_category(F.col("category"))
     out = annotations.withColumn("__c", c).join(deny, ["dataset", "__c"], "left").join(allow, ["dataset", "__c"], "left")

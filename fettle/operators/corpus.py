@@ -235,10 +235,15 @@ def quota_spread(manifest: DataFrame, quotas: DataFrame, cell: list[str]) -> Dat
     ranked = row_number_by_value(sized, cell, [F.col("long_side"), F.col("__d"), F.col("name")], "long_side", "__rn",
                                  total="__n", tie_digest="__d")
     position = F.col("__rn") - 1
-    spots = F.transform(
-        F.sequence(F.lit(0).cast("bigint"), F.least(F.col("k"), F.col("__n")) - 1),
-        lambda i: F.bround(i * (F.col("__n") - 1) / F.greatest(F.col("k") - 1, F.lit(1))).cast("bigint"))
-    return ranked.where(F.array_contains(spots, position)).drop("__rn", "__n", "__d")
+    gaps = F.greatest(F.col("k") - 1, F.lit(1))
+    near = F.floor(position * gaps / F.greatest(F.col("__n") - 1, F.lit(1)))
+
+    def spot(i: Column) -> Column:
+        """Whether the i-th of the k places is this row."""
+        inside = (i >= 0) & (i < F.least(F.col("k"), F.col("__n")))
+        return inside & (F.bround(i * (F.col("__n") - 1) / gaps).cast("bigint") == position)
+
+    return ranked.where((F.col("k") > 0) & (spot(near - 1) | spot(near) | spot(near + 1))).drop("__rn", "__n", "__d")
 
 
 def fixture_leaks(picked: DataFrame, manifest: DataFrame) -> DataFrame:

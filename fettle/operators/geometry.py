@@ -50,9 +50,6 @@ def with_runs(mask: DataFrame, keys: list[str]) -> DataFrame:
     return starts.withColumn("node", node).drop("__new")
 
 
-MAX_ROUNDS = 60
-
-
 def label_regions(mask: DataFrame, keys: list[str]) -> DataFrame:
     """8-connected components: each pixel gets the smallest node of its component.
 
@@ -66,7 +63,7 @@ def label_regions(mask: DataFrame, keys: list[str]) -> DataFrame:
     lo, hi = F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")
     edges = settle(pairs.select(*spark_keys, lo, hi).distinct(), "links")
     parent = settle(runs.select(*spark_keys, "node").distinct().withColumn("root", F.col("node")), "roots")
-    for _ in range(MAX_ROUNDS):
+    while True:  # roots only ever fall, so this ends
         ends = (
             edges.join(parent.select(*spark_keys, F.col("node").alias("a"), F.col("root").alias("ra")), [*spark_keys, "a"])
             .join(parent.select(*spark_keys, F.col("node").alias("b"), F.col("root").alias("rb")), [*spark_keys, "b"])
@@ -80,8 +77,6 @@ def label_regions(mask: DataFrame, keys: list[str]) -> DataFrame:
         jumps = once.select(*spark_keys, "root", F.coalesce("to2", "to").alias("to"))
         moved = parent.join(jumps, [*spark_keys, "root"], "left")
         parent = settle(moved.select(*spark_keys, "node", F.coalesce("to", "root").alias("root")), "roots")
-    else:
-        raise RuntimeError(f"components did not settle within {MAX_ROUNDS} rounds")
     return runs.join(parent, [*spark_keys, "node"]).select(*spark_keys, "y", "x", F.col("root").alias("region"))
 
 

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from fettle.functions.columns import all_of, n_where, percent
-from fettle.operators.ranking import with_neighbours
 from fettle.schemas import CLASSES, STATUSES
 
 PAGE_SIZE, MIN_PAGE, MAX_PAGE = 25, 5, 200
@@ -62,8 +61,8 @@ def parse_filter(params: Mapping[str, Any]) -> HistoryFilter:
 
 
 def product_pattern(text: str) -> str:
-    """``*`` is the wildcard; without one the text matches anywhere."""
-    pattern = text.replace("*", "%")
+    """``*`` is the wildcard; without one the text matches anywhere. A backslash is a plain character."""
+    pattern = text.replace("\\", "\\\\").replace("*", "%")
     return pattern if "%" in pattern else f"%{pattern}%"
 
 
@@ -224,8 +223,10 @@ def newest_with_regions(rows: DataFrame, station: str) -> DataFrame:
 
 
 def region_neighbours(regions: DataFrame) -> DataFrame:
-    """Previous and next region index within each inspection."""
-    return with_neighbours(regions.select("inspection_id", "region_index"), ["inspection_id"], "region_index", "prev_index", "next_index")
+    """Previous and next region index within each inspection, which has a handful of regions by nature."""
+    w = W.partitionBy("inspection_id").orderBy("region_index")
+    near = [F.lag("region_index").over(w).alias("prev_index"), F.lead("region_index").over(w).alias("next_index")]
+    return regions.select("inspection_id", "region_index", *near)
 
 
 def pick_region(regions: DataFrame, wanted: int) -> DataFrame:

@@ -7,6 +7,7 @@ counts are summed into offsets, and only then rows are numbered inside their cel
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Sequence
 
@@ -15,28 +16,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from fettle.functions.columns import ColumnLike, all_of, col
+from fettle.functions.columns import ColumnLike, col
+from fettle.session import settle
 
-MIN_BUCKETS, MAX_BUCKETS = 256, 4096
+GROUP = "__g"
 
 
 def bucket_count(df: DataFrame) -> int:
-    """Cells per group follow the cluster: as many as its shuffle partitions, within bounds."""
-    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(MAX_BUCKETS, max(MIN_BUCKETS, wanted))
+    """Cells per group follow the cluster: twice its shuffle partitions."""
+    return 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    """Null-safe equi-join; the right side brings only its non-key columns."""
-    renamed = right.select(*[F.col(k).alias(f"__r_{k}") if k in keys else F.col(k) for k in right.columns])
-    on = all_of([F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
-    return left.join(renamed, on, how).drop(*[f"__r_{k}" for k in keys])
+def _grouped(df: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Add the group as one column that is never null, so that windows and plain equi-joins share a shuffle."""
+    return df.withColumn(GROUP, F.struct(*groups) if groups else F.lit(0))
 
 
 def _edges(df: DataFrame, *values: Column) -> list[list[float]]:
     """Quantile edges of each value, one fewer than buckets; duplicates mark values that are frequent.
 
-    One pass with mergeable sketches for all values; only lists of fixed length reach the driver.
+    One pass with mergeable sketches for all values; only lists of fixed length reach the driver. Without a value
+    there are no edges.
     """
     n = bucket_count(df)
     names = [f"__x{i}" for i in range(len(values))]
@@ -49,36 +49,41 @@ def with_quantile_bucket(df: DataFrame, value: ColumnLike, out: str = "__b", fre
     """Add a bucket number that rises with ``value`` and holds about an even share of all rows.
 
     The edges only steer the balance, never the result. Equal values share a bucket, nulls
-    fall below all. ``frequent`` flags rows whose value alone fills a bucket; within their
+    fall below all. ``frequent`` flags rows whose value alone fills a bucket, and nulls; within their
     bucket they come first, since a bucket starts at its edge.
     """
     if edges is None:
         (edges,) = _edges(df, col(value))
-    step = df.withColumn("__x", col(value).cast("double"))
-    splits = [float("-inf"), *sorted(set(edges)), float("inf")]
-    step = Bucketizer(splits=splits, inputCol="__x", outputCol=out, handleInvalid="keep").transform(step)
-    step = step.withColumn(out, F.when(F.col("__x").isNull(), -1).otherwise(F.col(out).cast("int")))
+    x, steps = col(value).cast("double"), sorted(set(edges))
+    number = F.lit(0)
+    if steps:
+        splits = [float("-inf"), *steps, float("inf")]
+        step = Bucketizer(splits=splits, inputCol="__x", outputCol="__y", handleInvalid="keep").transform(df.withColumn("__x", x))
+        number = F.col("__y").cast("int")
+    else:
+        step = df.withColumn("__x", x)
+    step = step.withColumn(out, F.when(F.col("__x").isNull(), -1).otherwise(number))
     if frequent:
         heavy = [e for e, n in Counter(edges).items() if n > 1]
-        step = step.withColumn(frequent, F.coalesce(F.col("__x").isin(heavy), F.lit(False)) if heavy else F.lit(False))
-    return step.drop("__x")
+        often = F.coalesce(F.col("__x").isin(heavy), F.lit(False)) if heavy else F.lit(False)
+        step = step.withColumn(frequent, F.col("__x").isNull() | often)
+    return step.drop("__x", "__y")
 
 
-def _numbered(cells: DataFrame, groups: Sequence[str], buckets: Sequence[str], order: Sequence[Column],
+def _numbered(cells: DataFrame, kept: Sequence[str], buckets: Sequence[str], order: Sequence[Column],
               out: str, total: str | None, descending: bool) -> DataFrame:
-    groups, buckets = list(groups), list(buckets)
-    keys = groups + buckets
+    """Number rows inside their cell and add the cell's offset; the join reuses the window's shuffle."""
+    keys = [GROUP, *buckets]
     counts = cells.groupBy(*keys).agg(F.count("*").alias("__n"))
     direction = [F.col(b).desc() if descending else F.col(b).asc() for b in buckets]
-    before = W.partitionBy(*groups).orderBy(*direction).rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy(GROUP).orderBy(*direction).rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0)))
     if total:
-        offsets = offsets.withColumn("__total", F.sum("__n").over(W.partitionBy(*groups)))
+        offsets = offsets.withColumn("__total", F.sum("__n").over(W.partitionBy(GROUP)))
     local = cells.withColumn("__rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
-    joined = _join_keys(local, offsets.drop("__n"), keys, "left")
-    picked = [c for c in cells.columns if c not in buckets]
+    joined = local.join(offsets.drop("__n"), keys)
     extra = [F.col("__total").cast("bigint").alias(total)] if total else []
-    return joined.select(*picked, (F.col("__off") + F.col("__rn")).cast("bigint").alias(out), *extra)
+    return joined.select(*kept, (F.col("__off") + F.col("__rn")).cast("bigint").alias(out), *extra)
 
 
 def row_number_by_value(df: DataFrame, groups: Sequence[str], order: Sequence[Column], lead: ColumnLike,
@@ -89,46 +94,37 @@ def row_number_by_value(df: DataFrame, groups: Sequence[str], order: Sequence[Co
     Where many rows may share one lead value, give the second order column too: as a number
     (``tie``) or as a hex digest (``tie_digest``); it cuts the cells of frequent values further.
     """
+    settled = settle(df, "ranking")
+    rows = _grouped(settled, groups)
     if tie is None and tie_digest is None:
-        return _numbered(with_quantile_bucket(df, lead), groups, ["__b"], order, out, total, descending)
+        return _numbered(with_quantile_bucket(rows, lead), df.columns, ["__b"], order, out, total, descending)
     if tie_digest:
-        cells = with_quantile_bucket(df, lead, frequent="__e")
+        cells = with_quantile_bucket(rows, lead, frequent="__e")
         cells = cells.withColumn("__t", F.conv(F.substring(tie_digest, 1, 2), 16, 10).cast("int"))
     else:
-        lead_edges, tie_edges = _edges(df, col(lead), col(tie))
-        cells = with_quantile_bucket(df, lead, frequent="__e", edges=lead_edges)
+        lead_edges, tie_edges = _edges(rows, col(lead), col(tie))
+        cells = with_quantile_bucket(rows, lead, frequent="__e", edges=lead_edges)
         cells = with_quantile_bucket(cells, tie, "__t", edges=tie_edges)
-    cells = cells.withColumn("__b2", F.when(F.col("__e"), F.col("__t")).otherwise(F.lit(MAX_BUCKETS))).drop("__e", "__t")
-    return _numbered(cells, groups, ["__b", "__b2"], order, out, total, descending)
+    beyond = (1 << 31) - 1
+    cells = cells.withColumn("__b2", F.when(F.col("__e"), F.col("__t")).otherwise(beyond)).drop("__e", "__t")
+    return _numbered(cells, df.columns, ["__b", "__b2"], order, out, total, descending)
 
 
 def row_number_by_hash(df: DataFrame, groups: Sequence[str], digest: str, tie: str,
                        out: str = "rn", total: str | None = None) -> DataFrame:
-    """``row_number()`` over ``groups`` in digest order; 4096 even cells per group, no extra pass."""
-    cells = df.withColumn("__b", F.substring(digest, 1, 3))
-    return _numbered(cells, groups, ["__b"], [F.col(digest), F.col(tie)], out, total, False)
-
-
-def with_neighbours(df: DataFrame, groups: Sequence[str], value: str, prev: str, following: str) -> DataFrame:
-    """The next lower and next higher ``value`` of each row's group, without sorting a group in one task.
+    """``row_number()`` over ``groups`` in digest order; even cells by leading digits, no extra pass.
 
-    Inside a cell a window finds them; at a cell's ends they come from the adjacent cell's extremes.
+    The digits follow the shuffle partitions: at least two cells for each.
     """
-    keys = [*groups, "__b"]
-    cells = with_quantile_bucket(df, value)
-    ends = cells.groupBy(*keys).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
-    along = W.partitionBy(*groups).orderBy("__b")
-    ends = ends.select(*keys, F.lag("__hi").over(along).alias("__before"), F.lead("__lo").over(along).alias("__after"))
-    inside = W.partitionBy(*keys).orderBy(value)
-    local = cells.withColumns({"__p": F.lag(value).over(inside), "__q": F.lead(value).over(inside)})
-    joined = _join_keys(local, ends, keys, "left")
-    return joined.select(*df.columns, F.coalesce("__p", "__before").alias(prev), F.coalesce("__q", "__after").alias(following))
+    digits = max(1, math.ceil(math.log(bucket_count(df), 16)))
+    cells = _grouped(settle(df, "ranking"), groups).withColumn("__b", F.substring(digest, 1, digits))
+    return _numbered(cells, df.columns, ["__b"], [F.col(digest), F.col(tie)], out, total, False)
 
 
 def first_n(df: DataFrame, groups: Sequence[str], order: Sequence[Column], n: int, spread: str,
-            out: str = "rn", salts: int = 64) -> DataFrame:
+            out: str = "rn") -> DataFrame:
     """The first ``n`` rows of each group. Salted cells are cut to ``n`` before groups meet."""
-    salted = df.withColumn("__s", F.pmod(F.xxhash64(spread), F.lit(salts)))
+    salted = df.withColumn("__s", F.pmod(F.xxhash64(spread), F.lit(bucket_count(df))))
     inner = W.partitionBy(*groups, "__s").orderBy(*order)
     outer = W.partitionBy(*groups).orderBy(*order)
     cut = salted.withColumn("__rn", F.row_number().over(inner)).where(F.col("__rn") <= n).drop("__rn", "__s")
@@ -141,27 +137,27 @@ def percentiles(df: DataFrame, groups: Sequence[str], value: ColumnLike, wanted:
     Only the cells that hold a wanted rank are sorted, after equal values were counted.
     """
     groups = list(groups)
-    keys = groups + ["__b"]
-    base = df.select(*groups, col(value).cast("double").alias("__v")).where("__v IS NOT NULL")
-    cells = with_quantile_bucket(base, "__v")
+    keys = [GROUP, "__b"]
+    base = settle(df.select(*groups, col(value).cast("double").alias("__v")).where("__v IS NOT NULL"), "percentiles")
+    cells = with_quantile_bucket(_grouped(base, groups), "__v").drop(*groups)
     hist = cells.groupBy(*keys).agg(F.count("*").alias("__cnt"))
-    before = W.partitionBy(*groups).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy(GROUP).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
     hist = hist.withColumns({
-        "__lo": F.coalesce(F.sum("__cnt").over(before), F.lit(0)), "__n": F.sum("__cnt").over(W.partitionBy(*groups))})
+        "__lo": F.coalesce(F.sum("__cnt").over(before), F.lit(0)), "__n": F.sum("__cnt").over(W.partitionBy(GROUP))})
     ranks = {}
     for name, p in wanted.items():
         low = f"floor((__n - 1) * {float(p)!r}D)"
         ranks[name] = {"lo": low, "hi": f"least({low} + 1, __n - 1)"}
     every = [r for pair in ranks.values() for r in pair.values()]
     need = hist.where(" OR ".join(f"({r} >= __lo AND {r} < __lo + __cnt)" for r in every)).drop("__cnt")
-    hot = _join_keys(cells, need, keys, "inner")
+    hot = cells.join(need, keys)
     ties = hot.groupBy(*keys, "__lo", "__n", "__v").agg(F.count("*").alias("__cnt"))
     run = W.partitionBy(*keys).orderBy("__v").rowsBetween(W.unboundedPreceding, -1)
     ties = ties.withColumn("__at", F.col("__lo") + F.coalesce(F.sum("__cnt").over(run), F.lit(0)))
     parts = [
         F.expr(f"max(CASE WHEN {r} >= __at AND {r} < __at + __cnt THEN __v END)").alias(f"__{tag}_{name}")
         for name, pair in ranks.items() for tag, r in pair.items()]
-    found = ties.groupBy(*groups, "__n").agg(*parts)
-    return found.selectExpr(*[f"`{g}`" for g in groups], *[
+    found = ties.groupBy(GROUP, "__n").agg(*parts)
+    return found.selectExpr(*[f"{GROUP}.`{g}`" for g in groups], *[
         f"__lo_{name} + (__hi_{name} - __lo_{name}) * ((__n - 1) * {float(p)!r}D - {ranks[name]['lo']}) AS `{name}`"
         for name, p in wanted.items()])

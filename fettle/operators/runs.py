@@ -59,9 +59,14 @@ def composite(*scores: Column) -> Column:
 SERIES = ["tag", "seed", "split"]
 
 
+def without_nan(df: DataFrame, *names: str) -> DataFrame:
+    """NaN in the named columns becomes null: it says unknown, and would sort over every score."""
+    return df.withColumns({n: nan_to_null(n) for n in names})
+
+
 def last_slope(history: DataFrame) -> DataFrame:
-    """Last minus previous metric of each series, 0 for a single epoch."""
-    top = first_n(history, SERIES, [F.col("epoch").desc()], 2, "epoch")
+    """Last minus previous known metric of each series, 0 for a single epoch."""
+    top = first_n(history.where(nan_to_null("metric").isNotNull()), SERIES, [F.col("epoch").desc()], 2, "epoch")
     ends = top.groupBy(*SERIES).agg(F.max_by("metric", "epoch").alias("last"), F.min_by("metric", "epoch").alias("prev"), F.count("*").alias("n"))
     return ends.select(*SERIES, F.when(F.col("n") < 2, 0.0).otherwise(F.round(F.col("last") - F.col("prev"), 9)).alias("slope"))
 
@@ -72,8 +77,8 @@ def still_climbing(history: DataFrame) -> DataFrame:
 
 def best_epoch(history: DataFrame) -> DataFrame:
     """Epoch of the best headline metric, the earliest on a tie."""
-    rank = F.struct("metric", (-F.col("epoch")).alias("e"))
-    return history.groupBy(*SERIES).agg(F.max_by("epoch", rank).alias("best_epoch"), F.round(F.max("metric"), 9).alias("best"))
+    rank = F.when(F.col("metric").isNotNull(), F.struct("metric", (-F.col("epoch")).alias("e")))
+    return without_nan(history, "metric").groupBy(*SERIES).agg(F.max_by("epoch", rank).alias("best_epoch"), F.round(F.max("metric"), 9).alias("best"))
 
 
 def overfit_gap(history: DataFrame, val: str, train: str) -> DataFrame:
@@ -103,19 +108,19 @@ def within_budget() -> Column:
 def rank_runs(cards: DataFrame) -> DataFrame:
     """Rank by composite score, unknown scores last."""
     order = [F.col("val_score").desc_nulls_last(), F.col("model").asc()]
-    return row_number_by_value(cards, [], order, "val_score", "rank", descending=True)
+    return row_number_by_value(without_nan(cards, "val_score"), [], order, "val_score", "rank", descending=True)
 
 
 def tie_set(cards: DataFrame) -> DataFrame:
     """Affordable runs within the margin of the best one."""
-    ok = cards.where(within_budget())
+    ok = without_nan(cards, "val_score").where(within_budget())
     top = ok.agg(F.max("val_score").alias("t")).scalar()
     return ok.where(F.abs(F.col("val_score") - top) <= TIE_MARGIN)
 
 
 def tie_break(cards: DataFrame) -> DataFrame:
     """Among tied runs: the best on the unseen material when those scores differ a lot, else the cheapest."""
-    ties = tie_set(cards)
+    ties = tie_set(without_nan(cards, "unseen_score"))
     spread = ties.agg(F.max("unseen_score").alias("hi"), F.min("unseen_score").alias("lo")).select(
         F.coalesce(F.col("hi") > GENERALISATION_RATIO * F.col("lo"), F.lit(False)).alias("wide")).scalar()
     keyed = ties.withColumn("wide", spread)
@@ -129,7 +134,7 @@ def rank_disagreement(cards: DataFrame) -> DataFrame:
     def best(c: str) -> Column:
         rank = F.struct(F.col(c), F.col("model"))
         return F.max_by(F.struct("model", "val_score", "unseen_score"), F.when(F.col(c).isNotNull(), rank))
-    two = cards.agg(best("val_score").alias("v"), best("unseen_score").alias("u"))
+    two = without_nan(cards, "val_score", "unseen_score").agg(best("val_score").alias("v"), best("unseen_score").alias("u"))
     return two.select(
         F.col("v.model").alias("best_val"), F.col("u.model").alias("best_unseen"), (F.col("v.model") == F.col("u.model")).alias("agree"),
         F.round(ratio(F.col("u.unseen_score"), F.col("v.unseen_score")), 9).alias("unseen_ratio"),
@@ -140,7 +145,7 @@ def family_max(cards: DataFrame) -> DataFrame:
     """Best scores per stride family and whether full resolution wins clearly on the unseen material."""
     def top(prefix: str, c: str) -> Column:
         return F.max(F.when(F.col("stride").startswith(prefix) & F.col("unseen_score").isNotNull(), F.col(c)))
-    f = cards.agg(*[top(p, c).alias(f"{n}_{c}") for p, n in (("1", "full"), ("8", "coarse")) for c in ("unseen_score", "val_score")])
+    f = without_nan(cards, "val_score", "unseen_score").agg(*[top(p, c).alias(f"{n}_{c}") for p, n in (("1", "full"), ("8", "coarse")) for c in ("unseen_score", "val_score")])
     return f.select(*[F.round(c, 9).alias(c) for c in f.columns],
                     (F.col("full_unseen_score") > GENERALISATION_RATIO * F.col("coarse_unseen_score")).alias("full_wins"))
 

@@ -47,7 +47,7 @@ def within_limit(payload: Column, limit: int) -> Column:
 
 def portable_path(path: Column, roots: list[str]) -> Column:
     """The path below the first root that holds it; unchanged outside all roots."""
-    choices = [F.when(path.startswith(r.rstrip("/") + "/"), F.substring(path, len(r.rstrip("/")) + 2, 1 << 20)) for r in roots]
+    choices = [F.when(path.startswith(r.rstrip("/") + "/"), F.substr(path, F.lit(len(r.rstrip("/")) + 2))) for r in roots]
     return F.coalesce(*choices, path)
 
 
@@ -154,10 +154,15 @@ def register_models(stored: DataFrame, incoming: DataFrame, newest: str = "regis
 
 
 def retention_candidates(rows: DataFrame, now: Column) -> DataFrame:
-    """Media that may go: after 48 hours when clean, 90 days with regions. Rows always stay."""
-    age_days = F.datediff(now, F.col("captured_at"))
-    expired = ((F.col("status") == "clean") & (age_days > 2)) | ((F.col("status") == "regions_found") & (age_days > 90))
-    return rows.where(expired).select("inspection_id", "status", age_days.cast("bigint").alias("age_days"))
+    """Media that may go: after 48 hours when clean, 90 days with regions. Rows always stay.
+
+    The limits are hours on the clock and plain comparisons, so they reach the scan.
+    """
+    def older(span: str) -> Column:
+        return F.col("captured_at") < now.cast("timestamp_ntz") - F.expr(f"INTERVAL {span}")
+
+    expired = ((F.col("status") == "clean") & older("48 HOURS")) | ((F.col("status") == "regions_found") & older("90 DAYS"))
+    return rows.where(expired).select("inspection_id", "status", F.datediff(now, F.col("captured_at")).cast("bigint").alias("age_days"))
 
 
 def finding(name: str, rows: DataFrame) -> DataFrame:

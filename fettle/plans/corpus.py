@@ -36,9 +36,9 @@ ADAPT_SQL = """WITH listed AS (SELECT DISTINCT doc_id FROM raw_item WHERE adapte
  WHEN 'kolektor1' THEN CASE WHEN crack_px>0 THEN 'positive' ELSE 'negative' END WHEN 'mvtec' THEN CASE WHEN label='scratch' THEN 'scratch' ELSE 'positive' END
  WHEN 'sdx' THEN CASE label WHEN 'crack' THEN 'positive' WHEN 'scratch' THEN 'scratch' ELSE 'hard_negative' END ELSE 'negative' END AS role,
  CASE adapter WHEN 'crackseg9k' THEN CASE label WHEN 'noncrack' THEN 'concrete' WHEN 'CRACK500' THEN 'asphalt' WHEN 'Volker' THEN 'concrete' WHEN 'Ceramic' THEN 'ceramic' ELSE 'masonry' END WHEN 'magnetic_tile' THEN 'ceramic' WHEN 'dtd' THEN 'mixed'
- WHEN 'ozgenel' THEN 'concrete' WHEN 'sdnet' THEN 'concrete' WHEN 'kolektor' THEN 'plastic' WHEN 'kolektor1' THEN 'plastic' WHEN 'gc10' THEN 'metal' WHEN 'mvtec' THEN 'metal' WHEN 'wood' THEN 'wood' WHEN 'wood_shards' THEN 'wood' ELSE 'steel' END AS material,
+ WHEN 'ozgenel' THEN 'concrete' WHEN 'sdnet' THEN 'concrete' WHEN 'kolektor' THEN 'plastic' WHEN 'kolektor1' THEN 'plastic' WHEN 'gc10' THEN 'metal' WHEN 'mvtec' THEN record_material WHEN 'wood' THEN 'wood' WHEN 'wood_shards' THEN 'wood' ELSE 'steel' END AS material,
  CASE adapter WHEN 'wood_shards' THEN 'wood' ELSE adapter END AS source FROM r)"""
-ADAPTED = "source||'__'||doc_id AS name, source, CAST(doc_id AS VARCHAR) AS sid, material, CASE WHEN adapter='casting' OR role='positive' THEN 'A' WHEN role='negative' THEN 'C' ELSE 'B' END AS tier, role, CASE WHEN role IN ('positive','scratch') THEN crack_px ELSE 0 END AS crack_px"
+ADAPTED = "source||'__'||doc_id AS name, source, CAST(doc_id AS VARCHAR) AS sid, material, CASE WHEN adapter='casting' OR role='positive' THEN 'A' WHEN role='negative' THEN 'C' ELSE 'B' END AS tier, role, CASE WHEN role IN ('positive','scratch') THEN crack_px+CASE WHEN adapter='wood' THEN knot_px ELSE 0 END ELSE 0 END AS crack_px"
 
 
 def adapted(v):

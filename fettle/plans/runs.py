@@ -18,6 +18,11 @@ def finals(v):
     return runs.final_metrics(v.run_metric).withColumn("metric", F.expr("CASE WHEN seed%17=3 THEN DOUBLE('NaN') ELSE metric END"))
 
 
+# NaN says unknown
+CARDS = ("(SELECT * REPLACE (CASE WHEN NOT isnan(val_score) THEN val_score END AS val_score, CASE WHEN NOT isnan(unseen_score) THEN unseen_score END AS unseen_score)"
+         " FROM run_card) AS card")
+
+
 @query("seed_summary", f"WITH {FINAL} SELECT f.tag, f.split, round(avg(metric) FILTER (WHERE NOT isnan(metric)),9) AS mean, round(stddev_pop(metric) FILTER (WHERE NOT isnan(metric)),9) AS std, count(*) FILTER (WHERE NOT isnan(metric)) AS n, count(*) FILTER (WHERE NOT isnan(metric))<3 AS few_seeds FROM fin f WHERE f.tag LIKE 'R%' GROUP BY 1,2")
 def _(v):
     return runs.seed_summary(finals(v).where(F.col("tag").startswith("R")), ["tag", "split"])
@@ -42,7 +47,7 @@ def _(v):
     return runs.run_cost(v.run_metric.groupBy("tag", "seed").agg(F.max("high").alias("params_m"), F.avg("metric").alias("cpu_ms")))
 
 
-@query("composite_score", "SELECT model, round(CASE WHEN val_score IS NULL THEN unseen_score WHEN unseen_score IS NULL THEN val_score ELSE (val_score+unseen_score)/2 END,9) AS composite FROM run_card")
+@query("composite_score", f"SELECT model, round(CASE WHEN val_score IS NULL THEN unseen_score WHEN unseen_score IS NULL THEN val_score ELSE (val_score+unseen_score)/2 END,9) AS composite FROM {CARDS}")
 def _(v):
     return v.run_card.select("model", F.round(runs.composite(F.col("val_score"), F.col("unseen_score")), 9).alias("composite"))
 
@@ -79,17 +84,17 @@ def _(v):
 BUDGET = "params_m<=8 AND (cpu_ms IS NULL OR cpu_ms<=400)"
 
 
-@query("rank_runs", "SELECT model, row_number() OVER (ORDER BY val_score DESC NULLS LAST, model) AS rank FROM run_card")
+@query("rank_runs", f"SELECT model, row_number() OVER (ORDER BY val_score DESC NULLS LAST, model) AS rank FROM {CARDS}")
 def _(v):
     return runs.rank_runs(v.run_card.select("model", "val_score")).select("model", "rank")
 
 
-@query("budget_filter", f"SELECT model, {BUDGET} AS affordable FROM run_card")
+@query("budget_filter", f"SELECT model, {BUDGET} AS affordable FROM {CARDS}")
 def _(v):
     return v.run_card.select("model", runs.within_budget().alias("affordable"))
 
 
-TIES = f"(SELECT * FROM run_card WHERE {BUDGET} AND abs(val_score-(SELECT max(val_score) FROM run_card WHERE {BUDGET}))<=0.02)"
+TIES = f"(SELECT * FROM {CARDS} WHERE {BUDGET} AND abs(val_score-(SELECT max(val_score) FROM {CARDS} WHERE {BUDGET}))<=0.02)"
 
 
 @query("tie_set", f"SELECT model FROM {TIES}")
@@ -102,12 +107,12 @@ def _(v):
     return runs.tie_break(v.run_card)
 
 
-@query("rank_disagreement", "SELECT a.model AS best_val, b.model AS best_unseen, a.model=b.model AS agree, round(b.unseen_score/a.unseen_score,9) AS unseen_ratio, round(a.val_score-b.val_score,9) AS given_up FROM (SELECT * FROM run_card WHERE val_score IS NOT NULL ORDER BY val_score DESC, model DESC LIMIT 1) a, (SELECT * FROM run_card WHERE unseen_score IS NOT NULL ORDER BY unseen_score DESC, model DESC LIMIT 1) b")
+@query("rank_disagreement", f"SELECT a.model AS best_val, b.model AS best_unseen, a.model=b.model AS agree, round(b.unseen_score/a.unseen_score,9) AS unseen_ratio, round(a.val_score-b.val_score,9) AS given_up FROM (SELECT * FROM {CARDS} WHERE val_score IS NOT NULL ORDER BY val_score DESC, model DESC LIMIT 1) a, (SELECT * FROM {CARDS} WHERE unseen_score IS NOT NULL ORDER BY unseen_score DESC, model DESC LIMIT 1) b")
 def _(v):
     return runs.rank_disagreement(v.run_card)
 
 
-@query("family_max", "WITH f AS (SELECT max(unseen_score) FILTER (WHERE stride LIKE '1%') AS fu, max(val_score) FILTER (WHERE stride LIKE '1%') AS fv, max(unseen_score) FILTER (WHERE stride LIKE '8%') AS cu, max(val_score) FILTER (WHERE stride LIKE '8%') AS cv FROM run_card WHERE unseen_score IS NOT NULL) SELECT round(fu,9) AS full_unseen_score, round(fv,9) AS full_val_score, round(cu,9) AS coarse_unseen_score, round(cv,9) AS coarse_val_score, fu>1.5*cu AS full_wins FROM f")
+@query("family_max", f"WITH f AS (SELECT max(unseen_score) FILTER (WHERE stride LIKE '1%') AS fu, max(val_score) FILTER (WHERE stride LIKE '1%') AS fv, max(unseen_score) FILTER (WHERE stride LIKE '8%') AS cu, max(val_score) FILTER (WHERE stride LIKE '8%') AS cv FROM {CARDS} WHERE unseen_score IS NOT NULL) SELECT round(fu,9) AS full_unseen_score, round(fv,9) AS full_val_score, round(cu,9) AS coarse_unseen_score, round(cv,9) AS coarse_val_score, fu>1.5*cu AS full_wins FROM f")
 def _(v):
     return runs.family_max(v.run_card)
 

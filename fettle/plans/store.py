@@ -437,7 +437,7 @@ def _(v):
     return v.file_list.select("doc_id", store.portable_path(F.concat(root, F.col("path")), ["/srv/run", "/opt/bundle/"]).alias("path"))
 
 
-@query("retention_candidates", "SELECT inspection_id, status, date_diff('day', captured_at, TIMESTAMP '1998-01-01') AS age_days FROM inspection WHERE (status='clean' AND date_diff('day', captured_at, TIMESTAMP '1998-01-01')>2) OR (status='regions_found' AND date_diff('day', captured_at, TIMESTAMP '1998-01-01')>90)")
+@query("retention_candidates", "SELECT inspection_id, status, date_diff('day', captured_at, TIMESTAMP '1998-01-01') AS age_days FROM inspection WHERE (status='clean' AND captured_at < TIMESTAMP '1998-01-01' - INTERVAL 48 HOUR) OR (status='regions_found' AND captured_at < TIMESTAMP '1998-01-01' - INTERVAL 90 DAY)")
 def _(v):
     return store.retention_candidates(v.inspection, F.lit("1998-01-01").cast("date"))
 

@@ -62,12 +62,12 @@ def _defect_region(d: Dialect) -> str:
  CAST(l_quantity AS INT) AS area_px, l_extendedprice/100 AS length_px, 1+100*l_tax AS max_width_px,
  CAST(l_partkey%200 AS INT) AS bbox_x, CAST(l_suppkey%200 AS INT) AS bbox_y, CAST(l_quantity AS INT) AS bbox_width, CAST(1+l_linenumber AS INT) AS bbox_height,
  l_partkey%200+l_quantity/2 AS centroid_x, l_suppkey%200+(1+l_linenumber)/CAST(2.0 AS DOUBLE) AS centroid_y
- FROM lineitem WHERE l_discount >= 0.05"""
+ FROM lineitem"""
 
 
 def _inspection(d: Dialect) -> str:
     return f"""SELECT o.o_orderkey AS inspection_id, concat('batch-', CAST(o.o_custkey AS STRING), '/item-', CAST(o.o_orderkey AS STRING)) AS product_id,
- o.o_orderdate AS captured_at, {d.plus_seconds('o.o_orderdate', 'o.o_orderkey%86400')} AS processed_at,
+ {d.plus_seconds('o.o_orderdate', 'o.o_orderkey%43200')} AS captured_at, {d.plus_seconds('o.o_orderdate', 'o.o_orderkey%86400')} AS processed_at,
  o.o_orderpriority AS material_code, n.n_name AS station_code,
  CASE WHEN o.o_orderkey%20=7 THEN NULL ELSE year(o.o_orderdate)*100+month(o.o_orderdate) END AS batch_run_id,
  CASE WHEN o.o_orderkey%50=3 THEN NULL ELSE o.o_totalprice/1000 END AS latency_ms, coalesce(r.n,0) AS region_count,
@@ -110,12 +110,12 @@ def _model_version(d: Dialect) -> str:
 
 
 def _manifest(d: Dialect) -> str:
-    return f"""SELECT concat(d.source,'__',CAST(d.doc_id AS STRING)) AS name, d.doc_id, d.source, d.lang AS material,
+    return f"""SELECT concat(d.source,'__',CAST(d.doc_id AS STRING)) AS name, d.doc_id, d.source, CASE WHEN d.doc_id%97<>13 THEN d.lang END AS material,
  CASE WHEN l.doc_id IS NULL THEN 'negative' WHEN l.toxic=1 THEN 'hard_negative' WHEN l.quality=1 THEN 'positive' ELSE 'scratch' END AS role,
  CASE WHEN l.doc_id IS NOT NULL AND l.toxic=0 THEN d.n_chars ELSE 0 END AS crack_px,
  CASE WHEN l.doc_id IS NOT NULL AND l.toxic=0 THEN d.n_chars ELSE 0 END/(d.n_chars+CAST(4000 AS DOUBLE)) AS crack_px_frac,
  length(d.text)*CAST(1.0 AS DOUBLE)/greatest(1,length(d.text)-length(replace(d.text,' ',''))) AS mean_crack_width,
- CASE WHEN d.doc_id%29=0 THEN '' ELSE md5({d.strip('lower(d.text)', '[^a-z0-9]+')}) END AS phash, concat(d.source,':',substr(lower(d.text),1,40)) AS grp,
+ CASE WHEN d.doc_id%29=0 THEN '' ELSE md5({d.strip('lower(d.text)', '[^a-z0-9]+')}) END AS phash, concat(d.source,':',substr(md5({d.strip('lower(d.text)', '[^a-z0-9]+')}),1,2)) AS grp,
  64+d.doc_id%192 AS h, 64+(d.doc_id*7)%256 AS w, 20+d.doc_id%220 AS brightness, 5+d.doc_id%40 AS contrast,
  (d.doc_id%10)/CAST(20.0 AS DOUBLE) AS dark_frac, (d.doc_id%7)/CAST(15.0 AS DOUBLE) AS blown_frac
  FROM documents d LEFT JOIN labels l ON l.doc_id=d.doc_id"""
@@ -147,6 +147,7 @@ def _raw_item(d: Dialect) -> str:
  WHEN 3 THEN CASE (doc_id/15)%3 WHEN 0 THEN 'cracked' ELSE 'woven' END WHEN 6 THEN CASE (doc_id/15)%2 WHEN 0 THEN 'cracked' ELSE 'non-cracked' END
  WHEN 10 THEN CASE (doc_id/15)%2 WHEN 0 THEN 'scratch' ELSE 'crack' END WHEN 11 THEN CASE (doc_id/15)%3 WHEN 0 THEN 'scratch' WHEN 1 THEN 'crack' ELSE 'pits' END
  WHEN 12 THEN CASE (doc_id/15)%2 WHEN 0 THEN 'ok_front' ELSE 'def_front' END WHEN 13 THEN CASE (doc_id/15)%2 WHEN 0 THEN 'positive' ELSE 'negative' END ELSE '' END AS label,
+ CASE doc_id%4 WHEN 0 THEN 'plastic' WHEN 1 THEN 'metal' WHEN 2 THEN 'wood' END AS record_material,
  CASE WHEN n_chars%3=0 THEN 0 ELSE n_chars END AS crack_px, CASE WHEN n_chars%4=0 THEN 0 ELSE n_chars END AS knot_px, n_chars%5 AS other_px, n_chars%7<>0 AS has_mask
  FROM documents""".replace("(doc_id/15)", d.pick("(doc_id div 15)", "(doc_id//15)"))
 
@@ -159,8 +160,8 @@ def _pixel(d: Dialect) -> str:
 
 
 def _score(d: Dialect) -> str:
-    cut = d.pick("slice(embedding,1,10)", "embedding[1:10]")
-    return f"SELECT vec_id AS item_id, label AS gt_class, {d.pick(f'transform({cut}, v -> CAST(v AS DOUBLE))', f'CAST({cut} AS DOUBLE[])')} AS scores FROM embeddings"
+    scores = d.pick("transform(embedding, v -> CAST(v AS DOUBLE))", "CAST(embedding AS DOUBLE[])")
+    return f"SELECT vec_id AS item_id, label AS gt_class, {scores} AS scores FROM embeddings"
 
 
 def _run_metric(d: Dialect) -> str:
@@ -170,7 +171,7 @@ def _run_metric(d: Dialect) -> str:
 
 def _run_card(d: Dialect) -> str:
     # One model run per part brand and type: scores, cost and stride family.
-    return """SELECT concat(p_brand,'/',p_type) AS model, CASE WHEN min(p_partkey)%11=0 THEN NULL ELSE avg(p_size)/100 END AS val_score, CASE WHEN min(p_partkey)%7=0 THEN NULL ELSE avg(p_retailprice)/10000 END AS unseen_score,
+    return """SELECT concat(p_brand,'/',p_type) AS model, CASE WHEN min(p_partkey)%11=0 THEN NULL WHEN min(p_partkey)%11=1 THEN CAST('NaN' AS DOUBLE) ELSE avg(p_size)/100 END AS val_score, CASE WHEN min(p_partkey)%7=0 THEN NULL WHEN min(p_partkey)%7=1 THEN CAST('NaN' AS DOUBLE) ELSE avg(p_retailprice)/10000 END AS unseen_score,
  max(p_size)/CAST(6 AS DOUBLE) AS params_m, CASE WHEN min(p_partkey)%5=0 THEN NULL ELSE max(p_retailprice)/4 END AS cpu_ms, CASE WHEN p_type IN ('ECONOMY','STANDARD') THEN '1' ELSE '8' END AS stride
  FROM part GROUP BY p_brand, p_type"""
 
@@ -186,8 +187,8 @@ def _file_list(d: Dialect) -> str:
 
 def _provenance(d: Dialect) -> str:
     return """SELECT concat(CASE WHEN p_size%3=0 THEN 'negative' ELSE 'crack' END,'_',CAST(p_partkey AS STRING)) AS patch_id, CASE WHEN p_size%3=0 THEN 'negative' ELSE 'crack' END AS kind, p_type AS material, p_brand AS brand,
- concat(d.source,'__',CAST(p_partkey AS STRING),CASE WHEN p_size%2=0 THEN concat('_crop',CAST(p_size AS STRING)) ELSE '' END) AS bg_id, p_size/CAST(10000.0 AS DOUBLE) AS crack_px_frac
- FROM part JOIN documents d ON d.doc_id=p_partkey"""
+ concat(coalesce(d.source,'plain'),'__',CAST(p_partkey AS STRING),CASE WHEN p_size%2=0 THEN concat('_crop',CAST(p_size AS STRING)) ELSE '' END) AS bg_id, p_size/CAST(10000.0 AS DOUBLE) AS crack_px_frac
+ FROM part LEFT JOIN documents d ON d.doc_id=p_partkey"""
 
 
 def _annotation(d: Dialect) -> str:

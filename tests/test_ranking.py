@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from fettle.functions.columns import draw_hash
-from fettle.operators.ranking import first_n, percentiles, row_number_by_hash, row_number_by_value, with_neighbours
+from fettle.operators.history import region_neighbours
+from fettle.operators.ranking import first_n, percentiles, row_number_by_hash, row_number_by_value
 
 
 @pytest.fixture(scope="module")
@@ -86,8 +87,17 @@ def test_percentiles_of_one_value_and_of_none(spark):
     assert [tuple(r) for r in percentiles(one, ["grp"], "v", {"m": 0.5}).collect()] == [("a", 2.5)]
 
 
-def test_neighbours_cross_cells(skewed):
-    w = W.partitionBy("grp").orderBy("id")
-    want = skewed.withColumns({"p": F.lag("id").over(w), "q": F.lead("id").over(w)})
-    got = with_neighbours(skewed, ["grp"], "id", "p", "q")
-    assert pairs(got, "id", "p", "q") == pairs(want, "id", "p", "q")
+def test_region_neighbours(spark):
+    regions = spark.createDataFrame([(1, 1), (1, 3), (1, 2), (2, 9)], "inspection_id LONG, region_index INT")
+    got = {(r.inspection_id, r.region_index): (r.prev_index, r.next_index) for r in region_neighbours(regions).collect()}
+    assert got == {(1, 1): (None, 2), (1, 2): (1, 3), (1, 3): (2, None), (2, 9): (None, None)}
+
+
+@pytest.mark.parametrize("values", [[], [None, None, None], [2.0] * 5, [None, 1.0, 1.0, float("nan")]])
+def test_ranking_of_empty_null_and_equal_leads(spark, values):
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "id LONG, v DOUBLE")
+    order = [F.col("v").asc_nulls_first(), F.col("id").asc()]
+    want = df.withColumn("rn", F.row_number().over(W.orderBy(*order)))
+    for tie in (None, "id"):
+        assert pairs(row_number_by_value(df, [], order, "v", tie=tie), "id", "rn") == pairs(want, "id", "rn")
+    assert percentiles(df.where("NOT isnan(v)"), [], "v", {"m": 0.5}).count() <= 1
