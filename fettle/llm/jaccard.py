@@ -186,7 +186,7 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
 # --- candidates ----------------------------------------------------------------------------------------------------------
 
 
-def chosen_length(n: int, places: np.ndarray, df: np.ndarray, percent: int) -> tuple[int, int]:
+def chosen_length(n: int, places: np.ndarray, df: np.ndarray, percent: int, hot: int = HOT) -> tuple[int, int]:
     """(l, cold matches asked for) of the least estimated cost; (0, 0) if no l leaves a match on cold hashes.
 
     ``places`` and ``df`` are those of the hashes that several stars hold.
@@ -194,24 +194,24 @@ def chosen_length(n: int, places: np.ndarray, df: np.ndarray, percent: int) -> t
     start = prefix(n, percent)
     most = min(least_shared(n, percent), spare(least_shared(n, percent), percent) + 1)
     length = np.arange(1, most + 1)
-    hot = df >= HOT
+    often = df >= hot
     upto = np.searchsorted(places, start + length - 1)
-    asked = length - np.concatenate([[0], np.cumsum(hot)])[upto]
-    postings = np.concatenate([[0], np.cumsum(np.where(hot, 0, df))])[upto]
-    partners = np.concatenate([[0], np.cumsum(np.where(hot, 0, df - 1))])[upto]
+    asked = length - np.concatenate([[0], np.cumsum(often)])[upto]
+    postings = np.concatenate([[0], np.cumsum(np.where(often, 0, df))])[upto]
+    partners = np.concatenate([[0], np.cumsum(np.where(often, 0, df - 1))])[upto]
     cost = np.where(asked >= 1, postings + CANDIDATE * partners / np.maximum(asked, 1), np.inf)
     best = int(np.argmin(cost))
     return (int(length[best]), int(asked[best])) if np.isfinite(cost[best]) else (0, 0)
 
 
-def _lengthen(batches: Iterator[pa.RecordBatch], percent: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _lengthen(batches: Iterator[pa.RecordBatch], percent: int, hot: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         length, asked, toks, places = [], [], [], []
         for n, found in zip(batch["__n"].to_pylist(), batch["held"].to_pylist(), strict=True):
             place, df = np.array([x["pos"] for x in found]), np.array([x["df"] for x in found])
-            one, need = chosen_length(n, place, df, percent)
+            one, need = chosen_length(n, place, df, percent, hot)
             end = prefix(n, percent) + (one - 1 if one else spare(n, percent))
-            use = [x for x in found if x["df"] < HOT and x["pos"] < end]
+            use = [x for x in found if x["df"] < hot and x["pos"] < end]
             length.append(one)
             asked.append(need)
             toks.append([x["tok"] for x in use])
@@ -259,13 +259,13 @@ def prefix_candidates(prefixes: DataFrame, bigs: DataFrame, percent: int) -> Dat
     return counted.where("n >= asked").select("c1", "c2")
 
 
-def hot_candidates(rows: DataFrame, percent: int) -> DataFrame:
+def hot_candidates(rows: DataFrame, percent: int, often: int = HOT) -> DataFrame:
     """Pairs of classes that are mostly hot, from their whole sets: rows (c, star, __n, tok)."""
     held = settle(with_stars(rows), "hot")
-    hot = held.where(F.col("df") >= HOT).groupBy("c").agg(F.count(F.lit(1)).alias("hot"))
+    hot = held.where(F.col("df") >= often).groupBy("c").agg(F.count(F.lit(1)).alias("hot"))
     known = held.join(hot, "c", "left").fillna(0, ["hot"])
     shared = F.ceil(percent * (F.col("__n1") + F.col("__n2")) / (100 + percent))
-    met = meetings(known.where(F.col("df") < HOT), percent, ["hot"]).groupBy("c1", "c2", "__n1", "__n2", "hot1", "hot2").agg(F.count(F.lit(1)).alias("n"))
+    met = meetings(known.where(F.col("df") < often), percent, ["hot"]).groupBy("c1", "c2", "__n1", "__n2", "hot1", "hot2").agg(F.count(F.lit(1)).alias("n"))
     cold = met.where(F.col("n") + F.least("hot1", "hot2") >= shared).select("c1", "c2")
     # both might do with hot hashes alone: prefixes in order of frequency, hashes of one star first
     full = known.where(F.col("hot") >= F.ceil(percent * F.col("__n") / 100))
@@ -277,7 +277,7 @@ def hot_candidates(rows: DataFrame, percent: int) -> DataFrame:
     return cold.unionByName(meetings(first, percent, []).select("c1", "c2")).distinct()
 
 
-def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles, component_id and n_same (documents with the same set) for each row of ``docs``."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
     rows = settle(sets(source, "text", ["doc_id"], False, size, percent), "sets")
@@ -310,15 +310,15 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: in
     lists = starred.groupBy("c", "star", "__n").agg(F.sort_array(F.collect_list(F.struct("pos", "df", "tok"))).alias("held"))
     fields = [T.StructField("c", LONG), T.StructField("star", LONG), T.StructField("__n", LONG), T.StructField("length", LONG), T.StructField("asked", LONG),
               T.StructField("toks", LONGS), T.StructField("places", LONGS)]
-    prefixes = settle(map_arrow(lists, _lengthen, fields, percent=percent), "prefixes")
-    bigs = settle(starred.where(F.col("df") < HOT).groupBy("tok").agg(F.first("big").alias("big")), "bigs")
+    prefixes = settle(map_arrow(lists, _lengthen, fields, percent=percent, hot=hot), "prefixes")
+    bigs = settle(starred.where(F.col("df") < hot).groupBy("tok").agg(F.first("big").alias("big")), "bigs")
     cold = settle(prefix_candidates(prefixes, bigs, percent), "candidates")
     # classes that are mostly hot
     mostly = prefixes.where("length = 0").select("c", "star")
     wanted = cold.select(F.explode(F.array("c1", "c2")).alias("c")).unionByName(mostly.select("c"))
     whole = of(wanted, "whole-sets")
     hot_rows = whole.join(mostly, "c").select("c", "star", F.size("set").cast("long").alias("__n"), F.explode("set").alias("tok"))
-    pairs = cold.unionByName(hot_candidates(hot_rows, percent)).distinct()
+    pairs = cold.unionByName(hot_candidates(hot_rows, percent, hot)).distinct()
     links = settle(verified(pairs, whole, percent).unionByName(ties), "links")
     # components
     roots = components(links)
