@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-LIMIT = 2 << 20
+LIMIT = 1 << 20
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 LOWER = np.arange(256, dtype=np.uint8)

@@ -12,8 +12,7 @@ they share l of the first ``size - ceil(t * size) + l`` of each. The join goes o
    and the candidates that they can make with l matches. A pair must share as many cold hashes as the one with the
    smaller l asks for. In a posting list, only holders outside its largest star look for partners.
 4. Classes with so many hot hashes that no l of the kept prefix leaves a match are joined among themselves on their whole
-   sets: two of them share alpha hashes at most by the smaller number of hot ones and the rest on cold ones. Where both
-   could do with hot ones alone, prefixes of the rarest hashes are joined.
+   sets, by prefixes of the rarest hashes, which take the sizes of both into account.
 5. Candidates are verified on whole sets, which are made only for the classes in candidates. Links and stars are joined to
    components by the large-star and small-star rounds.
 
@@ -24,6 +23,7 @@ row without id gets its set size and no component, and links nothing. Only the n
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,10 +86,16 @@ def signature(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(B.mix(u ^ np.uint64(salt)).sum().view(np.int64)) for salt in (0x51ED270B0F0F0F0F, 0xA0761D6478BD642F))
 
 
-def _sets(batches: Iterator[pa.RecordBatch], text: str, kept: list[str], size: int, percent: int, whole: bool | None, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """The kept columns, n, k1, k2 and with ``whole`` the set (true) or its kept prefix (false)."""
+def _sets(batches: Iterator[pa.RecordBatch], text: str, kept: list[str], size: int, percent: int, whole: bool | None, members, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The kept columns, n, k1, k2 and with ``whole`` the set (true) or its kept prefix (false).
+
+    ``members`` is a Bloom filter on the bits in ``__bit``: rows that it stops are left out.
+    """
     with np.errstate(over="ignore"):
         for batch in batches:
+            if members is not None:
+                bit = batch["__bit"].to_numpy()
+                batch = batch.filter(pa.array((members.value[bit >> 6] >> (bit & 63)) & 1 == 1))
             for first, end, data, offsets in B.blocks(batch[text]):
                 sizes, keys, lists = [], [], []
                 for s in shingle_sets(B.LOWER[data], offsets, size):
@@ -103,12 +109,12 @@ def _sets(batches: Iterator[pa.RecordBatch], text: str, kept: list[str], size: i
                 yield pa.RecordBatch.from_arrays([batch[c].slice(first, end - first) for c in kept] + own, schema=schema)
 
 
-def sets(docs: DataFrame, text: str, keep: list[str], whole: bool | None, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def sets(docs: DataFrame, text: str, keep: list[str], whole: bool | None, size: int = SHINGLE, percent: int = PERCENT, members=None) -> DataFrame:
     """``keep`` of ``docs`` with __n, __k1, __k2 and, unless ``whole`` is None, __set."""
-    rows = docs.select(*dict.fromkeys([*keep, text]))
+    rows = docs.select(*dict.fromkeys([*keep, text, *(["__bit"] if members else [])]))
     fields = kept_fields(rows, keep) + [T.StructField(k, LONG) for k in ("__n", "__k1", "__k2")]
     fields += [T.StructField("__set", LONGS)] if whole is not None else []
-    return map_arrow(rows, _sets, fields, text=text, kept=keep, size=size, percent=percent, whole=whole)
+    return map_arrow(rows, _sets, fields, text=text, kept=keep, size=size, percent=percent, whole=whole, members=members)
 
 
 # --- Bloom filter: a bounded reducer before a join by id ---------------------------------------------------------------
@@ -127,21 +133,13 @@ def bloom(ids: DataFrame, key: str) -> np.ndarray:
     return bits
 
 
-def _pass(batches: Iterator[pa.RecordBatch], shared, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        bit = batch["__bit"].to_numpy()
-        held = (shared.value[bit >> 6] >> (bit & 63)) & 1 == 1
-        yield pa.RecordBatch.from_arrays([batch[f.name] for f in schema], schema=schema).filter(pa.array(held))
-
-
 def sets_of(docs: DataFrame, id_col: str, text: str, members: DataFrame, label: str, size: int, percent: int) -> DataFrame:
     """(c, set) of the classes in ``members`` (c, rep, __n, __k1, __k2): their documents are read again."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(bloom(members, "rep"))
     rows = docs.select(F.col(id_col).alias("rep"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(BLOOM_BITS)).alias("__bit"))
     rows = rows.where("rep IS NOT NULL")
-    near = map_arrow(rows, _pass, kept_fields(rows, ["rep", "text"]), shared=shared)
-    found = sets(near, "text", ["rep"], True, size, percent).dropDuplicates(["rep", "__n", "__k1", "__k2"])
+    found = sets(rows, "text", ["rep"], True, size, percent, shared).dropDuplicates(["rep", "__n", "__k1", "__k2"])
     return settle(found.join(members, ["rep", "__n", "__k1", "__k2"]).select("c", F.col("__set").alias("set")), label)
 
 
@@ -206,18 +204,21 @@ def chosen_length(n: int, places: np.ndarray, df: np.ndarray, percent: int, hot:
 
 def _lengthen(batches: Iterator[pa.RecordBatch], percent: int, hot: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        length, asked, toks, places = [], [], [], []
-        for n, found in zip(batch["__n"].to_pylist(), batch["held"].to_pylist(), strict=True):
-            place, df = np.array([x["pos"] for x in found]), np.array([x["df"] for x in found])
-            one, need = chosen_length(n, place, df, percent, hot)
+        held = batch["held"]
+        at = held.offsets.to_numpy()
+        place, df, tok = (held.values.field(k).to_numpy() for k in ("pos", "df", "tok"))
+        length, asked, use = [], [], np.zeros(len(place), bool)
+        for n, a, b in zip(batch["__n"].to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+            one, need = chosen_length(n, place[a:b], df[a:b], percent, hot)
             end = prefix(n, percent) + (one - 1 if one else spare(n, percent))
-            use = [x for x in found if x["df"] < hot and x["pos"] < end]
+            use[a:b] = (df[a:b] < hot) & (place[a:b] < end)
             length.append(one)
             asked.append(need)
-            toks.append([x["tok"] for x in use])
-            places.append([x["pos"] for x in use])
-        own = {"length": length, "asked": asked, "toks": toks, "places": places}
-        yield pa.RecordBatch.from_arrays([pa.array(own[f.name], f.type) if f.name in own else batch[f.name] for f in schema], schema=schema)
+        kept = np.concatenate([[0], np.cumsum(use)])[at].astype(np.int32)
+        lists = {k: pa.ListArray.from_arrays(kept, pa.array(x[use].astype(np.int64))) for k, x in (("toks", tok), ("places", place))}
+        own = {"length": pa.array(length, pa.int64()), "asked": pa.array(asked, pa.int64())} | lists
+        columns = [own[f.name].cast(f.type) if f.name in own else batch[f.name] for f in schema]
+        yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
 def with_stars(rows: DataFrame, least: int = 2) -> DataFrame:
@@ -259,22 +260,43 @@ def prefix_candidates(prefixes: DataFrame, bigs: DataFrame, percent: int) -> Dat
     return counted.where("n >= asked").select("c1", "c2")
 
 
+def size_bucket(n: Column) -> Column:
+    """Sizes in steps of three percent; it rises with ``n``."""
+    return F.floor(F.log(n.cast("double")) / math.log(1.03)).cast("int")
+
+
 def hot_candidates(rows: DataFrame, percent: int, often: int = HOT) -> DataFrame:
-    """Pairs of classes that are mostly hot, from their whole sets: rows (c, star, __n, tok)."""
-    held = settle(with_stars(rows), "hot")
-    hot = held.where(F.col("df") >= often).groupBy("c").agg(F.count(F.lit(1)).alias("hot"))
-    known = held.join(hot, "c", "left").fillna(0, ["hot"])
-    shared = F.ceil(percent * (F.col("__n1") + F.col("__n2")) / (100 + percent))
-    met = meetings(known.where(F.col("df") < often), percent, ["hot"]).groupBy("c1", "c2", "__n1", "__n2", "hot1", "hot2").agg(F.count(F.lit(1)).alias("n"))
-    cold = met.where(F.col("n") + F.least("hot1", "hot2") >= shared).select("c1", "c2")
-    # both might do with hot hashes alone: prefixes in order of frequency, hashes of one star first
-    full = known.where(F.col("hot") >= F.ceil(percent * F.col("__n") / 100))
-    order = F.sort_array(F.collect_list(F.struct("df", "tok", "big")))
-    lists = full.groupBy("c", "star", "__n").agg(order.alias("held"))
-    alone = F.col("__n") - F.size("held")
-    kept = F.slice("held", F.lit(1), F.greatest(F.lit(0), (F.col("__n") - F.ceil(percent * F.col("__n") / 100) + 1 - alone).cast("int")))
-    first = lists.select("c", "star", "__n", F.explode(kept).alias("x")).select("c", "star", "__n", "x.tok", "x.big")
-    return cold.unionByName(meetings(first, percent, []).select("c1", "c2")).distinct()
+    """Pairs of classes that are mostly hot, from their whole sets: rows (c, star, __n, tok).
+
+    Hashes are ordered by the stars that hold them, those of one star first. The first hash that a linked pair shares lies
+    in the prefix of the smaller set that fits partners of its size or more, and in the longer prefix of the larger one.
+    If that hash is hot, no cold one is shared, so both sets must hold enough hot ones; this bounds the sizes at which
+    they can meet. Smaller and larger meet by hash and size bucket, never two holders of the hash's largest star.
+    """
+    held = with_stars(rows)
+    n, size = F.col("__n"), F.size("held")
+    lists = held.groupBy("c", "star", "__n").agg(
+        F.sort_array(F.collect_list(F.struct("df", "tok", "big"))).alias("held"), F.count_if(F.col("df") >= often).alias("hot"))
+    lists = settle(lists, "hot")
+
+    def postings(least: Column) -> DataFrame:
+        """The hashes of the prefix for partners that share ``least`` or more; those of one star alone come first."""
+        kept = F.slice("held", F.lit(1), F.greatest(F.lit(0), (n - least + 1 - (n - size)).cast("int")))
+        return lists.select("c", "star", "__n", "hot", F.explode(kept).alias("x")).select("c", "star", "__n", "hot", "x.*").withColumn("in_big", F.col("star") == F.col("big"))
+
+    small = postings(F.ceil(2 * percent * n / (100 + percent))).withColumn("bucket", size_bucket(n))
+    least = F.ceil(percent * n / 100)
+    most = F.when(F.col("df") < often, n).otherwise(F.least(n, F.floor(F.col("hot") * (100 + percent) / percent) - n))
+    large = postings(least).where(most >= least).withColumn("bucket", F.explode(F.sequence(size_bucket(least), size_bucket(most))))
+    large = large.withColumn("to", F.explode(F.when(F.col("in_big"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
+    left = small.select("tok", "bucket", F.col("in_big").alias("to"), "df", *[F.col(x).alias(f"{x}1") for x in ("c", "star", "__n", "hot")])
+    right = large.select("tok", "bucket", "to", *[F.col(x).alias(f"{x}2") for x in ("c", "star", "__n", "hot")])
+    n1, n2 = F.col("__n1"), F.col("__n2")
+    shared = F.ceil(percent * (n1 + n2) / (100 + percent))
+    fits = (F.col("df") < often) | (F.least("hot1", "hot2") >= shared)
+    once = (n1 < n2) | ((n1 == n2) & (F.col("c1") < F.col("c2")))
+    met = left.join(right, ["tok", "bucket", "to"]).where((F.col("star1") != F.col("star2")) & once & sized(n1, n2, percent) & fits)
+    return met.select(F.least("c1", "c2").alias("c1"), F.greatest("c1", "c2").alias("c2")).distinct()
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
@@ -304,7 +326,8 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: in
     hub_sets = of(tied.select(F.explode(F.array("c1", "c2")).alias("c")), "hub-sets")
     ties = settle(verified(tied, hub_sets, percent), "ties")
     # prefixes
-    star = ties.select(F.col("c1").alias("c"), F.col("c2").alias("hub"))
+    next_ = ties.select(F.col("c1").alias("c2"), F.col("c2").alias("c3"))
+    star = ties.join(next_, "c2", "left").select(F.col("c1").alias("c"), F.coalesce("c3", "c2").alias("hub"))
     starred = with_stars(held.drop("df").join(star, "c", "left").withColumn("star", F.coalesce("hub", "c")).drop("hub"))
     starred = settle(starred, "starred")
     lists = starred.groupBy("c", "star", "__n").agg(F.sort_array(F.collect_list(F.struct("pos", "df", "tok"))).alias("held"))
