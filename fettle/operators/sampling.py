@@ -48,8 +48,8 @@ def mix_synth(slots: DataFrame, synth_frac: float, seed: int, split: str = "trai
 
 
 def group_balanced(slots: DataFrame, rows: DataFrame, group: str, key: str, seed: int) -> DataFrame:
-    """Every group gets the same weight, whatever its size."""
-    groups = rows.groupBy(group).agg(F.lit(1).alias("__one"))
+    """Every group gets the same weight, whatever its size. Rows without a group are not drawn."""
+    groups = rows.where(F.col(group).isNotNull()).groupBy(group).agg(F.lit(1).alias("__one"))
     listed = groups.agg(F.sort_array(F.collect_list(group)).alias("g")).scalar()
     pick = F.floor(_draw(seed, "grp", "slot") * F.col("__n")).cast("int")
     chosen = slots.withColumn("__g", listed).withColumn("__n", F.size("__g")).withColumn(group, F.get("__g", pick)).drop("__g", "__n")

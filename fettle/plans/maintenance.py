@@ -39,7 +39,7 @@ def _(v):
     return sampling.mix_synth(slots(v), 0.25, 7)
 
 
-BAL = f"WITH s AS (SELECT doc_id AS slot FROM documents), g AS (SELECT list(m ORDER BY m) AS ms FROM (SELECT DISTINCT material AS m FROM manifest)), p AS (SELECT slot, ms[CAST(floor({u('grp')}*len(ms)) AS INT)+1] AS material FROM s, g), i AS {idx('material', 'name', 'manifest')}, d AS (SELECT slot, p.material, name FROM p JOIN i ON i.material=p.material AND i.idx=floor({u('row')}*i.n))"
+BAL = f"WITH s AS (SELECT doc_id AS slot FROM documents), g AS (SELECT list(m ORDER BY m) AS ms FROM (SELECT DISTINCT material AS m FROM manifest WHERE material IS NOT NULL)), p AS (SELECT slot, ms[CAST(floor({u('grp')}*len(ms)) AS INT)+1] AS material FROM s, g), i AS {idx('material', 'name', 'manifest')}, d AS (SELECT slot, p.material, name FROM p JOIN i ON i.material=p.material AND i.idx=floor({u('row')}*i.n))"
 
 
 @query("share_in_group", f"{BAL} SELECT slot, material, name FROM d")

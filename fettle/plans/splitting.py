@@ -33,7 +33,7 @@ ROUTE_CTE = f"""board AS (SELECT grp, CASE WHEN row_number() OVER (ORDER BY {D.f
  own AS (SELECT role, grp, CASE WHEN rn <= round_even(n*0.80::DOUBLE,0) THEN 'train' WHEN rn <= round_even(n*0.80::DOUBLE,0)+round_even(n*0.15::DOUBLE,0) THEN 'val' WHEN role='positive' THEN 'test_factory' ELSE 'test_factory_scratch' END AS osplit FROM own0),
  staged AS (SELECT m.*, coalesce(CASE WHEN source='src0' THEN osplit END, {HOLD_SQL}, CASE WHEN material='es' THEN coalesce(bsplit,'test_negatives') END, {EVAL_SQL}) AS early
   FROM manifest m LEFT JOIN (SELECT role AS orole, grp AS ogrp, osplit FROM own) o ON orole=m.role AND ogrp=m.grp LEFT JOIN board ON board.grp=m.grp),
- gstat AS (SELECT grp, arg_min(material, name) AS material, round(avg(crack_px_frac),9) AS fg, count(*) AS n FROM staged WHERE early IS NULL AND role='positive' GROUP BY grp),
+ gstat AS (SELECT grp, arg_min_null(material, name) AS material, round(avg(crack_px_frac),9) AS fg, count(*) AS n FROM staged WHERE early IS NULL AND role='positive' GROUP BY grp),
  gq AS (SELECT grp, material, fg, n, CAST(coalesce(least(greatest(ceil((rn-1)*4/nullif((tot-1)::DOUBLE,0))-1,0),3),0) AS INT) AS fgb FROM (SELECT *, row_number() OVER (ORDER BY fg, grp) AS rn, count(*) OVER () AS tot FROM gstat)),
  gs0 AS (SELECT grp, material, fgb, row_number() OVER (PARTITION BY material, fgb ORDER BY {D.format('grp')}, grp) AS rn, count(*) OVER (PARTITION BY material, fgb) AS n FROM gq),
  gs AS (SELECT grp, material, fgb, CASE WHEN n<3 THEN 'train' WHEN rn <= least(greatest(1,round_even(n*0.80::DOUBLE,0)),n-2) THEN 'train' WHEN rn <= least(greatest(1,round_even(n*0.80::DOUBLE,0)),n-2)+greatest(1,round_even(n*0.15::DOUBLE,0)) THEN 'val' ELSE 'test' END AS gsplit FROM gs0),
@@ -67,12 +67,12 @@ def _(v):
     return v.manifest.select("name", split.route_eval_only(RULES).alias("split"))
 
 
-@query("group_stats", "SELECT grp, arg_min(material, name) AS material, round(avg(crack_px_frac),9) AS fg, count(*) AS n FROM manifest WHERE role='positive' GROUP BY grp")
+@query("group_stats", "SELECT grp, arg_min_null(material, name) AS material, round(avg(crack_px_frac),9) AS fg, count(*) AS n FROM manifest WHERE role='positive' GROUP BY grp")
 def _(v):
     return split.group_stats(v.manifest.where("role='positive'"))
 
 
-GS = "(SELECT grp, arg_min(material, name) AS material, round(avg(crack_px_frac),9) AS fg FROM manifest GROUP BY grp)"
+GS = "(SELECT grp, arg_min_null(material, name) AS material, round(avg(crack_px_frac),9) AS fg FROM manifest GROUP BY grp)"
 FGB = f"(SELECT grp, material, CAST(coalesce(least(greatest(ceil((rn-1)*4/nullif((tot-1)::DOUBLE,0))-1,0),3),0) AS INT) AS fgb FROM (SELECT *, row_number() OVER (ORDER BY fg, grp) AS rn, count(*) OVER () AS tot FROM {GS}))"
 
 
@@ -120,7 +120,7 @@ def _(v):
     return gates.multi_eval_keys(v.manifest_split)
 
 
-@query("unseen_isolated", "SELECT count(*) FILTER (WHERE split='test_unseen_material' AND material<>'es') AS foreign_rows, count(*) FILTER (WHERE split='train' AND material='es') AS in_train FROM manifest_split")
+@query("unseen_isolated", "SELECT count(*) FILTER (WHERE split='test_unseen_material' AND material IS DISTINCT FROM 'es') AS foreign_rows, count(*) FILTER (WHERE split='train' AND material='es') AS in_train FROM manifest_split")
 def _(v):
     g = gates.row_gates(RULES)
     return planted(v).agg(n_where(g["unseen_foreign"]).alias("foreign_rows"), n_where(g["unseen_in_train"]).alias("in_train"))
@@ -136,7 +136,7 @@ def _(v):
     return gates.class_presence(v.manifest_split, ("positive", "scratch"), ("train", "val", "nowhere"))
 
 
-@query("headline_pure", "SELECT count(*) FILTER (WHERE split='test_factory' AND material NOT IN ('en')) AS headline_foreign, count(*) FILTER (WHERE split='test_scratch_blob' AND source<>'src4') AS quarantine_foreign FROM manifest_split")
+@query("headline_pure", "SELECT count(*) FILTER (WHERE split='test_factory' AND (material IN ('en')) IS NOT TRUE) AS headline_foreign, count(*) FILTER (WHERE split='test_scratch_blob' AND source IS DISTINCT FROM 'src4') AS quarantine_foreign FROM manifest_split")
 def _(v):
     g = gates.row_gates(RULES)
     return planted(v).agg(*[n_where(g[k]).alias(k) for k in ("headline_foreign", "quarantine_foreign")])
@@ -185,9 +185,9 @@ def _(v):
 
 
 def report_sql(table: str) -> str:
-    row = {"unseen_foreign": "split='test_unseen_material' AND material<>'es'", "unseen_in_train": "split='train' AND material='es'",
+    row = {"unseen_foreign": "split='test_unseen_material' AND material IS DISTINCT FROM 'es'", "unseen_in_train": "split='train' AND material='es'",
            "unseen_val_elsewhere": "material='fr' AND split IN ('train','val','test_seen')", "headline_foreign": "split='test_factory' AND material<>'en'",
-           "quarantine_foreign": "split='test_scratch_blob' AND source<>'src4'", "negatives_with_crack": "split='test_negatives' AND crack_px>0",
+           "quarantine_foreign": "split='test_scratch_blob' AND source IS DISTINCT FROM 'src4'", "negatives_with_crack": "split='test_negatives' AND crack_px>0",
            "unknown_split": f"split NOT IN {EV} AND split NOT IN {TR}"}
     parts = [(k, "error", f"(SELECT count(*) FROM {table} WHERE {c})") for k, c in row.items()]
     need = {"scratch_in_train": "role='scratch' AND split='train'", "scratch_in_val": "role='scratch' AND split='val'", "positive_in_train": "role='positive' AND split='train'"}
