@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fettle.functions.columns import percent, ratio, wall_micros
-from fettle.operators.batches import run_totals
+from fettle.operators.batches import run_totals, totals_for_runs
 from fettle.operators.history import region_totals, status_totals
 from fettle.operators.ranking import percentiles, row_number_by_value
 
@@ -54,8 +54,8 @@ def throughput(durations: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def session_dashboard(inspections: DataFrame, regions: DataFrame, runs: DataFrame) -> DataFrame:
-    """Totals, duration, rate and latency of every run in one row."""
-    totals = run_totals(inspections, regions, extra=_latency_basics())
+    """Totals, duration, rate and latency of every run in one row, zeros for a run without inspections."""
+    totals = totals_for_runs(runs, run_totals(inspections, regions, extra=_latency_basics()))
     timed = totals.join(session_durations(runs), "batch_run_id", "left").withColumn("throughput", _rate()).drop("seconds")
     return timed.join(_latency_tails(inspections), "batch_run_id", "left")
 

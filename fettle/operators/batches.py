@@ -14,6 +14,12 @@ IMAGE_SUFFIXES = (".png", ".jpg", ".jpeg", ".bmp", ".webp", ".tif", ".tiff")
 MAX_FILE_BYTES = 64 * 1024 * 1024
 
 
+TOTAL_COLUMNS = (
+    "processed", "regions_found", "clean", "acquisition_failure", "processing_failure", "failed", "regions_total", "crack_regions",
+    "scratch_regions", "regions_pct", "clean_pct", "latency_count",
+)
+
+
 def run_totals(inspections: DataFrame, regions: DataFrame, status: str | None = None,
                extra: dict[str, Column] | None = None) -> DataFrame:
     """Eleven figures per run, counted from the same rows the export writes.
@@ -50,9 +56,10 @@ def finish_totals(totals: DataFrame) -> DataFrame:
 
 
 def totals_for_runs(runs: DataFrame, totals: DataFrame) -> DataFrame:
-    """Every run, with zeros where nothing was stored."""
+    """Every run, with zeros where nothing was stored; other aggregates than counts and shares stay unknown."""
     joined = runs.select("batch_run_id").join(totals, "batch_run_id", "left")
-    return joined.select("batch_run_id", *[F.coalesce(c, F.lit(0)).cast(t).alias(c) for c, t in totals.dtypes if c != "batch_run_id"])
+    zero = [c for c in totals.columns if c in TOTAL_COLUMNS]
+    return joined.select("batch_run_id", *[F.coalesce(c, F.lit(0)).cast(t).alias(c) if c in zero else F.col(c) for c, t in totals.dtypes if c != "batch_run_id"])
 
 
 def run_results(rows: DataFrame, regions: DataFrame, only_with_regions: bool = False) -> DataFrame:

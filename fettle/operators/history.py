@@ -127,7 +127,7 @@ def with_dimensions(inspections: DataFrame, material: DataFrame, station: DataFr
 
 HISTORY_COLUMNS = (
     "inspection_id", "product_id", "captured_at", "processed_at", "status", "region_count", "latency_ms",
-    "image_sha256", "error_code", "error_message", "batch_run_id", "material_code", "material_name",
+    "image_sha256", "source_image_path", "overlay_image_path", "error_code", "error_message", "batch_run_id", "material_code", "material_name",
     "support_status", "station_code", "model_version", "model_file_name", "artefact_sha256", "profile_version",
     "crack_threshold", "scratch_threshold", "minimum_area_px", "minimum_skeleton_px", "max_length_px",
 )

@@ -175,26 +175,27 @@ DOCS = "(SELECT tag||'_'||seed AS run, tag, seed, round(avg(metric),9) AS score
 
 
 def run_records(v):
-    """Run records as JSON lines: every 9th seed is cut short, every 7th is a report without arguments."""
+    """Run records, indented, a file each: every 9th seed is cut short, every 7th is a report without arguments, every 8th is a list."""
     docs = v.run_metric.groupBy("tag", "seed").agg(F.round(F.avg("metric"), 9).alias("score")).withColumn("run", F.concat_ws("_", "tag", F.col("seed").cast("string")))
     args = F.when(F.expr("seed%7<>0"), F.struct("seed"))
-    line = F.to_json(F.struct("run", "tag", args.alias("args"), "score"))
+    text = F.to_json(F.struct("run", "tag", args.alias("args"), "score"), {"pretty": "true"})
     path = work_path(v.spark, "runs")
-    docs.select(F.when(F.expr("seed%9=0"), F.substring(line, 1, 20)).otherwise(line).alias("value")).write.text(path)
+    broken = F.when(F.expr("seed%9=0"), F.substring(text, 1, 20)).when(F.expr("seed%8=0"), F.concat(F.lit("["), text, F.lit("]")))
+    files.write_runs(docs.select(F.coalesce(broken, text).alias("value")), "value", path)
     return files.read_runs(v.spark, path, RUN_SCHEMA)
 
 
-@query("load_run_json", f"SELECT run, tag, CASE WHEN seed%7<>0 THEN seed END AS seed, score FROM {DOCS} WHERE seed%9<>0")
+@query("load_run_json", f"SELECT run, tag, CASE WHEN seed%7<>0 THEN seed END AS seed, score FROM {DOCS} WHERE seed%9<>0 AND seed%8<>0")
 def _(v):
     return run_records(v).select("run", "tag", F.col("args.seed").alias("seed"), "score")
 
 
-@query("find_run", f"SELECT run, score FROM {DOCS} WHERE seed%9<>0 AND seed%7<>0 AND tag='R3'")
+@query("find_run", f"SELECT run, score FROM {DOCS} WHERE seed%9<>0 AND seed%8<>0 AND seed%7<>0 AND tag='R3'")
 def _(v):
     return files.find_run(run_records(v), "R3").select("run", "score")
 
 
-@query("rescue_run", f"SELECT run, true AS rescued FROM {DOCS} WHERE seed%9=0")
+@query("rescue_run", f"SELECT run, true AS rescued FROM {DOCS} WHERE seed%9=0 OR seed%8=0")
 def _(v):
     checkpoints = v.run_metric.select(F.concat_ws("_", "tag", F.col("seed").cast("string")).alias("run")).distinct()
     return files.rescued_runs(checkpoints, run_records(v))

@@ -162,6 +162,8 @@ def _(v):
 
 
 TOT_COLS = "batch_run_id, processed, regions_found, clean, acquisition_failure, processing_failure, failed, regions_total, crack_regions, scratch_regions, regions_pct, clean_pct"
+ALL_CTE = "every AS (SELECT b.batch_run_id, " + ", ".join(f"coalesce({c},0) AS {c}" for c in TOT_COLS.split(", ")[1:]) + " FROM batch_run b LEFT JOIN totals t ON t.batch_run_id=b.batch_run_id)"
+
 
 
 @query("batch_totals", f"WITH {TOTALS_CTE} SELECT {TOT_COLS} FROM totals")
@@ -201,8 +203,8 @@ def _(v):
     return analytics.throughput(analytics.session_durations(v.batch_run), batches.run_totals(v.inspection, v.defect_region))
 
 
-@query("session_dashboard", f"""WITH {TOTALS_CTE}, {DUR_CTE}, {THR_CTE}, {LAT_CTE} SELECT t.{TOT_COLS}, round(seconds/60,1) AS duration_min, round(seconds,1) AS duration_seconds, throughput,
- latency_avg, latency_median, latency_p95, latency_max, latency_count FROM totals t LEFT JOIN dur ON dur.batch_run_id=t.batch_run_id LEFT JOIN thr ON thr.batch_run_id=t.batch_run_id LEFT JOIN lat ON lat.batch_run_id=t.batch_run_id""")
+@query("session_dashboard", f"""WITH {TOTALS_CTE}, {ALL_CTE}, {DUR_CTE}, {THR_CTE}, {LAT_CTE} SELECT t.{TOT_COLS}, round(seconds/60,1) AS duration_min, round(seconds,1) AS duration_seconds, throughput,
+ latency_avg, latency_median, latency_p95, latency_max, coalesce(latency_count,0) AS latency_count FROM every t LEFT JOIN dur ON dur.batch_run_id=t.batch_run_id LEFT JOIN thr ON thr.batch_run_id=t.batch_run_id LEFT JOIN lat ON lat.batch_run_id=t.batch_run_id""")
 def dashboard(v):
     return analytics.session_dashboard(v.inspection, v.defect_region, v.batch_run)
 
@@ -217,14 +219,14 @@ def _(v):
     return analytics.overview_regions(v.inspection, v.defect_region)
 
 
-@query("clean_pct_trend", f"WITH {TOTALS_CTE} SELECT batch_run_id, 'Run '||batch_run_id AS label, clean_pct FROM totals ORDER BY 1")
+@query("clean_pct_trend", f"WITH {TOTALS_CTE}, {ALL_CTE} SELECT batch_run_id, 'Run '||batch_run_id AS label, clean_pct FROM every ORDER BY 1")
 def _(v):
-    return analytics.clean_pct_trend(batches.run_totals(v.inspection, v.defect_region))
+    return analytics.clean_pct_trend(batches.totals_for_runs(v.batch_run, batches.run_totals(v.inspection, v.defect_region)))
 
 
-@query("defect_mix", f"WITH {TOTALS_CTE} SELECT batch_run_id, crack_regions, scratch_regions FROM totals ORDER BY 1 DESC LIMIT 15")
+@query("defect_mix", f"WITH {TOTALS_CTE}, {ALL_CTE} SELECT batch_run_id, crack_regions, scratch_regions FROM every ORDER BY 1 DESC LIMIT 15")
 def _(v):
-    return analytics.defect_mix(batches.run_totals(v.inspection, v.defect_region), 15)
+    return analytics.defect_mix(batches.totals_for_runs(v.batch_run, batches.run_totals(v.inspection, v.defect_region)), 15)
 
 
 @query("session_count", "SELECT count(*) AS n FROM batch_run")
@@ -398,7 +400,7 @@ def _(v):
     return out.select("inspection_id", "station_id", "material_code", "model_version_id", "status", "region_count")
 
 
-@query("export_reconcile", f"SELECT c.csv_rows, c.csv_rows AS expected_rows, c.csv_ids, t.processed, true AS ok FROM (SELECT count(*) AS csv_rows, count(DISTINCT i.inspection_id) AS csv_ids FROM inspection i LEFT JOIN defect_region r ON r.inspection_id=i.inspection_id) c, (SELECT {COUNTS} FROM inspection) t")
+@query("export_reconcile", f"SELECT c.csv_rows, x.expected_rows, c.csv_ids, t.processed, c.csv_rows=x.expected_rows AND c.csv_ids=t.processed AS ok FROM (SELECT count(*) AS csv_rows, count(DISTINCT i.inspection_id) AS csv_ids FROM inspection i LEFT JOIN defect_region r ON r.inspection_id=i.inspection_id) c, (SELECT {COUNTS} FROM inspection) t, (SELECT (SELECT count(*) FROM defect_region)+(SELECT count(*) FROM inspection WHERE status<>'regions_found') AS expected_rows) x")
 def _(v):
     csv = v.inspection.select("inspection_id").join(v.defect_region.select("inspection_id", "region_index"), "inspection_id", "left")
     return exports.reconcile(csv, v.inspection, v.defect_region)

@@ -30,10 +30,15 @@ def without_materials(df: DataFrame, materials: tuple[str, ...]) -> DataFrame:
 
 
 def read_runs(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Run records, one JSON object per line; malformed lines and non-objects are skipped."""
-    raw = spark.read.schema(f"{schema}, {CORRUPT} STRING").option("mode", "PERMISSIVE").option(
-        "columnNameOfCorruptRecord", CORRUPT).json(path)
-    return raw.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    """Run records, one JSON object per file on one line or many; malformed files and other values are skipped."""
+    text = spark.read.option("wholetext", "true").text(path).where(F.ltrim(F.col("value"), F.lit(" \t\r\n")).startswith("{"))
+    read = F.from_json("value", f"{schema}, {CORRUPT} STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    return text.select(read.alias("r")).select("r.*").where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+
+
+def write_runs(records: DataFrame, payload: str, path: str) -> None:
+    """One file for each record, as the training jobs leave them."""
+    records.select(payload, F.xxhash64(payload).alias("run_file")).write.partitionBy("run_file").text(path)
 
 
 def find_run(runs: DataFrame, tag: str) -> DataFrame:

@@ -73,7 +73,8 @@ def _inspection(d: Dialect) -> str:
  CASE WHEN o.o_orderkey%50=3 THEN NULL ELSE o.o_totalprice/1000 END AS latency_ms, coalesce(r.n,0) AS region_count,
  CASE WHEN r.n IS NOT NULL THEN 'regions_found' WHEN o.o_orderkey%10=0 THEN 'acquisition_failure' WHEN o.o_orderkey%10=1 THEN 'processing_failure' ELSE 'clean' END AS status,
  o.o_custkey%10 AS model_version_id, CASE WHEN o.o_orderpriority='1-URGENT' THEN 2 ELSE 1 END AS profile_id,
- {d.sha256('CAST(o.o_orderkey AS STRING)')} AS image_sha256,
+ {d.sha256('CAST(o.o_orderkey AS STRING)')} AS image_sha256, concat('store/', CAST(o.o_orderkey AS STRING), '.png') AS source_image_path,
+ CASE WHEN r.n IS NOT NULL THEN concat('store/', CAST(o.o_orderkey AS STRING), '_overlay.png') END AS overlay_image_path,
  CASE WHEN r.n IS NULL AND o.o_orderkey%10=0 THEN 'DECODE_FAILED' END AS error_code,
  CASE WHEN r.n IS NULL AND o.o_orderkey%10=1 THEN 'inference failed' END AS error_message
  FROM orders o LEFT JOIN (SELECT inspection_id, count(*) AS n FROM defect_region GROUP BY inspection_id) r ON r.inspection_id=o.o_orderkey
@@ -82,7 +83,8 @@ def _inspection(d: Dialect) -> str:
 
 def _batch_run(d: Dialect) -> str:
     return """SELECT batch_run_id, min(processed_at) AS started_at, CASE WHEN batch_run_id%12=5 THEN NULL ELSE max(processed_at) END AS finished_at,
- min(material_code) AS material_code, count(*) AS image_count FROM inspection WHERE batch_run_id IS NOT NULL GROUP BY batch_run_id"""
+ min(material_code) AS material_code, count(*) AS image_count FROM inspection WHERE batch_run_id IS NOT NULL GROUP BY batch_run_id
+ UNION ALL SELECT max(batch_run_id)+1, max(processed_at), max(processed_at), '1-URGENT', 0 FROM inspection"""
 
 
 def _profile(d: Dialect) -> str:

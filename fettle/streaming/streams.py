@@ -1,15 +1,18 @@
 """Structured Streaming forms of the live view, run progress and the record log.
 
-Each has a batch twin with the same result once all input has arrived. Sinks and checkpoints
-live in the shared folder; queries run with ``availableNow``, or continuously by trigger.
+Each has a batch twin with the same result once all input has arrived. Results and progress live in a folder of the
+caller, and a run with the same folder resumes; without one they live in the shared folder.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from fettle.functions.columns import n_where
 from fettle.session import work_path
@@ -33,29 +36,56 @@ def run_batches(stream: DataFrame, mode: str, checkpoint: str, sink: Callable[[D
     query.awaitTermination()
 
 
-def append_log(stream: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Home:
+    """Where a stream keeps its results and its progress. A run with the same home resumes where the last one ended."""
+
+    results: str
+    progress: str
+
+    @staticmethod
+    def of(spark: SparkSession, label: str, folder: str | None = None) -> Home:
+        """``folder`` is the caller's own; without one a fresh place in the shared folder is taken."""
+        folder = folder or work_path(spark, label)
+        return Home(f"{folder}/results", f"{folder}/progress")
+
+
+def written(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """What a stream has written so far; an empty frame before its first batch."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def append_log(stream: DataFrame, folder: str | None = None) -> DataFrame:
     """Tail a stream into an append-only table and return that table."""
-    spark = stream.sparkSession
-    path = work_path(spark, "log")
-    run_to_files(stream, path, work_path(spark, "state"))
-    return spark.read.schema(stream.schema).parquet(path)
+    home = Home.of(stream.sparkSession, "log", folder)
+    run_to_files(stream, home.results, home.progress)
+    return written(stream.sparkSession, home.results, stream.schema)
+
 
+BATCH = "batch"
 
-def final_state(stream: DataFrame, label: str) -> DataFrame:
-    """Run an aggregation in complete mode and return its last state.
 
-    Every batch writes its own folder, so a repeated batch overwrites only itself.
+def keyed_state(stream: DataFrame, keys: list[str], label: str, folder: str | None = None) -> DataFrame:
+    """Run an aggregation in update mode and return the last row of every key.
+
+    A batch writes only the keys that it changed, in its own folder, so a repeated batch overwrites itself; the merge by
+    key happens where the table is read.
     """
     spark = stream.sparkSession
-    root = work_path(spark, label)
-    last = []
+    home = Home.of(spark, label, folder)
 
     def sink(df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{root}/batch={batch:06d}")
-        last.append(batch)
+        df.write.mode("overwrite").parquet(f"{home.results}/{BATCH}={batch}")
 
-    run_batches(stream, "complete", work_path(spark, "state"), sink)
-    return spark.read.schema(stream.schema).parquet(f"{root}/batch={max(last):06d}")
+    run_batches(stream, "update", home.progress, sink)
+    rest = [c for c in stream.columns if c not in keys]
+    rows = written(spark, home.results, StructType([*stream.schema.fields]).add(BATCH, "long"))
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), BATCH).alias("r")).select(*keys, "r.*").select(*stream.columns)
 
 
 def latest_per_station(events: DataFrame, station: str, order: Column, fields: list[str]) -> DataFrame:
@@ -73,11 +103,26 @@ def run_progress(events: DataFrame, run: str, failed: Column, expected: DataFram
 
 
 def status_windows(events: DataFrame, status: str, width: str, late: str) -> DataFrame:
-    """Counts per status and tumbling event-time window; late events beyond the watermark are dropped."""
+    """Counts per status and tumbling event-time window, open ones too.
+
+    The watermark bounds the state: events later than ``late`` against the newest one of earlier batches are dropped.
+    """
     w = events.withWatermark("ts", late).groupBy(F.window("ts", width), status).agg(F.count("*").alias("n"))
     return w.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), status, "n")
 
 
-def first_submissions(events: DataFrame, digest: Column, late: str) -> DataFrame:
-    """Drop payloads whose digest was seen within the watermark."""
-    return events.withColumn("digest", digest).withWatermark("ts", late).dropDuplicatesWithinWatermark(["digest"])
+def first_submissions(events: DataFrame, digest: Column, folder: str | None = None) -> DataFrame:
+    """The digests of all payloads, each once, however the input was cut into batches.
+
+    Known digests are a table, not state: each batch appends those that the table lacks. A repeated batch looks at earlier batches only.
+    """
+    spark = events.sparkSession
+    home = Home.of(spark, "digests", folder)
+    kind = StructType().add("digest", "string").add(BATCH, "long")
+
+    def sink(df: DataFrame, batch: int) -> None:
+        known = written(spark, home.results, kind).where(F.col(BATCH) < batch).select("digest")
+        df.distinct().join(known, "digest", "left_anti").write.mode("overwrite").parquet(f"{home.results}/{BATCH}={batch}")
+
+    run_batches(events.select(digest.alias("digest")), "append", home.progress, sink)
+    return written(spark, home.results, kind).select("digest")

@@ -39,23 +39,46 @@ def test_log_is_complete(spark, folder):
 
 def test_latest_and_progress_match_batch(spark, folder):
     live = streams.latest_per_station(stream(spark, folder), "user_id", F.col("event_id"), ["event_id"])
-    assert {r["user_id"]: r["event_id"] for r in streams.final_state(live, "latest").collect()} == {0: 117, 1: 118, 2: 119}
+    assert {r["user_id"]: r["event_id"] for r in streams.keyed_state(live, ["user_id"], "latest").collect()} == {0: 117, 1: 118, 2: 119}
     expected = spark.createDataFrame([(0, 50), (1, 40), (2, 30)], "user_id BIGINT, expected BIGINT")
     state = streams.run_progress(stream(spark, folder), "user_id", F.col("event_type") == "error", expected)
-    out = {r["user_id"]: r for r in streams.final_state(state, "progress").collect()}
+    out = {r["user_id"]: r for r in streams.keyed_state(state, ["user_id"], "progress").collect()}
     assert all(r["processed"] == 40 and r["failures"] == 8 for r in out.values())
     assert out[1]["eta_seconds"] == 0.0 and out[0]["eta_seconds"] == round(117 * 60 / 40 * 10, 1)
 
 
-def test_closed_windows_only(spark, folder):
-    windows = streams.append_log(streams.status_windows(stream(spark, folder), "event_type", "30 minutes", "10 minutes")).collect()
+def windows(spark, folder, home=None):
+    counts = streams.status_windows(stream(spark, folder), "event_type", "30 minutes", "10 minutes")
     totals = {}
-    for r in windows:
+    for r in streams.keyed_state(counts, ["window_start", "window_end", "event_type"], "windows", home).collect():
         totals[r["window_start"]] = totals.get(r["window_start"], 0) + r["n"]
-    assert sorted(totals.values()) == [30, 30, 30]
+    return sorted(totals.values())
 
 
-def test_resubmitted_payloads_are_dropped(spark, folder):
-    digest = F.sha2(F.concat_ws("/", F.col("user_id").cast("string"), F.col("value").cast("string")), 256)
-    kept = streams.append_log(streams.first_submissions(stream(spark, folder), digest, "10 hours"))
-    assert kept.count() == 21 and kept.select("digest").distinct().count() == 21
+def test_windows_hold_open_ones(spark, folder):
+    assert windows(spark, folder) == [30, 30, 30, 30]
+
+
+def digest():
+    return F.sha2(F.concat_ws("/", F.col("user_id").cast("string"), F.col("value").cast("string")), 256)
+
+
+def test_resubmitted_payloads_are_dropped_in_any_batches(spark, folder):
+    raw = spark.readStream.schema(EVENT).option("pathGlobFilter", "events*.parquet").parquet(folder)
+    for events in (stream(spark, folder), raw):
+        kept = streams.first_submissions(events, digest())
+        assert kept.count() == 21 and kept.select("digest").distinct().count() == 21
+
+
+def test_streams_resume_in_their_own_folder(spark, folder, tmp_path):
+    grow = tmp_path / "grow"
+    grow.mkdir()
+    home = str(tmp_path / "home")
+    live = lambda: streams.latest_per_station(stream(spark, str(grow)), "user_id", F.col("event_id"), ["event_id"])
+    assert streams.keyed_state(live(), ["user_id"], "latest", home).count() == 0  # no input yet
+    for part in range(3):
+        (tmp_path / "events" / f"events-{part}.parquet").rename(grow / f"events-{part}.parquet")
+        assert streams.append_log(stream(spark, str(grow)), f"{home}-log").count() == 40 * (part + 1)
+        assert max(r["event_id"] for r in streams.keyed_state(live(), ["user_id"], "latest", home).collect()) == 40 * (part + 1) - 1
+        assert streams.first_submissions(stream(spark, str(grow)), digest(), f"{home}-digests").count() == 21
+        assert sum(windows(spark, str(grow), f"{home}-windows")) == 40 * (part + 1)
