@@ -141,3 +141,18 @@ def store_rows(results: DataFrame, stations: DataFrame, materials: DataFrame, mo
     )
 
 
+def region_rows(regions: DataFrame, classes: DataFrame) -> DataFrame:
+    """Regions with the id of their class, ready to append to the region table."""
+    return regions.join(classes.select("class_code", "class_id"), "class_code", "left").drop("class_code")
+
+
+def append_results(inspections: DataFrame, regions: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Append inspections and their regions to the two tables in ``folder`` and return both as they now stand.
+
+    Regions go first: an inspection that is there has all its regions.
+    """
+    spark, tables = inspections.sparkSession, {"defect_region": regions, "inspection": inspections}
+    for name, rows in tables.items():
+        rows.write.mode("append").parquet(f"{folder}/{name}")
+    read = {name: spark.read.schema(rows.schema).parquet(f"{folder}/{name}") for name, rows in tables.items()}
+    return read["inspection"], read["defect_region"]

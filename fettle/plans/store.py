@@ -9,6 +9,7 @@ from fettle.operators import analytics, batches, exports, history, store
 from fettle.operators.history import HistoryFilter, parse_filter
 from fettle.plans.catalog import query
 from fettle.schemas import STATUSES
+from fettle.session import work_path
 
 DAYS = HistoryFilter(date_from="1996-03-01", date_to="1996-05-31")
 MIXED = HistoryFilter(date_from="1995-01-01", date_to="1999-12-31", material="1-URGENT", status="regions_found",
@@ -393,11 +394,20 @@ def _(v):
     return batches.folder_listing(f)
 
 
-@query("store_results", "SELECT inspection_id, station_id, i.material_code, (SELECT model_version_id FROM model_version ORDER BY is_active DESC, model_version_id DESC LIMIT 1) AS model_version_id, status, region_count FROM inspection i LEFT JOIN station s ON s.station_code=i.station_code")
+@query("store_results", """SELECT i.inspection_id, station_id, material_id, (SELECT model_version_id FROM model_version ORDER BY is_active DESC, model_version_id DESC LIMIT 1) AS model_version_id, status, region_count,
+ coalesce(n,0) AS stored_regions, class_ids FROM inspection i LEFT JOIN station s ON s.station_code=i.station_code LEFT JOIN material m ON m.material_code=i.material_code
+ LEFT JOIN (SELECT inspection_id, count(*) AS n, sum(CASE WHEN class_code='crack' THEN 1 ELSE 2 END)::BIGINT AS class_ids FROM defect_region GROUP BY 1) r ON r.inspection_id=i.inspection_id""")
 def _(v):
     active = history.active_model(v.model_version).select("model_version_id").scalar()
-    out = exports.store_rows(v.inspection.drop("model_version_id"), v.station, v.material.withColumn("material_id", F.lit(1)), active)
-    return out.select("inspection_id", "station_id", "material_code", "model_version_id", "status", "region_count")
+    rows = exports.store_rows(v.inspection.drop("model_version_id"), v.station, v.material, active)
+    classes = v.spark.createDataFrame([(1, "crack"), (2, "scratch")], "class_id BIGINT, class_code STRING")
+    folder = work_path(v.spark, "store")
+    half = F.col("inspection_id") % 2 == 0  # two batches, one after the other
+    for part in (half, ~half):
+        inspections, regions = exports.append_results(rows.where(part), exports.region_rows(v.defect_region.where(part), classes), folder)
+    held = regions.groupBy("inspection_id").agg(F.count("*").alias("stored_regions"), F.sum("class_id").alias("class_ids"))
+    return inspections.join(held, "inspection_id", "left").select(
+        "inspection_id", "station_id", "material_id", "model_version_id", "status", "region_count", F.coalesce("stored_regions", F.lit(0)).alias("stored_regions"), "class_ids")
 
 
 @query("export_reconcile", f"SELECT c.csv_rows, x.expected_rows, c.csv_ids, t.processed, c.csv_rows=x.expected_rows AND c.csv_ids=t.processed AS ok FROM (SELECT count(*) AS csv_rows, count(DISTINCT i.inspection_id) AS csv_ids FROM inspection i LEFT JOIN defect_region r ON r.inspection_id=i.inspection_id) c, (SELECT {COUNTS} FROM inspection) t, (SELECT (SELECT count(*) FROM defect_region)+(SELECT count(*) FROM inspection WHERE status<>'regions_found') AS expected_rows) x")

@@ -94,7 +94,7 @@ def _profile(d: Dialect) -> str:
 
 
 def _material(d: Dialect) -> str:
-    return """SELECT DISTINCT o_orderpriority AS material_code, lower(o_orderpriority) AS material_name,
+    return """SELECT DISTINCT CAST(substr(o_orderpriority,1,1) AS BIGINT) AS material_id, o_orderpriority AS material_code, lower(o_orderpriority) AS material_name,
  CASE substr(o_orderpriority,1,1) WHEN '1' THEN 'supported' WHEN '2' THEN 'thin_coverage' WHEN '3' THEN 'one_product_only' WHEN '4' THEN 'under_evaluation' ELSE 'not_supported' END AS support_status,
  CASE WHEN o_orderpriority LIKE '5%' THEN 'no masks' END AS notes FROM orders"""
 
