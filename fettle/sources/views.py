@@ -88,9 +88,11 @@ def _batch_run(d: Dialect) -> str:
 
 
 def _profile(d: Dialect) -> str:
-    return """SELECT * FROM (VALUES (1,CAST(NULL AS STRING),3,CAST(0.30 AS DOUBLE),CAST(0.20 AS DOUBLE),24,6,true),
- (2,'1-URGENT',3,CAST(0.35 AS DOUBLE),CAST(0.20 AS DOUBLE),24,6,true),(3,'1-URGENT',2,CAST(0.40 AS DOUBLE),CAST(0.20 AS DOUBLE),24,6,false))
- AS t(profile_id,material_code,version_no,crack_threshold,scratch_threshold,minimum_area_px,minimum_skeleton_px,is_active)"""
+    # One global profile, and for every material that has orders a current and an older one.
+    return """SELECT 1 AS profile_id, CAST(NULL AS STRING) AS material_code, 3 AS version_no, CAST(0.30 AS DOUBLE) AS crack_threshold, CAST(0.20 AS DOUBLE) AS scratch_threshold,
+ 24 AS minimum_area_px, 6 AS minimum_skeleton_px, true AS is_active FROM (SELECT count(*) FROM orders) g
+ UNION ALL SELECT 2*k, o_orderpriority, 3, CAST(0.30 AS DOUBLE)+k*CAST(0.05 AS DOUBLE), CAST(0.20 AS DOUBLE), 24, 6, k%3<>2 FROM (SELECT DISTINCT CAST(substr(o_orderpriority,1,1) AS INT) AS k, o_orderpriority FROM orders) p
+ UNION ALL SELECT 2*k+1, o_orderpriority, 2, CAST(0.40 AS DOUBLE), CAST(0.20 AS DOUBLE), 24, 6, false FROM (SELECT DISTINCT CAST(substr(o_orderpriority,1,1) AS INT) AS k, o_orderpriority FROM orders) q"""
 
 
 def _material(d: Dialect) -> str:
