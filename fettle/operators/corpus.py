@@ -236,14 +236,14 @@ def quota_spread(manifest: DataFrame, quotas: DataFrame, cell: list[str]) -> Dat
                                  total="__n", tie_digest="__d")
     position = F.col("__rn") - 1
     gaps = F.greatest(F.col("k") - 1, F.lit(1))
-    near = F.floor(position * gaps / F.greatest(F.col("__n") - 1, F.lit(1)))
+    least = F.greatest(F.lit(0), F.ceil((position - 0.5) * gaps / F.greatest(F.col("__n") - 1, F.lit(1))))
 
     def spot(i: Column) -> Column:
         """Whether the i-th of the k places is this row."""
         inside = (i >= 0) & (i < F.least(F.col("k"), F.col("__n")))
         return inside & (F.bround(i * (F.col("__n") - 1) / gaps).cast("bigint") == position)
 
-    return ranked.where((F.col("k") > 0) & (spot(near - 1) | spot(near) | spot(near + 1))).drop("__rn", "__n", "__d")
+    return ranked.where((F.col("k") > 0) & (spot(least) | spot(least + 1))).drop("__rn", "__n", "__d")
 
 
 def fixture_leaks(picked: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from fettle.functions.columns import n_where
-from fettle.session import settle
+from fettle.session import Rounds, settle
 
 # Forward half of the 8-neighbourhood; the last two are diagonal.
 FORWARD = ((0, 1), (1, 0), (1, 1), (1, -1))
@@ -62,7 +62,8 @@ def label_regions(mask: DataFrame, keys: list[str]) -> DataFrame:
     pairs = neighbour_pairs(runs, spark_keys, ["node"]).where(F.col("node") != F.col("node2"))
     lo, hi = F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")
     edges = settle(pairs.select(*spark_keys, lo, hi).distinct(), "links")
-    parent = settle(runs.select(*spark_keys, "node").distinct().withColumn("root", F.col("node")), "roots")
+    roots, rounds = Rounds(mask.sparkSession, "roots"), Rounds(mask.sparkSession, "hooks")
+    parent = roots.settle(runs.select(*spark_keys, "node").distinct().withColumn("root", F.col("node")))
     while True:  # roots only ever fall, so this ends
         ends = (
             edges.join(parent.select(*spark_keys, F.col("node").alias("a"), F.col("root").alias("ra")), [*spark_keys, "a"])
@@ -70,13 +71,13 @@ def label_regions(mask: DataFrame, keys: list[str]) -> DataFrame:
             .where(F.col("ra") != F.col("rb"))
         )
         hooks = ends.groupBy(*spark_keys, F.greatest("ra", "rb").alias("root")).agg(F.min(F.least("ra", "rb")).alias("to"))
-        hooks = settle(hooks, "hooks")
+        hooks = rounds.settle(hooks)
         if hooks.isEmpty():
             break
         once = hooks.join(hooks.select(*spark_keys, F.col("root").alias("to"), F.col("to").alias("to2")), [*spark_keys, "to"], "left")
         jumps = once.select(*spark_keys, "root", F.coalesce("to2", "to").alias("to"))
         moved = parent.join(jumps, [*spark_keys, "root"], "left")
-        parent = settle(moved.select(*spark_keys, "node", F.coalesce("to", "root").alias("root")), "roots")
+        parent = roots.settle(moved.select(*spark_keys, "node", F.coalesce("to", "root").alias("root")))
     return runs.join(parent, [*spark_keys, "node"]).select(*spark_keys, "y", "x", F.col("root").alias("region"))
 
 

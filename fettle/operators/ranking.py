@@ -20,6 +20,7 @@ from fettle.functions.columns import ColumnLike, col
 from fettle.session import settle
 
 GROUP = "__g"
+BEYOND = (1 << 31) - 1
 
 
 def bucket_count(df: DataFrame) -> int:
@@ -88,12 +89,19 @@ def _numbered(cells: DataFrame, kept: Sequence[str], buckets: Sequence[str], ord
 
 def row_number_by_value(df: DataFrame, groups: Sequence[str], order: Sequence[Column], lead: ColumnLike,
                         out: str = "rn", total: str | None = None, descending: bool = False,
-                        tie: ColumnLike | None = None, tie_digest: str | None = None) -> DataFrame:
+                        tie: ColumnLike | None = None, tie_digest: str | None = None, tie_text: str | None = None) -> DataFrame:
     """``row_number()`` over ``groups`` in ``order``, whose first column follows ``lead``.
 
     Where many rows may share one lead value, give the second order column too: as a number
-    (``tie``) or as a hex digest (``tie_digest``); it cuts the cells of frequent values further.
+    (``tie``), as a hex digest (``tie_digest``) or as an ascending text (``tie_text``, for which the rows are dealt out
+    by range once more); it cuts the cells of frequent values further.
     """
+    if tie_text:
+        dealt = df.repartitionByRange(bucket_count(df), F.col(tie_text)).withColumn("__t", F.spark_partition_id())
+        cells = with_quantile_bucket(_grouped(settle(dealt, "ranking"), groups), lead, frequent="__e")
+        # cells of a descending lead are taken from the last to the first, the text runs upwards all the same
+        cells = cells.withColumn("__b2", F.when(F.col("__e"), -F.col("__t") if descending else F.col("__t")).otherwise(BEYOND)).drop("__e", "__t")
+        return _numbered(cells, df.columns, ["__b", "__b2"], order, out, total, descending)
     settled = settle(df, "ranking")
     rows = _grouped(settled, groups)
     if tie is None and tie_digest is None:
@@ -105,8 +113,7 @@ def row_number_by_value(df: DataFrame, groups: Sequence[str], order: Sequence[Co
         lead_edges, tie_edges = _edges(rows, col(lead), col(tie))
         cells = with_quantile_bucket(rows, lead, frequent="__e", edges=lead_edges)
         cells = with_quantile_bucket(cells, tie, "__t", edges=tie_edges)
-    beyond = (1 << 31) - 1
-    cells = cells.withColumn("__b2", F.when(F.col("__e"), F.col("__t")).otherwise(beyond)).drop("__e", "__t")
+    cells = cells.withColumn("__b2", F.when(F.col("__e"), F.col("__t")).otherwise(BEYOND)).drop("__e", "__t")
     return _numbered(cells, df.columns, ["__b", "__b2"], order, out, total, descending)
 
 

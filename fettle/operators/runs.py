@@ -108,7 +108,7 @@ def within_budget() -> Column:
 def rank_runs(cards: DataFrame) -> DataFrame:
     """Rank by composite score, unknown scores last."""
     order = [F.col("val_score").desc_nulls_last(), F.col("model").asc()]
-    return row_number_by_value(without_nan(cards, "val_score"), [], order, "val_score", "rank", descending=True)
+    return row_number_by_value(without_nan(cards, "val_score"), [], order, "val_score", "rank", descending=True, tie_text="model")
 
 
 def tie_set(cards: DataFrame) -> DataFrame:

@@ -71,18 +71,15 @@ def eval_interleave(rows: DataFrame, key: str, seed: int) -> DataFrame:
     The order has n_pos + min(n_neg, n_pos) places; a short negative pool repeats. With one
     pool empty the other is walked in order.
     """
-    counts = rows.agg(F.struct(n_where(F.col("pool") == "positive").alias("p"), n_where(F.col("pool") == "negative").alias("n")).alias("c")).scalar()
-    ranked = indexed(rows, "pool", key, seed).withColumn("c", counts)
-    p, n = F.col("c.p"), F.col("c.n")
-    length = p + F.least(p, n)
-    odd, even = F.floor(length / 2), F.ceil(length / 2)
-    both = (p > 0) & (n > 0)
-    one = F.array(F.col("idx"))
-    turns = F.when(F.col("idx") < odd, F.sequence(F.col("idx"), odd - 1, F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<bigint>"))
-    is_pos = F.col("pool") == "positive"
-    places = (
-        F.when(~both, one)
-        .when(is_pos, F.when(F.col("idx") < even, F.array(F.col("idx") * 2)).otherwise(F.array().cast("array<bigint>")))
-        .otherwise(F.transform(turns, lambda k: k * 2 + 1))
-    )
-    return ranked.select(key, "pool", F.explode(places).alias("place"))
+    spark = rows.sparkSession
+    p, n = rows.agg(n_where(F.col("pool") == "positive"), n_where(F.col("pool") == "negative")).first()
+    place = F.col("place")
+    if p and n:
+        places = spark.range(p + min(p, n)).withColumnRenamed("id", "place")
+        even = place % 2 == 0
+        turn = F.floor(place / 2)
+        wanted = places.select("place", F.when(even, "positive").otherwise("negative").alias("pool"), F.when(even, turn % p).otherwise(turn % n).cast("bigint").alias("idx"))
+    else:
+        wanted = spark.range(p + n).select(F.col("id").alias("place"), F.lit("positive" if p else "negative").alias("pool"), F.col("id").alias("idx"))
+    ranked = indexed(rows, "pool", key, seed).select("pool", F.col("idx").cast("bigint").alias("idx"), key)
+    return wanted.join(ranked, ["pool", "idx"]).select(key, "pool", "place")

@@ -82,8 +82,8 @@ def group_stats(rows: DataFrame) -> DataFrame:
 
 
 def with_fg_quartile(stats: DataFrame) -> DataFrame:
-    """Quartile of the foreground rank, cut the way a quantile cut of ranks falls."""
-    ranked = row_number_by_value(stats, [], [F.col("fg"), F.col("grp")], "fg", "__rn", total="__n")
+    """Quartile of the foreground rank, cut the way a quantile cut of ranks falls; equal means rank by name."""
+    ranked = row_number_by_value(stats, [], [F.col("fg"), F.col("grp")], "fg", "__rn", total="__n", tie_text="grp")
     cut = F.ceil((F.col("__rn") - 1) * 4 / F.nullif((F.col("__n") - 1).cast("double"), F.lit(0.0))) - 1
     bucket = F.coalesce(F.least(F.greatest(cut, F.lit(0)), F.lit(3)), F.lit(0)).cast("int")
     return ranked.withColumn("fgb", bucket).drop("__rn", "__n")

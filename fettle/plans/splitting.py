@@ -186,7 +186,7 @@ def _(v):
 
 def report_sql(table: str) -> str:
     row = {"unseen_foreign": "split='test_unseen_material' AND material IS DISTINCT FROM 'es'", "unseen_in_train": "split='train' AND material='es'",
-           "unseen_val_elsewhere": "material='fr' AND split IN ('train','val','test_seen')", "headline_foreign": "split='test_factory' AND material<>'en'",
+           "unseen_val_elsewhere": "material='fr' AND split IN ('train','val','test_seen')", "headline_foreign": "split='test_factory' AND material IS DISTINCT FROM 'en'",
            "quarantine_foreign": "split='test_scratch_blob' AND source IS DISTINCT FROM 'src4'", "negatives_with_crack": "split='test_negatives' AND crack_px>0",
            "unknown_split": f"split NOT IN {EV} AND split NOT IN {TR}"}
     parts = [(k, "error", f"(SELECT count(*) FROM {table} WHERE {c})") for k, c in row.items()]

@@ -57,6 +57,31 @@ def settle(df: DataFrame, label: str) -> DataFrame:
 
     Cuts the lineage of iterative work and survives the loss of executors.
     """
-    path = work_path(df.sparkSession, label)
+    return settle_at(df, work_path(df.sparkSession, label))
+
+
+def settle_at(df: DataFrame, path: str) -> DataFrame:
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Rounds:
+    """Settled tables of iterative work of which only the newest is wanted: each one replaces the one before."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.label, self.path = spark, label, None
+
+    def settle(self, df: DataFrame) -> DataFrame:
+        """``df`` as a table; the previous one, which ``df`` may read, is removed after the write."""
+        path = work_path(self.spark, self.label)
+        out = settle_at(df, path)
+        old, self.path = self.path, path
+        if old:
+            discard(self.spark, old)
+        return out
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a settled table that nothing reads any more, through Spark's own file system layer."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -70,11 +70,15 @@ def test_refine_counts_null_safely(spark):
 def test_adapter_rules(spark):
     rows = [("1", "neu_det", "crazing", True, 5, 0, 0), ("2", "neu_det", "inclusion", True, 5, 0, 0), ("3", "wood_shards", "", True, 0, 4, 0),
             ("4", "wood_shards", "", True, 0, 0, 3), ("5", "crackseg9k", "a_", True, 9, 0, 0), ("6", "crackseg9k", "CFD", False, 9, 0, 0),
-            ("7", "severstal", "", True, 0, 0, 0), ("8", "severstal", "", True, 0, 0, 0), ("9", "casting", "def_front", True, 1, 0, 0), ("10", "nobody", "", True, 1, 0, 0)]
+            ("7", "severstal", "", True, 0, 0, 0), ("8", "severstal", "", True, 0, 0, 0), ("9", "casting", "def_front", True, 1, 0, 0), ("10", "nobody", "", True, 1, 0, 0),
+            ("11", "wood", "", True, 2, 5, 0), ("12", "wood", "", True, 0, 5, 0), ("13", "mvtec", "crack", True, 3, 9, 0)]
     raw = spark.createDataFrame(rows, "sid STRING, adapter STRING, label STRING, has_mask BOOLEAN, crack_px INT, knot_px INT, other_px INT")
+    raw = raw.withColumn("record_material", F.when(F.col("adapter") == "mvtec", "plastic"))
+    assert {r["sid"]: r["crack_px"] for r in adapters.adapt(raw).where("sid IN ('11','12','13')").collect()} == {"11": 7, "12": 5, "13": 3}
     out = {r["sid"]: (r["source"], r["role"], r["material"], r["tier"]) for r in adapters.adapt(raw, raw.where("sid='7'")).collect()}
     assert out == {"2": ("neu_det", "hard_negative", "steel", "B"), "4": ("wood", "hard_negative", "wood", "B"), "5": ("crackseg9k", "positive", "masonry", "A"),
-                   "7": ("severstal", "hard_negative", "steel", "B"), "8": ("severstal", "negative", "steel", "C")}
+                   "7": ("severstal", "hard_negative", "steel", "B"), "8": ("severstal", "negative", "steel", "C"),
+                   "11": ("wood", "positive", "wood", "A"), "12": ("wood", "positive", "wood", "A"), "13": ("mvtec", "positive", "plastic", "A")}
 
 
 def test_upsert_new_wins(spark):
@@ -197,3 +201,20 @@ def test_class_weights_are_clipped(spark):
     w = corpus.class_weights(m).first()
     assert (w["w_background"], w["w_crack"], w["w_scratch"]) == (1.0, 2.0, 6.0)
     assert math.isclose(w["w_crack"], 2.0)
+
+
+def test_missing_material_breaks_the_headline_gate(spark):
+    rules = SplitRules()
+    rows = spark.createDataFrame([("test_factory", None, "s", 0), ("test_unseen_material", None, "s", 0), (None, "x", "s", 0)], "split STRING, material STRING, subsource STRING, crack_px LONG")
+    found = gates.row_gates(rules)
+    assert [rows.where(found[k]).count() for k in ("headline_foreign", "unseen_foreign", "unknown_split")] == [1, 1, 1]
+
+
+def test_quota_of_zero_and_repeated_list_rows(spark):
+    manifest = spark.createDataFrame([(f"n{k}", "m", 10 + k, 5) for k in range(9)], "name STRING, material STRING, h INT, w INT")
+    for k, want in ((0, []), (1, ["n0"]), (3, ["n0", "n4", "n8"]), (99, ["n0", "n1"]), (9, [f"n{i}" for i in range(9)])):
+        quotas = spark.createDataFrame([("m", k)], "material STRING, k LONG")
+        assert sorted(r["name"] for r in corpus.quota_spread(manifest, quotas, ["material"]).collect()) == want
+    notes = spark.createDataFrame([(1, "crack", "d", 1.0)], "image_id LONG, category STRING, dataset STRING, area DOUBLE")
+    lists = spark.createDataFrame([("d", "crack", "use")] * 3 + [("d", "dirt", "reject")] * 2, "dataset STRING, category STRING, verdict STRING")
+    assert adapters.allow_deny(notes, lists).count() == 1

@@ -229,3 +229,18 @@ def test_draws_give_groups_equal_weight(spark):
     slots = spark.range(2000).withColumnRenamed("id", "slot")
     counts = {r["material"]: r["count"] for r in sampling.group_balanced(slots, rows, "material", "name", 3).groupBy("material").count().collect()}
     assert sum(counts.values()) == 2000 and abs(counts["big"] - 1000) < 120
+
+
+def test_nan_scores_never_win(spark):
+    nan = float("nan")
+    cards = spark.createDataFrame([("a", nan, 0.9, 1.0, 1.0, "1"), ("b", 0.8, nan, 1.0, 1.0, "1"), ("c", 0.7, 0.5, 1.0, 1.0, "8"), ("d", None, 0.4, 1.0, 1.0, "8")],
+                                  "model STRING, val_score DOUBLE, unseen_score DOUBLE, params_m DOUBLE, cpu_ms DOUBLE, stride STRING")
+    ranks = {r["model"]: r["rank"] for r in runs.rank_runs(cards).collect()}
+    assert ranks["b"] == 1 and ranks["c"] == 2 and {ranks["a"], ranks["d"]} == {3, 4}
+    assert [r["model"] for r in runs.tie_set(cards).collect()] == ["b"]
+    best = runs.rank_disagreement(cards).first()
+    assert (best["best_val"], best["best_unseen"]) == ("b", "a")
+    assert runs.family_max(cards).first()["full_unseen_score"] == 0.9
+    history = spark.createDataFrame([("t", 1, "val", 1, 0.5), ("t", 1, "val", 2, 0.7), ("t", 1, "val", 3, nan)], "tag STRING, seed LONG, split STRING, epoch INT, metric DOUBLE")
+    assert runs.best_epoch(history).first()["best_epoch"] == 2
+    assert runs.last_slope(history).first()["slope"] == pytest.approx(0.2)

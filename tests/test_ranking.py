@@ -101,3 +101,13 @@ def test_ranking_of_empty_null_and_equal_leads(spark, values):
     for tie in (None, "id"):
         assert pairs(row_number_by_value(df, [], order, "v", tie=tie), "id", "rn") == pairs(want, "id", "rn")
     assert percentiles(df.where("NOT isnan(v)"), [], "v", {"m": 0.5}).count() <= 1
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_equal_leads_rank_by_text(spark, descending):
+    rows = [(f"n{(k * 37) % 101:03d}", None if k % 4 == 0 else 0.0 if k % 2 else float(k % 7)) for k in range(101)]
+    df = spark.createDataFrame(rows, "name STRING, v DOUBLE")
+    lead = F.col("v").desc_nulls_last() if descending else F.col("v").asc_nulls_first()
+    want = df.withColumn("rn", F.row_number().over(W.orderBy(lead, F.col("name").asc())))
+    got = row_number_by_value(df, [], [lead, F.col("name").asc()], "v", descending=descending, tie_text="name")
+    assert pairs(got, "name", "rn") == pairs(want, "name", "rn")
