@@ -6,7 +6,8 @@ they share l of the first ``size - ceil(t * size) + l`` of each. The join goes o
 
 1. Equal sets are one class, told apart by 128 bits. From each class the prefix for ``1 + spare`` matches is kept.
 2. Hubs: classes that share half of their first ``KEYS`` hashes with the most typical holder of those are verified against
-   it. Linked ones form a star; pairs inside a star need no more work, and hashes held by one star only are left out.
+   it, and in a crowd, if that one is out of reach, against the
+   crowd's most central members. Linked ones form a star; pairs inside a star need no more work, and hashes held by one star only are left out.
 3. Lengths: a hash held by ``HOT`` stars or more is hot and makes no candidates. Each class lengthens its prefix: of all l
    that leave at least one match on cold hashes, it takes the one with the least estimated cost, the number of postings
    and the candidates that they can make with l matches. A pair must share as many cold hashes as the one with the
@@ -39,6 +40,9 @@ from fettle.session import settle
 PERCENT = 85
 SHINGLE = 4
 KEYS = 8
+#: Candidates of one hub from which on its most central members are tried as well, and how many of them.
+CROWD = 64
+CENTRAL = 3
 HOT = 48
 #: What a candidate costs, in postings: its two whole sets are moved.
 CANDIDATE = 100
@@ -299,6 +303,25 @@ def hot_candidates(rows: DataFrame, percent: int, often: int = HOT) -> DataFrame
     return met.select(F.least("c1", "c2").alias("c1"), F.greatest("c1", "c2").alias("c2")).distinct()
 
 
+def central_ties(tied: DataFrame, ties: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """Links (c1, c2) of classes that missed their hub with the most central classes of the same crowd.
+
+    Central is who holds most of the hashes that half of the crowd has, and fewest others. ``CENTRAL`` of them are
+    taken, each from another part of the crowd, so the pairs are linear in it.
+    """
+    size = settle(tied.groupBy("c2").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= CROWD), "crowds")
+    crowd = tied.join(size, "c2")
+    tokens = crowd.join(whole.withColumnRenamed("c", "c1"), "c1").select("c1", "c2", "size", F.explode("set").alias("tok"))
+    common = tokens.groupBy("c2", "tok").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size")).where("2 * n >= size")
+    common = settle(common.select("c2", "tok", F.lit(True).alias("common")), "common")
+    score = tokens.join(common, ["c2", "tok"], "left").groupBy("c2", "c1").agg((2 * F.count("common") - F.count(F.lit(1))).alias("score"))
+    part = F.pmod(F.xxhash64("c1"), F.lit(CENTRAL)).alias("part")
+    central = score.groupBy("c2", part).agg(F.max_by("c1", F.struct("score", -F.col("c1"))).alias("mid")).select("c2", "mid")
+    missed = tied.join(ties.select("c1"), "c1", "left_anti").join(settle(central, "central"), "c2").where("c1 <> mid")
+    found = verified(missed.select("c1", F.col("mid").alias("c2")), whole, percent)
+    return found.groupBy("c1").agg(F.min("c2").alias("c2"))
+
+
 def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles, component_id and n_same (documents with the same set) for each row of ``docs``."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
@@ -312,23 +335,25 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: in
         return sets_of(source, "doc_id", "text", settle(ids.distinct().join(who, "c"), f"{label}-ids"), label, size, percent)
 
     # hashes of kept prefixes that several classes hold
-    tokens = classes.select("c", "__n", F.posexplode("set").alias("pos", "tok"))
+    tokens = classes.select("c", "__n", F.size("set").alias("kept"), F.posexplode("set").alias("pos", "tok"))
     several = settle(tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "several")
     held = settle(tokens.join(several, "tok"), "held")
     # hubs
     keyed = held.where(F.col("pos") < KEYS)
-    typical = held.groupBy("c").agg(F.sum(F.log("df")).alias("weight"))
-    key = keyed.join(typical, "c").withColumn("weight", F.col("weight") / F.col("__n"))
+    typical = held.groupBy("c").agg((F.count(F.lit(1)) / F.max("kept")).alias("weight"))
+    typical = settle(typical, "typical")
+    key = keyed.join(typical, "c")
     hub = settle(key.groupBy("tok").agg(F.max_by(F.struct("c", "__n"), F.struct("weight", -F.col("c"))).alias("hub")), "hubs")
     near = keyed.join(hub, "tok").where((F.col("hub.c") != F.col("c")) & sized(F.col("hub.__n"), F.col("__n"), percent))
     best = near.groupBy("c", F.col("hub.c").alias("h")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= KEYS // 2)
     tied = settle(best.groupBy(F.col("c").alias("c1")).agg(F.max_by("h", F.struct("n", -F.col("h"))).alias("c2")), "tied")
     hub_sets = of(tied.select(F.explode(F.array("c1", "c2")).alias("c")), "hub-sets")
     ties = settle(verified(tied, hub_sets, percent), "ties")
+    ties = settle(ties.unionByName(central_ties(tied, ties, hub_sets, percent)), "all-ties")
     # prefixes
     next_ = ties.select(F.col("c1").alias("c2"), F.col("c2").alias("c3"))
     star = ties.join(next_, "c2", "left").select(F.col("c1").alias("c"), F.coalesce("c3", "c2").alias("hub"))
-    starred = with_stars(held.drop("df").join(star, "c", "left").withColumn("star", F.coalesce("hub", "c")).drop("hub"))
+    starred = with_stars(held.drop("df", "kept").join(star, "c", "left").withColumn("star", F.coalesce("hub", "c")).drop("hub"))
     starred = settle(starred, "starred")
     lists = starred.groupBy("c", "star", "__n").agg(F.sort_array(F.collect_list(F.struct("pos", "df", "tok"))).alias("held"))
     fields = [T.StructField("c", LONG), T.StructField("star", LONG), T.StructField("__n", LONG), T.StructField("length", LONG), T.StructField("asked", LONG),
