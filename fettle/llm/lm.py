@@ -16,6 +16,7 @@ an empty corpus leaves the weights as they were set.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -197,7 +198,10 @@ def train(docs: DataFrame, words: Vocabulary, text: str = "text", rounds: int =
         own = map_arrow(docs.select(text), _train, fields, text=text, words=shared, weights=context.broadcast(weights), round_=round_)
         sums = own.rdd.map(lambda r: (r.n, np.frombuffer(r.flat, np.float32).astype(np.float64) * r.n))
         zero = (0, np.zeros(sum(v.size for v in weights.values())))
-        n, flat = sums.treeAggregate(zero, lambda a, b: (a[0] + b[0], a[1] + b[1]), lambda a, b: (a[0] + b[0], a[1] + b[1]), depth=2)
+        add = lambda a, b: (a[0] + b[0], a[1] + b[1])
+        # so deep that the last step brings the driver about 32 sums, however many partitions there are
+        depth = max(2, math.ceil(math.log(max(2, sums.getNumPartitions()), 32)))
+        n, flat = sums.treeAggregate(zero, add, add, depth=depth)
         if n:
             at = 0
             for k in sorted(weights):
