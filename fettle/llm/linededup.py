@@ -1,15 +1,16 @@
-"""Lines that a later document shares with an earlier one, by pairwise alignment.
+"""Lines that a later document shares with an earlier one, in blocks of neighbouring lines.
 
-A line is known by the 64-bit hash of its text without blanks at its ends; blank lines are left alone. Two documents are
-aligned if they share a line that ``RARE`` documents or fewer hold. A line of more documents brings each of them together
-with its first holder only, so no list of holders is paired with itself and yet every repeated line has a partner. An
-alignment is a patience diff: lines that stand once in each document, in the longest common order, split the rest, which
-is aligned the same way; where none is left, common ends match. Runs of matched neighbouring lines are blocks; those
-of ``MIN_WORDS`` words or more are deleted from the later document. Later means a larger id.
+A line is known by the hash of its text without blanks at its ends; blank lines are left alone. A block is a run of neighbouring
+lines of ``MIN_WORDS`` words or more; every line of a block that also stands in an earlier document, wherever it stands in
+either of them and however often, is deleted. Later means a larger id.
 
-Only lines that two documents hold are moved. Defined results: null and empty texts stay as they are; a row without id is
+No documents are paired. Each line begins one shortest run of ``MIN_WORDS`` words and ends another, and the lines of any
+longer block are covered by the shortest runs inside it. So it is enough to find the first holder of every shortest run and
+to delete the run from all later ones: the result is that of comparing all pairs of documents.
+
+Runs are moved as a hash, a row and the places of their lines. Defined results: null and empty texts stay as they are; a row without id is
 neither compared nor changed; rows with the same id are told apart by their text, the larger text hash counting as later,
-and equal rows get equal results; nothing is deleted from the first holder of a line.
+and equal rows get equal results; nothing is deleted from the first holder of a run.
 """
 
 from __future__ import annotations
@@ -18,16 +19,20 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fettle.llm import blocks as B
 from fettle.llm.arrow import field, map_arrow
 from fettle.session import settle
 
+#: Holders up to which the tests' brute force pairs all of them; the operator has no such bound.
 RARE = 6
 MIN_WORDS = 10
+NEWLINE = 10
 BLANKS = " \t\x0b\f\r"
 
 
@@ -87,47 +92,63 @@ def common_blocks(early: list[dict], late: list[dict], min_words: int) -> list[i
     return out
 
 
-def _align(batches: Iterator[pa.RecordBatch], min_words: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def runs(data: np.ndarray, offsets: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The shortest runs of a block of texts: text, hash, first line and end (as places in ``lines``), and ``lines``.
+
+    ``lines`` has the place in its text of each line with a word.
+    """
+    starts, ends, bounds = B.words(data, offsets, B.NOT_BLANK)
+    if not len(starts):
+        none = np.zeros(0, np.int64)
+        return none, none, none, none, none
+    broken = np.concatenate([[0], np.cumsum(data == NEWLINE)])
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
+    place = broken[starts] - broken[offsets[text]]
+    new = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(place, prepend=-1) != 0))
+    last = np.append(new[1:], len(starts))
+    key = B.hash_spans(data, starts[new], ends[last - 1])
+    text, lines, n = text[new], place[new], len(new)
+    upto = np.append(new, len(starts))
+    head, tail = np.searchsorted(text, text), np.searchsorted(text, text, side="right")
+    forward = np.searchsorted(upto, upto[:-1] + min_words)
+    backward = np.searchsorted(upto, upto[1:] - min_words, side="right") - 1
+    at = np.arange(n)
+    f, b = forward <= tail, backward >= head
+    spans = np.unique(np.concatenate([at[f] * (n + 1) + forward[f], backward[b] * (n + 1) + at[b] + 1]))
+    a, e = spans // (n + 1), spans % (n + 1)
+    h = (e - a).astype(np.uint64)
+    for k in range(int((e - a).max(initial=0))):
+        more = np.flatnonzero(a + k < e)
+        h[more] = B.mix(h[more] * np.uint64(B.BASE) + key[a[more] + k])
+    return text[a], h.view(np.int64), a, e, lines
+
+
+def _runs(batches: Iterator[pa.RecordBatch], text: str, min_words: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for k in range(len(batch)):
-            lines = common_blocks(batch["early"][k].as_py(), batch["late"][k].as_py(), min_words)
-            if lines:
-                yield pa.RecordBatch.from_arrays([pa.array([batch["late_row"][k].as_py()], schema.field(0).type), pa.array([lines], schema.field(1).type)], schema=schema)
-
-
-def lines_of(text: Column) -> Column:
-    """Structs (line, key, words) of the lines with a word."""
-    split = F.split(text, "\n", -1)
-    trimmed = F.transform(split, lambda x, i: F.struct(i.alias("line"), F.btrim(x, F.lit(BLANKS)).alias("t")))
-    words = lambda t: F.size(F.split(t, r"[ \t-\r]+"))
-    return F.transform(F.filter(trimmed, lambda x: x["t"] != ""), lambda x: F.struct(x["line"].alias("line"), F.xxhash64(x["t"]).alias("key"), words(x["t"]).alias("words")))
+        for first, end, data, offsets in B.blocks(batch[text]):
+            owner, h, a, e, lines = runs(data, offsets, min_words)
+            if not len(h):
+                continue
+            ends = np.concatenate([[0], np.cumsum(e - a)])
+            places = lines[np.arange(ends[-1]) + np.repeat(a - ends[:-1], e - a)].astype(np.int32)
+            rows = batch["row"].slice(first, end - first).take(pa.array(owner))
+            yield pa.RecordBatch.from_arrays([rows, pa.array(h), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(places)).cast(schema.field(2).type)], schema=schema)
 
 
-def deletions(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rare: int = RARE, min_words: int = MIN_WORDS) -> DataFrame:
+def deletions(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(row, lines): the places of the lines to delete; row is a struct of id and text hash."""
     row = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("h")).alias("row")
-    held = docs.where(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(row, F.posexplode(lines_of(F.col(text))).alias("nth", "x"))
-    occ = settle(held.select("row", "nth", "x.*"), "lines")
-    holders = occ.select("row", "key").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("df"), F.min("row").alias("first")).where("df > 1")
-    shared = settle(occ.join(settle(holders, "holders"), "key"), "shared-lines")
-    lists = shared.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("nth", "line", "key", "words"))).alias("held"))
-    lists = settle(lists, "line-lists")
-    few = shared.where(F.col("df") <= rare).select("key", "row").distinct()
-    rare_pairs = few.select("key", F.col("row").alias("early_row")).join(few.select("key", F.col("row").alias("late_row")), "key").where("early_row < late_row")
-    first_pairs = shared.where(F.col("first") < F.col("row")).select(F.col("first").alias("early_row"), F.col("row").alias("late_row"))
-    pairs = rare_pairs.select("early_row", "late_row").unionByName(first_pairs).distinct()
-    late = lists.select(F.col("row").alias("late_row"), F.col("held").alias("late"))
-    early = lists.select(F.col("row").alias("early_row"), F.col("held").alias("early"))
-    both = settle(pairs, "line-pairs").join(late, "late_row").join(early, "early_row").select("late_row", "late", "early")
-    fields = [field("late_row", lists.schema["row"].dataType), field("lines", T.ArrayType(T.IntegerType()))]
-    found = map_arrow(both, _align, fields, min_words=min_words)
-    one = found.select("late_row", F.explode("lines").alias("line")).distinct()
-    return one.groupBy(F.col("late_row").alias("row")).agg(F.collect_list("line").alias("lines"))
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rare: int = RARE, min_words: int = MIN_WORDS) -> DataFrame:
+    held = docs.where(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(row, F.col(text).alias("text"))
+    fields = [field("row", held.schema["row"].dataType), field("run", T.LongType()), field("lines", T.ArrayType(T.IntegerType()))]
+    occ = settle(map_arrow(held, _runs, fields, text="text", min_words=min_words), "runs")
+    holders = occ.groupBy("run").agg(F.min("row").alias("first"), F.max("row").alias("last")).where("first < last").select("run", "first")
+    later = occ.join(settle(holders, "holders"), "run").where(F.col("first") < F.col("row"))
+    return later.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("lines"))
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the shared lines cut from ``text``, and __n_lines and __n_deleted."""
-    gone = settle(deletions(docs, id_col, text, rare, min_words), "deleted").select(F.col("row.id").alias("__id"), F.col("row.h").alias("__h"), F.col("lines").alias("__lines"))
+    gone = settle(deletions(docs, id_col, text, min_words), "deleted").select(F.col("row.id").alias("__id"), F.col("row.h").alias("__h"), F.col("lines").alias("__lines"))
     hashed = docs.withColumn("__th", F.xxhash64(text))
     joined = hashed.join(gone, (F.col(id_col) == F.col("__id")) & (F.col("__th") == F.col("__h")), "left")
     split = F.split(text, "\n", -1)

@@ -85,3 +85,43 @@ def test_odd_texts(spark, odd_docs, no_docs):
     assert D.dedup_lines(no_docs).count() == 0 and D.without_repeats(no_docs).columns == no_docs.columns
     same = spark.createDataFrame([(1, "x " * 12 + "\nb"), (1, "x " * 12 + "\nc"), (1, "x " * 12 + "\nb")], "doc_id LONG, text STRING")
     assert sorted(len(r.text) for r in D.dedup_lines(same).collect()) in ([1, 26, 26], [1, 1, 26])
+
+
+def all_pairs(docs, min_words):
+    """The texts without the runs of lines that any earlier document has too: brute force over all pairs of documents."""
+    lines = {k: [(i, x.strip(" \t\x0b\f\r")) for i, x in enumerate(t.split("\n")) if x.strip(" \t\x0b\f\r")] for k, t in docs.items()}
+    gone = {k: set() for k in docs}
+    for late, own in lines.items():
+        for early in (lines[k] for k in docs if k < late):
+            for i in range(len(early)):
+                for j in range(len(own)):
+                    n = 0
+                    while i + n < len(early) and j + n < len(own) and early[i + n][1] == own[j + n][1]:
+                        n += 1
+                    if sum(len(x.split()) for _, x in own[j : j + n]) >= min_words:
+                        gone[late].update(i for i, _ in own[j : j + n])
+    return {k: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[k]) for k, t in docs.items()}
+
+
+def texts(spark, docs):
+    return {r.doc_id: r.text for r in D.dedup_lines(spark.createDataFrame(list(docs.items()), "doc_id LONG, text STRING")).collect()}
+
+
+def test_a_passage_of_many_documents_in_another_order(spark):
+    p, q1, q2 = "\n".join(f"p{k} " + "word " * 13 for k in range(4)), "q1 " + "word " * 12, "q2 " + "word " * 12
+    for n in (6, 7, 9):
+        docs = {1: f"{p}\n{q1}\n{q2}"} | {k: f"{q1}\n{q2}\n{p}\nown {k}" for k in range(2, n + 1)}
+        assert texts(spark, docs) == {k: t if k == 1 else f"own {k}" for k, t in docs.items()}
+
+
+def test_short_lines_of_a_passage_with_different_first_holders(spark):
+    verse = [f"v{k} one two three" for k in range(6)]
+    docs = {k: f"{verse[k]}\nown {k}" for k in range(6)} | {k: "\n".join([*verse, f"own {k}"]) for k in range(6, 20)}
+    assert texts(spark, docs) == {k: t if k < 7 else f"own {k}" for k, t in docs.items()}
+
+
+def test_equals_brute_force_over_all_pairs(spark):
+    rng = random.Random(11)
+    pool = [f"l{k} " + " ".join(f"w{rng.randrange(50)}" for _ in range(rng.randint(0, 12))) for k in range(9)] + ["", "  "]
+    docs = {k: "\n".join(rng.choice(pool) if rng.random() < 0.85 else f"own {k} {j}" for j in range(rng.randint(0, 14))) for k in range(60)}
+    assert texts(spark, docs) == all_pairs(docs, D.MIN_WORDS)
