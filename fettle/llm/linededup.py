@@ -53,7 +53,10 @@ def in_order(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Places (in ``a``, in ``b``) of the lines that match, both rising."""
+    """Places (in ``a``, in ``b``) of the lines that match, both rising.
+
+    An alignment only, which the tests hold the deletions against: every block it finds is deleted, and others are too.
+    """
     out, open_ = [], [(0, len(a), 0, len(b))]
     while open_:
         x, xe, y, ye = open_.pop()
@@ -76,20 +79,21 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 
 def common_blocks(early: list[dict], late: list[dict], min_words: int) -> list[int]:
-    """The lines of ``late`` (their places in the text) in blocks that it shares with ``early``."""
-    matched = patience([x["key"] for x in early], [x["key"] for x in late])
-    out: list[int] = []
-    block: list[tuple[int, int]] = []
-    for pair in [*matched, None]:
-        if pair and block:
-            (i, j), (k, m) = block[-1], pair
-            if early[k]["nth"] == early[i]["nth"] + 1 and late[m]["nth"] == late[j]["nth"] + 1:
-                block.append(pair)
-                continue
-        if sum(late[j]["words"] for _, j in block) >= min_words:
-            out.extend(late[j]["line"] for _, j in block)
-        block = [pair] if pair else []
-    return out
+    """The lines of ``late`` (their places in the text) in blocks that it shares with ``early``, every copy of each."""
+
+    def stretches(held: list[dict]) -> Iterator[tuple[int, int]]:
+        """Of each line the shortest run of neighbours that begins with it, and the one that ends with it."""
+        for k in range(len(held)):
+            for step in (1, -1):
+                n, at = held[k]["words"], k
+                while n < min_words and 0 <= at + step < len(held) and held[at + step]["nth"] == held[at]["nth"] + step:
+                    at += step
+                    n += held[at]["words"]
+                if n >= min_words:
+                    yield min(k, at), max(k, at) + 1
+
+    known = {tuple(x["key"] for x in early[a:e]) for a, e in stretches(early)}
+    return sorted({x["line"] for a, e in stretches(late) if tuple(x["key"] for x in late[a:e]) in known for x in late[a:e]})
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -125,3 +125,27 @@ def test_equals_brute_force_over_all_pairs(spark):
     pool = [f"l{k} " + " ".join(f"w{rng.randrange(50)}" for _ in range(rng.randint(0, 12))) for k in range(9)] + ["", "  "]
     docs = {k: "\n".join(rng.choice(pool) if rng.random() < 0.85 else f"own {k} {j}" for j in range(rng.randint(0, 14))) for k in range(60)}
     assert texts(spark, docs) == all_pairs(docs, D.MIN_WORDS)
+
+
+def test_a_passage_twice_in_one_document(spark):
+    p = "\n".join(f"p{k} " + "word " * 5 for k in range(3))
+    q, r, s = (f"{x} one two" for x in "qrs")
+    docs = {1: p, 2: f"{q}\n{p}\n{r}\n{p}\n{s}", 3: f"{q}\n{r}\n{s}"}
+    assert texts(spark, docs) == {1: p, 2: docs[3], 3: docs[3]}
+    held = lambda t: [{"nth": n, "line": n, "key": x, "words": len(x.split())} for n, x in enumerate(t.split("\n"))]
+    assert D.common_blocks(held(docs[1]), held(docs[2]), D.MIN_WORDS) == [1, 2, 3, 5, 6, 7]
+    assert texts(spark, {1: f"{p}\n{q}\n{p}", 2: f"{r}\n{p}"}) == {1: f"{p}\n{q}\n{p}", 2: r}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 6), max_size=14), st.lists(st.integers(0, 6), max_size=14))
+def test_blocks_hold_those_of_the_alignment(a, b):
+    held = lambda keys: [{"nth": n, "line": n, "key": x, "words": x + 1} for n, x in enumerate(keys)]
+    found, block = set(D.common_blocks(held(a), held(b), 8)), []
+    for pair in [*D.patience(a, b), None]:
+        if pair and block and pair == (block[-1][0] + 1, block[-1][1] + 1):
+            block.append(pair)
+            continue
+        if sum(b[j] + 1 for _, j in block) >= 8:
+            assert {j for _, j in block} <= found
+        block = [pair]
