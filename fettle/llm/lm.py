@@ -2,13 +2,16 @@
 
 Every token is predicted from the ``SIDE`` tokens before and after it; the sum of the log-probabilities scores a text.
 
-* Tokens are words, lower-cased. Words are counted over the whole corpus; the most frequent have a number each, the others
-  share numbers by their last three bytes. Number 0 stands beyond the ends of a text.
+* Tokens are words, lower-cased. Words are counted over the whole corpus, in a table of all of them. The ``WORDS`` most frequent have
+  a number each, the others share ``SUFFIXES`` numbers (cells) by their last three bytes. Number 0 stands beyond the ends of a text.
+* The network is small and predicts numbers. A word without a number of its own has the probability of its cell times its share of
+  the cell's tokens in the corpus, so every word has its own count. The counts of about ``NEAR`` words are broadcast to save moving them;
+  those of all others are joined by word hash, and a word that was counted once needs no row. What is joined grows with the corpus.
 * The network: embeddings of the window, one hidden layer, and a two-level softmax over ``CLASSES`` classes of ``CLASSES``
   tokens, so that a token costs two short rows instead of the whole vocabulary.
 * Training goes over all documents: in each round every partition runs from the same weights over its texts, masking every
   ``MASK``-th token (another one in each round); the weights are averaged by masked tokens in a tree of tasks. A lost task is run
-  again with the same result. What is broadcast, the vocabulary and the weights, has a fixed size.
+  again with the same result. What is broadcast, the vocabulary, the near counts and the weights, has a fixed size.
 
 Defined results: null, empty and wordless texts have no tokens, score 0 and no mean; repeated rows are scored one by one;
 an empty corpus leaves the weights as they were set.
@@ -27,11 +30,13 @@ from pyspark.sql import types as T
 
 from fettle.llm import blocks as B
 from fettle.llm.arrow import field, kept_fields, map_arrow
+from fettle.session import settle
 
 CLASSES = 32
 VOCABULARY = CLASSES * CLASSES
 SUFFIXES = 256
 WORDS = VOCABULARY - SUFFIXES - 1
+NEAR = 1 << 17
 SIDE = 2
 WIDTH = 16
 HIDDEN = 32
@@ -39,6 +44,7 @@ MASK = 8
 BATCH = 1024
 ROUNDS = 2
 RATE = 0.1
+UNITS = 1e9
 
 Weights = dict[str, np.ndarray]
 
@@ -50,14 +56,30 @@ class Vocabulary:
         self.order = np.argsort(hashes)
         self.sorted = hashes[self.order]
 
-    def numbers(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def numbers(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number and hash of every word."""
         h = B.hash_spans(data, starts, ends).view(np.int64)
-        tail = B.hash_spans(data, np.maximum(starts, ends - 3), ends)
-        out = 1 + WORDS + (tail % np.uint64(SUFFIXES)).astype(np.int64)
+        out = cells(data, starts, ends)
         if len(self.sorted):
             at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
             out = np.where(self.sorted[at] == h, 1 + self.order[at], out)
-        return out
+        return out, h
+
+
+class Shares:
+    """Counts inside the cells: log totals by number (0 for words with a number), the near words, and ``far``, a table (h, units)."""
+
+    def __init__(self, totals: np.ndarray, hashes: np.ndarray, n: np.ndarray, far: DataFrame):
+        order = np.argsort(hashes)
+        self.totals, self.sorted, self.logs, self.far = np.log(np.maximum(totals, 1)), hashes[order], np.log(n[order]), far
+
+    def near(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.totals, self.sorted, self.logs
+
+
+def cells(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The number that a word shares with others, from its last three bytes."""
+    return 1 + WORDS + (B.hash_spans(data, np.maximum(starts, ends - 3), ends) % np.uint64(SUFFIXES)).astype(np.int64)
 
 
 def windows(numbers: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -153,12 +175,18 @@ class Trainer:
         self.seen += len(target)
 
 
-def tokens(column, vocabulary: Vocabulary) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first, end, token numbers, bounds) of the blocks of a column."""
+def hashed_tokens(column, vocabulary: Vocabulary) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first, end, token numbers, word hashes, bounds) of the blocks of a column."""
     for first, end, data, offsets in B.blocks(column):
         data = B.LOWER[data]
         starts, ends, bounds = B.words(data, offsets, B.LETTERS)
-        yield first, end, vocabulary.numbers(data, starts, ends), bounds
+        yield first, end, *vocabulary.numbers(data, starts, ends), bounds
+
+
+def tokens(column, vocabulary: Vocabulary) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first, end, token numbers, bounds) of the blocks of a column."""
+    for first, end, numbers, _, bounds in hashed_tokens(column, vocabulary):
+        yield first, end, numbers, bounds
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch], text: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -166,17 +194,43 @@ def _word_counts(batches: Iterator[pa.RecordBatch], text: str, schema: pa.Schema
         for _, _, data, offsets in B.blocks(batch[text]):
             data = B.LOWER[data]
             starts, ends, _ = B.words(data, offsets, B.LETTERS)
-            h, n = np.unique(B.hash_spans(data, starts, ends).view(np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))], schema=schema)
+            h, at, n = np.unique(B.hash_spans(data, starts, ends).view(np.int64), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(cells(data, starts[at], ends[at])), pa.array(n.astype(np.int64))], schema=schema)
+
 
+def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(h, cell, n) of every word of the corpus, as a settled table."""
+    fields = [field("h", T.LongType()), field("cell", T.LongType()), field("n", T.LongType())]
+    found = map_arrow(docs.select(text), _word_counts, fields, text=text)
+    return settle(found.groupBy("h").agg(F.min("cell").alias("cell"), F.sum("n").alias("n")), "word-counts")
 
-def vocabulary(docs: DataFrame, text: str = "text") -> Vocabulary:
+
+def vocabulary(docs: DataFrame, text: str = "text", counts: DataFrame | None = None) -> Vocabulary:
     """The most frequent words of the corpus, counted over all documents."""
-    found = map_arrow(docs.select(text), _word_counts, [field("h", T.LongType()), field("n", T.LongType())], text=text)
-    rows = found.groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(WORDS).collect()
+    counts = word_counts(docs, text) if counts is None else counts
+    rows = counts.orderBy(F.desc("n"), "h").limit(WORDS).collect()
     return Vocabulary(np.array([r.h for r in rows], np.int64))
 
 
+def shares(counts: DataFrame, words: Vocabulary, near: int = NEAR) -> Shares:
+    """The shares of all words without a number of their own; at most ``near`` of them, of the highest counts, are not in the table."""
+    own = set(words.sorted.tolist())
+    rest = counts.where(~F.col("h").isin(list(own))) if own else counts
+    totals = np.zeros(VOCABULARY)
+    for r in rest.groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        totals[r["cell"]] = r["n"]
+    step = F.floor(16 * F.log2("n")).alias("step")
+    least, taken = math.inf, 0
+    for r in sorted(rest.where("n > 1").groupBy(step).agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("n")).collect(), key=lambda r: -r["step"]):
+        taken += r["k"]
+        if taken > near:
+            break
+        least = r["n"]
+    rows = rest.where(F.col("n") >= least).select("h", "n").collect() if least < math.inf else []
+    far = rest.where((F.col("n") > 1) & (F.col("n") < least) if least < math.inf else F.col("n") > 1)
+    return Shares(totals, np.array([r["h"] for r in rows], np.int64), np.array([r["n"] for r in rows], np.float64), far.select("h", F.round(F.log("n") * UNITS).cast("long").alias("units")))
+
+
 def _train(batches: Iterator[pa.RecordBatch], text: str, words, weights, round_: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     trainer = Trainer(weights.value)
     for batch in batches:
@@ -222,18 +276,44 @@ def log_probabilities(weights: Weights, numbers: np.ndarray, bounds: np.ndarray,
     return out
 
 
-def _score(batches: Iterator[pa.RecordBatch], text: str, kept: list[str], words, weights, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], text: str, kept: list[str], words, weights, near, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first, end, numbers, bounds in tokens(batch[text], words.value):
-            sums = np.concatenate([[0.0], np.cumsum(log_probabilities(weights.value, numbers, bounds))])
+        for first, end, numbers, h, bounds in hashed_tokens(batch[text], words.value):
+            logp = log_probabilities(weights.value, numbers, bounds)
+            columns = [batch[c].slice(first, end - first) for c in kept]
+            if near:
+                totals, known, logs = near.value
+                logp -= totals[numbers]
+                rare = np.flatnonzero(numbers > WORDS)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h[rare]), len(known) - 1)
+                    found = known[at] == h[rare]
+                    logp[rare[found]] += logs[at[found]]
+                    rare = rare[~found]
+                ends = pa.array(np.searchsorted(rare, bounds).astype(np.int32))
+                columns.append(pa.ListArray.from_arrays(ends, pa.array(h[rare])).cast(schema.field(len(kept)).type))
+            sums = np.concatenate([[0.0], np.cumsum(logp)])
             n, total = np.diff(bounds), sums[bounds[1:]] - sums[bounds[:-1]]
             mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch[c].slice(first, end - first) for c in kept] + [pa.array(n), pa.array(total), mean], schema=schema)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n), pa.array(total), mean], schema=schema)
+
 
+def score(docs: DataFrame, words: Vocabulary, weights: Weights, text: str = "text", inside: Shares | None = None) -> DataFrame:
+    """``docs`` without the text, with n_tokens, pll (the sum of log-probabilities) and pll_mean.
 
-def score(docs: DataFrame, words: Vocabulary, weights: Weights, text: str = "text") -> DataFrame:
-    """``docs`` without the text, with n_tokens, pll (the sum of log-probabilities) and pll_mean."""
+    Without ``inside`` a word that has no number of its own scores as its cell; with it, as itself (a word that was never counted, as one
+    that was counted once).
+    """
     own = [field("n_tokens", T.LongType()), field("pll", T.DoubleType()), field("pll_mean", T.DoubleType())]
     kept = [c for c in docs.columns if c != text and c not in {f.name for f in own}]
     context, rows = docs.sparkSession.sparkContext, docs.select(*kept, text)
-    return map_arrow(rows, _score, kept_fields(rows, kept) + own, text=text, kept=kept, words=context.broadcast(words), weights=context.broadcast(weights))
+    shared = {"words": context.broadcast(words), "weights": context.broadcast(weights)}
+    if inside is None:
+        return map_arrow(rows, _score, kept_fields(rows, kept) + own, text=text, kept=kept, near=None, **shared)
+    rows, kept = rows.withColumn("__uid", F.monotonically_increasing_id()), [*kept, "__uid"]
+    fields = kept_fields(rows, kept) + [field("__far", T.ArrayType(T.LongType())), *own]
+    scored = settle(map_arrow(rows, _score, fields, text=text, kept=kept, near=context.broadcast(inside.near()), **shared), "scored")
+    # whole units, so that the sums don't depend on their order
+    more = scored.select("__uid", F.explode("__far").alias("h")).join(inside.far, "h").groupBy("__uid").agg(F.sum("units").alias("__units"))
+    both = scored.drop("__far").join(more, "__uid", "left").withColumn("pll", F.col("pll") + F.coalesce("__units", F.lit(0)) / UNITS)
+    return both.withColumn("pll_mean", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens"))).drop("__uid", "__units")

@@ -202,5 +202,6 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_lm_scoring")
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    words = lm.vocabulary(docs)
-    return lm.score(docs, words, lm.train(docs, words))
+    counts = lm.word_counts(docs)
+    words = lm.vocabulary(docs, counts=counts)
+    return lm.score(docs, words, lm.train(docs, words), inside=lm.shares(counts, words))

@@ -78,3 +78,22 @@ def test_odd_texts(spark, odd_docs, no_docs):
     assert lm.score(no_docs, none, lm.train(no_docs, none)).count() == 0
     again = lm.train(odd_docs, words)
     assert all(np.array_equal(weights[k], again[k]) for k in weights)
+
+
+def test_rare_words_score_by_their_own_counts(spark):
+    common = " ".join(f"c{k}" for k in range(lm.WORDS))
+    rows = [(0, " ".join([common] * 6)), (1, "xaaending " * 4), (2, "xbbending " * 3 + "xccending"), (3, "a xaaending b"), (4, "a xbbending b"), (5, "a xccending b")]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    counts = lm.word_counts(docs)
+    words = lm.vocabulary(docs, counts=counts)
+    weights = lm.train(docs, words)
+    cell = {r.doc_id: r.pll for r in lm.score(docs, words, weights).collect()}
+    assert cell[3] == cell[4] == cell[5]
+    for near in (0, 3, lm.NEAR):
+        inside = lm.shares(counts, words, near)
+        got = {r.doc_id: r.pll for r in lm.score(docs, words, weights, inside=inside).collect()}
+        total = np.exp(inside.totals[lm.cells(np.frombuffer(b"ing", np.uint8), np.array([0]), np.array([3]))[0]])
+        assert total >= 11
+        assert got[3] - got[4] == pytest.approx(np.log(5 / 4), abs=1e-6) and got[4] - got[5] == pytest.approx(np.log(4 / 2), abs=1e-6)
+        assert got[1] - cell[1] == pytest.approx(4 * np.log(5 / total), abs=1e-6)
+    assert len(got) == len(rows)
