@@ -10,7 +10,8 @@ Every token is predicted from the ``SIDE`` tokens before and after it; the sum o
 * The network: embeddings of the window, one hidden layer, and a two-level softmax over ``CLASSES`` classes of ``CLASSES``
   tokens, so that a token costs two short rows instead of the whole vocabulary.
 * Training goes over all documents: in each round every partition runs from the same weights over its texts, masking every
-  ``MASK``-th token (another one in each round); the weights are averaged by masked tokens in a tree of tasks. A lost task is run
+  ``MASK``-th token (another one in each round, so ``ROUNDS`` rounds make every token a target once); the weights are averaged by
+  masked tokens in a tree of tasks. A lost task is run
   again with the same result. What is broadcast, the vocabulary, the near counts and the weights, has a fixed size.
 
 Defined results: null, empty and wordless texts have no tokens, score 0 and no mean; repeated rows are scored one by one;
@@ -40,7 +41,7 @@ NEAR = 1 << 17
 SIDE = 2
 WIDTH = 16
 HIDDEN = 32
-MASK = 8
+MASK = 2
 BATCH = 1024
 ROUNDS = 2
 RATE = 0.1

@@ -97,3 +97,24 @@ def test_rare_words_score_by_their_own_counts(spark):
         assert got[3] - got[4] == pytest.approx(np.log(5 / 4), abs=1e-6) and got[4] - got[5] == pytest.approx(np.log(4 / 2), abs=1e-6)
         assert got[1] - cell[1] == pytest.approx(4 * np.log(5 / total), abs=1e-6)
     assert len(got) == len(rows)
+
+
+def test_every_token_is_a_target_once(spark):
+    from types import SimpleNamespace as Shared
+
+    texts = ["one", "two words", None, "", "a b c d e f g h i", *["x y z"] * 5]
+    words = lm.vocabulary(spark.createDataFrame([(t,) for t in texts], "text STRING"))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    schema = pa.schema([("n", pa.int64()), ("flat", pa.binary())])
+    seen = [sum(b["n"][0].as_py() for b in lm._train(iter([batch]), "text", Shared(value=words), Shared(value=lm.fresh_weights()), r, schema)) for r in range(lm.ROUNDS)]
+    assert sum(seen) == sum(len(x) for _, _, x, _ in lm.tokens(batch["text"], words)) == 27
+    assert lm.ROUNDS == lm.MASK
+
+
+def test_training_as_registered_beats_frequencies(spark):
+    docs = spark.read.parquet(SF).select("doc_id", "text")
+    words = lm.vocabulary(docs)
+    rows = lm.score(docs, words, lm.train(docs, words)).collect()
+    numbers = np.concatenate([x for _, _, x, _ in lm.tokens(pa.array([r.text for r in docs.collect()]), words)])
+    share = np.bincount(numbers, minlength=lm.VOCABULARY) / len(numbers)
+    assert sum(r.pll for r in rows) / len(numbers) > np.log(share[numbers]).mean()
