@@ -108,9 +108,11 @@ def _judge(batches: Iterator[pa.RecordBatch], shared, schema: pa.Schema) -> Iter
 
 
 def labelled(urls: DataFrame, n: int = LABELLED) -> tuple[list[str], list[str], np.ndarray]:
-    """Host, path and label of the ``n`` distinct ruled urls with the smallest hash."""
+    """Host, path and label of the ``n`` distinct ruled urls with the smallest hash: half for each verdict, more where the other has fewer."""
     found = urls.where("rule IS NOT NULL").select("host", "path", "verdict").distinct()
-    rows = found.orderBy(F.xxhash64("host", "path"), "host", "path").limit(n).collect()
+    least = lambda verdict: found.where(F.col("verdict") == verdict).orderBy(F.xxhash64("host", "path"), "host", "path").limit(n).collect()
+    block, allow = least("block"), least("allow")
+    rows = block[: max(n // 2, n - len(allow))] + allow[: max(n - n // 2, n - len(block))]
     return [r.host for r in rows], [r.path for r in rows], np.array([r.verdict == "block" for r in rows], float)
 
 

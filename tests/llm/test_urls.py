@@ -58,3 +58,11 @@ def test_held_out_accuracy(spark):
     weights = U.train([r.host for r in pick(rows, 0)], [r.path for r in pick(rows, 0)], pick(label, 0))
     p = U.scores(weights, [r.host for r in pick(rows, 1)], [r.path for r in pick(rows, 1)])
     assert ((p >= 0.5) == pick(label, 1)).mean() > 0.9
+
+
+def test_a_small_class_is_among_the_labelled(spark):
+    rows = [(f"h{k}.org", "/", "r", "block" if k < 3 else "allow") for k in range(600)]
+    urls = spark.createDataFrame(rows, "host STRING, path STRING, rule STRING, verdict STRING")
+    for n, block in ((10, 3), (4, 2)):
+        hosts, _, label = U.labelled(urls, n)
+        assert len(hosts) == len(set(hosts)) == n and label.sum() == block
