@@ -225,4 +225,4 @@ PRESENT = ("inspection", "defect_region", "batch_run", "profile", "station", "mo
 
 @query("missing_tables", "SELECT t AS table_name FROM (VALUES " + ",".join(f"('{t}')" for t in sorted(STORE)) + ") x(t) WHERE t NOT IN (" + " UNION ALL ".join(f"SELECT '{t}' FROM (SELECT count(*) FROM {t})" for t in PRESENT) + ")")
 def _(v):
-    return gates.missing_tables(v.spark, [t for t in PRESENT if v[t].columns], sorted(STORE))
+    return gates.missing_tables(v.spark, v.found(sorted(STORE)), sorted(STORE))

@@ -246,6 +246,14 @@ class Views:
                 self._made[name] = self.spark.sql(_USE.sub(r"\1 {\2}", text), **inputs)
         return self._made[name]
 
+    def found(self, names: list[str]) -> list[str]:
+        """Those of ``names`` that can be laid over the tables which the folder holds."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.sf_dir)
+        listed = folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(folder)
+        there = {x.getPath().getName().removesuffix(".parquet") for x in listed}
+        ready = lambda n: n in there if n in TABLES else n in VIEWS and all(map(ready, set(_uses(VIEWS[n](SPARK)))))
+        return [n for n in names if ready(n)]
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES or name in VIEWS:
             return self[name]

@@ -164,3 +164,13 @@ def test_model_upsert_keeps_known_values(spark):
 def test_portable_path(spark):
     rows = spark.createDataFrame([("/srv/run/a/b.png",), ("/srv/runner/b.png",), ("/opt/x.png",)], "p STRING")
     assert [r[0] for r in rows.select(store.portable_path(F.col("p"), ["/srv/run", "/opt/"])).collect()] == ["a/b.png", "/srv/runner/b.png", "x.png"]
+
+
+def test_tables_are_found_and_not_listed_in_the_code(spark, tmp_path):
+    from fettle.operators import gates
+    from fettle.sources.views import Views
+
+    spark.range(1).write.parquet(str(tmp_path / "region.parquet"))
+    v = Views(spark, str(tmp_path))
+    assert v.found(["region", "orders", "inspection"]) == ["region"]
+    assert [r.table_name for r in gates.missing_tables(spark, v.found(["region", "inspection"]), ["region", "inspection"]).collect()] == ["inspection"]
