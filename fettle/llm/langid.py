@@ -151,9 +151,12 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "
     grams_ = words.select("l", "n", F.explode(cut).alias("w")).groupBy("l", "w").agg(F.sum("n").alias("n"))
 
     def table(counted: DataFrame, least: int, most: int) -> dict[str, list[int]]:
+        """Counts of the ``most`` entries that are the most frequent within any one language."""
+        total = {r["l"]: r["n"] for r in counted.groupBy("l").agg(F.sum("n").alias("n")).collect()}
+        share = F.array_max(F.array(*[F.col(f"c{k}") / F.lit(float(total.get(x, 1))) for k, x in enumerate(langs)]))
         one = [F.coalesce(F.sum(F.when(F.col("l") == x, F.col("n"))), F.lit(0)).alias(f"c{k}") for k, x in enumerate(langs)]
         wide = counted.groupBy("w").agg(F.sum("n").alias("n"), *one).where(F.col("n") >= least)
-        return {r[0]: list(r[2:]) for r in wide.orderBy(F.desc("n"), "w").limit(most).collect()}
+        return {r[0]: list(r[2:]) for r in wide.orderBy(share.desc(), F.desc("n"), "w").limit(most).collect()}
 
     return Model(langs, table(words, 2, MAX_WORDS), table(grams_, 2, MAX_GRAMS))
 
