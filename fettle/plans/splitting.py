@@ -212,7 +212,7 @@ def _(v):
     return gates.gate_report(split.assign(manifest(v), RULES), RULES)
 
 
-ABSENT = {"inspection": "material_id,overlay_image_path,source_image_path,station_id", "defect_region": "class_id,region_id", "station": "camera_status,created_at"}
+ABSENT = {"inspection": "material_id,station_id", "defect_region": "class_id,region_id", "station": "camera_status,created_at"}
 
 
 @query("missing_columns", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows, '{c}' AS missing FROM {t}" for t, c in ABSENT.items()))

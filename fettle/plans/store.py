@@ -180,8 +180,8 @@ def _(v):
 
 
 @query("batch_report", f"""WITH {TOTALS_CTE}, f AS (SELECT batch_run_id, count(*) AS n FROM inspection WHERE status='clean' AND batch_run_id IS NOT NULL GROUP BY 1)
- SELECT b.batch_run_id, processed, regions_found, clean, failed, regions_total, coalesce(n,0) AS filtered_processed, 0::BIGINT AS filtered_regions_found, coalesce(n,0) AS filtered_clean, 0::BIGINT AS filtered_failed, 0::BIGINT AS filtered_regions_total
- FROM batch_run b JOIN totals t ON t.batch_run_id=b.batch_run_id LEFT JOIN f ON f.batch_run_id=b.batch_run_id""")
+ SELECT b.batch_run_id, coalesce(processed,0) AS processed, coalesce(regions_found,0) AS regions_found, coalesce(clean,0) AS clean, coalesce(failed,0) AS failed, coalesce(regions_total,0) AS regions_total, coalesce(n,0) AS filtered_processed, 0::BIGINT AS filtered_regions_found, coalesce(n,0) AS filtered_clean, 0::BIGINT AS filtered_failed, 0::BIGINT AS filtered_regions_total
+ FROM batch_run b LEFT JOIN totals t ON t.batch_run_id=b.batch_run_id LEFT JOIN f ON f.batch_run_id=b.batch_run_id""")
 def _(v):
     return batches.run_report(v.batch_run, v.inspection, v.defect_region, "clean")
 
@@ -253,7 +253,7 @@ def _(v):
         options(v.defect_region, "class", "class_code"))
 
 
-@query("run_finish", f"WITH {TOTALS_CTE} SELECT b.batch_run_id, {ISO.format('started_at')} AS started_at, {ISO.format('finished_at')} AS finished_at, processed AS image_count, clean AS clean_count, regions_found AS regions_found_count, failed AS failure_count, 'completed' AS status FROM batch_run b JOIN totals t ON t.batch_run_id=b.batch_run_id")
+@query("run_finish", f"WITH {TOTALS_CTE} SELECT b.batch_run_id, {ISO.format('started_at')} AS started_at, {ISO.format('finished_at')} AS finished_at, coalesce(processed,0) AS image_count, coalesce(clean,0) AS clean_count, coalesce(regions_found,0) AS regions_found_count, coalesce(failed,0) AS failure_count, 'completed' AS status FROM batch_run b LEFT JOIN totals t ON t.batch_run_id=b.batch_run_id")
 def _(v):
     done = batches.finished_runs(v.batch_run, batches.run_totals(v.inspection, v.defect_region), F.col("finished_at"))
     return done.withColumns({c: iso(c) for c in ("started_at", "finished_at")})

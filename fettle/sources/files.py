@@ -31,7 +31,7 @@ def without_materials(df: DataFrame, materials: tuple[str, ...]) -> DataFrame:
 
 def read_runs(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Run records, one JSON object per file on one line or many; malformed files and other values are skipped."""
-    text = spark.read.option("wholetext", "true").text(path).where(F.ltrim(F.col("value"), F.lit(" \t\r\n")).startswith("{"))
+    text = spark.read.text(path, wholetext=True).where(F.ltrim(F.col("value"), F.lit(" \t\r\n")).startswith("{"))
     read = F.from_json("value", f"{schema}, {CORRUPT} STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
     return text.select(read.alias("r")).select("r.*").where(F.col(CORRUPT).isNull()).drop(CORRUPT)
 
