@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fettle.llm import contamination, jaccard, langid, licenses, linededup, lm, pieces, quality, tokencount, urls
+from fettle.llm import contamination, jaccard, langid, licenses, linededup, lm, pieces, prefixtrie, quality, repair, tokencount, urls
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -205,3 +205,24 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = lm.word_counts(docs)
     words = lm.vocabulary(docs, counts=counts)
     return lm.score(docs, words, lm.train(docs, words), inside=lm.shares(counts, words))
+
+
+# --- conversation prefix trie --------------------------------------------------------------------------------------------
+
+
+@query("op12_conversation_trie")
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = prefixtrie.turn_lists(table(spark, sf_dir, "conversations"))
+    heads = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6
+    nodes = prefixtrie.trie(prefixtrie.with_shared_heads(lists, 100, 5, heads))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+# --- conversation structure repair ---------------------------------------------------------------------------------------
+
+
+@query("op13_conversation_repair")
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = repair.repair(repair.damaged(table(spark, sf_dir, "conversations")), copies="copies")
+    text = F.array_join(F.transform("repaired", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
+    return done.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.sha2(text, 256).alias("repaired_sha256"))
