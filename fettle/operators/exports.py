@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from fettle.functions.columns import iso
 from fettle.operators.history import HistoryFilter, region_totals, status_totals
 from fettle.schemas import FAILURES, STATUSES
+from fettle.sources.files import read_if_there
 
 REGION_FIELDS = (
     "region_index", "class_code", "area_px", "length_px", "max_width_px", "bbox_x", "bbox_y", "bbox_width",
@@ -115,8 +119,38 @@ def audit_rows(rows: DataFrame) -> DataFrame:
     )
 
 
-def append_json(df: DataFrame, path: str) -> None:
-    df.write.mode("append").json(path)
+BATCH, ATTEMPT, COMMITS = "batch", "attempt", "commits"
+MARK = f"{ATTEMPT} STRING, {BATCH} STRING"
+
+
+def append_once(tables: dict[str, DataFrame], folder: str, batch: str, fmt: str = "parquet") -> bool:
+    """Append one batch to the tables of ``folder``, all of them or none, and only once; False if it was there already.
+
+    Every attempt writes under a name of its own, and a marker that names the attempt is written last: readers follow the markers, so what
+    a killed job left behind is never seen, and a batch that is given again is not written again. Of two jobs that write
+    one batch at the same time, the marker of the later one stands, and with it that job's rows alone.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    if not _commits(spark, folder).where(F.col(BATCH) == batch).isEmpty():
+        return False
+    attempt = uuid.uuid4().hex
+    for name, rows in tables.items():
+        marked = rows.withColumns({BATCH: F.lit(batch), ATTEMPT: F.lit(attempt)})
+        marked.write.mode("append").partitionBy(BATCH, ATTEMPT).format(fmt).save(f"{folder}/{name}")
+    mark = spark.range(1).select(F.lit(attempt).alias(ATTEMPT), F.lit(batch).alias(BATCH))
+    mark.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BATCH).parquet(f"{folder}/{COMMITS}")
+    return True
+
+
+def _commits(spark: SparkSession, folder: str) -> DataFrame:
+    return read_if_there(spark, f"{folder}/{COMMITS}", MARK)
+
+
+def committed(spark: SparkSession, folder: str, name: str, schema: str | StructType, fmt: str = "parquet") -> DataFrame:
+    """The rows of a table whose batches are committed; no rows before the first one."""
+    ddl = schema if isinstance(schema, str) else schema.toDDL()
+    rows = read_if_there(spark, f"{folder}/{name}", f"{ddl}, {BATCH} STRING, {ATTEMPT} STRING", fmt)
+    return rows.join(_commits(spark, folder), [BATCH, ATTEMPT], "left_semi").drop(BATCH, ATTEMPT)
 
 
 def reconcile(export: DataFrame, rows: DataFrame, regions: DataFrame) -> DataFrame:
@@ -146,13 +180,6 @@ def region_rows(regions: DataFrame, classes: DataFrame) -> DataFrame:
     return regions.join(classes.select("class_code", "class_id"), "class_code", "left").drop("class_code")
 
 
-def append_results(inspections: DataFrame, regions: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Append inspections and their regions to the two tables in ``folder`` and return both as they now stand.
-
-    Regions go first: an inspection that is there has all its regions.
-    """
-    spark, tables = inspections.sparkSession, {"defect_region": regions, "inspection": inspections}
-    for name, rows in tables.items():
-        rows.write.mode("append").parquet(f"{folder}/{name}")
-    read = {name: spark.read.schema(rows.schema).parquet(f"{folder}/{name}") for name, rows in tables.items()}
-    return read["inspection"], read["defect_region"]
+def append_results(inspections: DataFrame, regions: DataFrame, folder: str, batch: str) -> bool:
+    """Append a batch of inspections with all their regions to the store in ``folder``; False if it was there already."""
+    return append_once({"defect_region": regions, "inspection": inspections}, folder, batch)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from fettle.functions.columns import n_where
 from fettle.operators.split import SplitRules
 from fettle.schemas import EVAL_SPLITS, TRAIN_SIDE
+from fettle.session import settle
 
 
 def _on_train() -> Column:
@@ -71,18 +72,26 @@ def _long(counts: DataFrame, gates: list[Column]) -> DataFrame:
 
 
 def gate_report(manifest: DataFrame, rules: SplitRules) -> DataFrame:
-    """All gates as (gate, severity, n, ok) from four passes: rows, groups, hashes, names."""
+    """All gates as (gate, severity, n, ok).
+
+    The few columns that gates look at are written once, and the row gates are counted while they are written; groups,
+    hashes and names are then counted from that table, so what makes the manifest runs once.
+    """
     breaks, wanted = row_gates(rules), required_rows(rules)
-    rows = manifest.agg(*[n_where(c).alias(k) for k, c in breaks.items()],
-                        *[F.coalesce(F.max(c.cast("int")), F.lit(0)).alias(k) for k, c in wanted.items()])
-    by_row = _long(rows, [gate(k, "error", F.col(k)) for k in breaks] + [gate(k, "error", 1 - F.col(k)) for k in wanted])
-    groups = key_sides(manifest, "grp").agg(
+    seen = Observation("row gates")
+    narrow = manifest.select("name", "grp", "phash", "split", "role", "material", "subsource", "crack_px").observe(
+        seen, *[n_where(c).alias(k) for k, c in breaks.items()], *[F.coalesce(F.max(c.cast("int")), F.lit(0)).alias(k) for k, c in wanted.items()])
+    rows = settle(narrow, "gates")
+    told = seen.get
+    counted = [(k, "error", int(told[k])) for k in breaks] + [(k, "error", 1 - int(told[k])) for k in wanted]
+    by_row = manifest.sparkSession.createDataFrame([(k, s, n, n == 0) for k, s, n in counted], "gate STRING, severity STRING, n BIGINT, ok BOOLEAN")
+    groups = key_sides(rows, "grp").agg(
         n_where(F.col("on_train") & F.col("on_eval")).alias("leak"),
         n_where(~F.col("on_train") & (F.col("first_split") != F.col("last_split"))).alias("multi"))
     by_group = _long(groups, [gate("leak_group", "error", F.col("leak")), gate("multi_eval_group", "warning", F.col("multi"))])
-    hashes = key_sides(manifest, "phash").agg(n_where(F.col("on_train") & F.col("on_eval")).alias("leak"))
+    hashes = key_sides(rows, "phash").agg(n_where(F.col("on_train") & F.col("on_eval")).alias("leak"))
     by_hash = _long(hashes, [gate("leak_hash", "error", F.col("leak"))])
-    names = manifest.groupBy("name").agg(
+    names = rows.groupBy("name").agg(
         F.count("*").alias("c"), F.max((F.col("split") == "wood_bg").cast("int")).alias("bg"),
         F.max((F.col("split") == "test_negatives").cast("int")).alias("neg"))
     named = names.agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("dups"), n_where((F.col("bg") == 1) & (F.col("neg") == 1)).alias("both"))

@@ -64,27 +64,70 @@ def tolerant_f1() -> Column:
     return _agreement(F.col("near_pred") / (F.col("pred_px") + EPS), F.col("near_gt") / (F.col("gt_px") + EPS))
 
 
-def near_flags(pixels: DataFrame, tol: int, keys: list[str] | None = None) -> DataFrame:
-    """Foreground pixels with flags: is the other mask within ``tol``?
+WORD = 64
+
+
+def half_widths(tol: int) -> dict[int, int]:
+    """Of each row distance in the element, how far it reaches along the row."""
+    return {dy: max(dx for y, dx in ellipse(tol) if y == dy) for dy in range(-tol, tol + 1)}
+
+
+def packed_near(pixels: DataFrame, tol: int, keys: list[str] | None = None) -> DataFrame:
+    """Foreground by image row and word of 64 pixels: ``p`` and ``g`` as bits, and ``near_p``, ``near_g``, those dilated by ``tol``.
 
-    A range join as an equi-join: each foreground pixel marks the cells of its offsets, marks
-    meet on their cell. One shuffle of the foreground only.
+    Dilation is a matter of shifts along a row (bits that leave a word make a row for the neighbour) and of the rows above and
+    below, taken by a window. A word moves once, whatever the tolerance.
     """
-    keys = keys or []
-    p, g = _on("pred"), _on("gt")
-    offsets = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ellipse(tol)])
-    marks = pixels.where(p | g).select("item_id", *keys, "y", "x", p.alias("p"), g.alias("g"), F.explode(offsets).alias("o"))
-    own = (F.col("o.dy") == 0) & (F.col("o.dx") == 0)
-    cells = marks.groupBy("item_id", *keys, (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x")).agg(
-        F.max(F.col("p") & own).alias("is_pred"), F.max(F.col("g") & own).alias("is_gt"),
-        F.max("p").alias("pred_near"), F.max("g").alias("gt_near"))
-    return cells.where("is_pred OR is_gt")
+    if not 0 <= tol < WORD:
+        raise ValueError(f"the tolerance must be under {WORD} pixels")
+    on, reach = ["item_id", *(keys or [])], half_widths(tol)
+    widths = sorted(set(reach.values()))
+    bit = F.expr(f"shiftleft(1L, CAST(pmod(x, {WORD}) AS INT))")
+    words = pixels.where(_on("pred") | _on("gt")).groupBy(*on, "y", F.floor(F.col("x") / WORD).cast("int").alias("w")).agg(
+        *[F.coalesce(F.bit_or(F.when(_on(c), bit)), F.lit(0).cast("bigint")).alias(n) for c, n in (("pred", "p"), ("gt", "g"))])
+
+    def spread(c: str, h: int, step: int) -> Column:
+        """What the word's bits set in the word itself (step 0) or in the one before (-1) or after (1) when dilated by ``h``."""
+        if step:
+            far = range(WORD - h, WORD)
+            moves = [F.shiftrightunsigned(c, k) if step > 0 else F.shiftleft(c, k) for k in far]
+        else:
+            moves = [F.col(c), *[m for k in range(1, h + 1) for m in (F.shiftleft(c, k), F.shiftrightunsigned(c, k))]]
+        out = F.lit(0).cast("bigint")
+        for m in moves:
+            out = out.bitwiseOR(m)
+        return out
+
+    def part(step: int) -> Column:
+        own = [F.col(c) if step == 0 else F.lit(0).cast("bigint") for c in "pg"]
+        return F.struct((F.col("w") + step).alias("w"), own[0].alias("p"), own[1].alias("g"), *[spread(c, h, step).alias(f"{c}{h}") for h in widths for c in "pg"])
+
+    names = ["p", "g", *[f"{c}{h}" for h in widths for c in "pg"]]
+    parts = words.select(*on, "y", F.explode(F.array(part(0), part(-1), part(1))).alias("s")).select(*on, "y", "s.*")
+    some = parts.where(" OR ".join(f"{n} <> 0" for n in names))
+    rows = some.groupBy(*on, "y", "w").agg(*[F.bit_or(n).alias(n) for n in names])
+    column = W.partitionBy(*on, "w").orderBy("y")
+
+    def near(c: str) -> Column:
+        out = F.lit(0).cast("bigint")
+        for dy, h in reach.items():
+            out = out.bitwiseOR(F.coalesce(F.max(f"{c}{h}").over(column.rangeBetween(dy, dy)), F.lit(0)))
+        return out
+
+    return rows.select(*on, "y", "w", "p", "g", near("p").alias("near_p"), near("g").alias("near_g")).where("p <> 0 OR g <> 0")
+
+
+def near_flags(pixels: DataFrame, tol: int, keys: list[str] | None = None) -> DataFrame:
+    """Foreground pixels with flags: is the other mask within ``tol``?"""
+    packed = packed_near(pixels, tol, keys).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(WORD - 1))))
+    bits = {"is_pred": "p", "is_gt": "g", "pred_near": "near_p", "gt_near": "near_g"}
+    flags = [F.expr(f"getbit({c}, b) = 1").alias(n) for n, c in bits.items()]
+    return packed.select("item_id", *(keys or []), "y", (F.col("w") * WORD + F.col("b")).alias("x"), *flags).where("is_pred OR is_gt")
 
 
 def near_counts(pixels: DataFrame, tol: int, keys: list[str] | None = None) -> DataFrame:
-    flags = near_flags(pixels, tol, keys)
-    return flags.groupBy("item_id", *(keys or [])).agg(
-        n_where(F.col("is_pred") & F.col("gt_near")).alias("near_pred"), n_where(F.col("is_gt") & F.col("pred_near")).alias("near_gt"))
+    both = lambda a, b: F.sum(F.bit_count(F.col(a).bitwiseAND(F.col(b)))).cast("bigint")
+    return packed_near(pixels, tol, keys).groupBy("item_id", *(keys or [])).agg(both("p", "near_g").alias("near_pred"), both("g", "near_p").alias("near_gt"))
 
 
 def item_metrics(pixels: DataFrame, tol: int = 2, keys: list[str] | None = None) -> DataFrame:

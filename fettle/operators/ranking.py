@@ -168,3 +168,25 @@ def percentiles(df: DataFrame, groups: Sequence[str], value: ColumnLike, wanted:
     return found.selectExpr(*[f"{GROUP}.`{g}`" for g in groups], *[
         f"__lo_{name} + (__hi_{name} - __lo_{name}) * ((__n - 1) * {float(p)!r}D - {ranks[name]['lo']}) AS `{name}`"
         for name, p in wanted.items()])
+
+
+def running(df: DataFrame, groups: Sequence[str], order: Sequence[Column], sums: dict[str, ColumnLike], number: str | None = None) -> DataFrame:
+    """Add the sums of measures over all rows of the group before a row (the row itself left out), and its number from 1.
+
+    ``order`` must name every row: rows that are equal in it stay in one cell. The rows are dealt by range of (groups, order), so a
+    hot group is cut into as many cells as it fills; a cell's sums become offsets, and a window only spans one cell of a group.
+    """
+    measures = {f"__m{i}": col(c) for i, c in enumerate(sums.values())}
+    named = df.select("*", *[c.alias(k) for k, c in measures.items()])
+    dealt = named.repartitionByRange(bucket_count(df), *[F.col(g) for g in groups], *order).withColumn("__cell", F.spark_partition_id())
+    cells = _grouped(settle(dealt, "running"), groups)
+    parts = cells.groupBy(GROUP, "__cell").agg(F.count("*").alias("__n"), *[F.sum(m).alias(f"{m}s") for m in measures])
+    before = W.partitionBy(GROUP).orderBy("__cell").rowsBetween(W.unboundedPreceding, -1)
+    offsets = parts.select(GROUP, "__cell", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}off") for c in ["__n", *[f"{m}s" for m in measures]]])
+    inside = W.partitionBy(GROUP, "__cell").orderBy(*order)
+    ahead = inside.rowsBetween(W.unboundedPreceding, -1)
+    local = cells.withColumns({"__rn": F.row_number().over(inside), **{f"{m}l": F.coalesce(F.sum(m).over(ahead), F.lit(0)) for m in measures}})
+    joined = local.join(offsets, [GROUP, "__cell"])
+    out = [(F.col(f"{m}l") + F.col(f"{m}soff")).alias(name) for name, m in zip(sums, measures)]
+    count = [(F.col("__rn") + F.col("__noff")).cast("bigint").alias(number)] if number else []
+    return joined.select(*df.columns, *out, *count)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from fettle.functions.columns import nan_to_null, ratio
-from fettle.operators.ranking import first_n, row_number_by_value
+from fettle.operators.ranking import first_n, row_number_by_value, running
+from fettle.session import settle
 
 # Deployment budget, tie margin and the rules of the selection report.
 MAX_PARAMS_M, MAX_CPU_MS, TIE_MARGIN = 8.0, 400.0, 0.02
@@ -21,25 +24,46 @@ def final_metrics(history: DataFrame) -> DataFrame:
     return history.groupBy("tag", "seed", "split").agg(F.max_by("metric", "epoch").alias("metric"))
 
 
-def seed_summary(finals: DataFrame, by: list[str]) -> DataFrame:
+def run_scores(records: DataFrame, value: str = "value") -> DataFrame:
+    """One row per run, split and metric from run records as JSON texts: ``tag``, ``seed``, ``split``, ``metric``, ``score``.
+
+    A record holds an object of scores under each split it was measured on, beside values of other kinds. What is no number has the
+    score null; texts that are no object have no rows.
+    """
+    words = "MAP<STRING, STRING>"
+    top = records.select(F.from_json(value, words).alias("top")).where("top IS NOT NULL")
+    parts = F.map_entries(F.map_filter("top", lambda k, v: (k != "args") & v.startswith("{")))
+    split = top.select(F.col("top")["tag"].alias("tag"), F.get_json_object(F.col("top")["args"], "$.seed").cast("bigint").alias("seed"), F.explode(parts).alias("part"))
+    scores = split.select("tag", "seed", F.col("part.key").alias("split"), F.explode(F.map_entries(F.from_json("part.value", words))).alias("score"))
+    return scores.select("tag", "seed", "split", F.col("score.key").alias("metric"), F.col("score.value").try_cast("double").alias("score"))
+
+
+def class_recalls(scores: DataFrame) -> DataFrame:
+    """The recalls per class among the scores, the class in a column of its own."""
+    suffix = "_class_recall"
+    found = scores.where(F.col("metric").endswith(suffix))
+    return found.select("tag", "seed", "split", F.replace("metric", F.lit(suffix), F.lit("")).alias("class_code"), "score")
+
+
+def seed_summary(scores: DataFrame, by: list[str], value: str = "metric") -> DataFrame:
     """Mean and population deviation over seeds, NaN skipped; few seeds are flagged."""
-    x = nan_to_null("metric")
-    return finals.groupBy(*by).agg(
+    x = nan_to_null(value)
+    return scores.groupBy(*by).agg(
         F.round(F.avg(x), 9).alias("mean"), F.round(F.stddev_pop(x), 9).alias("std"), F.count(x).alias("n")
     ).withColumn("few_seeds", F.col("n") < MIN_SEEDS)
 
 
-def with_targets(finals: DataFrame, targets: DataFrame) -> DataFrame:
-    """Seed summary per split with the value of every seed and the verdict against a target."""
-    x = nan_to_null("metric")
-    per = finals.where(x.isNotNull()).groupBy("split").agg(
-        F.avg("metric").alias("m"), F.round(F.stddev_pop("metric"), 9).alias("std"), F.count("*").alias("n"),
-        F.array_sort(F.collect_list(F.struct("tag", "seed", F.round("metric", 6).alias("v")))).alias("s"))
-    joined = per.join(targets, "split", "left")
+def with_targets(scores: DataFrame, targets: DataFrame) -> DataFrame:
+    """Seed summary per tag, split and metric with the value of every seed and the verdict against the metric's target on that split."""
+    by, x = ["tag", "split", "metric"], nan_to_null("score")
+    per = scores.where(x.isNotNull()).groupBy(*by).agg(
+        F.avg("score").alias("m"), F.round(F.stddev_pop("score"), 9).alias("std"), F.count("*").alias("n"),
+        F.array_sort(F.collect_list(F.struct("seed", F.round("score", 6).alias("v")))).alias("s"))
+    joined = per.join(targets, ["split", "metric"], "left")
     met = F.when(F.col("direction") == "ge", F.col("m") >= F.col("target")).otherwise(F.col("m") <= F.col("target"))
     return joined.select(
-        "split", F.round("m", 9).alias("mean"), "std", "n",
-        F.array_join(F.transform("s", lambda e: e["v"].cast("string")), ",").alias("per_seed"),
+        *by, F.round("m", 9).alias("mean"), "std", "n",
+        F.array_join(F.transform("s", lambda e: F.format_string("%.6f", e["v"])), ",").alias("per_seed"),
         F.when(F.col("target").isNotNull(), F.when(met, "MEETS").otherwise("MISSES")).alias("verdict"))
 
 
@@ -89,16 +113,28 @@ def overfit_gap(history: DataFrame, val: str, train: str) -> DataFrame:
 
 
 def ema_series(history: DataFrame, decay: float) -> DataFrame:
-    """Running average e = decay * e + (1 - decay) * x along one run's epochs."""
-    ordered = history.groupBy(*SERIES).agg(F.array_sort(F.collect_list(F.struct("epoch", "metric"))).alias("h"))
-    first = F.transform(F.slice("h", 1, 1), lambda p: F.struct(p["epoch"].alias("epoch"), p["metric"].alias("ema")))
-
-    def step(done: Column, p: Column) -> Column:
-        e = F.element_at(done, -1)["ema"] * decay + p["metric"] * (1 - decay)
-        return F.concat(done, F.array(F.struct(p["epoch"].alias("epoch"), e.alias("ema"))))
+    """Running average e = decay * e + (1 - decay) * x along one run's epochs, from its first x; epochs without a metric are left out.
 
-    path = F.aggregate(F.slice("h", F.lit(2), F.greatest(F.size("h") - 1, F.lit(0))), first, step)
-    return ordered.select(*SERIES, F.explode(path).alias("p")).select(*SERIES, "p.epoch", F.round("p.ema", 9).alias("ema"))
+    A step is the affine map e -> decay * e + (1 - decay) * x, and maps compose. A series is cut into blocks so long that ``decay`` to
+    a block's length stays within a double's range; inside a block the maps from its start are running sums of x / decay^j, a whole
+    block is one map, and what a block starts from is the end of the block before (and, scaled, of the one before that: what
+    lies further back is scaled below the last digit). Linear in the epochs, with no array of a series.
+    """
+    size = max(1, min(1 << 20, int(100 / -math.log10(decay)))) if 0 < decay < 1 else 1
+    series = W.partitionBy(*SERIES)
+    known = history.where(F.col("metric").isNotNull()).select(*SERIES, "epoch", "metric")
+    placed = known.withColumn("rn", F.row_number().over(series.orderBy("epoch")) - 1).withColumns({"block": F.expr(f"rn div {size}"), "j": F.col("rn") % size})
+    x = F.when(F.col("rn") == 0, F.col("metric")).otherwise((1 - decay) * F.col("metric"))
+    if not 0 < decay < 1:
+        return placed.select(*SERIES, "epoch", F.round(F.first("metric").over(series.orderBy("epoch")) if decay == 1 else F.col("metric"), 9).alias("ema"))
+    inside = W.partitionBy(*SERIES, "block").orderBy("epoch").rowsBetween(W.unboundedPreceding, 0)
+    power = lambda n: F.pow(F.lit(float(decay)), n)
+    local = placed.withColumn("local", power(F.col("j")) * F.sum(x * power(-F.col("j"))).over(inside))
+    order = W.partitionBy(*SERIES).orderBy("block")
+    ends = local.groupBy(*SERIES, "block").agg(F.max_by("local", "j").alias("end"))
+    carry = F.coalesce(F.lag("end").over(order), F.lit(0.0)) + decay**size * F.coalesce(F.lag("end", 2).over(order), F.lit(0.0))
+    starts = ends.select(*SERIES, "block", carry.alias("carry"))
+    return local.join(starts, [*SERIES, "block"]).select(*SERIES, "epoch", F.round(F.col("local") + power(F.col("j") + 1) * F.col("carry"), 9).alias("ema"))
 
 
 def within_budget() -> Column:
@@ -175,12 +211,17 @@ def shard_rank(shards: DataFrame, n: int) -> DataFrame:
                       F.round(F.sum("gb").over(upto), 9).alias("gb_total"), F.sum("hits").over(upto).alias("hits_total"))
 
 
-def budgeted_take(ranked: DataFrame, seconds: float, gb_per_second: float, free_gb: float, reserve_gb: float) -> DataFrame:
-    """Take in rank order until time or disk would run out; the first violation ends it."""
-    fits = (F.col("gb_total") / gb_per_second <= seconds) & (free_gb - F.col("gb_total") >= reserve_gb)
-    upto = W.orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
-    flagged = ranked.withColumn("ok", F.min(fits.cast("int")).over(upto) == 1)
-    return flagged.where("ok").select("shard", "rank", "hits", "gb_total")
+def budgeted_take(shards: DataFrame, seconds: float, gb_per_second: float, free_gb: float, reserve_gb: float) -> DataFrame:
+    """Take shards by hits per GB until time or disk would run out; the first violation ends it.
+
+    Totals are prefix sums over cells of the order, so neither the ranking nor the cut sorts all shards in one task.
+    """
+    per = shards.select("shard", "hits", "gb", F.coalesce(F.round(ratio("hits", "gb"), 9), F.lit(0.0)).alias("per_gb"))
+    ranked = settle(running(per, [], [F.col("per_gb").desc(), F.col("shard").asc()], {"__before": "gb"}, "rank"), "ranked-shards")
+    total = F.col("__before") + F.col("gb")
+    fits = (total / gb_per_second <= seconds) & (free_gb - total >= reserve_gb)
+    end = ranked.agg(F.min(F.when(~fits, F.col("rank")))).scalar()
+    return ranked.where(F.col("rank") < F.coalesce(end, F.lit((1 << 63) - 1))).select("shard", F.col("rank").cast("int").alias("rank"), "hits", F.round(total, 9).alias("gb_total"))
 
 
 def grid_scores(scored: DataFrame, grid: tuple[float, ...] = GRID) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fettle.functions.columns import draw_hash, n_where, unit_draw
-from fettle.operators.ranking import row_number_by_hash
+from fettle.operators.ranking import row_number_by_hash, running
+from fettle.session import settle
 
 
 def _draw(seed: int, part: str, slot: str) -> Column:
@@ -48,12 +49,14 @@ def mix_synth(slots: DataFrame, synth_frac: float, seed: int, split: str = "trai
 
 
 def group_balanced(slots: DataFrame, rows: DataFrame, group: str, key: str, seed: int) -> DataFrame:
-    """Every group gets the same weight, whatever its size. Rows without a group are not drawn."""
-    groups = rows.where(F.col(group).isNotNull()).groupBy(group).agg(F.lit(1).alias("__one"))
-    listed = groups.agg(F.sort_array(F.collect_list(group)).alias("g")).scalar()
-    pick = F.floor(_draw(seed, "grp", "slot") * F.col("__n")).cast("int")
-    chosen = slots.withColumn("__g", listed).withColumn("__n", F.size("__g")).withColumn(group, F.get("__g", pick)).drop("__g", "__n")
-    return _fill(chosen, rows, group, key, seed)
+    """Every group gets the same weight, whatever its size. Rows without a group are not drawn.
+
+    Groups are numbered in a table, and a slot meets its group on the number it draws.
+    """
+    groups = rows.where(F.col(group).isNotNull()).select(group).distinct()
+    numbered = settle(running(groups, [], [F.col(group).asc()], {}, "__no"), "numbered-groups")
+    drawn = slots.withColumn("__no", F.floor(_draw(seed, "grp", "slot") * numbered.agg(F.count("*")).scalar()) + 1)
+    return _fill(drawn.join(numbered, "__no").drop("__no"), rows, group, key, seed)
 
 
 def sample_plan(slots: DataFrame, rows: DataFrame, group: str, key: str, n_crack: int, seed: int) -> DataFrame:

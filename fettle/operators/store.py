@@ -93,12 +93,10 @@ def canonical_columns(df: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def canonical_from_json(df: DataFrame, payload: str, keep: list[str]) -> DataFrame:
-    """The same for JSON payloads whose keys differ from row to row."""
-    fields = [
-        F.coalesce(*[F.get_json_object(payload, f"$.{a}") for a in aliases]).alias(name)
-        for name, aliases in REGION_ALIASES.items()
-    ]
-    return df.select(*keep, *fields)
+    """The same for JSON payloads whose keys differ from row to row. A payload is parsed once; one that is no JSON has no values."""
+    parsed = df.select(*keep, F.try_parse_json(payload).alias("__v"))
+    fields = [F.coalesce(*[F.try_variant_get("__v", f"$.{a}", "string") for a in aliases]).alias(name) for name, aliases in REGION_ALIASES.items()]
+    return parsed.select(*keep, *fields)
 
 
 def model_info(models: DataFrame, metrics: DataFrame) -> DataFrame:

@@ -81,8 +81,8 @@ def _(v):
 @query("record_log_append", "SELECT product_id, CAST(count(region_index) AS BIGINT) AS regions, count(region_index)=0 AS empty FROM inspection i LEFT JOIN defect_region r ON r.inspection_id=i.inspection_id GROUP BY product_id, i.inspection_id")
 def _(v):
     path = work_path(v.spark, "records")
-    for status in ("status = 'regions_found'", "status <> 'regions_found'"):
-        exports.append_json(exports.records_of(v.inspection.where(status), v.defect_region), path)
-    log = v.spark.read.schema(RECORD).json(path)
+    for batch, status in (("found", "status = 'regions_found'"), ("other", "status <> 'regions_found'"), ("found", "true")):
+        exports.append_once({"log": exports.records_of(v.inspection.where(status), v.defect_region)}, path, batch, "json")
+    log = exports.committed(v.spark, path, "log", RECORD, "json")
     return log.select("product_id", F.coalesce(F.size("regions"), F.lit(0)).cast("bigint").alias("regions"), "empty").withColumn(
         "regions", F.greatest("regions", F.lit(0)))

@@ -380,7 +380,11 @@ def _(v):
 @query("audit_log", """SELECT product_id AS path, CASE WHEN status='acquisition_failure' THEN status ELSE 'ok' END AS status, CASE WHEN status<>'acquisition_failure' THEN region_count END AS n_regions,
  CASE WHEN status<>'acquisition_failure' THEN image_sha256 END AS image_sha256, station_code AS station_id, profile_id AS processing_profile FROM inspection""")
 def _(v):
-    return exports.audit_rows(v.inspection)
+    rows, folder = exports.audit_rows(v.inspection), work_path(v.spark, "audit")
+    for batch in ("run 1", "run 2", "run 1"):
+        part = F.col("inspection_id") % 3 == 0 if batch == "run 1" else F.col("inspection_id") % 3 != 0
+        exports.append_once({"audit": exports.audit_rows(v.inspection.where(part))}, folder, batch, "json")
+    return exports.committed(v.spark, folder, "audit", rows.schema, "json")
 
 
 @query("file_inventory", f"SELECT path, bytes AS length FROM file_list WHERE {SUFFIX_SQL}")
@@ -403,8 +407,10 @@ def _(v):
     classes = v.spark.createDataFrame([(1, "crack"), (2, "scratch")], "class_id BIGINT, class_code STRING")
     folder = work_path(v.spark, "store")
     half = F.col("inspection_id") % 2 == 0  # two batches, one after the other
-    for part in (half, ~half):
-        inspections, regions = exports.append_results(rows.where(part), exports.region_rows(v.defect_region.where(part), classes), folder)
+    every = exports.region_rows(v.defect_region, classes)
+    for batch, part in (("even", half), ("odd", ~half), ("even", half)):  # the first one is given again
+        exports.append_results(rows.where(part), every.where(part), folder, batch)
+    inspections, regions = (exports.committed(v.spark, folder, name, t.schema) for name, t in (("inspection", rows), ("defect_region", every)))
     held = regions.groupBy("inspection_id").agg(F.count("*").alias("stored_regions"), F.sum("class_id").alias("class_ids"))
     return inspections.join(held, "inspection_id", "left").select(
         "inspection_id", "station_id", "material_id", "model_version_id", "status", "region_count", F.coalesce("stored_regions", F.lit(0)).alias("stored_regions"), "class_ids")

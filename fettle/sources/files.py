@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 CORRUPT = "_corrupt_record"
 
@@ -36,6 +38,28 @@ def read_runs(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return text.select(read.alias("r")).select("r.*").where(F.col(CORRUPT).isNull()).drop(CORRUPT)
 
 
+def read_if_there(spark: SparkSession, path: str, schema: str | StructType, fmt: str = "parquet") -> DataFrame:
+    """A table that may not have been written yet: then it has no rows."""
+    try:
+        return spark.read.schema(schema).format(fmt).load(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def listed_files(spark: SparkSession, folder: str, suffixes: tuple[str, ...], max_bytes: int) -> DataFrame:
+    """(path, length) of the files below ``folder`` with one of the suffixes and no larger; no content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return files.where((F.col("length") <= max_bytes) & F.lower("path").rlike("[.](" + "|".join(x.lstrip(".") for x in suffixes) + ")$")).select("path", "length")
+
+
+def file_digest(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """(length, sha256) of the file ``name`` below ``folder``, read alone; no row where it is not there."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name).load(folder)
+    return files.select("length", F.sha2("content", 256).alias("sha256"))
+
+
 def write_runs(records: DataFrame, payload: str, path: str) -> None:
     """One file for each record, as the training jobs leave them."""
     records.select(payload, F.xxhash64(payload).alias("run_file")).write.partitionBy("run_file").text(path)

@@ -118,11 +118,12 @@ def _manifest(d: Dialect) -> str:
  CASE WHEN l.doc_id IS NULL THEN 'negative' WHEN l.toxic=1 THEN 'hard_negative' WHEN l.quality=1 THEN 'positive' ELSE 'scratch' END AS role,
  CASE WHEN l.doc_id IS NOT NULL AND l.toxic=0 THEN d.n_chars ELSE 0 END AS crack_px,
  CASE WHEN l.doc_id IS NOT NULL AND l.toxic=0 THEN d.n_chars ELSE 0 END/(d.n_chars+CAST(4000 AS DOUBLE)) AS crack_px_frac,
- length(d.text)*CAST(1.0 AS DOUBLE)/greatest(1,length(d.text)-length(replace(d.text,' ',''))) AS mean_crack_width,
- CASE WHEN d.doc_id%29=0 THEN '' ELSE md5({d.strip('lower(d.text)', '[^a-z0-9]+')}) END AS phash, concat(d.source,':',substr(md5({d.strip('lower(d.text)', '[^a-z0-9]+')}),1,2)) AS grp,
+ d.width AS mean_crack_width,
+ CASE WHEN d.doc_id%29=0 THEN '' ELSE d.digest END AS phash, concat(d.source,':',substr(d.digest,1,2)) AS grp,
  64+d.doc_id%192 AS h, 64+(d.doc_id*7)%256 AS w, 20+d.doc_id%220 AS brightness, 5+d.doc_id%40 AS contrast,
  (d.doc_id%10)/CAST(20.0 AS DOUBLE) AS dark_frac, (d.doc_id%7)/CAST(15.0 AS DOUBLE) AS blown_frac
- FROM documents d LEFT JOIN labels l ON l.doc_id=d.doc_id"""
+ FROM (SELECT doc_id, source, lang, n_chars, length(text)*CAST(1.0 AS DOUBLE)/greatest(1,length(text)-length(replace(text,' ',''))) AS width,
+  md5({d.strip('lower(text)', '[^a-z0-9]+')}) AS digest FROM documents) d LEFT JOIN labels l ON l.doc_id=d.doc_id"""
 
 
 def _manifest_split(d: Dialect) -> str:

@@ -9,13 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from fettle.functions.columns import n_where
 from fettle.session import work_path
+from fettle.sources.files import read_if_there
 
 
 def event_stream(spark: SparkSession, folder: str, schema: str, pattern: str) -> DataFrame:
@@ -50,21 +50,11 @@ class Home:
         return Home(f"{folder}/results", f"{folder}/progress")
 
 
-def written(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """What a stream has written so far; an empty frame before its first batch."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-
-
 def append_log(stream: DataFrame, folder: str | None = None) -> DataFrame:
     """Tail a stream into an append-only table and return that table."""
     home = Home.of(stream.sparkSession, "log", folder)
     run_to_files(stream, home.results, home.progress)
-    return written(stream.sparkSession, home.results, stream.schema)
+    return read_if_there(stream.sparkSession, home.results, stream.schema)
 
 
 BATCH = "batch"
@@ -84,7 +74,7 @@ def keyed_state(stream: DataFrame, keys: list[str], label: str, folder: str | No
 
     run_batches(stream, "update", home.progress, sink)
     rest = [c for c in stream.columns if c not in keys]
-    rows = written(spark, home.results, StructType([*stream.schema.fields]).add(BATCH, "long"))
+    rows = read_if_there(spark, home.results, StructType([*stream.schema.fields]).add(BATCH, "long"))
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), BATCH).alias("r")).select(*keys, "r.*").select(*stream.columns)
 
 
@@ -121,8 +111,8 @@ def first_submissions(events: DataFrame, digest: Column, folder: str | None = No
     kind = StructType().add("digest", "string").add(BATCH, "long")
 
     def sink(df: DataFrame, batch: int) -> None:
-        known = written(spark, home.results, kind).where(F.col(BATCH) < batch).select("digest")
+        known = read_if_there(spark, home.results, kind).where(F.col(BATCH) < batch).select("digest")
         df.distinct().join(known, "digest", "left_anti").write.mode("overwrite").parquet(f"{home.results}/{BATCH}={batch}")
 
     run_batches(events.select(digest.alias("digest")), "append", home.progress, sink)
-    return written(spark, home.results, kind).select("digest")
+    return read_if_there(spark, home.results, kind).select("digest")
