@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fettle.llm import contamination, jaccard, langid, licenses, linededup, lm, pieces, prefixtrie, quality, repair, tokencount, urls
+from fettle.llm import contamination, jaccard, langid, licenses, linededup, lm, mixing, pieces, prefixtrie, quality, repair, tokencount, urls
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -207,6 +207,57 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs, words, lm.train(docs, words), inside=lm.shares(counts, words))
 
 
+# --- mixing sources ------------------------------------------------------------------------------------------------------
+
+# targets by repeated sharing of the excess, as many rounds as there are sources; every quotient is listed and ranked
+MIXING_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest,
+         CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
+  FROM documents),
+src AS (SELECT *, [3.0::DOUBLE, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w
+        FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n_docs FROM d GROUP BY source)),
+fill AS (
+  SELECT 0 AS round, source, source_size, w, false AS is_full, 1.5 * sum(source_size) OVER () / sum(w) OVER () AS level FROM src
+  UNION ALL
+  SELECT round + 1, source, source_size, w, 2 * source_size <= level * w,
+         (1.5 * sum(source_size) OVER () - coalesce(sum(2 * source_size) FILTER (WHERE 2 * source_size <= level * w) OVER (), 0))
+         / nullif(sum(w) FILTER (WHERE 2 * source_size > level * w) OVER (), 0)
+  FROM fill WHERE round < (SELECT count(*) FROM src)),
+tgt AS (SELECT source, source_size, is_full, CASE WHEN is_full THEN CAST(2 * source_size AS DOUBLE) ELSE level * w END AS target
+        FROM fill WHERE round = (SELECT count(*) FROM src)),
+dealt AS (SELECT d.*, CAST(('0x' || substr(digest, 1, 8)) AS BIGINT) % CAST(ceil(n_docs / 1024.0) AS BIGINT) AS shard
+          FROM d JOIN src ON d.source IS NOT DISTINCT FROM src.source),
+cells AS (SELECT source, shard, CAST(sum(size) AS BIGINT) AS words FROM dealt WHERE size > 0 GROUP BY ALL),
+b AS (SELECT greatest(1, least(256, min(words) // 64)) AS b FROM cells),
+shards AS (SELECT source, shard, words, greatest(1, (2 * words + b) // (2 * b)) AS blocks FROM cells, b),
+own AS (SELECT s.source, s.blocks, is_full, CASE WHEN is_full THEN 0.0::DOUBLE ELSE s.blocks * target / source_size END AS votes
+        FROM (SELECT source, CAST(sum(blocks) AS BIGINT) AS blocks FROM shards GROUP BY source) s JOIN tgt ON s.source IS NOT DISTINCT FROM tgt.source),
+seats AS (SELECT CAST(round(sum(votes)) AS BIGINT) AS n FROM own),
+first AS (SELECT source, count(*) AS shared
+          FROM (SELECT source, votes / (2 * k + 1) AS quotient, k FROM (SELECT source, votes, unnest(range(0, 2 * blocks + 2)) AS k FROM own WHERE votes > 0)
+                ORDER BY quotient DESC, source NULLS FIRST, k LIMIT (SELECT n FROM seats)) GROUP BY source),
+quota AS (SELECT own.source, CASE WHEN is_full THEN 2 * blocks ELSE least(2 * blocks, coalesce(shared, 0)) END AS source_quota
+          FROM own LEFT JOIN first ON own.source IS NOT DISTINCT FROM first.source),
+second AS (SELECT source, shard, count(*) AS quota
+           FROM (SELECT source, shard, source_quota, row_number() OVER (PARTITION BY source ORDER BY blocks / (2 * k + 1) DESC, shard, k) AS r
+                 FROM (SELECT s.source, shard, blocks, source_quota, unnest(range(0, 2 * blocks + 2)) AS k
+                       FROM shards s JOIN quota q ON s.source IS NOT DISTINCT FROM q.source))
+           WHERE r <= source_quota GROUP BY ALL),
+placed AS (SELECT dealt.*, coalesce(sum(size) OVER (PARTITION BY source, shard ORDER BY digest, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM dealt)
+SELECT doc_id, size, source_size, target,
+       CAST(coalesce(coalesce(quota, 0) // blocks * size + greatest(0, least(size, coalesce(quota, 0) % blocks * words // blocks - start)), 0) AS BIGINT) AS taken
+FROM placed p JOIN tgt ON p.source IS NOT DISTINCT FROM tgt.source
+LEFT JOIN shards s ON p.source IS NOT DISTINCT FROM s.source AND p.shard = s.shard
+LEFT JOIN second q ON p.source IS NOT DISTINCT FROM q.source AND p.shard = q.shard
+"""
+
+
+@query("op11_mixing", MIXING_SQL)
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 # --- conversation prefix trie --------------------------------------------------------------------------------------------
 
 
