@@ -57,7 +57,7 @@ def _(v):
 TARGETS = [("click", "cldice", 0.25, "ge"), ("error", "fp_area", 0.005, "le"), ("view", "detect_rate", 0.75, "ge")]
 
 
-@query("seed_summary_targets", f"WITH {SCORE_CTE}, tg(split,metric,target,direction) AS (VALUES {','.join(map(str, TARGETS))}) SELECT k.tag, k.split, k.metric, round(m,9) AS mean, std, n, per_seed, CASE WHEN target IS NOT NULL THEN CASE WHEN (direction='ge' AND m>=target) OR (direction='le' AND m<=target) THEN 'MEETS' ELSE 'MISSES' END END AS verdict FROM (SELECT tag, split, metric, avg(score) AS m, round(stddev_pop(score),9) AS std, count(*) AS n, string_agg(format('{:.6f}', round(score,6)), ',' ORDER BY seed) AS per_seed FROM ok GROUP BY 1,2,3) k LEFT JOIN tg ON tg.split=k.split AND tg.metric=k.metric")
+@query("seed_summary_targets", f"WITH {SCORE_CTE}, tg(split,metric,target,direction) AS (VALUES {','.join(map(str, TARGETS))}) SELECT k.tag, k.split, k.metric, round(m,9) AS mean, std, n, per_seed, CASE WHEN target IS NOT NULL THEN CASE WHEN (direction='ge' AND m>=target) OR (direction='le' AND m<=target) THEN 'MEETS' ELSE 'MISSES' END END AS verdict FROM (SELECT tag, split, metric, avg(score) AS m, round(stddev_pop(score),9) AS std, count(*) AS n, string_agg(format('{{:.6f}}', round(score,6)), ',' ORDER BY seed) AS per_seed FROM ok GROUP BY 1,2,3) k LEFT JOIN tg ON tg.split=k.split AND tg.metric=k.metric")
 def _(v):
     return runs.with_targets(scores(v), v.spark.createDataFrame(TARGETS, "split STRING, metric STRING, target DOUBLE, direction STRING"))
 
