@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fettle.functions.columns import empty_to_null, n_where
 from fettle.schemas import FAILURES, LIMITED_STATES, STATUSES
+from fettle.sources.files import file_digest
 
 MIB = 1024 * 1024
 
@@ -221,3 +222,22 @@ def health_rollup(checks: DataFrame) -> DataFrame:
 def thresholds_in_sync(profiles: DataFrame, module: dict[str, float]) -> DataFrame:
     same = reduce(lambda a, b: a & b, [F.col(k) == F.lit(v) for k, v in module.items()])
     return profiles.select("profile_id", same.alias("in_sync"))
+
+
+
+MODEL_STATE = "model_version_id BIGINT, file_name STRING, expected STRING, actual STRING, state STRING"
+
+
+def model_state(active: DataFrame, folder: str, configured: str | None = None) -> DataFrame:
+    """Whether the file of the active model is the one expected: ``verified``, ``mismatch`` or ``missing``.
+
+    ``active`` has the one active model, or none. Expected is the configured digest, else the one stored with the model; without
+    either any file will do. Only that model's file is read, whatever else the folder holds.
+    """
+    spark, row = active.sparkSession, active.select("model_version_id", "file_name", "artefact_sha256").first()
+    if row is None:
+        return spark.createDataFrame([], MODEL_STATE)
+    expected = (configured or row["artefact_sha256"] or "").strip().lower()
+    found = file_digest(spark, f"{folder}/{row['file_name']}").agg(F.min("sha256").alias("actual"))
+    state = F.when(F.col("actual").isNull(), "missing").when((F.lit(expected) == "") | (F.col("actual") == expected), "verified").otherwise("mismatch")
+    return found.select(F.lit(row["model_version_id"]).cast("bigint").alias("model_version_id"), F.lit(row["file_name"]).alias("file_name"), F.lit(expected).alias("expected"), "actual", state.alias("state"))

@@ -10,6 +10,7 @@ from fettle.operators.history import HistoryFilter, parse_filter
 from fettle.plans.catalog import query
 from fettle.schemas import STATUSES
 from fettle.session import work_path
+from fettle.sources import files
 
 DAYS = HistoryFilter(date_from="1996-03-01", date_to="1996-05-31")
 MIXED = HistoryFilter(date_from="1995-01-01", date_to="1999-12-31", material="1-URGENT", status="regions_found",
@@ -596,6 +597,22 @@ def _(v):
     return v.file_list.where(F.lower("sha256") != F.col("expected_sha256")).groupBy("folder").agg(F.count("*").alias("n"))
 
 
+ACTIVE_SQL = "a AS (SELECT model_version_id, file_name, artefact_sha256, sha256(s_name||chr(10)) AS actual FROM model_version JOIN supplier ON s_suppkey=model_version_id ORDER BY is_active DESC, model_version_id DESC LIMIT 1)"
+
+
+@query("model_file_state", f"""WITH {ACTIVE_SQL} SELECT 'stored' AS check_name, model_version_id, file_name, artefact_sha256 AS expected, actual, CASE WHEN artefact_sha256=actual THEN 'verified' ELSE 'mismatch' END AS state FROM a
+ UNION ALL SELECT 'configured', model_version_id, file_name, actual, actual, 'verified' FROM a UNION ALL SELECT 'absent', model_version_id, file_name, artefact_sha256, NULL, 'missing' FROM a""")
+def _(v):
+    active, folder = history.active_model(v.model_version), work_path(v.spark, "models")
+    content = v.supplier.join(active.select(F.col("model_version_id").alias("s_suppkey"), "file_name"), "s_suppkey")
+    name = active.first()["file_name"]
+    content.select("s_name").coalesce(1).write.text(f"{folder}/{name}")
+    written = files.file_digest(v.spark, f"{folder}/{name}").first()["sha256"]
+    checks = {"stored": store.model_state(active, folder), "configured": store.model_state(active, folder, written.upper()), "absent": store.model_state(active, f"{folder}/elsewhere")}
+    parts = [found.select(F.lit(check).alias("check_name"), "*") for check, found in checks.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 CHECKS_SQL = "SELECT n.n_name AS station_code, e.event_type AS label, CASE WHEN max(value)>40 AND user_id%3=0 THEN 'failed' WHEN avg(value)>11 THEN 'warning' ELSE 'ok' END AS state FROM events e JOIN nation n ON n.n_nationkey=e.user_id%25 GROUP BY 1,2,user_id%3"
 
 

@@ -48,15 +48,14 @@ def read_if_there(spark: SparkSession, path: str, schema: str | StructType, fmt:
         return spark.createDataFrame([], schema)
 
 
-def listed_files(spark: SparkSession, folder: str, suffixes: tuple[str, ...], max_bytes: int) -> DataFrame:
-    """(path, length) of the files below ``folder`` with one of the suffixes and no larger; no content is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.where((F.col("length") <= max_bytes) & F.lower("path").rlike("[.](" + "|".join(x.lstrip(".") for x in suffixes) + ")$")).select("path", "length")
-
-
-def file_digest(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """(length, sha256) of the file ``name`` below ``folder``, read alone; no row where it is not there."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name).load(folder)
+def file_digest(spark: SparkSession, path: str) -> DataFrame:
+    """(length, sha256) of one file, read alone; no row where it is not there."""
+    try:
+        files = spark.read.format("binaryFile").load(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "length BIGINT, sha256 STRING")
     return files.select("length", F.sha2("content", 256).alias("sha256"))
 
 
