@@ -33,34 +33,6 @@ def test_patience_is_longest_where_lines_are_unique(a, gone):
     assert len(D.patience(list(a), b)) == lcs(a, b)
 
 
-def brute(docs, min_words):
-    """The texts after each document was aligned with all earlier ones that hold one of its lines first."""
-    lines = {k: [(i, x.strip(" \t\x0b\f\r")) for i, x in enumerate(t.split("\n")) if x.strip(" \t\x0b\f\r")] for k, t in docs.items()}
-    keys = {x: n for n, x in enumerate({x for own in lines.values() for _, x in own})}
-    holders = {}
-    for k in sorted(docs):
-        for _, x in lines[k]:
-            holders.setdefault(x, []).append(k)
-    holders = {x: sorted(set(v)) for x, v in holders.items()}
-    shared = {k: [{"nth": n, "line": i, "key": keys[x], "words": len(x.split())} for n, (i, x) in enumerate(own) if len(holders[x]) > 1] for k, own in lines.items()}
-    pairs = set()
-    for own in holders.values():
-        pairs.update((a, b) for a in (own if len(own) <= D.RARE else own[:1]) for b in own if a < b)
-    gone = {k: set() for k in docs}
-    for a, b in pairs:
-        gone[b].update(D.common_blocks(shared[a], shared[b], min_words))
-    return {k: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[k]) for k, t in docs.items()}
-
-
-def test_equals_brute_force(spark):
-    rng = random.Random(5)
-    pool = [f"line {k} " + " ".join(f"w{rng.randrange(50)}" for _ in range(rng.randint(1, 14))) for k in range(60)]
-    docs = {k: "\n".join(rng.choice(pool) if rng.random() < 0.7 else f"own {k} {j}" for j in range(rng.randint(1, 12))) for k in range(80)}
-    got = D.dedup_lines(spark.createDataFrame(list(docs.items()), "doc_id LONG, text STRING")).collect()
-    assert {r.doc_id: r.text for r in got} == brute(docs, D.MIN_WORDS)
-    assert all(r["__n_lines"] - r["__n_deleted"] == (len(r.text.split("\n")) if r.text else 0) for r in got if r["__n_lines"] > r["__n_deleted"])
-
-
 def test_blocks_copies_and_short_lines(spark):
     long = "\n".join(f"a long line number {k} with more than enough words in it" for k in range(4))
     rows = [(1, f"{long}\nfirst"), (2, f"head\n{long}\ntail"), (3, f"{long}\nfirst"), (4, "first\nother"), (5, None)]
@@ -77,6 +49,21 @@ def test_a_line_of_many_documents(spark):
     assert got == {k: t if k == 0 else f"own text of {k}" for k, t in rows}
 
 
+def test_blocks_name_the_earlier_document(spark):
+    long = "\n".join(f"a long line number {k} with more than enough words in it" for k in range(4))
+    docs = spark.createDataFrame([(1, f"\n{long}\nfirst"), (2, f"head\n{long}\ntail"), (7, f"{long}\nfirst\n{long}")], "doc_id LONG, text STRING")
+    got = {r["row"]["id"]: [(b["early"], b["early_nth"], b["nth"], b["n_lines"]) for b in r["blocks"]] for r in D.deletions(docs).collect()}
+    assert got == {2: [(1, 0, 1, 4)], 7: [(1, 0, 0, 5), (1, 0, 5, 4)]}
+
+
+def test_subsequence_is_longest():
+    rng = random.Random(3)
+    for _ in range(200):
+        a, b = ([rng.randrange(4) for _ in range(rng.randrange(12))] for _ in "ab")
+        found = D.subsequence(a, b, 0, len(a), 0, len(b))
+        assert len(found) == lcs(a, b) and all(a[i] == b[j] for i, j in found) and found == sorted(set(found))
+
+
 def test_odd_texts(spark, odd_docs, no_docs):
     named = odd_docs.withColumnsRenamed({"source": "row", "n_chars": "lines"})
     got = D.dedup_lines(named)
