@@ -46,6 +46,7 @@ BATCH = 1024
 ROUNDS = 2
 RATE = 0.1
 UNITS = 1e9
+FAR = 60.0
 
 Weights = dict[str, np.ndarray]
 
@@ -60,10 +61,12 @@ class Vocabulary:
     def numbers(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number and hash of every word."""
         h = B.hash_spans(data, starts, ends).view(np.int64)
-        out = cells(data, starts, ends)
+        out = np.zeros(len(h), np.int64)
         if len(self.sorted):
             at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
-            out = np.where(self.sorted[at] == h, 1 + self.order[at], out)
+            out = np.where(self.sorted[at] == h, 1 + self.order[at], 0)
+        rest = np.flatnonzero(out == 0)
+        out[rest] = cells(data, starts[rest], ends[rest])
         return out, h
 
 
@@ -80,7 +83,11 @@ class Shares:
 
 def cells(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The number that a word shares with others, from its last three bytes."""
-    return 1 + WORDS + (B.hash_spans(data, np.maximum(starts, ends - 3), ends) % np.uint64(SUFFIXES)).astype(np.int64)
+    last = np.zeros(len(ends), np.uint64)
+    for back in (1, 2, 3):
+        at = ends - back
+        last = last * np.uint64(257) + np.where(at >= starts, data[np.maximum(at, 0)].astype(np.uint64) + np.uint64(1), np.uint64(0))
+    return 1 + WORDS + (B.mix(last) % np.uint64(SUFFIXES)).astype(np.int64)
 
 
 def windows(numbers: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -101,51 +108,74 @@ def fresh_weights(seed: int = 7) -> Weights:
     return {k: (scale.get(k, 0.0) * rng.standard_normal(s)).astype(np.float32) for k, s in shape.items()}
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def by_number(numbers: np.ndarray) -> np.ndarray:
+    """A stable order by token number; sixteen bits let numpy sort in linear time."""
+    return np.argsort(numbers.astype(np.uint16), kind="stable")
 
 
-def forward(weights: Weights, near: np.ndarray, target: np.ndarray):
-    """Log-probability of each target, and what the way back needs; rows must be ordered by class."""
+def logits(weights: Weights, near: np.ndarray, target: np.ndarray):
+    """Of the classes, and of the tokens in each target's class; rows must be ordered by class. Also what the way back needs."""
     x = weights["e"][near].reshape(len(near), -1)
-    hidden = np.tanh(x @ weights["w"] + weights["b"])
-    by_class = log_softmax(hidden @ weights["c"] + weights["cb"])
+    hidden = x @ weights["w"]
+    hidden += weights["b"]
+    np.tanh(hidden, out=hidden)
+    by_class = hidden @ weights["c"]
+    by_class += weights["cb"]
     group, inner = target // CLASSES, target % CLASSES
     cut = np.searchsorted(group, np.arange(CLASSES + 1))
-    logits = np.empty((len(near), CLASSES), np.float32)
+    inside = np.empty((len(near), CLASSES), hidden.dtype)
     for k in range(CLASSES):
         a, b = cut[k], cut[k + 1]
         if a < b:
-            logits[a:b] = hidden[a:b] @ weights["o"][k] + weights["ob"][k]
-    inside = log_softmax(logits) if len(near) else logits
-    rows = np.arange(len(near))
-    return by_class[rows, group] + inside[rows, inner], (x, hidden, by_class, inside, group, inner, cut)
+            np.matmul(hidden[a:b], weights["o"][k], out=inside[a:b])
+            inside[a:b] += weights["ob"][k]
+    return by_class, inside, (x, hidden, group, inner, cut)
 
 
-def gradients(weights: Weights, near: np.ndarray, target: np.ndarray) -> tuple[Weights, float]:
-    """Of the mean negative log-probability; also its sum."""
-    logp, (x, hidden, by_class, inside, group, inner, cut) = forward(weights, near, target)
+def told(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The log-softmax of each row at one place; ``x`` is used up."""
+    own = np.clip(x[np.arange(len(x)), at], -FAR, FAR)
+    return own - np.log(exponentials(x))
+
+
+def exponentials(x: np.ndarray) -> np.ndarray:
+    """In place, of values held between -FAR and FAR, where single precision has no overflow; the sums of the rows."""
+    np.clip(x, -FAR, FAR, out=x)
+    np.exp(x, out=x)
+    return x @ np.ones(x.shape[1], x.dtype)
+
+
+def forward(weights: Weights, near: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log-probability of each target; rows must be ordered by class."""
+    by_class, inside, (_, _, group, inner, _) = logits(weights, near, target)
+    return told(by_class, group) + told(inside, inner)
+
+
+def gradients(weights: Weights, near: np.ndarray, target: np.ndarray) -> Weights:
+    """Of the mean negative log-probability; rows must be ordered by class, and there must be some."""
+    dc, di, (x, hidden, group, inner, cut) = logits(weights, near, target)
     n, rows = len(near), np.arange(len(near))
-    dc, di = np.exp(by_class), np.exp(inside)
-    dc[rows, group] -= 1
-    di[rows, inner] -= 1
-    dc, di = dc / n, di / n
-    dh = dc @ weights["c"].T
-    g = {"c": hidden.T @ dc, "cb": dc.sum(axis=0), "o": np.zeros_like(weights["o"]), "ob": np.zeros_like(weights["ob"])}
+    for part, at in ((dc, group), (di, inner)):
+        part /= exponentials(part)[:, None]
+        part[rows, at] -= 1
+        part /= n
+    dh, ones = dc @ weights["c"].T, np.ones(n, dc.dtype)
+    g = {"c": hidden.T @ dc, "cb": ones @ dc, "o": np.zeros_like(weights["o"]), "ob": np.zeros_like(weights["ob"])}
     for k in range(CLASSES):
         a, b = cut[k], cut[k + 1]
         if a < b:
-            g["o"][k], g["ob"][k] = hidden[a:b].T @ di[a:b], di[a:b].sum(axis=0)
+            g["o"][k], g["ob"][k] = hidden[a:b].T @ di[a:b], ones[a:b] @ di[a:b]
             dh[a:b] += di[a:b] @ weights["o"][k].T
-    da = dh * (1 - hidden * hidden)
-    g["w"], g["b"] = x.T @ da, da.sum(axis=0)
-    dx, ids = (da @ weights["w"].T).reshape(-1, WIDTH), near.ravel()
-    order = np.argsort(ids, kind="stable")
+    hidden *= hidden
+    np.subtract(1, hidden, out=hidden)
+    dh *= hidden
+    g["w"], g["b"] = x.T @ dh, ones @ dh
+    dx, ids = (dh @ weights["w"].T).reshape(-1, WIDTH), near.ravel()
+    order = by_number(ids)
     first = np.flatnonzero(np.diff(ids[order], prepend=-1))
     g["e"] = np.zeros_like(weights["e"])
     g["e"][ids[order][first]] = np.add.reduceat(dx[order], first, axis=0)
-    return g, float(-logp.sum())
+    return g
 
 
 class Trainer:
@@ -168,9 +198,8 @@ class Trainer:
         self.near, self.target = [near[whole:]], [target[whole:]]
 
     def step(self, near: np.ndarray, target: np.ndarray) -> None:
-        order = np.argsort(target, kind="stable")
-        g, _ = gradients(self.weights, near[order], target[order])
-        for k, v in g.items():
+        order = by_number(target)
+        for k, v in gradients(self.weights, near[order], target[order]).items():
             self.squares[k] += v * v
             self.weights[k] -= RATE * v / np.sqrt(self.squares[k])
         self.seen += len(target)
@@ -266,14 +295,14 @@ def train(docs: DataFrame, words: Vocabulary, text: str = "text", rounds: int =
     return weights
 
 
-def log_probabilities(weights: Weights, numbers: np.ndarray, bounds: np.ndarray, step: int = 16 * BATCH) -> np.ndarray:
+def log_probabilities(weights: Weights, numbers: np.ndarray, bounds: np.ndarray, step: int = 4 * BATCH) -> np.ndarray:
     """Of every token given its neighbours."""
     out = np.empty(len(numbers))
     near = windows(numbers, bounds)
     for a in range(0, len(numbers), step):
         target = numbers[a : a + step]
-        order = np.argsort(target, kind="stable")
-        out[a + order] = forward(weights, near[a : a + step][order], target[order])[0]
+        order = by_number(target)
+        out[a + order] = forward(weights, near[a : a + step][order], target[order])
     return out
 
 
