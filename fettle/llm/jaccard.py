@@ -8,18 +8,22 @@ they share l of the first ``size - ceil(t * size) + l`` of each. The join goes o
 2. Hubs: classes that share half of their first ``KEYS`` hashes with the most typical holder of those are verified against
    it, and in a crowd, if that one is out of reach, against the
    crowd's most central members. Linked ones form a star; pairs inside a star need no more work, and hashes held by one star only are left out.
-3. Lengths: a hash held by ``HOT`` stars or more is hot and makes no candidates. Each class lengthens its prefix: of all l
+3. Families, stars of ``FAMILY`` members or more, never meet member by member unless they must: hubs that are linked join two families at
+   once; else the distance of the hubs, less what their members are away from them, rules out most members (1 - similarity is
+   a metric), the rest are measured against the other hub, and only those that may still reach a member there meet.
+4. Lengths: a hash held by ``HOT`` stars or more is hot and makes no candidates. Each class lengthens its prefix: of all l
    that leave at least one match on cold hashes, it takes the one with the least estimated cost, the number of postings
    and the candidates that they can make with l matches. A pair must share as many cold hashes as the one with the
    smaller l asks for. In a posting list, only holders outside its largest star look for partners.
-4. Classes with so many hot hashes that no l of the kept prefix leaves a match are joined among themselves on their whole
+5. Classes with so many hot hashes that no l of the kept prefix leaves a match are joined among themselves on their whole
    sets, by prefixes of the rarest hashes, which take the sizes of both into account.
-5. Candidates are verified on whole sets, which are made only for the classes in candidates. Links and stars are joined to
+6. Candidates are verified on whole sets, which are made only for the classes in candidates. Links and stars are joined to
    components by the large-star and small-star rounds.
 
 Shingles are told apart by 64-bit hashes. Defined results: null, empty and blank texts have an empty set, link with nothing
 and are their own component; fewer words than a shingle are one shingle; repeated rows get equal results, one for each; a
-row without id gets its set size and no component, and links nothing. Only the named columns are read.
+row without id gets its set size and no component, and links nothing; an empty table has no result. Very long texts are blocks of their own in
+memory. Only the named columns are read, whatever the others are called.
 """
 
 from __future__ import annotations
@@ -44,6 +48,9 @@ KEYS = 8
 CROWD = 64
 CENTRAL = 3
 HOT = 48
+#: Members from which on a star meets another such star by its hub first.
+FAMILY = 8
+SLACK = 1e-9
 #: What a candidate costs, in postings: its two whole sets are moved.
 CANDIDATE = 100
 LONG = T.LongType()
@@ -154,11 +161,24 @@ def sized(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def verified(pairs: DataFrame, of: DataFrame, percent: int) -> DataFrame:
-    """The pairs (c1, c2) whose sets are similar enough; row by row, on the JVM."""
+def shared_sizes(pairs: DataFrame, of: DataFrame) -> DataFrame:
+    """``pairs`` (c1, c2, ...) with ``both`` and ``either``, the sizes of the intersection and of the union; row by row, on the JVM."""
     joined = pairs.join(of.select(F.col("c").alias("c1"), F.col("set").alias("s1")), "c1").join(of.select(F.col("c").alias("c2"), F.col("set").alias("s2")), "c2")
-    both = F.size(F.array_intersect("s1", "s2"))
-    return joined.where(100 * both >= percent * (F.size("s1") + F.size("s2") - both)).select("c1", "c2")
+    counted = joined.withColumn("both", F.size(F.array_intersect("s1", "s2")))
+    return counted.withColumn("either", F.size("s1") + F.size("s2") - F.col("both")).drop("s1", "s2")
+
+
+def alike(percent: int) -> Column:
+    return 100 * F.col("both") >= percent * F.col("either")
+
+
+def distance() -> Column:
+    return 1 - F.col("both") / F.col("either").cast("double")
+
+
+def verified(pairs: DataFrame, of: DataFrame, percent: int) -> DataFrame:
+    """The pairs (c1, c2) whose sets are similar enough, and their distance d."""
+    return shared_sizes(pairs, of).where(alike(percent)).select("c1", "c2", distance().alias("d"))
 
 
 def components(links: DataFrame, label: str = "components") -> DataFrame:
@@ -235,26 +255,69 @@ def with_stars(rows: DataFrame, least: int = 2) -> DataFrame:
     return rows.join(settle(of, "stars"), "tok")
 
 
-def meetings(postings: DataFrame, percent: int, more: list[str]) -> DataFrame:
+def meetings(postings: DataFrame, reach: DataFrame, percent: int, more: list[str]) -> DataFrame:
     """Pairs of classes of different stars that hold the same hash, once for each hash; columns end with 1 and 2.
 
-    Only holders outside the largest star of a hash look for partners, so a large star costs its size and not its square.
+    Only holders outside the largest star of a hash look for partners, so a large star costs its size and not its square. Members of
+    two families meet only where ``reach`` (c, star, other) says that either may reach the other family.
     """
     names = ["c", "star", "__n", *more]
-    left = postings.where("star <> big").select("tok", *[F.col(x).alias(f"{x}1") for x in names])
-    right = postings.select("tok", (F.col("star") == F.col("big")).alias("in_big"), *[F.col(x).alias(f"{x}2") for x in names])
-    once = F.col("in_big") | (F.col("c1") < F.col("c2"))
-    met = left.join(right, "tok").where((F.col("star1") != F.col("star2")) & once & sized(F.col("__n1"), F.col("__n2"), percent))
+    side = lambda df, k: df.select("tok", *[F.col(x).alias(f"{x}{k}") for x in names], F.col("fam").alias(f"fam{k}"), (F.col("star") == F.col("big")).alias(f"in_big{k}"))
+    left, right = side(postings.where("star <> big"), 1), side(postings, 2)
+    # holders without a family meet all; of two without, each pair once
+    single = left.where("NOT fam1").join(right, "tok").where(F.col("in_big2") | F.col("fam2") | (F.col("c1") < F.col("c2")))
+    # a family meets those of the largest star, unless that is one too
+    to_big = left.where("fam1").join(right.where("in_big2 AND NOT fam2"), "tok")
+    near = postings.where("fam").join(reach.select("c", "other"), "c").withColumns({"lo": F.least("star", "other"), "hi": F.greatest("star", "other")})
+    one, two = (near.where(F.col("star") == F.col(x)).select("tok", "lo", "hi", *[F.col(c).alias(f"{c}{k}") for c in names]) for k, x in ((1, "lo"), (2, "hi")))
+    columns = [f"{x}{k}" for x in names for k in (1, 2)]
+    met = single.where("star1 <> star2").select(*columns).unionByName(to_big.select(*columns)).unionByName(one.join(two, ["tok", "lo", "hi"]).select(*columns))
+    met = met.where(sized(F.col("__n1"), F.col("__n2"), percent))
     swap = F.col("c1") > F.col("c2")
     pick = lambda x, k: F.when(swap, F.col(f"{x}{3 - k}")).otherwise(F.col(f"{x}{k}")).alias(f"{x}{k}")
     return met.select(*[pick(x, k) for x in ("c", "__n", *more) for k in (1, 2)])
 
 
-def prefix_candidates(prefixes: DataFrame, bigs: DataFrame, percent: int) -> DataFrame:
+def star_members(ties: DataFrame) -> DataFrame:
+    """(c, star, away, fam): the members of all stars, hubs too, with a bound on their distance from the hub, and whether the star is a family."""
+    next_ = ties.select(F.col("c1").alias("c2"), F.col("c2").alias("c3"), F.col("d").alias("d2"))
+    own = ties.join(next_, "c2", "left").select(F.col("c1").alias("c"), F.coalesce("c3", "c2").alias("star"), (F.col("d") + F.coalesce("d2", F.lit(0.0))).alias("away"))
+    sizes = own.groupBy("star").agg((F.count(F.lit(1)) + 1 >= FAMILY).alias("fam"))
+    hubs = sizes.select(F.col("star").alias("c"), "star", F.lit(0.0).alias("away"), "fam")
+    # a class may be a hub and hang on another one: it belongs to the star that it hangs on
+    return settle(own.join(sizes, "star").select("c", "star", "away", "fam").unionByName(hubs.join(own.select("c"), "c", "left_anti")), "members")
+
+
+def family_reach(starred: DataFrame, members: DataFrame, of: DataFrame, percent: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """(links, reach): links (c1, c2) that join two families, and the members (c, star, other) of families that may link with one of another.
+
+    Families are compared where they share a cold hash. Once a hub links with the other hub or with any of its members, nothing more is
+    asked of the two: they are one component. Else a member x of one is linked with a y of the other only if
+    d(hubs) <= d(x, own hub) + (1 - t) + d(y, its hub), and d(x, other hub) <= (1 - t) + d(y, its hub).
+    """
+    held = starred.where(F.col("fam") & (F.col("df") < hot)).select("tok", "star").distinct()
+    pairs = held.select("tok", F.col("star").alias("c1")).join(held.select("tok", F.col("star").alias("c2")), "tok").where("c1 < c2").select("c1", "c2").distinct()
+    hubs = settle(shared_sizes(settle(pairs, "families"), of), "hub-distances")
+    joined = hubs.where(alike(percent)).select("c1", "c2")
+    apart = hubs.where(~alike(percent)).select("c1", "c2", distance().alias("d"))
+    both = apart.select(F.col("c1").alias("star"), F.col("c2").alias("other"), "d").unionByName(apart.select(F.col("c2").alias("star"), F.col("c1").alias("other"), "d"))
+    radius = members.where("fam").groupBy("star").agg(F.max("away").alias("radius"))
+    least = 1 - percent / 100
+    asked = settle(both.join(radius.select(F.col("star").alias("other"), "radius"), "other").withColumn("need", F.col("d") - least - F.col("radius") - SLACK), "asked")
+    far = members.where("fam").select("c", "star", "away").join(asked, "star").where("away >= need")
+    near = settle(shared_sizes(far.select(F.col("c").alias("c1"), F.col("other").alias("c2"), "star", "radius"), of), "reach")
+    direct = near.where(alike(percent))
+    done = direct.select(F.least("star", "c2").alias("lo"), F.greatest("star", "c2").alias("hi")).distinct()
+    open_ = near.where(~alike(percent) & (distance() <= least + F.col("radius") + SLACK))
+    left = open_.withColumns({"lo": F.least("star", "c2"), "hi": F.greatest("star", "c2")}).join(done, ["lo", "hi"], "left_anti")
+    return joined.unionByName(direct.select("c1", "c2")), settle(left.select(F.col("c1").alias("c"), "star", F.col("c2").alias("other")), "family-reach")
+
+
+def prefix_candidates(prefixes: DataFrame, bigs: DataFrame, reach: DataFrame, percent: int) -> DataFrame:
     """Pairs that share as many cold hashes of their prefixes as the one with the smaller length asks for."""
     at = F.explode(F.arrays_zip("toks", "places")).alias("x")
-    postings = prefixes.select("c", "star", "__n", "length", "asked", at).select("c", "star", "__n", "length", "asked", F.col("x.toks").alias("tok"), F.col("x.places").alias("pos"))
-    met = meetings(postings.join(bigs, "tok"), percent, ["length", "asked", "pos"])
+    postings = prefixes.select("c", "star", "fam", "__n", "length", "asked", at).select("c", "star", "fam", "__n", "length", "asked", F.col("x.toks").alias("tok"), F.col("x.places").alias("pos"))
+    met = meetings(postings.join(bigs, "tok"), reach, percent, ["length", "asked", "pos"])
     no = 1 << 30
     l1, l2 = (F.when(F.col(f"length{k}") > 0, F.col(f"length{k}")).otherwise(no) for k in (1, 2))
     length = F.least(l1, l2)
@@ -304,7 +367,7 @@ def hot_candidates(rows: DataFrame, percent: int, often: int = HOT) -> DataFrame
 
 
 def central_ties(tied: DataFrame, ties: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """Links (c1, c2) of classes that missed their hub with the most central classes of the same crowd.
+    """Links (c1, c2, d) of classes that missed their hub with the most central classes of the same crowd.
 
     Central is who holds most of the hashes that half of the crowd has, and fewest others. ``CENTRAL`` of them are
     taken, each from another part of the crowd, so the pairs are linear in it.
@@ -319,7 +382,7 @@ def central_ties(tied: DataFrame, ties: DataFrame, whole: DataFrame, percent: in
     central = score.groupBy("c2", part).agg(F.max_by("c1", F.struct("score", -F.col("c1"))).alias("mid")).select("c2", "mid")
     missed = tied.join(ties.select("c1"), "c1", "left_anti").join(settle(central, "central"), "c2").where("c1 <> mid")
     found = verified(missed.select("c1", F.col("mid").alias("c2")), whole, percent)
-    return found.groupBy("c1").agg(F.min("c2").alias("c2"))
+    return found.groupBy("c1").agg(F.min("c2").alias("c2"), F.min_by("d", "c2").alias("d"))
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
@@ -351,23 +414,24 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: in
     ties = settle(verified(tied, hub_sets, percent), "ties")
     ties = settle(ties.unionByName(central_ties(tied, ties, hub_sets, percent)), "all-ties")
     # prefixes
-    next_ = ties.select(F.col("c1").alias("c2"), F.col("c2").alias("c3"))
-    star = ties.join(next_, "c2", "left").select(F.col("c1").alias("c"), F.coalesce("c3", "c2").alias("hub"))
-    starred = with_stars(held.drop("df", "kept").join(star, "c", "left").withColumn("star", F.coalesce("hub", "c")).drop("hub"))
+    members = star_members(ties)
+    told = held.drop("df", "kept").join(members.select("c", F.col("star").alias("hub"), "fam"), "c", "left")
+    starred = with_stars(told.withColumns({"star": F.coalesce("hub", "c"), "fam": F.coalesce("fam", F.lit(False))}).drop("hub"))
     starred = settle(starred, "starred")
-    lists = starred.groupBy("c", "star", "__n").agg(F.sort_array(F.collect_list(F.struct("pos", "df", "tok"))).alias("held"))
-    fields = [T.StructField("c", LONG), T.StructField("star", LONG), T.StructField("__n", LONG), T.StructField("length", LONG), T.StructField("asked", LONG),
-              T.StructField("toks", LONGS), T.StructField("places", LONGS)]
+    lists = starred.groupBy("c", "star", "fam", "__n").agg(F.sort_array(F.collect_list(F.struct("pos", "df", "tok"))).alias("held"))
+    fields = [T.StructField("c", LONG), T.StructField("star", LONG), T.StructField("fam", T.BooleanType()), T.StructField("__n", LONG), T.StructField("length", LONG),
+              T.StructField("asked", LONG), T.StructField("toks", LONGS), T.StructField("places", LONGS)]
     prefixes = settle(map_arrow(lists, _lengthen, fields, percent=percent, hot=hot), "prefixes")
     bigs = settle(starred.where(F.col("df") < hot).groupBy("tok").agg(F.first("big").alias("big")), "bigs")
-    cold = settle(prefix_candidates(prefixes, bigs, percent), "candidates")
+    between, reach = family_reach(starred, members, hub_sets, percent, hot)
+    cold = settle(prefix_candidates(prefixes, bigs, reach, percent), "candidates")
     # classes that are mostly hot
     mostly = prefixes.where("length = 0").select("c", "star")
     wanted = cold.select(F.explode(F.array("c1", "c2")).alias("c")).unionByName(mostly.select("c"))
     whole = of(wanted, "whole-sets")
     hot_rows = whole.join(mostly, "c").select("c", "star", F.size("set").cast("long").alias("__n"), F.explode("set").alias("tok"))
     pairs = cold.unionByName(hot_candidates(hot_rows, percent, hot)).distinct()
-    links = settle(verified(pairs, whole, percent).unionByName(ties), "links")
+    links = settle(verified(pairs, whole, percent).unionByName(ties).select("c1", "c2").unionByName(between), "links")
     # components
     roots = components(links)
     known = classes.select("c", "rep", "__n", "__k1", "__k2", "n_same").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))

@@ -105,3 +105,38 @@ def test_bloom_passes_all_members(spark):
     bits = jaccard.bloom(ids, "rep")
     held = [r.b for r in ids.select(F.pmod(F.xxhash64("rep"), F.lit(jaccard.BLOOM_BITS)).alias("b")).collect()]
     assert all(bits[b >> 6] >> (b & 63) & 1 for b in held)
+
+
+def families(sizes, shared, seed=4, words=120, edits=3):
+    """Groups of near copies of bases of which each holds the first words of one common text."""
+    rng = random.Random(seed)
+    common, rows = [f"c{k}" for k in range(words)], []
+    for f, (size, part) in enumerate(zip(sizes, shared)):
+        base = common[:part] + [f"f{f}_{k}" for k in range(words - part)]
+        for _ in range(size):
+            text = list(base)
+            for _ in range(rng.randrange(edits + 1)):
+                text[rng.randrange(len(text))] = f"x{rng.randrange(10**9)}"
+            rows.append((len(rows), " ".join(text)))
+    return rows
+
+
+@pytest.mark.parametrize("shared", [(80, 80, 70), (110, 105, 118)])
+def test_families_equal_all_pairs(spark, shared):
+    rows = families((40, 50, 60), shared)
+    got = jaccard.linked(spark.createDataFrame(rows, "doc_id LONG, text STRING")).select("doc_id", "n_shingles", "component_id")
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows, 4, 85)
+
+
+def test_two_families_make_no_pairs_of_their_members(spark, monkeypatch):
+    made, candidates = [], jaccard.prefix_candidates
+
+    def counted(*a):
+        found = candidates(*a)
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(jaccard, "prefix_candidates", counted)
+    rows = families((300, 300), (80, 80), edits=2)
+    got = jaccard.linked(spark.createDataFrame(rows, "doc_id LONG, text STRING")).select("component_id").distinct().count()
+    assert got == 2 and made[0] < 100
