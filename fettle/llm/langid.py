@@ -5,12 +5,13 @@ n-grams, of 5 characters down to 1, of which one is known; it scores their mean
 largest sum wins, ``score`` is its share of the posterior.
 
 The model is fitted on a bounded sample of labelled documents: about ``SAMPLE`` for each language, chosen by hash of the
-id. Words seen once and those beyond the ``MAX_WORDS`` most frequent are left to the n-grams, so the broadcast model has a
-bound that does not depend on the corpus. Every document is judged, whole.
+id. Words and n-grams that the sample holds once are left out, no others; so the broadcast model is bounded by the sample and by
+nothing else. Every document is judged, whole.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; so is every text where nothing was
-learned. Letters of which no n-gram is known leave all languages equal, and the one with most labelled documents wins.
-Ties go to the more frequent, then to the first language by name. Repeated rows are judged one by one.
+learned (an empty table teaches nothing and has no result). Letters of which no n-gram is known leave all languages equal, and the one with
+most labelled documents wins. Ties go to the more frequent, then to the first language by name. Repeated rows are judged one by one. Very long texts
+are judged whole, one at a time. Other columns are kept, but for the text and columns named ``lang_pred`` or ``score``.
 """
 
 from __future__ import annotations
@@ -27,10 +28,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fettle.llm.arrow import kept_fields, map_arrow
+from fettle.session import settle
 
 SAMPLE = 400
-MAX_WORDS = 40_000
-MAX_GRAMS = 60_000
 LONGEST = 5
 CACHE = 200_000
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -142,7 +142,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "
     share = F.element_at(F.create_map(*[F.lit(v) for n, x in counts for v in (x, min(grid, math.ceil(grid * sample / n)))]), F.col(lang))
     chosen = rows.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(grid)) < share)
     tokens = chosen.select(F.col(lang).alias("l"), F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}]+"), F.lit(0))).alias("w"))
-    words = tokens.groupBy("l", "w").agg(F.count(F.lit(1)).alias("n"))
+    words = settle(tokens.groupBy("l", "w").agg(F.count(F.lit(1)).alias("n")), "words")
     framed = F.concat(F.lit("<"), F.col("w"), F.lit(">"))
     size = F.char_length(framed)
     cut = F.flatten(F.array(*[
@@ -150,15 +150,21 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "
         for k in range(1, LONGEST + 1)]))
     grams_ = words.select("l", "n", F.explode(cut).alias("w")).groupBy("l", "w").agg(F.sum("n").alias("n"))
 
-    def table(counted: DataFrame, least: int, most: int) -> dict[str, list[int]]:
-        """Counts of the ``most`` entries that are the most frequent within any one language."""
-        total = {r["l"]: r["n"] for r in counted.groupBy("l").agg(F.sum("n").alias("n")).collect()}
-        share = F.array_max(F.array(*[F.col(f"c{k}") / F.lit(float(total.get(x, 1))) for k, x in enumerate(langs)]))
-        one = [F.coalesce(F.sum(F.when(F.col("l") == x, F.col("n"))), F.lit(0)).alias(f"c{k}") for k, x in enumerate(langs)]
-        wide = counted.groupBy("w").agg(F.sum("n").alias("n"), *one).where(F.col("n") >= least)
-        return {r[0]: list(r[2:]) for r in wide.orderBy(share.desc(), F.desc("n"), "w").limit(most).collect()}
-
-    return Model(langs, table(words, 2, MAX_WORDS), table(grams_, 2, MAX_GRAMS))
+    place = {x: k for k, x in enumerate(langs)}
+
+    def table(counted: DataFrame) -> dict[str, list[int]]:
+        """Counts by language of the entries that the sample holds twice or more."""
+        held = counted.groupBy("w").agg(F.collect_list(F.struct("l", "n")).alias("of"), F.sum("n").alias("all")).where("all >= 2")
+        out = {}
+        for batch in held.select("w", F.col("of.l").alias("l"), F.col("of.n").alias("n")).toArrow().to_batches():
+            for w, ls, ns in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                row = [0] * len(langs)
+                for x, n in zip(ls, ns, strict=True):
+                    row[place[x]] = n
+                out[w] = row
+        return out
+
+    return Model(langs, table(words), table(grams_))
 
 
 def _predict(batches: Iterator[pa.RecordBatch], shared, text: str, kept: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:

@@ -81,8 +81,7 @@ def test_odd_texts(spark, odd_docs, no_docs):
     assert {r.lang_pred for r in L.predict(odd_docs.select("doc_id", "text"), none).collect()} == {"und"}
 
 
-def test_a_language_with_few_words_keeps_its_share(spark, monkeypatch):
-    monkeypatch.setattr(L, "MAX_WORDS", 4)
-    rows = [(k, " ".join(f"{x}longerword" for x in "abcdefgh"), "aa") for k in range(200)] + [(k, "pear plum", "bb") for k in range(200, 220)]
+def test_every_entry_that_is_held_twice_is_kept(spark):
+    rows = [(k, " ".join(f"{x}longerword" for x in "abcdefgh"), "aa") for k in range(200)] + [(k, "pear plum", "bb") for k in range(200, 220)] + [(300, "once", "bb")]
     model = L.fit(spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING"))
-    assert {"pear", "plum"} < set(model.words) and len(model.words) == 4
+    assert set(model.words) == {"pear", "plum", *(f"{x}longerword" for x in "abcdefgh")}
