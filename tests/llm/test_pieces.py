@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import sentencepiece
 from hypothesis import given, settings
@@ -8,6 +9,7 @@ from hypothesis import strategies as st
 
 from fettle.llm import pieces
 
+FREQUENT = pieces.frequent
 MODEL = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
 
 
@@ -36,6 +38,26 @@ def test_rows_and_digests(odd_docs, no_docs):
     assert pieces.encode_decode(no_docs).count() == 0
 
 
+def test_each_repeated_chunk_is_in_the_table_once(spark):
+    texts = ["a bb  bb c", "a bb", None, "", " a ", "a▁bb d"] * 2 + ["lone words here"]
+    rows = pieces.chunk_table(spark.createDataFrame([(t,) for t in texts], "text STRING")).collect()
+    count = Counter(c for t in texts for c in pieces.ChunkTable(MODEL).chunks(t or ""))
+    assert {r["chunk"]: r["n"] for r in rows} == {c: n for c, n in count.items() if n > 1} and len(rows) == len({r["chunk"] for r in rows})
+    whole = pieces.ChunkTable(MODEL)
+    for r in rows:
+        assert list(r["ids"]) == whole.encode(r["chunk"]) or not r["chunk"] or r["chunk"][0] == " "
+
+
+def test_any_part_of_the_table_gives_the_same_ids(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(60)
+    want = {r.doc_id: MODEL.encode(r.text) for r in docs.collect()}
+    for most in (0, 2_000, 1 << 24):
+        monkeypatch.setattr(pieces, "frequent", lambda table, most=most: FREQUENT(table, most))
+        assert {r.doc_id: list(r["ids"]) for r in pieces.encode_decode(docs).collect()} == want
+    table = pieces.chunk_table(docs)
+    assert FREQUENT(table, 0).num_rows == 0 < FREQUENT(table, 2_000).num_rows < FREQUENT(table, 1 << 24).num_rows
+
+
 def test_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     for r in pieces.encode_decode(docs).collect():
