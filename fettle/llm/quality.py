@@ -5,12 +5,13 @@
 * fixed rules: fewer than 50 words, or more than half of the words in repeated 3-word windows;
 * adaptive rules: each metric's ratio is laid on a grid of 1/256. The grid counts by language and source
   are a quantile sketch that merges by addition: exact in rank, off by 1/256 at most in value, never more
-  than 257 cells for a group and metric. Sketches of groups with few documents are merged up, first to the
-  language, then to the whole corpus. A document fails where its metric lies over the group's far fence,
+  than 257 cells for a group and metric. A group's quartiles are drawn toward its language's, and those toward the corpus',
+  as if ``PRIOR`` documents of the wider sketch stood in each: few documents hardly move a fence, many make their own, and
+  nothing switches at a size. A document fails where its metric lies over the group's far fence,
   ``q75 + 3 * max(q75 - q25, least spread)``; the least spread keeps a homogeneous group from failing
   ordinary documents.
 
-Defined results: a null or blank text has no words and fails the word rule; null language or source is a group of
+Defined results: a null or blank text has no words and fails the word rule; very long texts are measured whole; null language or source is a group of
 its own; repeated rows are judged one by one; no input gives no output. Input columns beside those named are not read
 by ``judge`` and are kept by ``filter_documents``; own columns start with ``__q_``.
 """
@@ -27,7 +28,7 @@ from fettle.session import settle
 
 MIN_WORDS = 50
 GRID = 256
-MIN_GROUP = 200
+PRIOR = 200
 FENCE = 3
 #: metric -> (numerator, denominator, least spread in cells of the grid)
 METRICS = {
@@ -136,42 +137,39 @@ def sketches(measured_docs: DataFrame, lang: str = "lang", source: str = "source
     )
 
 
-def fences(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """One row for each language and source with its upper fence, in cells, for each metric.
+def fences(sketch: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """One row for each language and source with its upper fence, in cells, for each metric."""
 
-    A group with fewer than ``min_group`` documents takes the language's fence, a small language the corpus'.
-    """
-
-    def fence_of(keys: list[str], name: str) -> DataFrame:
+    def quartiles(keys: list[str], name: str) -> DataFrame:
         merged = sketch.groupBy(*keys, "metric", "cell").agg(F.sum("n").alias("n"))
         group = Window.partitionBy(*keys, "metric")
         run = merged.withColumns({"upto": F.sum("n").over(group.orderBy("cell")), "of": F.sum("n").over(group)})
-        spread = F.create_map(*[x for k, (_, _, least) in METRICS.items() for x in (F.lit(k), F.lit(least))])
-        at = lambda q: F.min(F.when(100 * F.col("upto") >= q * F.col("of"), F.col("cell")))
-        quartiles = run.groupBy(*keys, "metric").agg(at(25).alias("q1"), at(75).alias("q3"), F.first("of").alias("of"))
-        fence = F.col("q3") + FENCE * F.greatest(F.col("q3") - F.col("q1"), spread[F.col("metric")])
-        fence = F.when(F.col("of") >= min_group, fence) if keys else fence
-        return quartiles.withColumn(name, fence).select(*keys, "metric", name)
-
-    own = fence_of(["__q_lang", "__q_source"], "own")
-    wider = fence_of(["__q_lang"], "wider").withColumnRenamed("__q_lang", "__q_l")
-    whole = fence_of([], "whole").withColumnRenamed("metric", "__q_metric")
-    joined = (
-        own.join(wider.withColumnRenamed("metric", "__q_m2"), F.col("__q_lang").eqNullSafe(F.col("__q_l")) & (F.col("metric") == F.col("__q_m2")))
-        .join(whole, F.col("metric") == F.col("__q_metric"))
-        .withColumn("fence", F.coalesce("own", "wider", "whole"))
-    )
+        at = lambda q: F.min(F.when(100 * F.col("upto") >= q * F.col("of"), F.col("cell"))).cast("double")
+        return run.groupBy(*keys, "metric").agg(F.struct(at(25).alias("q1"), at(75).alias("q3"), F.first("of").alias("n")).alias(name))
+
+    own = quartiles(["__q_lang", "__q_source"], "own")
+    wider = quartiles(["__q_lang"], "wider").withColumnsRenamed({"__q_lang": "__q_l", "metric": "__q_m2"})
+    whole = quartiles([], "whole").withColumnRenamed("metric", "__q_metric")
+    joined = own.join(wider, F.col("__q_lang").eqNullSafe(F.col("__q_l")) & (F.col("metric") == F.col("__q_m2"))).join(whole, F.col("metric") == F.col("__q_metric"))
+
+    def drawn(part: str, q: str, to: Column) -> Column:
+        n = F.col(f"{part}.n")
+        return (n * F.col(f"{part}.{q}") + prior * to) / (n + prior)
+
+    low, high = (drawn("own", q, drawn("wider", q, F.col(f"whole.{q}"))) for q in ("q1", "q3"))
+    spread = F.create_map(*[x for k, (_, _, least) in METRICS.items() for x in (F.lit(k), F.lit(float(least)))])[F.col("metric")]
+    fenced = joined.withColumn("fence", high + FENCE * F.greatest(high - low, spread))
     one = [F.max(F.when(F.col("metric") == k, F.col("fence"))).alias(f"__q_{k}") for k in METRICS]
-    return joined.groupBy("__q_lang", "__q_source").agg(*one)
+    return fenced.groupBy("__q_lang", "__q_source").agg(*one)
 
 
-def judge(measured_docs: DataFrame, lang: str = "lang", source: str = "source", min_group: int = MIN_GROUP) -> DataFrame:
+def judge(measured_docs: DataFrame, lang: str = "lang", source: str = "source", prior: int = PRIOR) -> DataFrame:
     """``measured_docs`` (a settled table, as it is read twice) with ``base_failed``, ``__q_over`` and ``kept``.
 
     ``__q_over`` lists the metrics over their fence. The fences are a written table of one row for a language and
     source, so Spark's own size check decides whether they are broadcast.
     """
-    limits = settle(fences(sketches(measured_docs, lang, source), min_group), "fences")
+    limits = settle(fences(sketches(measured_docs, lang, source), prior), "fences")
     m = F.col("__q_m")
     joined = measured_docs.join(limits, F.col(lang).eqNullSafe(F.col("__q_lang")) & F.col(source).eqNullSafe(F.col("__q_source")), "left")
     over = F.array_compact(F.array(*[F.when(cell(m, k) > F.col(f"__q_{k}"), F.lit(k)) for k in METRICS]))

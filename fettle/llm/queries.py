@@ -61,14 +61,13 @@ c AS (
         UNION ALL SELECT doc_id, lang, source, 'repeats', n_repeat_words, n_words, 32 FROM m)),
 own AS (SELECT lang, source, metric, count(*) AS n, quantile_disc(cell, 0.25) AS q1, quantile_disc(cell, 0.75) AS q3, any_value(least_spread) AS s
         FROM c GROUP BY ALL),
-wider AS (SELECT lang, metric, count(*) AS n, quantile_disc(cell, 0.25) AS q1, quantile_disc(cell, 0.75) AS q3 FROM c GROUP BY ALL),
 whole AS (SELECT metric, quantile_disc(cell, 0.25) AS q1, quantile_disc(cell, 0.75) AS q3 FROM c GROUP BY ALL),
-fence AS (
-  SELECT own.lang, own.source, own.metric,
-         CASE WHEN own.n >= 200 THEN own.q3 + 3 * greatest(own.q3 - own.q1, s)
-              WHEN wider.n >= 200 THEN wider.q3 + 3 * greatest(wider.q3 - wider.q1, s)
-              ELSE whole.q3 + 3 * greatest(whole.q3 - whole.q1, s) END AS top
-  FROM own JOIN wider ON own.lang IS NOT DISTINCT FROM wider.lang AND own.metric = wider.metric JOIN whole ON own.metric = whole.metric),
+wider AS (SELECT lang, w.metric, (n * w.q1 + 200.0::DOUBLE * whole.q1) / (n + 200) AS q1, (n * w.q3 + 200.0::DOUBLE * whole.q3) / (n + 200) AS q3
+          FROM (SELECT lang, metric, count(*) AS n, quantile_disc(cell, 0.25) AS q1, quantile_disc(cell, 0.75) AS q3 FROM c GROUP BY ALL) w
+          JOIN whole ON w.metric = whole.metric),
+drawn AS (SELECT own.lang, own.source, own.metric, s, (n * own.q1 + 200 * wider.q1) / (n + 200) AS q1, (n * own.q3 + 200 * wider.q3) / (n + 200) AS q3
+          FROM own JOIN wider ON own.lang IS NOT DISTINCT FROM wider.lang AND own.metric = wider.metric),
+fence AS (SELECT lang, source, metric, q3 + 3 * greatest(q3 - q1, s) AS top FROM drawn),
 over AS (SELECT DISTINCT c.doc_id FROM c JOIN fence f
          ON c.lang IS NOT DISTINCT FROM f.lang AND c.source IS NOT DISTINCT FROM f.source AND c.metric = f.metric AND c.cell > f.top)
 SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,

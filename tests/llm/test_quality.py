@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -58,7 +59,19 @@ def test_fences_of_small_groups_come_from_wider_ones(spark):
                  F.lit(0).cast("long").alias("n_dup_lines"), F.lit(0).cast("long").alias("n_repeat_words"), F.lit(1).cast("long").alias("n_lines"))
     rows = spark.createDataFrame([("en", "big", 40)] * 300 + [("en", "few", 0)] * 3 + [(None, None, 0)], "lang STRING, source STRING, s LONG").withColumn("__q_m", m)
     found = {(r["__q_lang"], r["__q_source"]): r["__q_symbols"] for r in quality.fences(quality.sketches(rows)).collect()}
-    assert found == {("en", "big"): 64, ("en", "few"): 64, (None, None): 64}
+    drawn = lambda n, own, wider: (n * own + 200 * wider) / (n + 200)
+    assert found == {("en", "big"): 64, ("en", "few"): pytest.approx(drawn(3, 0, 40) + 24), (None, None): pytest.approx(drawn(1, 0, drawn(1, 0, 40)) + 24)}
+
+
+def test_no_fence_jumps_with_a_groups_size(spark):
+    m = F.struct(F.lit(100).cast("long").alias("n_words"), F.lit(256).cast("long").alias("word_chars"), F.col("s").alias("n_symbols"),
+                 F.lit(0).cast("long").alias("n_dup_lines"), F.lit(0).cast("long").alias("n_repeat_words"), F.lit(1).cast("long").alias("n_lines"))
+    sizes = (1, 50, 199, 200, 201, 2_000)
+    rows = [("en", f"g{n}", 10) for n in sizes for _ in range(n)] + [("en", "rest", 100)] * 6_000
+    df = spark.createDataFrame(rows, "lang STRING, source STRING, s LONG").withColumn("__q_m", m)
+    found = {r["__q_source"]: r["__q_symbols"] for r in quality.fences(quality.sketches(df)).collect()}
+    tops = [found[f"g{n}"] for n in sizes]
+    assert tops == sorted(tops, reverse=True) and tops[2] - tops[4] < 2 and tops[0] > 2 * tops[-1]
 
 
 def test_no_python_in_the_plan(odd_docs):
