@@ -1,14 +1,15 @@
 """Benchmark passages in documents: an FM-index over each shard of documents, searched for all test phrases.
 
 A phrase is a window of ``size`` consecutive words of a benchmark item, or the whole item if it is shorter. A shard is a
-block of documents of about 2 MB inside a task. Its index holds the runs of benchmark words that are long enough for a
+block of documents of about 1 MB inside a task (a longer text is a shard of its own). Its index holds the runs of benchmark words that are long enough for a
 phrase; other words can't be part of one. Backward search gives each phrase's range of suffixes, sampled suffix positions
 its places, and places that overlap or touch are merged into removal spans. Words are compared byte for byte in the end.
 
 The benchmark is split by hash of the item into blocks of about ``block_words`` words; a block is what a task holds at
-once, and with more than one, each is a pass over the documents with the results written in between.
+once, and with more than one, each is a pass over the documents with the results, text included, written in between: each further
+block costs a read and a write of the corpus.
 
-Defined results: null and empty texts have no words and no hits; an empty benchmark hits nothing; repeated items count
+Defined results: null and empty texts have no words and no hits; very long texts are searched whole; without documents there is no result; an empty benchmark hits nothing; repeated items count
 once; an item without id hits but is not listed; repeated documents are judged one by one; a document column named like a
 result is replaced by it.
 """

@@ -5,8 +5,8 @@ another. A notice of length n may have up to ``edits`` character edits: cut into
 stands unchanged in any such copy, so every place of every piece is a candidate. Around each, the regex library's
 bounded-error search verifies the edits and gives the best span, which begins and ends with whole words.
 
-Defined results: null and empty texts have no words and no labels; repeated rows are scanned one by one; a document column
-named like a result is replaced by it.
+Defined results: null and empty texts have no words and no labels; repeated rows are scanned one by one; an empty table stays empty; very
+long texts are scanned whole, one at a time; a document column named like a result is replaced by it.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ Every token is predicted from the ``SIDE`` tokens before and after it; the sum o
   again with the same result. What is broadcast, the vocabulary, the near counts and the weights, has a fixed size.
 
 Defined results: null, empty and wordless texts have no tokens, score 0 and no mean; repeated rows are scored one by one;
-an empty corpus leaves the weights as they were set.
+an empty corpus leaves the weights as they were set and has no result. Very long texts are blocks of their own in memory. Other columns are kept, but for
+the text and columns named like a result. The weights depend on how the corpus is cut into partitions (files and their sizes), not on their order.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ the two ordered lists are joined as intervals. The rule for a token that crosses
 A token that holds only a part of a character counts as standing on that character. So the counts of the sections always
 add up to the tokens of the document. Sections here are the lines, each with its line end.
 
-Defined results: null and empty texts have no tokens and no sections; repeated rows are counted one by one.
+Defined results: null and empty texts have no tokens and no sections; repeated rows are counted one by one; an empty table stays empty; very long texts
+are encoded whole, one at a time; other columns are kept, and one named like a result is replaced by it.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ through all pages, block by block.
 
 Defined results: a null url, or one without ``://``, has an empty host and path; such a url has no n-grams and gets the
 verdict of the model's constant; without labelled urls every verdict that no rule gives is allow; repeated rows are judged
-one by one.
+one by one; an empty table stays empty; very long urls are blocks of their own in memory; a column named like a result is replaced by it.
 """
 
 from __future__ import annotations
