@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fettle.functions.columns import draw_hash, n_where, percent
 from fettle.operators.ranking import first_n, percentiles, row_number_by_value
 from fettle.schemas import TRAIN_SIDE
+from fettle.session import settle
 
 # Name prefixes that form a sub-source of their own.
 SUB_PREFIXES = ("noncrack", "CRACK500", "GAPS", "cracktree", "CFD", "DeepCrack", "Rissbilder", "Volker", "Ceramic")
@@ -126,24 +127,33 @@ def duplicate_count(manifest: DataFrame) -> DataFrame:
     return sizes.agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("n"))
 
 
-def keep_first(manifest: DataFrame, order: str) -> DataFrame:
-    """First row per hash by ``order``; rows without a hash all stay.
+def _firsts(manifest: DataFrame, order: str) -> DataFrame:
+    """(r, n): the first row of each hash as a struct, and how many rows had it; a row without a hash is its own key.
 
-    An aggregate, not a window: copies are dropped on the map side, so a group of copies of
+    One aggregate over one scan, not a window: copies are dropped on the map side, so a group of copies of
     any size reaches a task as one row per partition.
     """
-    row = F.struct(*[F.col(c) for c in manifest.columns])
-    firsts = manifest.where(_hashed(manifest)).groupBy("phash").agg(F.min_by(row, order).alias("r")).select("r.*")
-    return manifest.where(~_hashed(manifest) | F.col("phash").isNull()).unionByName(firsts)
+    key = F.when(_hashed(manifest), F.col("phash")).otherwise(F.concat(F.lit("row "), F.monotonically_increasing_id()))
+    row = F.struct(*[F.col(c) for c in manifest.columns]).alias("r")
+    return manifest.select(key.alias("k"), row).groupBy("k").agg(F.min_by("r", f"r.{order}").alias("r"), F.count("*").alias("n"))
+
+
+def keep_first(manifest: DataFrame, order: str) -> DataFrame:
+    """First row per hash by ``order``; rows without a hash all stay."""
+    return _firsts(manifest, order).select("r.*")
+
 
+def kept_report(manifest: DataFrame, order: str) -> DataFrame:
+    """Row counts before and after ``keep_first``, positives by material and roles, as (section, key, n), from one pass over the manifest."""
+    kept = _firsts(manifest, order).select("r.*", "n")
+    cracked = F.coalesce((F.col("role") == "positive") & (F.col("crack_px") > 0), F.lit(False))
+    cells = settle(kept.groupBy("material", "role", cracked.alias("cracked")).agg(F.count("*").alias("kept"), F.sum("n").alias("input")), "kept")
 
-def kept_report(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Row counts before and after, positives by material and roles, as (section, key, n)."""
-    def count(df: DataFrame, section: str, key: Column) -> DataFrame:
-        return df.groupBy(key.alias("key")).agg(F.count("*").alias("n")).select(F.lit(section).alias("section"), "key", "n")
+    def count(df: DataFrame, section: str, key: Column, n: str = "kept") -> DataFrame:
+        return df.groupBy(key.alias("key")).agg(F.sum(n).alias("n")).select(F.lit(section).alias("section"), "key", "n")
     parts = [
-        count(before, "rows", F.lit("input")), count(after, "rows", F.lit("kept")),
-        count(_cracked(after), "positives", F.col("material")), count(after, "roles", F.col("role")),
+        count(cells, "rows", F.lit("input"), "input"), count(cells, "rows", F.lit("kept")),
+        count(cells.where("cracked"), "positives", F.col("material")), count(cells, "roles", F.col("role")),
     ]
     return reduce(DataFrame.unionByName, parts)
 

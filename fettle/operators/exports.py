@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from fettle.functions.columns import iso
-from fettle.operators.history import HistoryFilter, region_totals, status_totals
+from fettle.functions.columns import iso, n_where
+from fettle.operators.history import HistoryFilter
 from fettle.schemas import FAILURES, STATUSES
 from fettle.sources.files import read_if_there
 
@@ -67,16 +67,20 @@ def write_json(documents: DataFrame, path: str) -> None:
     documents.select("document.*").write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def _with_counts(rows: DataFrame, regions: DataFrame) -> DataFrame:
+    """Each inspection with the numbers of its regions by class, so that one pass over it gives all totals."""
+    per = regions.groupBy("inspection_id").agg(
+        n_where(F.col("class_code") == "crack").alias("__crack"), n_where(F.col("class_code") == "scratch").alias("__scratch"), F.count("*").alias("__regions"))
+    return rows.select("inspection_id", "status").join(per, "inspection_id", "left")
+
+
 def envelope(rows: DataFrame, regions: DataFrame, f: HistoryFilter) -> DataFrame:
-    """The header of an export: totals, region totals, count and active filters."""
-    totals = status_totals(rows)
-    kept = regions.join(rows.select("inspection_id"), "inspection_id", "left_semi")
-    found = region_totals(kept).select(F.struct("crack", "scratch", "total").alias("r")).scalar()
+    """The header of an export: totals, region totals, count and active filters, from one pass over the rows."""
     filters = ";".join(f"{k}={v}" for k, v in f.active().items())
-    return totals.select(
-        *STATUSES, "processed", found["crack"].alias("crack"), found["scratch"].alias("scratch"),
-        found["total"].alias("regions"), F.col("processed").alias("count"), F.lit(filters).alias("filters"),
-    )
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    return _with_counts(rows, regions).agg(
+        *[n_where(F.col("status") == s).alias(s) for s in STATUSES], F.count("*").alias("processed"), total("__crack").alias("crack"),
+        total("__scratch").alias("scratch"), total("__regions").alias("regions"), F.count("*").alias("count"), F.lit(filters).alias("filters"))
 
 
 def record_rows(records: DataFrame) -> DataFrame:
@@ -154,15 +158,14 @@ def committed(spark: SparkSession, folder: str, name: str, schema: str | StructT
 
 
 def reconcile(export: DataFrame, rows: DataFrame, regions: DataFrame) -> DataFrame:
-    """Export rows must equal regions + clean + failed, its ids the processed items."""
-    csv = export.agg(F.count("*").alias("csv_rows"), F.countDistinct("inspection_id").alias("csv_ids"))
-    totals = status_totals(rows).select(
-        "processed", (F.col("clean") + sum((F.col(s) for s in FAILURES), F.lit(0))).alias("quiet")
-    ).select(F.struct("processed", "quiet").alias("t")).scalar()
-    found = regions.join(rows.select("inspection_id"), "inspection_id", "left_semi").agg(F.count("*").alias("n")).scalar()
-    return csv.withColumn("t", totals).withColumn("expected_rows", found + F.col("t.quiet")).select(
-        "csv_rows", "expected_rows", "csv_ids", F.col("t.processed").alias("processed"),
-        ((F.col("csv_rows") == F.col("expected_rows")) & (F.col("csv_ids") == F.col("t.processed"))).alias("ok"),
+    """Export rows must equal regions + clean + failed, its ids the processed items. The store and the export are each read once."""
+    quiet = F.col("status").isin("clean", *FAILURES)
+    told = _with_counts(rows, regions).agg(
+        F.count("*").alias("processed"), (n_where(quiet) + F.coalesce(F.sum("__regions"), F.lit(0))).alias("expected_rows")).select(F.struct("processed", "expected_rows").alias("t")).scalar()
+    csv = export.agg(F.count("*").alias("csv_rows"), F.countDistinct("inspection_id").alias("csv_ids")).withColumn("t", told)
+    return csv.select(
+        "csv_rows", F.col("t.expected_rows").alias("expected_rows"), "csv_ids", F.col("t.processed").alias("processed"),
+        ((F.col("csv_rows") == F.col("t.expected_rows")) & (F.col("csv_ids") == F.col("t.processed"))).alias("ok"),
     )
 
 

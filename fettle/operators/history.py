@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from fettle.functions.columns import all_of, n_where, percent
+from fettle.operators.ranking import running
 from fettle.schemas import CLASSES, STATUSES
 
 PAGE_SIZE, MIN_PAGE, MAX_PAGE = 25, 5, 200
@@ -144,9 +145,21 @@ def newest_first() -> list[Column]:
     return [F.col("captured_at").desc(), F.col("inspection_id").desc()]
 
 
-def page(rows: DataFrame, f: HistoryFilter) -> DataFrame:
-    """One page in history order; each task keeps only the rows up to the page's end."""
-    return rows.orderBy(*newest_first()).offset((f.page - 1) * f.page_size).limit(f.page_size)
+#: The last row of a page up to which each task keeps the rows before it; beyond, rows are numbered over the cluster.
+SHALLOW = 10_000
+
+
+def page(rows: DataFrame, f: HistoryFilter, shallow: int = SHALLOW) -> DataFrame:
+    """One page in history order.
+
+    For a page near the front each task keeps only the rows up to the page's end. A deep page is cut from rows that are numbered in
+    cells of the order, so no task holds the pages before it.
+    """
+    before = (f.page - 1) * f.page_size
+    if before + f.page_size <= shallow:
+        return rows.orderBy(*newest_first()).offset(before).limit(f.page_size)
+    numbered = running(rows, [], newest_first(), {}, "__place")
+    return numbered.where((F.col("__place") > before) & (F.col("__place") <= before + f.page_size)).orderBy("__place").drop("__place")
 
 
 def page_after(rows: DataFrame, captured_at: str, inspection_id: int, size: int = PAGE_SIZE) -> DataFrame:

@@ -264,12 +264,15 @@ def grid_scores(scored: DataFrame, grid: tuple[float, ...] = GRID) -> DataFrame:
 
 
 def grid_select(scores: DataFrame, grid: tuple[float, ...] = GRID) -> DataFrame:
-    """Best balanced recall among the points that hold clDice; argmax is the baseline (a < 0)."""
-    base = scores.where(F.col("a") < 0).select(F.struct("cldice", "balanced").alias("x")).scalar()
-    ok = scores.where((F.col("a") >= 0) & (F.col("cldice") >= base["cldice"] - GRID_TOLERANCE))
+    """Best balanced recall among the points that hold clDice; argmax is the baseline (a < 0).
+
+    ``scores`` has one row for each point of the grid, so the baseline joins them by a window over those few rows.
+    """
+    points = W.partitionBy(F.lit(0))
+    based = scores.withColumn("base", F.max(F.when(F.col("a") < 0, F.struct("cldice", "balanced"))).over(points))
+    ok = based.where((F.col("a") >= 0) & (F.col("cldice") >= F.col("base.cldice") - GRID_TOLERANCE))
     best = ok.orderBy(F.round("balanced", 9).desc(), "a", "b").limit(1)
     values = F.array(*[F.lit(g) for g in grid])
     return best.select(
         F.get(values, "a").alias("t_crack"), F.get(values, "b").alias("t_scratch"), F.round("balanced", 9).alias("balanced"),
-        F.round("cldice", 9).alias("cldice"), F.round(base["balanced"], 9).alias("base_balanced"), F.round(base["cldice"], 9).alias("base_cldice"))
-
+        F.round("cldice", 9).alias("cldice"), F.round("base.balanced", 9).alias("base_balanced"), F.round("base.cldice", 9).alias("base_cldice"))

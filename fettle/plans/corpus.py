@@ -171,7 +171,7 @@ def _(v):
  UNION ALL SELECT 'positives', material, count(*) FROM d WHERE role='positive' AND crack_px>0 GROUP BY material UNION ALL SELECT 'roles', role, count(*) FROM d GROUP BY role""")
 def _(v):
     m = v.manifest.select("name", "phash", "doc_id", "material", "role", "crack_px")
-    return corpus.kept_report(m, corpus.keep_first(m, "doc_id"))
+    return corpus.kept_report(m, "doc_id")
 
 
 @query("drop_duplicate_names", "SELECT DISTINCT name FROM (SELECT name FROM manifest UNION ALL SELECT name FROM manifest WHERE doc_id%2=0)")

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from fettle.functions.columns import n_where
-from fettle.session import work_path
+from fettle.operators.exports import ATTEMPT, COMMITS, MARK, append_once
+from fettle.session import discard, work_path
 from fettle.sources.files import read_if_there
 
 
@@ -57,14 +58,17 @@ def append_log(stream: DataFrame, folder: str | None = None) -> DataFrame:
     return read_if_there(stream.sparkSession, home.results, stream.schema)
 
 
-BATCH = "batch"
+BATCH, UPTO = "batch", "upto"
+#: Deltas from which on a keyed state is compacted.
+DELTAS = 16
 
 
-def keyed_state(stream: DataFrame, keys: list[str], label: str, folder: str | None = None) -> DataFrame:
+def keyed_state(stream: DataFrame, keys: list[str], label: str, folder: str | None = None, deltas: int = DELTAS) -> DataFrame:
     """Run an aggregation in update mode and return the last row of every key.
 
     A batch writes only the keys that it changed, in its own folder, so a repeated batch overwrites itself; the merge by
-    key happens where the table is read.
+    key happens where the table is read. Once ``deltas`` batches have gathered they are merged into a base, which is committed before the deltas
+    that it holds are removed: a reader sees one base and the batches after it, and a killed compaction leaves the old ones.
     """
     spark = stream.sparkSession
     home = Home.of(spark, label, folder)
@@ -73,9 +77,32 @@ def keyed_state(stream: DataFrame, keys: list[str], label: str, folder: str | No
         df.write.mode("overwrite").parquet(f"{home.results}/{BATCH}={batch}")
 
     run_batches(stream, "update", home.progress, sink)
-    rest = [c for c in stream.columns if c not in keys]
-    rows = read_if_there(spark, home.results, StructType([*stream.schema.fields]).add(BATCH, "long"))
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), BATCH).alias("r")).select(*keys, "r.*").select(*stream.columns)
+    state, upto, later = _merged(spark, home, stream.schema, keys)
+    if len(later) >= deltas:
+        append_once({"base": state}, f"{home.results}-base", str(max(later)))
+        for batch in later:
+            discard(spark, f"{home.results}/{BATCH}={batch}")
+        for old in upto:
+            discard(spark, f"{home.results}-base/base/{BATCH}={old}")
+        state, _, _ = _merged(spark, home, stream.schema, keys)
+    return state
+
+
+def _merged(spark: SparkSession, home: Home, schema: StructType, keys: list[str]) -> tuple[DataFrame, list[int], list[int]]:
+    """The last row of every key, the bases that are committed and the batches after the newest of them."""
+    marks = read_if_there(spark, f"{home.results}-base/{COMMITS}", MARK).select(F.col(BATCH).cast("long").alias(UPTO)).collect()
+    bases = sorted(r[UPTO] for r in marks)
+    newest = bases[-1] if bases else -1
+    rest = [c for c in schema.names if c not in keys]
+    deltas = read_if_there(spark, home.results, StructType([*schema.fields]).add(BATCH, "long")).where(F.col(BATCH) > newest)
+    later = sorted(r[BATCH] for r in deltas.select(BATCH).distinct().collect())
+    rows = deltas
+    if bases:
+        base = read_if_there(spark, f"{home.results}-base/base", StructType([*schema.fields]).add(BATCH, "long").add(ATTEMPT, "string"))
+        good = read_if_there(spark, f"{home.results}-base/{COMMITS}", f"{ATTEMPT} STRING, {BATCH} LONG").where(F.col(BATCH) == newest)
+        rows = base.join(good, [BATCH, ATTEMPT], "left_semi").select(*deltas.columns).unionByName(deltas)
+    merged = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), BATCH).alias("r")).select(*keys, "r.*").select(*schema.names)
+    return merged, bases, later
 
 
 def latest_per_station(events: DataFrame, station: str, order: Column, fields: list[str]) -> DataFrame:
@@ -116,3 +143,15 @@ def first_submissions(events: DataFrame, digest: Column, folder: str | None = No
 
     run_batches(events.select(digest.alias("digest")), "append", home.progress, sink)
     return read_if_there(spark, home.results, kind).select("digest")
+
+
+def first_submissions_within(events: DataFrame, digest: Column, late: str, folder: str | None = None) -> DataFrame:
+    """The digests of payloads, each once within ``late`` of its first event: state that ends, for feeds whose repeats come soon.
+
+    Where repeats may come at any time, use ``first_submissions``.
+    """
+    spark = events.sparkSession
+    home = Home.of(spark, "recent-digests", folder)
+    fresh = events.select("ts", digest.alias("digest")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["digest"]).select("digest")
+    run_to_files(fresh, home.results, home.progress)
+    return read_if_there(spark, home.results, fresh.schema)

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from fettle.operators import batches, exports, gates, metrics, sampling, store
+from fettle.operators import batches, corpus, exports, gates, history, metrics, sampling, store
 from fettle.operators.split import SplitRules
 
 ROWS, REGIONS = "inspection_id BIGINT, status STRING", "inspection_id BIGINT, region_index INT"
@@ -102,3 +102,17 @@ def test_row_gates_are_counted_while_writing(spark):
     got = {r["gate"]: r["n"] for r in gates.gate_report(df, rules).collect()}
     assert (got["unseen_in_train"], got["headline_foreign"], got["unknown_split"], got["leak_group"], got["leak_hash"], got["dup_names"]) == (1, 1, 1, 1, 0, 1)
     assert got["positive_in_train"] == 0 and got["scratch_in_train"] == 1
+
+
+def test_deep_pages_equal_shallow_ones(spark):
+    rows = spark.range(500).selectExpr("id AS inspection_id", "TIMESTAMP_NTZ'2026-01-01' + make_dt_interval(0, 0, 0, id % 37) AS captured_at")
+    f = history.HistoryFilter(page=7, page_size=30)
+    assert history.page(rows, f, shallow=0).collect() == history.page(rows, f).collect()
+
+
+def test_rows_without_a_hash_stay_and_are_counted(spark):
+    rows = [("a", "h", 1, "steel", "positive", 3), ("b", "h", 0, "wood", "positive", 3), ("c", "", 2, "wood", "negative", 0), ("c", "", 3, None, None, None), ("d", None, 4, "wood", "positive", None)]
+    df = spark.createDataFrame(rows, "name STRING, phash STRING, doc_id INT, material STRING, role STRING, crack_px INT")
+    assert sorted(r["doc_id"] for r in corpus.keep_first(df, "doc_id").collect()) == [0, 2, 3, 4]
+    got = {(r["section"], r["key"]): r["n"] for r in corpus.kept_report(df, "doc_id").collect()}
+    assert got == {("rows", "input"): 5, ("rows", "kept"): 4, ("positives", "wood"): 1, ("roles", "positive"): 2, ("roles", "negative"): 1, ("roles", None): 1}

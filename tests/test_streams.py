@@ -82,3 +82,35 @@ def test_streams_resume_in_their_own_folder(spark, folder, tmp_path):
         assert max(r["event_id"] for r in streams.keyed_state(live(), ["user_id"], "latest", home).collect()) == 40 * (part + 1) - 1
         assert streams.first_submissions(stream(spark, str(grow)), digest(), f"{home}-digests").count() == 21
         assert sum(windows(spark, str(grow), f"{home}-windows")) == 40 * (part + 1)
+
+
+def test_compacted_state_resumes(spark, folder, tmp_path):
+    grow, home = tmp_path / "grow", str(tmp_path / "home")
+    grow.mkdir()
+    held = lambda: sorted(p.name for p in (tmp_path / "home" / "results").glob("batch=*"))
+    for part in range(3):
+        (tmp_path / "events" / f"events-{part}.parquet").rename(grow / f"events-{part}.parquet")
+        live = streams.latest_per_station(stream(spark, str(grow)), "user_id", F.col("event_id"), ["event_id"])
+        state = streams.keyed_state(live, ["user_id"], "latest", home, deltas=2)
+        assert sorted(r["event_id"] for r in state.collect()) == [40 * (part + 1) - k for k in (3, 2, 1)]
+        assert len(held()) == (1 if part in (0, 2) else 0)
+    assert [p.name for p in (tmp_path / "home" / "results-base" / "base").glob("batch=*")] == ["batch=1"]
+
+
+def test_a_killed_compaction_leaves_the_old_state(spark, folder, tmp_path, monkeypatch):
+    home = str(tmp_path / "home")
+    live = streams.latest_per_station(stream(spark, folder), "user_id", F.col("event_id"), ["event_id"])
+
+    def dies(*_):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as m:
+        m.setattr(streams, "discard", dies)
+        with pytest.raises(RuntimeError):
+            streams.keyed_state(live, ["user_id"], "latest", home, deltas=3)
+    assert sorted(r["event_id"] for r in streams.keyed_state(live, ["user_id"], "latest", home, deltas=3).collect()) == [117, 118, 119]
+
+
+def test_recent_submissions_are_dropped(spark, folder):
+    kept = streams.first_submissions_within(stream(spark, folder), digest(), "3 hours")
+    assert kept.count() == 21 and kept.distinct().count() == 21
