@@ -257,10 +257,37 @@ def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit, with the polynomial that zlib uses."""
+    bits = "list_reduce(list_prepend(xor(h, b), range(8)), lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda ch: CAST(ascii(ch) AS BIGINT))), lambda h, b: {bits}), 4294967295)"
+
+
 # --- conversation prefix trie --------------------------------------------------------------------------------------------
 
+TRIE_SQL = f"""
+WITH own AS (SELECT conv_id, list(coalesce(role, '') || chr(0) || coalesce(text, '') ORDER BY turn NULLS FIRST) AS w,
+                    list(length(coalesce(text, '')) ORDER BY turn NULLS FIRST) AS n
+             FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+cut AS (SELECT *, conv_id - conv_id % 100 AS head, CAST({crc32_sql('CAST(conv_id AS VARCHAR)')} % 6 AS INTEGER) AS h FROM own),
+conv AS (SELECT c.conv_id, list_concat(coalesce(p.w[1:c.h], []), c.w[c.h + 1:]) AS w, list_concat(coalesce(p.n[1:c.h], []), c.n[c.h + 1:]) AS n
+         FROM cut c LEFT JOIN own p ON p.conv_id = c.head),
+step AS (SELECT conv_id, d, len(w) AS size, array_to_string(w[1:d], chr(1)) AS k, CASE WHEN d > 0 THEN array_to_string(w[1:d - 1], chr(1)) END AS pk,
+                CASE WHEN d > 0 THEN n[d] ELSE 0 END AS chars
+         FROM (SELECT conv_id, w, n, unnest(range(0, len(w) + 1)) AS d FROM conv)),
+node AS (SELECT d, k, any_value(pk) AS pk, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+                coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE size = d), '') AS ends FROM step GROUP BY d, k),
+kids AS (SELECT d - 1 AS d, pk AS k, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL),
+full_ AS (SELECT node.*, coalesce(kids.n, 0) AS n_children FROM node LEFT JOIN kids USING (d, k)),
+above AS (SELECT DISTINCT s.d, s.k, a.d AS ad, a.k AS ak FROM step s JOIN step a ON a.conv_id = s.conv_id AND a.d <= s.d),
+total AS (SELECT ad AS d, ak AS k, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * chars) AS saved
+          FROM above JOIN full_ USING (d, k) GROUP BY ALL)
+SELECT f.conv_id, CAST(f.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM full_ f JOIN total USING (d, k) LEFT JOIN full_ p ON p.d = f.d - 1 AND p.k = f.pk
+"""
+
 
-@query("op12_conversation_trie")
+@query("op12_conversation_trie", TRIE_SQL)
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = prefixtrie.turn_lists(table(spark, sf_dir, "conversations"))
     heads = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6
@@ -270,8 +297,47 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- conversation structure repair ---------------------------------------------------------------------------------------
 
+# a table over rows and states: o nothing yet, s after the system turn, u after a user turn, d after an answer
+REPAIR_SQL = f"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {crc32_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS kind FROM conversations),
+hurt AS (SELECT coalesce(CAST(conv_id AS VARCHAR), ' ') AS conv, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM raw),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text, copy) AS n FROM hurt),
+told AS (SELECT *, left(role, 1) AS initial, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank,
+                row_number() OVER (PARTITION BY conv, role, text ORDER BY n) > 1 AS again,
+                regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) NOT IN ('.', '!', '?') AS cut,
+                lag(left(role, 1)) OVER (PARTITION BY conv ORDER BY n) || left(role, 1) AS pair FROM placed),
+rows_ AS (SELECT conv, n, turn, role, text, initial, pair, blank, NOT blank AND again AS duplicate, NOT blank AND NOT again AND cut AS truncated FROM told),
+counts AS (SELECT conv, count(*) AS size, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank,
+                  count(*) FILTER (WHERE duplicate) AS duplicate, count(*) FILTER (WHERE truncated) AS truncated,
+                  count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM rows_ GROUP BY conv),
+ins(f, t, x, r) AS (VALUES ('o', 'o', '', []::VARCHAR[]), ('o', 'u', 'I', ['user:']), ('o', 'd', 'II', ['user:', 'assistant:']), ('s', 's', '', []), ('s', 'u', 'I', ['user:']),
+  ('s', 'd', 'II', ['user:', 'assistant:']), ('u', 'u', '', []), ('u', 'd', 'I', ['assistant:']), ('d', 'd', '', []), ('d', 'u', 'I', ['user:'])),
+mv(f, act, want, t, due) AS (VALUES ('o', 'D', NULL, 'o', NULL), ('s', 'D', NULL, 's', NULL), ('u', 'D', NULL, 'u', NULL), ('d', 'D', NULL, 'd', NULL),
+  ('o', 'K', 's', 's', NULL), ('o', 'K', 'u', 'u', NULL), ('s', 'K', 'u', 'u', NULL), ('d', 'K', 'u', 'u', NULL), ('u', 'K', 'a', 'd', NULL),
+  ('o', 'R', NULL, 'u', 'user'), ('s', 'R', NULL, 'u', 'user'), ('d', 'R', NULL, 'u', 'user'), ('u', 'R', NULL, 'd', 'assistant')),
+best AS (
+  SELECT conv, 0::BIGINT AS n, t AS st, 3 * length(x) AS c, x AS a, r FROM (SELECT DISTINCT conv FROM counts), ins WHERE f = 'o'
+  UNION ALL
+  SELECT conv, n, st, min(c), arg_min(a, lpad(CAST(c AS VARCHAR), 9, '0') || a), arg_min(r, lpad(CAST(c AS VARCHAR), 9, '0') || a)
+  FROM (SELECT b.conv, w.n, i.t AS st, b.a || act || i.x AS a,
+               b.c + CASE act WHEN 'D' THEN 4 WHEN 'K' THEN 0 ELSE 3 END + CASE WHEN truncated AND act <> 'D' THEN 3 ELSE 0 END + 3 * length(i.x) AS c,
+               list_concat(b.r, CASE WHEN act = 'D' THEN [] ELSE [coalesce(due, w.role) || ':' || w.text] END, i.r) AS r
+        FROM best b JOIN rows_ w ON w.conv = b.conv AND w.n = b.n + 1
+        JOIN mv ON mv.f = b.st AND (want IS NULL OR want = w.initial) AND (act = 'D' OR NOT (blank OR duplicate)) JOIN ins i ON i.f = mv.t)
+  GROUP BY conv, n, st),
+done AS (SELECT conv, min(c) AS cost, arg_min(a, lpad(CAST(c AS VARCHAR), 9, '0') || a) AS audit, arg_min(r, lpad(CAST(c AS VARCHAR), 9, '0') || a) AS r
+         FROM best JOIN counts USING (conv) WHERE best.n = counts.size AND st IN ('o', 'd') GROUP BY conv)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(r, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce(CAST(conv_id AS VARCHAR), ' ') AS conv FROM conversations) o LEFT JOIN counts USING (conv) LEFT JOIN done USING (conv)
+"""
+
 
-@query("op13_conversation_repair")
+@query("op13_conversation_repair", REPAIR_SQL)
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = repair.repair(repair.damaged(table(spark, sf_dir, "conversations")), copies="copies")
     text = F.array_join(F.transform("repaired", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
