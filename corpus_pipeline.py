@@ -8,6 +8,12 @@ the shared folder and reads it again for the next stage.
 3. n-gram Jaccard join: the document with the smallest id of each near-duplicate group stays;
 4. benchmark decontamination: contaminated documents go, others stay as they are;
 5. SentencePiece: each document gets its token count and the digests of its ids and of the decoded text.
+
+Defined results. Null, empty and blank texts fail the quality rules, so no later stage meets them in ``run``; alone, line dedup leaves them as
+they are, the Jaccard join lets them stay, decontamination finds them clean and the tokenizer gives them no ids. Rows without ``doc_id`` are
+judged like others, cut by no other document and link with none; null ``lang`` or ``source`` is a group of its own. Repeated rows: the copies lose
+their shared lines or go with the Jaccard join, one stays. Very long texts are worked on whole. An empty table stays empty. Other columns of
+documents go through all stages but the last, whatever their names, except for names that begin with ``__``.
 """
 
 from __future__ import annotations

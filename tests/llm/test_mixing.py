@@ -13,7 +13,7 @@ from fettle.llm import mixing
 SCHEMA = "doc_id BIGINT, text STRING, source STRING"
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 def test_apportionment_equals_the_highest_quotients(spark, seed):
     rng = random.Random(seed)
     rows, want = [], {}
@@ -54,7 +54,7 @@ def documents(spark, sizes: dict, words: int):
 
 
 @pytest.mark.parametrize("sizes", [
-    {"a": 60_000, "b": 3_000, "c": 20_000, None: 9_000, "é": 40_000}, {"a": 5, "b": 70_000}, {"only": 1_000}, {"a": 1, "b": 1, "c": 1, "d": 1}, {f"s{k:02}": 50 + k * k for k in range(30)},
+    {"a": 60_000, "b": 3_000, "c": 20_000, None: 9_000, "é": 40_000}, {"a": 5, "b": 70_000}, {"a": 1, "b": 1, "c": 1, "d": 1}, {f"s{k:02}": 50 + k * k for k in range(30)},
 ])
 def test_sources_come_near_their_targets(spark, sizes):
     docs = documents(spark, sizes, 90)
