@@ -145,9 +145,12 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "
     words = settle(tokens.groupBy("l", "w").agg(F.count(F.lit(1)).alias("n")), "words")
     framed = F.concat(F.lit("<"), F.col("w"), F.lit(">"))
     size = F.char_length(framed)
-    cut = F.flatten(F.array(*[
-        F.transform(F.when(size >= k, F.sequence(F.lit(1), size - k + 1)).otherwise(F.array().cast("array<int>")), lambda i, k=k: F.substr(framed, i, F.lit(k)))
-        for k in range(1, LONGEST + 1)]))
+
+    def pieces(k: int) -> Column:
+        starts = F.when(size >= k, F.sequence(F.lit(1), size - k + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.substr(framed, i, F.lit(k)))
+
+    cut = F.flatten(F.array(*[pieces(k) for k in range(1, LONGEST + 1)]))
     grams_ = words.select("l", "n", F.explode(cut).alias("w")).groupBy("l", "w").agg(F.sum("n").alias("n"))
 
     place = {x: k for k, x in enumerate(langs)}

@@ -85,3 +85,53 @@ def test_every_entry_that_is_held_twice_is_kept(spark):
     rows = [(k, " ".join(f"{x}longerword" for x in "abcdefgh"), "aa") for k in range(200)] + [(k, "pear plum", "bb") for k in range(200, 220)] + [(300, "once", "bb")]
     model = L.fit(spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING"))
     assert set(model.words) == {"pear", "plum", *(f"{x}longerword" for x in "abcdefgh")}
+
+
+def test_whole_result_equals_plain_code(spark):
+    """Every document of the smallest table judged by counts and sums in plain Python; all labelled ones are in the sample."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    rows = docs.collect()
+    learned = [r for r in rows if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    number = Counter(r.lang for r in learned)
+    langs = sorted(number, key=lambda x: (-number[x], x))
+    words, grams = {x: Counter() for x in langs}, {x: Counter() for x in langs}
+    for r in learned:
+        words[r.lang].update(L.LETTERS.findall(r.text.lower()))
+    for x in langs:
+        for w, n in words[x].items():
+            for k in range(1, L.LONGEST + 1):
+                for g in L.grams(w, k):
+                    grams[x][g] += n
+
+    def table(counts):
+        held = [w for w, n in sum(counts.values(), Counter()).items() if n >= 2]
+        total = {}
+        for w in held:
+            for x in langs:
+                total[x, len(w)] = total.get((x, len(w)), 0) + counts[x][w] + L.SMOOTH
+        return held, total
+
+    known, _ = table(words)
+    whole = {x: sum(words[x][w] + L.SMOOTH for w in known) for x in langs}
+    pieces, sizes = table(grams)
+    known, pieces = set(known), set(pieces)
+
+    def score(word, x):
+        if word in known:
+            return math.log((words[x][word] + L.SMOOTH) / whole[x])
+        for k in range(min(L.LONGEST, len(word) + 2), 0, -1):
+            found = [g for g in L.grams(word, k) if g in pieces]
+            if found:
+                return sum(math.log((grams[x][g] + L.SMOOTH) / sizes[x, k]) for g in found) / len(found)
+        return 0.0
+
+    got = {r.doc_id: (r.lang_pred, r.score) for r in L.predict(docs.select("doc_id", "text"), L.fit(docs)).collect()}
+    for r in rows:
+        found = Counter(L.LETTERS.findall((r.text or "").lower()))
+        if not found:
+            assert got[r.doc_id] == ("und", 0.0)
+            continue
+        sums = {x: sum(n * score(w, x) for w, n in found.items()) for x in langs}
+        best = max(langs, key=lambda x: (sums[x], -langs.index(x)))
+        assert got[r.doc_id][0] == best and got[r.doc_id][1] == pytest.approx(1 / sum(math.exp(s - sums[best]) for s in sums.values()), rel=1e-6)
+    assert len(got) == len(rows)

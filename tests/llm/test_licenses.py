@@ -72,3 +72,26 @@ def test_rows(spark, odd_docs, no_docs):
     many = "mit license " * 20_000  # one text full of places
     row = L.scan(spark.createDataFrame([(1, many)], "doc_id LONG, text STRING")).first()
     assert len(row["places"]) == 20_000 and row.score == 1.0
+
+
+def test_no_label_and_no_place_is_missed(spark):
+    """Each notice is searched for in whole texts, without seeds, and each phrase at every word."""
+    import random
+
+    import regex
+
+    rng = random.Random(9)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()][:80]
+    for _ in range(60):
+        notice, _, k = rng.choice(L.NOTICES)
+        edited = list(notice)
+        for _ in range(rng.randrange(2 * k + 1)):
+            edited[rng.randrange(len(edited))] = rng.choice("qz")
+        texts.append(f"some words {''.join(edited)} and {rng.choice(L.PHRASES)[0]}, more")
+    rows = L.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id INT, text STRING")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        laid, _ = L.layout(r["text"])
+        want = {label for p, label, k in L.NOTICES if regex.search(b"(?<= )(?:%s){e<=%d}(?= )" % (regex.escape(p).encode(), k), laid)}
+        assert {x["label"] for x in r["fuzzy"]} == want
+        assert (r["n_words"], sorted((x["label"], x["first_word"]) for x in r["places"])) == plain(r["text"])

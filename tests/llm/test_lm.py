@@ -117,3 +117,41 @@ def test_training_as_registered_beats_frequencies(spark):
     numbers = np.concatenate([x for _, _, x, _ in lm.tokens(pa.array([r.text for r in docs.collect()]), words)])
     share = np.bincount(numbers, minlength=lm.VOCABULARY) / len(numbers)
     assert sum(r.pll for r in rows) / len(numbers) > np.log(share[numbers]).mean()
+
+
+def test_whole_result_equals_plain_code(spark):
+    """Every document of the smallest table scored token by token from full softmaxes, with the counts of all words."""
+    import re
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    counts = lm.word_counts(docs)
+    words = lm.vocabulary(docs, counts=counts)
+    weights = {k: v.astype(np.float64) for k, v in lm.train(docs, words).items()}
+    rows = docs.collect()
+    spoken = {r.doc_id: re.findall(rb"[0-9a-z\x80-\xff]+", bytes(lm.B.LOWER[np.frombuffer((r.text or "").encode(), np.uint8)])) for r in rows}
+    count = Counter(w for own in spoken.values() for w in own)
+    names = list(count)
+    data, ends = np.frombuffer(b"".join(names), np.uint8), np.cumsum([len(w) for w in names])
+    number = dict(zip(names, words.numbers(data, ends - [len(w) for w in names], ends)[0].tolist()))
+    totals = Counter()
+    for w, n in count.items():
+        totals[number[w]] += n if number[w] > lm.WORDS else 0
+
+    def tail(x):
+        return x - np.log(np.exp(x - x.max()).sum()) - x.max()
+
+    def token(near, target):
+        hidden = np.tanh(weights["e"][near].ravel() @ weights["w"] + weights["b"])
+        group, inner = divmod(target, lm.CLASSES)
+        return tail(hidden @ weights["c"] + weights["cb"])[group] + tail(hidden @ weights["o"][group] + weights["ob"][group])[inner]
+
+    got = {r.doc_id: r for r in lm.score(docs, words, weights, inside=lm.shares(counts, words)).collect()}
+    assert len(got) == len(rows)
+    for k in sorted(spoken, key=lambda k: len(spoken[k]))[:60]:
+        own = spoken[k]
+        ids = [0] * lm.SIDE + [number[w] for w in own] + [0] * lm.SIDE
+        want = 0.0
+        for i, w in enumerate(own):
+            near = [ids[i + lm.SIDE + s] for s in (*range(-lm.SIDE, 0), *range(1, lm.SIDE + 1))]
+            want += token(near, number[w]) + (np.log(count[w] / totals[number[w]]) if number[w] > lm.WORDS else 0)
+        assert got[k].n_tokens == len(own) and got[k].pll == pytest.approx(want, rel=1e-6, abs=1e-6)

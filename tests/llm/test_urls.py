@@ -66,3 +66,30 @@ def test_a_small_class_is_among_the_labelled(spark):
     for n, block in ((10, 3), (4, 2)):
         hosts, _, label = U.labelled(urls, n)
         assert len(hosts) == len(set(hosts)) == n and label.sum() == block
+
+
+def test_whole_result_equals_plain_code(spark):
+    """All pages judged by rules in Python and, without one, by sums over the n-grams of each url alone."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url")
+    weights = U.train(*U.labelled(pages.select(*[c.alias(n) for c, n in zip(U.host_path(F.col("url")), ("host", "path"))]).withColumn("r", U.ruled(F.col("host"), F.col("path"))).select("host", "path", "r.rule", "r.verdict")))
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in U.filter_urls(pages).collect()}
+
+    def cell(gram, size, salt):
+        h = 2 * size + salt
+        for b in gram:
+            h = (h * U.B.BASE + b) % (1 << 64)
+        return int(U.B.mix(np.array([h], np.uint64))[0] % np.uint64(U.DIMS))
+
+    def block(host, path):
+        cells = []
+        for text, salt in ((host, 0), (path, 1)):
+            data = f"\x01{text}\x02".encode() if text else b""
+            cells += [cell(data[i : i + n], n, salt) for n in U.SIZES for i in range(len(data) - n + 1)]
+        return weights[U.DIMS] + sum(weights[c] for c in cells) / max(1, len(cells)) ** 0.5 >= 0
+
+    want = {}
+    for r in pages.collect():
+        host, path = parts(r["url"])
+        rule, verdict = rule_of(host, path)
+        want[r["page_id"]] = (host, path, rule, verdict or ("block" if block(host, path) else "allow"))
+    assert got == want
