@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fettle.operators import batches, corpus, exports, gates, history, metrics, sampling, store
 from fettle.operators.split import SplitRules
+from fettle.sources import buckets
 
 ROWS, REGIONS = "inspection_id BIGINT, status STRING", "inspection_id BIGINT, region_index INT"
 
@@ -116,3 +117,23 @@ def test_rows_without_a_hash_stay_and_are_counted(spark):
     assert sorted(r["doc_id"] for r in corpus.keep_first(df, "doc_id").collect()) == [0, 2, 3, 4]
     got = {(r["section"], r["key"]): r["n"] for r in corpus.kept_report(df, "doc_id").collect()}
     assert got == {("rows", "input"): 5, ("rows", "kept"): 4, ("positives", "wood"): 1, ("roles", "positive"): 2, ("roles", "negative"): 1, ("roles", None): 1}
+
+
+def test_a_bucketed_store_is_joined_without_moving_the_fact(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        inspections = spark.range(2_000).selectExpr(
+            "id AS inspection_id", "concat('p', id) AS product_id", "CASE WHEN id % 3 = 0 THEN 'regions_found' ELSE 'clean' END AS status", "id % 5 AS batch_run_id", "1.0D AS latency_ms")
+        regions = spark.range(3_000).selectExpr(
+            "id % 2001 AS inspection_id", "CAST(id % 4 AS INT) AS region_index", "'crack' AS class_code", "1 AS area_px", "1.0D AS length_px", "1.0D AS max_width_px", "1 AS bbox_x", "1 AS bbox_y",
+            "1 AS bbox_width", "1 AS bbox_height", "1.0D AS centroid_x", "1.0D AS centroid_y").where("inspection_id % 3 = 0")
+        stored = buckets.write_store(inspections, regions, "bucket_test", 8)
+        told = lambda i, r: {
+            "array": i.join(exports.region_array(r), "inspection_id", "left").select("inspection_id", "regions"), "breakdown": history.class_breakdown(r), "envelope": exports.envelope(i, r, history.HistoryFilter()),
+            "totals": batches.run_totals(i, r)}
+        for name, df in told(*stored).items():
+            assert "hashpartitioning(inspection_id" not in df._jdf.queryExecution().executedPlan().toString(), name
+            assert sorted(map(str, df.collect())) == sorted(map(str, told(inspections, regions)[name].collect())), name
+    finally:
+        buckets.drop_store(spark, "bucket_test")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
