@@ -39,6 +39,7 @@ from pyspark.sql import types as T
 
 from fettle.llm import blocks as B
 from fettle.llm.arrow import kept_fields, map_arrow
+from fettle.llm.tables import Tables
 from fettle.session import settle
 
 PERCENT = 85
@@ -144,7 +145,7 @@ def bloom(ids: DataFrame, key: str) -> np.ndarray:
     return bits
 
 
-def sets_of(docs: DataFrame, id_col: str, text: str, members: DataFrame, label: str, size: int, percent: int) -> DataFrame:
+def sets_of(docs: DataFrame, id_col: str, text: str, members: DataFrame, label: str, size: int, percent: int, settle=settle) -> DataFrame:
     """(c, set) of the classes in ``members`` (c, rep, __n, __k1, __k2): their documents are read again."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(bloom(members, "rep"))
@@ -388,19 +389,26 @@ def central_ties(tied: DataFrame, ties: DataFrame, whole: DataFrame, percent: in
 def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles, component_id and n_same (documents with the same set) for each row of ``docs``."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
-    rows = settle(sets(source, "text", ["doc_id"], False, size, percent), "sets")
+    tables = Tables(docs.sparkSession)
+    rows = tables.settle(sets(source, "text", ["doc_id"], False, size, percent), "sets")
     real = rows.where("__n > 0 AND doc_id IS NOT NULL")
     one = real.groupBy("__n", "__k1", "__k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_same"), F.min_by("__set", "doc_id").alias("set"))
-    classes = settle(one.withColumn("c", F.monotonically_increasing_id()), "classes")
-    who = classes.select("c", "rep", "__n", "__k1", "__k2")
+    classes = tables.settle(one.withColumn("c", F.monotonically_increasing_id()), "classes")
+    narrow = tables.settle(rows.drop("__set"), "set-sizes")
+    tables.drop(rows)
+    who = tables.settle(classes.select("c", "rep", "__n", "__k1", "__k2", "n_same"), "class-names")
 
     def of(ids: DataFrame, label: str) -> DataFrame:
-        return sets_of(source, "doc_id", "text", settle(ids.distinct().join(who, "c"), f"{label}-ids"), label, size, percent)
+        named = tables.settle(ids.distinct().join(who.drop("n_same"), "c"), f"{label}-ids")
+        found = sets_of(source, "doc_id", "text", named, label, size, percent, tables.settle)
+        tables.drop(named)
+        return found
 
     # hashes of kept prefixes that several classes hold
     tokens = classes.select("c", "__n", F.size("set").alias("kept"), F.posexplode("set").alias("pos", "tok"))
-    several = settle(tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "several")
-    held = settle(tokens.join(several, "tok"), "held")
+    several = tables.settle(tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "several")
+    held = tables.settle(tokens.join(several, "tok"), "held")
+    tables.drop(classes, several)
     # hubs
     keyed = held.where(F.col("pos") < KEYS)
     typical = held.groupBy("c").agg((F.count(F.lit(1)) / F.max("kept")).alias("weight"))
@@ -409,7 +417,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: in
     hub = settle(key.groupBy("tok").agg(F.max_by(F.struct("c", "__n"), F.struct("weight", -F.col("c"))).alias("hub")), "hubs")
     near = keyed.join(hub, "tok").where((F.col("hub.c") != F.col("c")) & sized(F.col("hub.__n"), F.col("__n"), percent))
     best = near.groupBy("c", F.col("hub.c").alias("h")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= KEYS // 2)
-    tied = settle(best.groupBy(F.col("c").alias("c1")).agg(F.max_by("h", F.struct("n", -F.col("h"))).alias("c2")), "tied")
+    tied = tables.settle(best.groupBy(F.col("c").alias("c1")).agg(F.max_by("h", F.struct("n", -F.col("h"))).alias("c2")), "tied")
     hub_sets = of(tied.select(F.explode(F.array("c1", "c2")).alias("c")), "hub-sets")
     ties = settle(verified(tied, hub_sets, percent), "ties")
     ties = settle(ties.unionByName(central_ties(tied, ties, hub_sets, percent)), "all-ties")
@@ -417,13 +425,16 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: in
     members = star_members(ties)
     told = held.drop("df", "kept").join(members.select("c", F.col("star").alias("hub"), "fam"), "c", "left")
     starred = with_stars(told.withColumns({"star": F.coalesce("hub", "c"), "fam": F.coalesce("fam", F.lit(False))}).drop("hub"))
-    starred = settle(starred, "starred")
+    starred = tables.settle(starred, "starred")
+    tables.drop(held)
     lists = starred.groupBy("c", "star", "fam", "__n").agg(F.sort_array(F.collect_list(F.struct("pos", "df", "tok"))).alias("held"))
     fields = [T.StructField("c", LONG), T.StructField("star", LONG), T.StructField("fam", T.BooleanType()), T.StructField("__n", LONG), T.StructField("length", LONG),
               T.StructField("asked", LONG), T.StructField("toks", LONGS), T.StructField("places", LONGS)]
-    prefixes = settle(map_arrow(lists, _lengthen, fields, percent=percent, hot=hot), "prefixes")
+    prefixes = tables.settle(map_arrow(lists, _lengthen, fields, percent=percent, hot=hot), "prefixes")
     bigs = settle(starred.where(F.col("df") < hot).groupBy("tok").agg(F.first("big").alias("big")), "bigs")
     between, reach = family_reach(starred, members, hub_sets, percent, hot)
+    between = settle(between, "families-joined")
+    tables.drop(starred, hub_sets)
     cold = settle(prefix_candidates(prefixes, bigs, reach, percent), "candidates")
     # classes that are mostly hot
     mostly = prefixes.where("length = 0").select("c", "star")
@@ -432,12 +443,13 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: in
     hot_rows = whole.join(mostly, "c").select("c", "star", F.size("set").cast("long").alias("__n"), F.explode("set").alias("tok"))
     pairs = cold.unionByName(hot_candidates(hot_rows, percent, hot)).distinct()
     links = settle(verified(pairs, whole, percent).unionByName(ties).select("c1", "c2").unionByName(between), "links")
+    tables.drop(whole, prefixes)
     # components
     roots = components(links)
-    known = classes.select("c", "rep", "__n", "__k1", "__k2", "n_same").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
+    known = who.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
     smallest = known.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = known.join(smallest, "root").select("__n", "__k1", "__k2", "component_id", "n_same")
-    joined = rows.drop("__set").join(named, ["__n", "__k1", "__k2"], "left")
+    joined = narrow.join(named, ["__n", "__k1", "__k2"], "left")
     own = F.when(F.col("__n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
     return joined.select("doc_id", F.col("__n").alias("n_shingles"), own.alias("component_id"), F.coalesce("n_same", F.lit(0)).alias("n_same"), "__k1", "__k2")
 

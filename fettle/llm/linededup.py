@@ -35,6 +35,7 @@ from pyspark.sql import types as T
 
 from fettle.llm import blocks as B
 from fettle.llm.arrow import field, map_arrow
+from fettle.llm.tables import Tables
 from fettle.session import settle
 
 MIN_WORDS = 10
@@ -258,21 +259,22 @@ def _align(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.
         yield pa.RecordBatch.from_pylist([close_row()], schema=schema)
 
 
-def deletions(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def deletions(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, tables: Tables | None = None) -> DataFrame:
     """(row, lines, blocks): the places of the lines to delete, and the blocks that each earlier document accounts for.
 
     ``row`` is a struct of id and text hash. A block has the earlier document's id and text hash, its place there and here among the lines with a word,
-    and its number of lines.
+    and its number of lines. ``tables`` holds what is written on the way.
     """
+    tables = tables or Tables(docs.sparkSession)
     row = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("h")).alias("row")
     held = docs.where(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(row, F.col(text).alias("text"))
     kind = held.schema["row"].dataType
     block = T.StructType([T.StructField("early", kind["id"].dataType), T.StructField("early_h", T.LongType()), *[T.StructField(n, T.IntegerType()) for n in ("early_nth", "nth", "n_lines")]])
     whole, ints = T.LongType(), T.ArrayType(T.IntegerType())
     fields = [field("row", kind), field("run", whole), field("check", whole), field("nth", T.IntegerType()), field("lines", ints), field("keys", T.ArrayType(whole))]
-    occ = settle(map_arrow(held, _runs, fields, text="text", min_words=min_words), "runs")
+    occ = tables.settle(map_arrow(held, _runs, fields, text="text", min_words=min_words), "runs")
     holders = occ.groupBy("run", "check").agg(F.min(F.struct("row", "nth")).alias("first"), F.max("row").alias("last")).where("first.row < last")
-    first = settle(holders.select("run", "check", F.col("first.row").alias("first"), F.col("first.nth").alias("early_nth")), "holders")
+    first = tables.settle(holders.select("run", "check", F.col("first.row").alias("first"), F.col("first.nth").alias("early_nth")), "holders")
     later = occ.join(first, ["run", "check"]).where(F.col("first") < F.col("row")).select("row", "first", "nth", "early_nth", "lines", "keys")
     pairs = later.repartition("row").sortWithinPartitions("row", "first", "nth")
     return map_arrow(pairs, _align, [field("row", kind), field("lines", ints), field("blocks", T.ArrayType(block))])
@@ -280,7 +282,10 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_w
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the shared lines cut from ``text``, and __n_lines and __n_deleted."""
-    gone = settle(deletions(docs, id_col, text, min_words), "deleted").select(F.col("row.id").alias("__id"), F.col("row.h").alias("__h"), F.col("lines").alias("__lines"))
+    tables = Tables(docs.sparkSession)
+    found = settle(deletions(docs, id_col, text, min_words, tables), "deleted")
+    tables.drop_all()
+    gone = found.select(F.col("row.id").alias("__id"), F.col("row.h").alias("__h"), F.col("lines").alias("__lines"))
     hashed = docs.withColumn("__th", F.xxhash64(text))
     joined = hashed.join(gone, (F.col(id_col) == F.col("__id")) & (F.col("__th") == F.col("__h")), "left")
     split = F.split(text, "\n", -1)
