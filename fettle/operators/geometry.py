@@ -56,14 +56,17 @@ def label_regions(mask: DataFrame, keys: list[str]) -> DataFrame:
     Pixels shrink to horizontal runs first, then run pairs are contracted: in every round a
     node links to the smallest node of its neighbourhood and follows links two steps, so long
     shapes take a logarithmic number of rounds. Each round is written to the shared folder.
+
+    Runs and roots shrink to a hundredth in a file, so the size of a file says nothing about that of its rows: the
+    joins are merges by hint, or whole tables of runs would go through the driver as broadcasts.
     """
     spark_keys = list(keys)
-    runs = settle(with_runs(mask.select(*spark_keys, "y", "x"), spark_keys), "runs")
+    runs = settle(with_runs(mask.select(*spark_keys, "y", "x"), spark_keys), "runs").hint("merge")
     pairs = neighbour_pairs(runs, spark_keys, ["node"]).where(F.col("node") != F.col("node2"))
     lo, hi = F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")
-    edges = settle(pairs.select(*spark_keys, lo, hi).distinct(), "links")
+    edges = settle(pairs.select(*spark_keys, lo, hi).distinct(), "links").hint("merge")
     roots, rounds = Rounds(mask.sparkSession, "roots"), Rounds(mask.sparkSession, "hooks")
-    parent = roots.settle(runs.select(*spark_keys, "node").distinct().withColumn("root", F.col("node")))
+    parent = roots.settle(runs.select(*spark_keys, "node").distinct().withColumn("root", F.col("node"))).hint("merge")
     while True:  # roots only ever fall, so this ends
         ends = (
             edges.join(parent.select(*spark_keys, F.col("node").alias("a"), F.col("root").alias("ra")), [*spark_keys, "a"])
@@ -71,13 +74,13 @@ def label_regions(mask: DataFrame, keys: list[str]) -> DataFrame:
             .where(F.col("ra") != F.col("rb"))
         )
         hooks = ends.groupBy(*spark_keys, F.greatest("ra", "rb").alias("root")).agg(F.min(F.least("ra", "rb")).alias("to"))
-        hooks = rounds.settle(hooks)
+        hooks = rounds.settle(hooks).hint("merge")
         if hooks.isEmpty():
             break
         once = hooks.join(hooks.select(*spark_keys, F.col("root").alias("to"), F.col("to").alias("to2")), [*spark_keys, "to"], "left")
         jumps = once.select(*spark_keys, "root", F.coalesce("to2", "to").alias("to"))
         moved = parent.join(jumps, [*spark_keys, "root"], "left")
-        parent = roots.settle(moved.select(*spark_keys, "node", F.coalesce("to", "root").alias("root")))
+        parent = roots.settle(moved.select(*spark_keys, "node", F.coalesce("to", "root").alias("root"))).hint("merge")
     return runs.join(parent, [*spark_keys, "node"]).select(*spark_keys, "y", "x", F.col("root").alias("region"))
 
 

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fettle import session
 from fettle.operators import decide, geometry, metrics, runs, sampling
 
 PIXEL = "item_id INT, y INT, x INT, gt INT, pred INT, skel_gt INT, skel_pred INT"
@@ -133,6 +134,22 @@ def test_components_of_noise_and_of_a_spiral(spark):
         assert {frozenset(g) for g in groups.values()} == set(want.values())
 
 
+def test_components_are_joined_without_broadcasts(spark, monkeypatch):
+    """Files of runs and roots are tiny beside their rows, so their size must not make a broadcast of them."""
+    plans, settle_at = [], session.settle_at
+
+    def planned(df, path):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return settle_at(df, path)
+
+    monkeypatch.setattr(session, "settle_at", planned)
+    line = spark.range(200).selectExpr("CAST(id % 4 AS INT) AS item_id", "CAST(id % 7 AS INT) AS y", "CAST(2 * id % 9 AS INT) AS x").distinct()
+    out = geometry.label_regions(line, ["item_id"])
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) >= 4
+    assert not [p for p in plans if "Broadcast" in p]
+
+
 def test_arc_length_counts_diagonals(spark):
     rows = [(1, i, i) for i in range(4)] + [(2, 0, x) for x in range(4)] + [(3, 5, 5)]
     out = {r["k"]: r["length_px"] for r in geometry.arc_length(spark.createDataFrame(rows, "k INT, y INT, x INT"), ["k"]).collect()}
