@@ -111,18 +111,24 @@ def longest_region(regions: DataFrame) -> DataFrame:
 
 def with_dimensions(inspections: DataFrame, material: DataFrame, station: DataFrame, model: DataFrame,
                     profile: DataFrame) -> DataFrame:
-    """Fact left joined to its four dimensions; Spark broadcasts each by its measured size."""
+    """Fact left joined to its four dimensions, without moving the fact.
+
+    A dimension's key has a handful of values (five materials, two profiles), so a shuffle by it would put the fact into as
+    many tasks, and Spark can't tell from a list that is derived from a large table how short it is. Materials, stations and
+    profiles are lists of the plant's setup. Of the models, which pile up, only those that the fact names are sent.
+    """
     m = material.select("material_code", "material_name", "support_status")
     s = station.select("station_code", "line_code", "mm_per_pixel")
+    named = inspections.select("model_version_id").distinct()
     v = model.select("model_version_id", F.col("version").alias("model_version"),
-                     F.col("file_name").alias("model_file_name"), "artefact_sha256")
+                     F.col("file_name").alias("model_file_name"), "artefact_sha256").join(named, "model_version_id", "left_semi")
     p = profile.select("profile_id", F.col("version_no").alias("profile_version"), "crack_threshold",
                        "scratch_threshold", "minimum_area_px", "minimum_skeleton_px")
     return (
-        inspections.join(m, "material_code", "left")
-        .join(s, "station_code", "left")
-        .join(v, "model_version_id", "left")
-        .join(p, "profile_id", "left")
+        inspections.join(F.broadcast(m), "material_code", "left")
+        .join(F.broadcast(s), "station_code", "left")
+        .join(F.broadcast(v), "model_version_id", "left")
+        .join(F.broadcast(p), "profile_id", "left")
     )
 
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from fettle.operators import batches, corpus, exports, gates, history, metrics, sampling, store
 from fettle.operators.split import SplitRules
+from fettle.plans import catalog
 from fettle.sources import buckets
 
 ROWS, REGIONS = "inspection_id BIGINT, status STRING", "inspection_id BIGINT, region_index INT"
@@ -137,3 +139,15 @@ def test_a_bucketed_store_is_joined_without_moving_the_fact(spark):
     finally:
         buckets.drop_store(spark, "bucket_test")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("name", ["history_rows", "region_csv_rows", "inspection_json"])
+def test_dimensions_of_few_keys_do_not_move_the_fact(spark, name):
+    """A shuffle by material or profile would put all inspections into as many tasks as there are materials or profiles."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joins = [line for line in plan.splitlines() if re.search(r"Join \[(material_code|station_code|model_version_id|profile_id)#.*LeftOuter", line)]
+    assert len(joins) == 4 and all("BroadcastHashJoin" in line for line in joins)
