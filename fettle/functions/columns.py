@@ -29,6 +29,16 @@ def percent(num: ColumnLike, den: ColumnLike, digits: int = 1) -> Column:
     return F.coalesce(F.round(ratio(col(num) * F.lit(100.0), den), digits), F.lit(0.0))
 
 
+def round_scaled(c: ColumnLike, digits: int) -> Column:
+    """Half away from zero on the scaled double, as the SQL rounds.
+
+    Spark's own ``round`` decides by the decimal digits in which a double is shown. The two differ where a mean lies half way or one last digit
+    beside it: 0.0014874999999999999 shows less than a half, but times 1e6 it is one; 0.0019625 shows a half and is none.
+    """
+    scaled = col(c) * 10.0**digits
+    return F.signum(scaled) * F.round(F.abs(scaled), 0) / 10.0**digits
+
+
 def r6(c: ColumnLike) -> Column:
     return F.round(col(c), 6)
 

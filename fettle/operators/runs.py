@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from fettle.functions.columns import nan_to_null, ratio
+from fettle.functions.columns import nan_to_null, ratio, round_scaled
 from fettle.operators.ranking import first_n, row_number_by_value, running
 from fettle.session import settle
 
@@ -49,7 +49,7 @@ def seed_summary(scores: DataFrame, by: list[str], value: str = "metric") -> Dat
     """Mean and population deviation over seeds, NaN skipped; few seeds are flagged."""
     x = nan_to_null(value)
     return scores.groupBy(*by).agg(
-        F.round(F.avg(x), 9).alias("mean"), F.round(F.stddev_pop(x), 9).alias("std"), F.count(x).alias("n")
+        round_scaled(F.avg(x), 9).alias("mean"), round_scaled(F.stddev_pop(x), 9).alias("std"), F.count(x).alias("n")
     ).withColumn("few_seeds", F.col("n") < MIN_SEEDS)
 
 
@@ -57,12 +57,12 @@ def with_targets(scores: DataFrame, targets: DataFrame) -> DataFrame:
     """Seed summary per tag, split and metric with the value of every seed and the verdict against the metric's target on that split."""
     by, x = ["tag", "split", "metric"], nan_to_null("score")
     per = scores.where(x.isNotNull()).groupBy(*by).agg(
-        F.avg("score").alias("m"), F.round(F.stddev_pop("score"), 9).alias("std"), F.count("*").alias("n"),
-        F.array_sort(F.collect_list(F.struct("seed", F.round("score", 6).alias("v")))).alias("s"))
+        F.avg("score").alias("m"), round_scaled(F.stddev_pop("score"), 9).alias("std"), F.count("*").alias("n"),
+        F.array_sort(F.collect_list(F.struct("seed", round_scaled("score", 6).alias("v")))).alias("s"))
     joined = per.join(targets, ["split", "metric"], "left")
     met = F.when(F.col("direction") == "ge", F.col("m") >= F.col("target")).otherwise(F.col("m") <= F.col("target"))
     return joined.select(
-        *by, F.round("m", 9).alias("mean"), "std", "n",
+        *by, round_scaled("m", 9).alias("mean"), "std", "n",
         F.array_join(F.transform("s", lambda e: F.format_string("%.6f", e["v"])), ",").alias("per_seed"),
         F.when(F.col("target").isNotNull(), F.when(met, "MEETS").otherwise("MISSES")).alias("verdict"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -176,6 +177,14 @@ def test_seed_summary_skips_nan_and_uses_population_deviation(spark):
     assert out["b"]["mean"] is None and out["b"]["n"] == 0
 
 
+def test_half_way_scores_are_rounded_as_the_sql_rounds(spark):
+    scores = [0.0014874999999999999, 0.0019625, 0.0020375, 0.0021874999999999998, -0.0000001, 0.25]
+    rows = spark.createDataFrame([("R0", i, "view", "iou", x) for i, x in enumerate(scores)], "tag STRING, seed BIGINT, split STRING, metric STRING, score DOUBLE")
+    targets = spark.createDataFrame([], "split STRING, metric STRING, target DOUBLE, direction STRING")
+    want = duckdb.execute("SELECT string_agg(format('{:.6f}', round(x, 6)), ',' ORDER BY i) FROM (SELECT unnest(?::DOUBLE[]) AS x, unnest(range(6)) AS i)", [scores]).fetchall()[0][0]
+    assert runs.with_targets(rows, targets).first()["per_seed"] == want == "0.001488,0.001962,0.002037,0.002188,-0.000000,0.250000"
+
+
 def test_best_epoch_is_the_earliest_on_a_tie_and_slope_needs_two(spark):
     df = spark.createDataFrame([("t", 1, "s", 1, 0.5), ("t", 1, "s", 2, 0.7), ("t", 1, "s", 3, 0.7), ("t", 2, "s", 1, 0.1)],
                                "tag STRING, seed INT, split STRING, epoch INT, metric DOUBLE")
