@@ -132,15 +132,17 @@ def append_once(tables: dict[str, DataFrame], folder: str, batch: str, fmt: str
 
     Every attempt writes under a name of its own, and a marker that names the attempt is written last: readers follow the markers, so what
     a killed job left behind is never seen, and a batch that is given again is not written again. Of two jobs that write
-    one batch at the same time, the marker of the later one stands, and with it that job's rows alone.
+    one batch at the same time, the marker of the later one stands, and with it that job's rows alone. Texts are packed by gzip, which readers
+    know by the file's name.
     """
     spark = next(iter(tables.values())).sparkSession
     if not _commits(spark, folder).where(F.col(BATCH) == batch).isEmpty():
         return False
     attempt = uuid.uuid4().hex
+    packed = {"compression": "gzip"} if fmt == "json" else {}
     for name, rows in tables.items():
         marked = rows.withColumns({BATCH: F.lit(batch), ATTEMPT: F.lit(attempt)})
-        marked.write.mode("append").partitionBy(BATCH, ATTEMPT).format(fmt).save(f"{folder}/{name}")
+        marked.write.mode("append").partitionBy(BATCH, ATTEMPT).format(fmt).options(**packed).save(f"{folder}/{name}")
     mark = spark.range(1).select(F.lit(attempt).alias(ATTEMPT), F.lit(batch).alias(BATCH))
     mark.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BATCH).parquet(f"{folder}/{COMMITS}")
     return True
@@ -170,10 +172,13 @@ def reconcile(export: DataFrame, rows: DataFrame, regions: DataFrame) -> DataFra
 
 
 def store_rows(results: DataFrame, stations: DataFrame, materials: DataFrame, models: DataFrame) -> DataFrame:
-    """Results with their foreign keys resolved, ready to append to the inspection table."""
+    """Results with their foreign keys resolved, ready to append to the inspection table.
+
+    Stations and materials are short lists, so a shuffle by them would leave as few tasks to write all results.
+    """
     return (
-        results.join(stations.select("station_code", "station_id"), "station_code", "left")
-        .join(materials.select("material_code", "material_id"), "material_code", "left")
+        results.join(F.broadcast(stations.select("station_code", "station_id")), "station_code", "left")
+        .join(F.broadcast(materials.select("material_code", "material_id")), "material_code", "left")
         .withColumn("model_version_id", models)
     )
 

@@ -57,12 +57,14 @@ SPARK, DUCK = Dialect(True), Dialect(False)
 
 
 def _defect_region(d: Dialect) -> str:
-    return """SELECT row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS region_index,
- l_orderkey AS inspection_id, CASE WHEN l_returnflag='R' THEN 'scratch' ELSE 'crack' END AS class_code,
+    # Spark knows rows as dealt by the column that the window names: by inspection_id, later joins and groupings on it move no rows.
+    key, rows = d.pick("inspection_id", "l_orderkey"), d.pick("(SELECT *, l_orderkey AS inspection_id FROM lineitem) l", "lineitem")
+    return f"""SELECT row_number() OVER (PARTITION BY {key} ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS region_index,
+ {d.pick('inspection_id', 'l_orderkey AS inspection_id')}, CASE WHEN l_returnflag='R' THEN 'scratch' ELSE 'crack' END AS class_code,
  CAST(l_quantity AS INT) AS area_px, l_extendedprice/100 AS length_px, 1+100*l_tax AS max_width_px,
  CAST(l_partkey%200 AS INT) AS bbox_x, CAST(l_suppkey%200 AS INT) AS bbox_y, CAST(l_quantity AS INT) AS bbox_width, CAST(1+l_linenumber AS INT) AS bbox_height,
  l_partkey%200+l_quantity/2 AS centroid_x, l_suppkey%200+(1+l_linenumber)/CAST(2.0 AS DOUBLE) AS centroid_y
- FROM lineitem"""
+ FROM {rows}"""
 
 
 def _inspection(d: Dialect) -> str:

@@ -13,6 +13,7 @@ from fettle.operators import batches, corpus, exports, gates, history, metrics,
 from fettle.operators.split import SplitRules
 from fettle.plans import catalog
 from fettle.sources import buckets
+from fettle.sources.views import Views
 
 ROWS, REGIONS = "inspection_id BIGINT, status STRING", "inspection_id BIGINT, region_index INT"
 
@@ -151,3 +152,31 @@ def test_dimensions_of_few_keys_do_not_move_the_fact(spark, name):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     joins = [line for line in plan.splitlines() if re.search(r"Join \[(material_code|station_code|model_version_id|profile_id)#.*LeftOuter", line)]
     assert len(joins) == 4 and all("BroadcastHashJoin" in line for line in joins)
+
+
+def test_regions_are_dealt_once_by_their_inspection(spark):
+    """The window that numbers regions deals them by inspection; packing and joining them must not deal them again."""
+    v = Views(spark, "/root/testdata/sf0.001")
+    plan = exports.records_of(v.inspection, v.defect_region)._jdf.queryExecution().executedPlan().toString()
+    window = next(n for n, line in enumerate(plan.splitlines()) if "- Window [" in line)
+    packed = next(n for n, line in enumerate(plan.splitlines()) if "ObjectHashAggregate(keys=[inspection_id" in line)
+    assert packed < window and not any("Exchange" in line for line in plan.splitlines()[packed:window])
+
+
+def test_text_logs_are_packed(spark, tmp_path):
+    rows = spark.range(50).select(F.repeat(F.lit("record "), 40).alias("text"))
+    assert exports.append_once({"log": rows}, str(tmp_path), "one", "json")
+    files = [f for f in tmp_path.glob("log/*/*/part-*") if f.stat().st_size]
+    assert files and all(f.name.endswith(".json.gz") for f in files)
+    assert exports.committed(spark, str(tmp_path), "log", "text STRING", "json").collect() == rows.collect()
+
+
+def test_results_are_not_dealt_by_their_material(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        v = Views(spark, "/root/testdata/sf0.001")
+        plan = exports.store_rows(v.inspection.drop("model_version_id"), v.station, v.material, F.lit(1))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joins = [line for line in plan.splitlines() if re.search(r"Join \[(material_code|station_code)#.*LeftOuter", line)]
+    assert len(joins) == 2 and all("BroadcastHashJoin" in line for line in joins)
